@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from gradeframe.llm import decontam, exact_dedup, mixing, sharding
+from gradeframe.llm import decontam, exact_dedup, langid, mixing, quality, sharding, tokens
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op3_token_files": tokens.query,
     "op5_mixing": mixing.query,
     "op7_sharding": sharding.query,
     "op9_decontamination": decontam.query,
+    "op10_language_id": langid.query,
 }
 
 ORACLES = {
