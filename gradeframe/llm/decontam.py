@@ -1,10 +1,10 @@
 """Benchmark decontamination as a prefix-filtered join of word windows.
 
 An item's windows are its runs of WINDOW words. A window that occurs in a
-document occurs with each of its words, so one necessary word, the rarest over
-all documents, finds its candidates. Neighbouring windows mostly share that
+document occurs with each of its words, so one necessary word, the rarest among the
+items' words, finds its candidates. Neighbouring windows mostly share that
 word: the join is on (word, place in the item), which fixes the alignment of
-item and document. Bounds on length and position drop alignments that stick out
+item and document, each of whose words is met once. Bounds on length and position drop alignments that stick out
 of the document, and the words of the window are compared one by one.
 """
 
@@ -19,15 +19,23 @@ from gradeframe.llm.common import checkpoint, table
 WINDOW = 13
 #: Rows of benchmark words or windows that may be broadcast; beyond, the joins are by shuffle.
 BROADCAST_ROWS = 200_000
-#: What words are made of once A-Z are lower-cased; matches before lower-casing too.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words; A-Z belong to words, and are lower-cased.
+BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def words(text: str = "text") -> Column:
-    """Words of a text; none for null."""
-    lowered = F.translate(F.col(text), UPPER, LOWER)
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+def pieces(text: str = "text") -> Column:
+    """A text cut into words, as they are written; the first and the last piece may be empty. None for null."""
+    return F.split(F.coalesce(F.col(text), F.lit("")), BREAK)
+
+
+def n_words(cut: Column) -> Column:
+    first, last = (F.element_at(cut, 1) == "").cast("long"), (F.element_at(cut, -1) == "").cast("long")
+    return F.when(F.size(cut) == 1, 1 - first).otherwise(F.size(cut) - first - last).cast("long")
+
+
+def lowered(words: Column) -> Column:
+    return F.transform(words, lambda w: F.translate(w, UPPER, LOWER))
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -36,7 +44,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def windows(items: DataFrame) -> DataFrame:
     """(item, start, length, body): every window of every item."""
-    split = items.select(F.col("item_id").alias("item"), words().alias("all")).filter(F.size("all") > 0)
+    words = F.filter(lowered(pieces()), lambda w: w != "")
+    split = items.select(F.col("item_id").alias("item"), words.alias("all")).filter(F.size("all") > 0)
     last = F.greatest(F.lit(0), F.size("all") - WINDOW)
     each = split.select("item", "all", F.explode(F.sequence(F.lit(0), last)).alias("start"))
     length = F.least(F.lit(WINDOW), F.size("all"))
@@ -46,31 +55,23 @@ def windows(items: DataFrame) -> DataFrame:
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """A row per occurrence of a window: doc_id, mark (a hash of the text), at, length, item."""
     wins = checkpoint(windows(items))
-    tokens = wins.select(F.explode("body").alias("word")).distinct()
     n_wins = wins.count()
-    split = docs.select("doc_id", F.xxhash64("text").alias("mark"), words().alias("all"))
-    said = split.select(F.explode("all").alias("word"))
-    n_tokens = n_wins * WINDOW
-    seen = said.join(small(tokens, n_tokens), "word", "left_semi").groupBy("word").agg(F.count("*").alias("seen"))
-    # a window's necessary word: its rarest one, the first of equals
     placed = wins.select("item", "start", "length", "body", F.posexplode("body").alias("place", "word"))
-    ranked = placed.join(small(checkpoint(seen), n_tokens), "word")  # a word that no document has rules out its window
-    found = W.partitionBy("item", "start")
-    rarest = (
-        ranked.withColumn("have", F.count("*").over(found))
-        .filter(F.col("have") == F.col("length"))
-        .withColumn("rank", F.row_number().over(found.orderBy("seen", "word", "place")))
-        .filter("rank = 1")
-        .select("word", "item", "start", "length", "body", "place")
-    )
-    prefix = checkpoint(rarest.groupBy("word").agg(F.collect_list(F.struct("item", "length", "body", "place")).alias("wins")))
-    spoken = split.select("doc_id", "mark", "all", F.posexplode("all").alias("pos", "word"))
-    near = spoken.join(small(prefix, n_wins), "word").select("doc_id", "mark", "all", "pos", F.explode("wins").alias("w"))
+    # rarity among the items' windows, longer words first of equals: no pass over the documents is spent on it
+    seen = placed.groupBy("word").agg(F.count("*").alias("seen"))
+    order = W.partitionBy("item", "start").orderBy("seen", F.length("word").desc(), "word", "place")
+    rarest = placed.join(small(seen, n_wins * WINDOW), "word").withColumn("rank", F.row_number().over(order)).filter("rank = 1")
+    # lower() equates at least what lowered() does, and is quick; the words are compared by lowered() below
+    prefix = checkpoint(rarest.groupBy(F.lower("word").alias("key")).agg(F.collect_list(F.struct("item", "length", "body", "place", F.lower(F.col("body")[0]).alias("first"), F.lower(F.element_at("body", -1)).alias("last"))).alias("wins")))
+    split = docs.select("doc_id", F.xxhash64("text").alias("mark"), pieces().alias("all"))
+    spoken = split.select("doc_id", "mark", "all", F.posexplode("all").alias("pos", "word")).withColumn("key", F.lower("word"))
+    near = spoken.join(small(prefix, n_wins), "key").select("doc_id", "mark", "all", "pos", F.explode("wins").alias("w"))
     at = F.col("pos") - F.col("w.place")
     return (
         near.withColumn("at", at)
         .filter((F.col("at") >= 0) & (F.col("at") + F.col("w.length") <= F.size("all")))
-        .filter(F.slice("all", F.col("at") + 1, F.col("w.length")) == F.col("w.body"))
+        .filter((F.lower(F.get("all", F.col("at"))) == F.col("w.first")) & (F.lower(F.get("all", F.col("at") + F.col("w.length") - 1)) == F.col("w.last")))
+        .filter(lowered(F.slice("all", F.col("at") + 1, F.col("w.length"))) == F.col("w.body"))
         .select("doc_id", "mark", "at", F.col("w.length").alias("length"), F.col("w.item").alias("item"))
     )
 
@@ -83,7 +84,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     id and text get the same result each. Other columns are ignored.
     """
     hits = checkpoint(find(docs, items).distinct())
-    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), n_words(pieces()).alias("n_words"))
     places = hits.select("doc_id", "mark", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("place"))
     n_hit = places.distinct().groupBy("doc_id", "mark").agg(F.count("*").alias("n_hit"))
     by_item = hits.select("doc_id", "mark", "item").distinct().groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("found"))

@@ -132,12 +132,12 @@ def mix(docs: DataFrame) -> DataFrame:
     own = F.floor(F.col("mix_copies") / F.col("mix_rows")) + (F.col("nth") <= F.col("mix_copies") % F.col("mix_rows")).cast("long")
     times = joined.withColumn("nth", nth).withColumn("own", own.cast("int")).filter("own > 0")
     spread = times.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
-    return spread.repartitionByRange(F.col("copy"), F.col("mix_position")).sortWithinPartitions("copy", "mix_position").select(*names)
+    return spread.repartitionByRange("copy", "mix_position", "mix_row").sortWithinPartitions("copy", "mix_position", "mix_row").select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = schedule(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").repartitionByRange("position").sortWithinPartitions("position")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 ORACLE = r"""
