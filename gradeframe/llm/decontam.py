@@ -62,7 +62,7 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     order = W.partitionBy("item", "start").orderBy("seen", F.length("word").desc(), "word", "place")
     rarest = placed.join(small(seen, n_wins * WINDOW), "word").withColumn("rank", F.row_number().over(order)).filter("rank = 1")
     # lower() equates at least what lowered() does, and is quick; the words are compared by lowered() below
-    prefix = checkpoint(rarest.groupBy(F.lower("word").alias("key")).agg(F.collect_list(F.struct("item", "length", "body", "place", F.lower(F.col("body")[0]).alias("first"), F.lower(F.element_at("body", -1)).alias("last"))).alias("wins")))
+    prefix = checkpoint(rarest.groupBy(F.lower("word").alias("key")).agg(F.collect_list(F.struct("item", "length", "place", F.array_join("body", " ").alias("text"), F.lower(F.col("body")[0]).alias("first"), F.lower(F.element_at("body", -1)).alias("last"))).alias("wins")))
     split = docs.select("doc_id", F.xxhash64("text").alias("mark"), pieces().alias("all"))
     spoken = split.select("doc_id", "mark", "all", F.posexplode("all").alias("pos", "word")).withColumn("key", F.lower("word"))
     near = spoken.join(small(prefix, n_wins), "key").select("doc_id", "mark", "all", "pos", F.explode("wins").alias("w"))
@@ -71,7 +71,8 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
         near.withColumn("at", at)
         .filter((F.col("at") >= 0) & (F.col("at") + F.col("w.length") <= F.size("all")))
         .filter((F.lower(F.get("all", F.col("at"))) == F.col("w.first")) & (F.lower(F.get("all", F.col("at") + F.col("w.length") - 1)) == F.col("w.last")))
-        .filter(lowered(F.slice("all", F.col("at") + 1, F.col("w.length"))) == F.col("w.body"))
+        # no lambda here: it would end the generated code and have each candidate carry its document's words
+        .filter(F.translate(F.array_join(F.slice("all", F.col("at") + 1, F.col("w.length")), " "), UPPER, LOWER) == F.col("w.text"))
         .select("doc_id", "mark", "at", F.col("w.length").alias("length"), F.col("w.item").alias("item"))
     )
 
