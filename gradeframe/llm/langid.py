@@ -115,8 +115,8 @@ def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
     return langs, normalised(np.array([sums[x] for x in langs])).astype(np.float32) if langs else np.zeros((0, DIM), np.float32)
 
 
-def identify(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
-    """docs with lang_pred, lang_score (0 to 1) and lang_cosine.
+def _predicted(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
+    """docs, its columns named c0, c1, ..., with lang_pred, lang_score (0 to 1) and lang_cosine.
 
     Texts that are null or have no letter are UNKNOWN with score and cosine 0,
     and so is everything if no language was learnt. Other columns, ids and
@@ -142,8 +142,12 @@ def identify(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataF
             yield pa.RecordBatch.from_arrays(columns, names=[*(f"c{i}" for i in range(len(batch.columns))), "lang_pred", "lang_score", "lang_cosine"])
 
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema))
-    out = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(predict, f"{kinds}, lang_pred string, lang_score double, lang_cosine double")
-    return out.toDF(*docs.columns, "lang_pred", "lang_score", "lang_cosine")
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(predict, f"{kinds}, lang_pred string, lang_score double, lang_cosine double")
+
+
+def identify(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
+    """docs with lang_pred, lang_score and lang_cosine; see _predicted()."""
+    return _predicted(docs, langs, prototypes).toDF(*docs.columns, "lang_pred", "lang_score", "lang_cosine")
 
 
 #: Documents nearer to no prototype than this are rejected by known_language().
@@ -153,8 +157,8 @@ LEAST_COSINE = 0.05
 def known_language(docs: DataFrame) -> DataFrame:
     """The documents in a language that docs' labels teach, with their columns; texts without letters and those like none go."""
     langs, prototypes = learn(docs)
-    kept = identify(docs, langs, prototypes).filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_cosine") >= LEAST_COSINE))
-    return kept.select(*docs.columns)
+    kept = _predicted(docs, langs, prototypes).filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_cosine") >= LEAST_COSINE))
+    return kept.drop("lang_pred", "lang_score", "lang_cosine").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,17 +122,18 @@ def mix(docs: DataFrame) -> DataFrame:
     names = docs.columns
     row = F.md5(F.coalesce("text", F.lit("")))
     copies = schedule(docs, whole=True).filter("copies > 0").groupBy("doc_id", "row").agg(
-        F.sum("copies").alias("mix_copies"), F.count("*").alias("mix_rows"), F.min("position").alias("mix_position")
+        F.sum("copies").alias("__copies"), F.count("*").alias("__rows"), F.min("position").alias("__position")
     )
-    keyed = docs.withColumn("mix_row", row).alias("d")
-    wanted = copies.withColumnsRenamed({"doc_id": "mix_id", "row": "mix_of"})
-    joined = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_row") == F.col("mix_of")))
+    wanted = copies.withColumnsRenamed({"doc_id": "__id", "row": "__of"})
+    keyed = docs.withColumn("__row", row)
+    joined = keyed.join(wanted, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__of")))
     # equal rows share their copies; the first ones take what doesn't divide
-    nth = F.row_number().over(W.partitionBy("mix_id", "mix_of").orderBy("mix_position"))
-    own = F.floor(F.col("mix_copies") / F.col("mix_rows")) + (F.col("nth") <= F.col("mix_copies") % F.col("mix_rows")).cast("long")
-    times = joined.withColumn("nth", nth).withColumn("own", own.cast("int")).filter("own > 0")
-    spread = times.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("own") - 1)))
-    return spread.repartitionByRange("copy", "mix_position", "mix_row").sortWithinPartitions("copy", "mix_position", "mix_row").select(*names)
+    nth = F.row_number().over(W.partitionBy("__id", "__of").orderBy("__position"))
+    own = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__nth") <= F.col("__copies") % F.col("__rows")).cast("long")
+    times = joined.withColumn("__nth", nth).withColumn("__own", own.cast("int")).filter("__own > 0")
+    spread = times.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__own") - 1)))
+    by = ["__copy", "__position", "__row"]
+    return spread.repartitionByRange(*by).sortWithinPartitions(*by).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

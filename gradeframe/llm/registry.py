@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeframe.llm import decontam, exact_dedup, langid, mixing, quality, sharding, tokens
+from gradeframe.llm import decontam, exact_dedup, langid, mixing, near_dedup, quality, sharding, tokens
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_files": tokens.query,
     "op5_mixing": mixing.query,
     "op7_sharding": sharding.query,
+    "op8_near_dedup": near_dedup.query,
     "op9_decontamination": decontam.query,
     "op10_language_id": langid.query,
 }
