@@ -44,15 +44,16 @@ def id_text(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def join_counted(rows: DataFrame, stats: DataFrame, key: str, count: str, total: int, share: int = 256) -> DataFrame:
+def join_counted(rows: DataFrame, stats: DataFrame, key: str | list[str], count: str, total: int, share: int = 256) -> DataFrame:
     """Inner join of rows with one stats row per key, where stats[count] is the key's number of rows.
 
     Keys that hold more than total / share of the rows are at most `share` by the
     pigeonhole principle, so broadcasting them is bounded; a shuffle join takes
     the others, none of which holds more than that part of the rows.
     """
+    keys = [key] if isinstance(key, str) else key
     is_hot = F.col(count) * share > total
     hot = stats.filter(is_hot)
-    by_broadcast = rows.join(F.broadcast(hot), key)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return by_broadcast.unionByName(cold.join(stats.filter(~is_hot), key))
+    by_broadcast = rows.join(F.broadcast(hot), keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return by_broadcast.unionByName(cold.join(stats.filter(~is_hot), keys))
