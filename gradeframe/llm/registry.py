@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gradeframe.llm import decontam, exact_dedup, langid, mixing, near_dedup, quality, sharding, tokens
+from gradeframe.llm import decontam, exact_dedup, langid, line_dedup, mixing, near_dedup, quality, repeats, sharding, tokens
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_token_files": tokens.query,
+    "op4_line_dedup": line_dedup.query,
     "op5_mixing": mixing.query,
+    "op6_repeats": repeats.query,
     "op7_sharding": sharding.query,
     "op8_near_dedup": near_dedup.query,
     "op9_decontamination": decontam.query,
