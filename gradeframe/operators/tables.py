@@ -14,12 +14,12 @@ PLACEHOLDERS = ("characteristic", "category", "unnamed: 0", "")
 
 def cells(line: Column) -> Column:
     bare = F.regexp_replace(F.trim(line), r"^\|+|\|+$", "")
-    return F.transform(F.split(bare, r"\|"), F.trim)
+    return F.transform(F.split(bare, r"\|"), lambda c: F.trim(c))
 
 
 def parse_table(table: Column) -> Column:
     """struct<x_header, names, rows: array<array<string>>>, null if malformed. Ragged rows are left out."""
-    lines = F.filter(F.transform(F.split(table, r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(table, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     header = cells(F.get(lines, F.lit(0)))
     body = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
     is_rule = F.regexp_replace(F.get(body, F.lit(0)), r"[\s|\-]", "") == ""
