@@ -75,7 +75,9 @@ class ByteConvNet:
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         flat, starts = lay_out(texts)
-        return np.maximum(np.maximum.reduceat(self.answers(self.inputs(flat)), starts, axis=0), 0)
+        z = self.answers(self.inputs(flat))
+        z[np.append(starts[1:], len(z)) - 1] = -np.inf  # these chunks reach into the next text
+        return np.maximum(np.maximum.reduceat(z, starts, axis=0), 0)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         _, _, _, out, out_bias = self.params
@@ -97,7 +99,7 @@ class ByteConvNet:
         inputs = self.inputs(flat)
         z = self.answers(inputs)
         ends = np.append(starts[1:], len(z))
-        best = np.array([z[a:b].argmax(axis=0) + a for a, b in zip(starts, ends)])  # documents x filters
+        best = np.array([z[a : b - 1].argmax(axis=0) + a for a, b in zip(starts, ends)])  # documents x filters
         top = np.take_along_axis(z, best, axis=0)
         h = np.maximum(top, 0)
         p = 1 / (1 + np.exp(-(h @ out + out_bias)))
