@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gradeframe.llm import decontam, langid, mixing, near_dedup, tokens
-from gradeframe.llm.common import shared_dir, table
+from gradeframe.llm.common import remove, shared_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         if k:
-            tokens.remove(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+            remove(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
         docs = spark.read.parquet(path)
     return docs

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,35 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(path: str) -> None:
+    """Deletes a folder of the shared file system, given as a URI, if it is there."""
+    fs, folder = pafs.FileSystem.from_uri(path)
+    if fs.get_file_info(folder).type == pafs.FileType.Directory:
+        fs.delete_dir(folder)
+
+
+class Scratch:
+    """Tables that an operator writes to the shared folder, in less space than a checkpoint, and deletes at its end.
+
+    Only for what no result still reads: leave with a checkpoint of it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.count = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        remove(self.path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.path}/{self.count}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import checkpoint, join_counted, table
+from gradeframe.llm.common import Scratch, checkpoint, join_counted, table
 from gradeframe.llm.shingles import ODD, blocks, mix, powers
 
 LENGTH, GRAM = 400, 32
@@ -256,19 +256,21 @@ def by_digest(rows: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(t1, t2, marks): of each text with repeated passages, array<struct<lo, hi>> of where they begin."""
-    every = checkpoint(contexts(docs))
-    total = max(1, every.count())
     key = ["h", "c1", "c2"]
-    kinds = checkpoint(every.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("t1", "t2", "doc_id", "lo", "hi")).alias("one")))
-    per_anchor = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    again = kinds.filter("times > 1").select(*key, "times")
-    whole = join_counted(every, again, key, "times", total).select("t1", "t2", "lo", "hi")
-    differing = checkpoint(join_counted(kinds.select("h", "one", "times"), per_anchor, "h", "kinds", max(1, kinds.count())).select("one.*", "h", "times", "kinds"))
-    found = whole.unionByName(by_index(with_bytes(docs, differing.filter(F.col("kinds") <= CONTEXTS))))
-    many = differing.filter(F.col("kinds") > CONTEXTS)
-    if not many.isEmpty():
-        found = found.unionByName(by_digest(with_bytes(docs, many)))
-    return checkpoint(found.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("marks")))
+    with Scratch(docs.sparkSession) as scratch:
+        every = scratch.keep(contexts(docs))
+        total = max(1, every.count())
+        kinds = scratch.keep(every.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("t1", "t2", "doc_id", "lo", "hi")).alias("one")))
+        per_anchor = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+        again = kinds.filter("times > 1").select(*key, "times")
+        whole = join_counted(every, again, key, "times", total).select("t1", "t2", "lo", "hi")
+        differing = join_counted(kinds.select("h", "one", "times"), per_anchor, "h", "kinds", max(1, kinds.count()))
+        differing = scratch.keep(differing.select("one.*", "h", "times", "kinds"))
+        found = whole.unionByName(by_index(with_bytes(docs, differing.filter(F.col("kinds") <= CONTEXTS))))
+        many = differing.filter(F.col("kinds") > CONTEXTS)
+        if not many.isEmpty():
+            found = found.unionByName(by_digest(with_bytes(docs, many)))
+        return checkpoint(found.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("marks")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

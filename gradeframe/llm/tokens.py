@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import checkpoint, shared_dir, table
+from gradeframe.llm.common import checkpoint, remove, shared_dir, table
 
 END_ID = 2
 MAGIC = b"GFTOKEN1"
@@ -290,8 +290,3 @@ def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> Dat
     remove(path)
     return out
 
-
-def remove(path: str) -> None:
-    fs, folder = pafs.FileSystem.from_uri(path)
-    if fs.get_file_info(folder).type == pafs.FileType.Directory:
-        fs.delete_dir(folder)
