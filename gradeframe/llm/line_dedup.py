@@ -7,9 +7,10 @@ candidates are bounded by their lengths and by the places of the shared word,
 and what is left is compared word by word. A line goes if an earlier one (by
 doc_id, then line) is equal or similar to it.
 
-Rarity is counted over all lines in a table of a fixed number of hashed cells.
-Any order gives the same links; a cell that several words share only makes some
-candidates more.
+Rarity is counted over all lines in a table of a fixed number of hashed cells, a
+byte each, which is broadcast. Any order gives the same links; a cell that
+several words share only makes some candidates more. A word whose cell counts
+one has no other line to meet.
 """
 
 from __future__ import annotations
@@ -21,34 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import checkpoint, join_counted, table
-from gradeframe.llm.shingles import ODD, blocks, mix, words
+from gradeframe.llm.common import Scratch, checkpoint, join_counted, table
+from gradeframe.llm.shingles import ODD, blocks, mix, pack, spaces, unpack, words
 
 SIMILAR = 0.8
 #: Lines of fewer different words are left alone.
 LEAST = 5
-#: Cells of the rarity table, which is broadcast: 4 bytes each.
-CELLS = 1 << 20
+#: Cells of the rarity table.
+CELLS = 1 << 24
+#: Bytes of a word's hash in a bag.
+UNIT = 5
 #: Lines compared at a time with others of the same word.
 RUN = 512
 
 
-def line_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, line, text) of each different word of each line; line counts from 0 over the whole block."""
-    word, text = words(data, offsets)
-    starts = word_starts(data, offsets)
-    new_line = np.cumsum(data == 10)
-    line = new_line[starts] + text  # a text's end is a line's end too
-    order = np.lexsort((word, line))
-    word, line, text = word[order], line[order], text[order]
-    first = np.ones(len(word), dtype=bool)
-    first[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
-    return word[first], line[first], text[first]
-
-
 def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    from gradeframe.llm.shingles import spaces
-
     if not len(data):
         return np.zeros(0, np.int64)
     inner = ~spaces()[data]
@@ -57,77 +45,85 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(inner & (begins[:-1] | ~np.concatenate([[False], inner[:-1]])))
 
 
-def long_lines(word: np.ndarray, line: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The same without short lines, and the cuts between lines."""
-    cuts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1], [True]])) if len(line) else np.zeros(1, np.int64)
-    sizes = np.diff(cuts)
+def line_sets(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(word, code, line, text, cuts) of the different words of each line of LEAST or more: lines in order, a line's words rarest first.
+
+    line counts from 0 over the whole block; a text's end is a line's end too.
+    """
+    word, text = words(data, offsets)
+    line = np.cumsum(data == 10)[word_starts(data, offsets)] + text
+    code = codes[(word % np.uint64(CELLS)).astype(np.int64)]
+    order = np.lexsort((word, line << 8 | code))
+    word, code, line, text = word[order], code[order], line[order], text[order]
+    first = np.ones(len(word), dtype=bool)
+    first[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
+    word, code, line, text = word[first], code[first], line[first], text[first]
+    sizes = np.diff(np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1], [True]]))) if len(line) else np.zeros(0, np.int64)
     keep = np.repeat(sizes >= LEAST, sizes)
-    word, line, text = word[keep], line[keep], text[keep]
-    cuts = np.concatenate([[0], np.cumsum(sizes[sizes >= LEAST])])
-    return word, line, text, cuts
+    return word[keep], code[keep], line[keep], text[keep], np.concatenate([[0], np.cumsum(sizes[sizes >= LEAST])])
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Lines per cell of words."""
+    """A byte per cell of words, growing with how often they occur; 0 for once or never."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, dtype=np.int64)
+        cells = np.zeros(CELLS, dtype=np.int32)
         for batch in batches:
             for _, data, offsets in blocks(batch.column(0)):
-                word, *_ = long_lines(*line_sets(data, offsets))
-                cells += np.bincount((word % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+                np.add.at(cells, (words(data, offsets)[0] % np.uint64(CELLS)).astype(np.int64), 1)
         used = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(cells[used])], names=["cell", "n"])
+        for at in range(0, len(used), 1 << 17):
+            own = used[at : at + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(cells[own].astype(np.int64))], names=["cell", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
-    out = np.zeros(CELLS, dtype=np.int64)
-    out[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
-    return np.minimum(out, (1 << 31) - 1).astype(np.int32)
+    counts = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
+    code = F.least(F.lit(127), F.round(F.lit(6.0) * F.log2("n"))).cast("byte")
+    got = counts.select("cell", code.alias("code")).toArrow()  # 5 bytes for each of CELLS rows at most
+    out = np.zeros(CELLS, dtype=np.uint8)
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return out
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - np.ceil(SIMILAR * n - 1e-9).astype(np.int64) + 1
 
 
-def lines(docs: DataFrame, cells: np.ndarray) -> DataFrame:
-    """A row per line of LEAST words or more: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n, bag (words in order, 8 bytes each), live (prefix words that another line may have)."""
-    table_ = docs.sparkSession.sparkContext.broadcast(cells)
+def lines(docs: DataFrame, table_of_codes: np.ndarray) -> DataFrame:
+    """A row per line of LEAST words or more: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n, bag (sorted words, UNIT bytes each) and live (prefix words, with their places, that another line may have); bag is null if none is live."""
+    shared = docs.sparkSession.sparkContext.broadcast(table_of_codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = table_.value
+        codes = shared.value
         for batch in batches:
             for first_row, data, offsets in blocks(batch.column(2)):
-                word, line, text, cuts = long_lines(*line_sets(data, offsets))
+                word, code, line, text, cuts = line_sets(data, offsets, codes)
                 if not len(word):
                     continue
-                seen = count[(word % np.uint64(CELLS)).astype(np.int64)]
-                order = np.lexsort((word, seen, line))
-                word, seen = word[order], seen[order]
                 sizes = np.diff(cuts)
                 d1 = np.add.reduceat(mix(word), cuts[:-1])
                 d2 = np.add.reduceat(mix(word ^ ODD), cuts[:-1])
                 place = np.arange(len(word)) - np.repeat(cuts[:-1], sizes)
                 prefix = np.repeat(prefix_size(sizes), sizes)
-                # places in the prefix of words whose cell holds no other line can't match; a bit string says which can
-                live = (place < prefix) & (seen > 1)
-                raw = word.tobytes()
-                bags = [raw[8 * a : 8 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                where = np.flatnonzero((place < prefix) & (code > 0))
+                ends = np.searchsorted(where, cuts)
+                live, raw = [], []
+                for a, b, x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+                    own = where[x:y]
+                    live.append(np.stack([word[own].view(np.int64), own - a], axis=1).ravel() if x < y else None)
+                    raw.append(pack(np.sort(word[a:b] >> np.uint64(64 - 8 * UNIT))) if x < y else None)
                 own = text[cuts[:-1]]
                 first_line = np.concatenate([[0], np.cumsum(data == 10)])[offsets[own]] + own
-                where = np.flatnonzero(live)
-                ends = np.searchsorted(where, cuts)
-                places = [place[where[a:b]].tolist() for a, b in zip(ends[:-1], ends[1:])]
                 rows = pa.array(own + first_row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line[cuts[:-1]] - first_line), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                        pa.array(sizes), pa.array(bags, pa.binary()), pa.array(places, pa.list_(pa.int32())),
+                        pa.array(sizes), pa.array(raw, pa.binary()), pa.array(live, pa.list_(pa.int64())),
                     ],
                     names=["doc_id", "mark", "line", "d1", "d2", "n", "bag", "live"],
                 )
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, "doc_id long, mark long, line long, d1 long, d2 long, n long, bag binary, live array<int>")
+    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, "doc_id long, mark long, line long, d1 long, d2 long, n long, bag binary, live array<long>")
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -187,7 +183,8 @@ def candidates(sets: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    each = sets.select("uid", "n", "bag", F.explode("live").alias("place")).select(F.xxhash64(F.substring("bag", 8 * F.col("place") + 1, 8)).alias("word"), "uid", "n", F.col("place").cast("long"))
+    each = sets.select("uid", "n", "live", F.explode(F.sequence(F.lit(0), F.size("live") - 1, F.lit(2))).alias("i"))
+    each = each.select(F.get("live", F.col("i")).alias("word"), "uid", "n", F.get("live", F.col("i") + 1).alias("place"))
     return each.repartition("word").sortWithinPartitions("word", "n", "uid").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -198,8 +195,8 @@ def links(sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+                a, b = unpack(x), unpack(y)
+                both = len(a) + len(b) - len(np.union1d(a, b))
                 keep.append(both >= SIMILAR * (len(a) + len(b) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -211,19 +208,23 @@ def links(sets: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame) -> DataFrame:
     """A row per line of LEAST words or more: doc_id, mark, line, n_links (different lines like it), first_doc, removed."""
-    found = checkpoint(lines(docs, rarity(docs)))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
-    grouped = found.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("bag").alias("bag"), F.first("live").alias("live"))
-    sets = checkpoint(checkpoint(grouped).withColumn("uid", F.monotonically_increasing_id()))
-    linked = checkpoint(links(sets))
-    first = sets.select("uid", "first")
-    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    of = both.join(first.withColumnsRenamed({"uid": "b", "first": "other"}), "b").groupBy("a").agg(F.min("other").alias("other"), F.count("*").alias("n_links"))
-    judged = sets.select("uid", "d1", "d2", "times", "first").join(of.withColumnRenamed("a", "uid"), "uid", "left")
-    earliest = F.least("first", F.coalesce("other", "first"))
-    judged = checkpoint(judged.select("d1", "d2", "times", earliest.alias("earliest"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    each = join_counted(found.select("doc_id", "mark", "line", "d1", "d2"), judged, ["d1", "d2"], "times", max(1, found.count()))
-    return each.select("doc_id", "mark", "line", "n_links", F.col("earliest.doc_id").alias("first_doc"), (place > F.col("earliest")).alias("removed"))
+    key = ["d1", "d2"]
+    with Scratch(docs.sparkSession) as scratch:
+        found = scratch.keep(lines(docs, rarity(docs)))
+        grouped = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times"))
+        sets = scratch.keep(checkpoint(grouped).withColumn("uid", F.monotonically_increasing_id()))
+        # of equal sets one brings the words
+        worded = found.filter("bag IS NOT NULL").select(*key, "n", "bag", "live").dropDuplicates(key).join(sets.select("uid", *key), key)
+        linked = scratch.keep(links(scratch.keep(worded.select("uid", "n", "bag", "live"))))
+        first = sets.select("uid", "first")
+        both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        of = both.join(first.withColumnsRenamed({"uid": "b", "first": "other"}), "b").groupBy("a").agg(F.min("other").alias("other"), F.count("*").alias("n_links"))
+        judged = sets.select("uid", *key, "times", "first").join(of.withColumnRenamed("a", "uid"), "uid", "left")
+        earliest = F.least("first", F.coalesce("other", "first"))
+        judged = scratch.keep(judged.select(*key, "times", earliest.alias("earliest"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+        each = join_counted(found.select("doc_id", "mark", "line", *key), judged, key, "times", max(1, found.count()))
+        return checkpoint(each.select("doc_id", "mark", "line", "n_links", F.col("earliest.doc_id").alias("first_doc"), (place > F.col("earliest")).alias("removed")))
 
 
 def summary(docs: DataFrame) -> DataFrame:

@@ -99,3 +99,14 @@ def multisets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     own, sh, text = own[order], sh[order], text[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
     return sh[first], np.diff(np.append(first, len(own))), text[first]
+
+
+def pack(units: np.ndarray, size: int = 5) -> bytes:
+    """Integers of size bytes each."""
+    return units.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def unpack(raw: bytes, size: int = 5) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), dtype=np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return out.view("<u8").ravel()
