@@ -213,7 +213,7 @@ def matches(docs: DataFrame) -> DataFrame:
     with Scratch(docs.sparkSession) as scratch:
         found = scratch.keep(lines(docs, rarity(docs)))
         grouped = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times"))
-        sets = scratch.keep(checkpoint(grouped).withColumn("uid", F.monotonically_increasing_id()))
+        sets = scratch.keep(grouped.withColumn("uid", F.monotonically_increasing_id()))
         # of equal sets one brings the words
         worded = found.filter("bag IS NOT NULL").select(*key, "n", "bag", "live").dropDuplicates(key).join(sets.select("uid", *key), key)
         linked = scratch.keep(links(scratch.keep(worded.select("uid", "n", "bag", "live"))))

@@ -280,7 +280,7 @@ def test_near_duplicates(spark):
 
 def test_large_buckets_are_divided(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BUCKET", 8)
-    monkeypatch.setattr(near_dedup, "ROUNDS", ((0, 2), (2, 8)))
+    monkeypatch.setattr(near_dedup, "ROUNDS", ((0, 3), (3, 8)))
     assert [near_dedup.unpack(near_dedup.pack(np.array(x, np.uint64))).tolist() for x in ([], [1, (1 << 40) - 1])] == [[], [1, (1 << 40) - 1]]
     docs = [(i, edited(prose(1, 150), 0.002, i)) for i in range(80)]
     got = near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string"))
