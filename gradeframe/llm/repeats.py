@@ -1,6 +1,6 @@
 """Removal of long repeated passages with a run-length suffix index.
 
-A passage of LENGTH bytes is found by its anchor: of its GRAM-byte strings, the
+A passage of LENGTH bytes is found by its anchor: of its strings of GRAM bytes, the
 one of least hash. Equal passages have equal anchors, each passage has one, and
 neighbouring passages mostly share it, so a text falls into a few contexts: an
 anchor with the bytes of all passages that it anchors. Contexts that occur again
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from gradeframe.llm.common import Scratch, checkpoint, join_counted, table
 from gradeframe.llm.shingles import ODD, blocks, mix, powers
 
-LENGTH, GRAM = 400, 32
+LENGTH, GRAM = 400, 128
 #: Bytes of contexts in one index.
 INDEX_BYTES = 1 << 20
 #: Anchors with more different contexts have their passages compared by digest instead.
