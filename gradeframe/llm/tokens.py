@@ -101,11 +101,16 @@ class EliasFano:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _tokenizer(path: str, plain: bool = False):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    if plain:
+        tokenizer.normalizer = normalizers.Sequence([])
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), to_bytes])
+    return tokenizer
 
 
 class WordEncoder:
@@ -125,19 +130,21 @@ class WordEncoder:
         if self.by_word:
             cutter = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
             self.pattern = regex.compile(cutter["pattern"]["Regex"])
+            # the same model for what is normalised and cut already
+            self.plain = _tokenizer(path, True)
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype=self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [np.array(x.ids, dtype=self.kind).tobytes() for x in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word_ids(self, words: list[str], pre_tokens: list[int]) -> list[bytes]:
+    def _word_ids(self, words: list[str], pre_tokens: list[int], tokenizer=None) -> list[bytes]:
         """As _ids, for words of so many pre-tokens each: many at a time, cut at the ids that end a pre-token."""
         out: list[bytes] = []
         for at in range(0, len(words), 4000):
             some = words[at : at + 4000]
-            ids = np.frombuffer(b"".join(self._ids([" ".join(some[i : i + 64]) for i in range(0, len(some), 64)])), self.kind)
+            ids = np.frombuffer(b"".join(self._ids([" ".join(some[i : i + 32]) for i in range(0, len(some), 32)], tokenizer)), self.kind)
             last, ends = np.cumsum(pre_tokens[at : at + 4000]), np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != last[-1] or not last.all() or ends[-1] != len(ids):
                 out += self._ids(some)
@@ -164,7 +171,7 @@ class WordEncoder:
         if ".." in low or ",," in low or ".," in low or ",." in low:
             return None
         bare = low.replace(" ", "").replace(".", "").replace(",", "").replace("\n", "")
-        return low.replace(".", " .").replace(",", " ,").split() if bare.isalpha() else None
+        return low.replace(".", " . ").replace(",", " , ").split() if bare.isalpha() else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
@@ -178,7 +185,7 @@ class WordEncoder:
             else:
                 other.append((i, ASCII_SPACES.split(t) if any(c in t for c in ODD_SPACES) else t.split()))
         out = [b""] * len(texts)
-        for kind, encode in ((plain, lambda words: self._word_ids(words, [1] * len(words))), (other, self._other_ids)):
+        for kind, encode in ((plain, lambda words: self._word_ids(words, [1] * len(words), self.plain)), (other, self._other_ids)):
             new = list(set().union(*(parts for _, parts in kind)).difference(self.known))
             self.known.update(zip(new, encode(new)))
             of = self.known.__getitem__
