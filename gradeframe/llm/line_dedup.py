@@ -32,6 +32,8 @@ LEAST = 5
 CELLS = 1 << 24
 #: Bytes of a word's hash in a bag.
 UNIT = 5
+#: Bytes of the filter, which is broadcast, of sets whose words are wanted. It only saves work: a join follows.
+FILTER = 1 << 23
 #: Lines compared at a time with others of the same word.
 RUN = 512
 
@@ -89,7 +91,7 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 
 def lines(docs: DataFrame, table_of_codes: np.ndarray) -> DataFrame:
-    """A row per line of LEAST words or more: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n, bag (sorted words, UNIT bytes each) and live (prefix words, with their places, that another line may have); bag is null if none is live."""
+    """A row per line of LEAST words or more: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n and live (prefix words that another line may have, each followed by its place)."""
     shared = docs.sparkSession.sparkContext.broadcast(table_of_codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,30 +102,55 @@ def lines(docs: DataFrame, table_of_codes: np.ndarray) -> DataFrame:
                 if not len(word):
                     continue
                 sizes = np.diff(cuts)
-                d1 = np.add.reduceat(mix(word), cuts[:-1])
-                d2 = np.add.reduceat(mix(word ^ ODD), cuts[:-1])
+                d1, d2 = digests(word, cuts)
                 place = np.arange(len(word)) - np.repeat(cuts[:-1], sizes)
                 prefix = np.repeat(prefix_size(sizes), sizes)
                 where = np.flatnonzero((place < prefix) & (code > 0))
-                ends = np.searchsorted(where, cuts)
-                live, raw = [], []
-                for a, b, x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist()):
-                    own = where[x:y]
-                    live.append(np.stack([word[own].view(np.int64), own - a], axis=1).ravel() if x < y else None)
-                    raw.append(pack(np.sort(word[a:b] >> np.uint64(64 - 8 * UNIT))) if x < y else None)
+                flat = np.stack([word[where].view(np.int64), place[where]], axis=1).ravel()
+                live = pa.ListArray.from_arrays(pa.array((2 * np.searchsorted(where, cuts)).astype(np.int32)), pa.array(flat))
                 own = text[cuts[:-1]]
                 first_line = np.concatenate([[0], np.cumsum(data == 10)])[offsets[own]] + own
                 rows = pa.array(own + first_row)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line[cuts[:-1]] - first_line), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                        pa.array(sizes), pa.array(raw, pa.binary()), pa.array(live, pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "mark", "line", "d1", "d2", "n", "bag", "live"],
-                )
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line[cuts[:-1]] - first_line), pa.array(d1), pa.array(d2), pa.array(sizes), live],
+                    names=["doc_id", "mark", "line", "d1", "d2", "n", "live"],
+                )
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, "doc_id long, mark long, line long, d1 long, d2 long, n long, bag binary, live array<long>")
+    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, "doc_id long, mark long, line long, d1 long, d2 long, n long, live array<long>")
+
+
+def digests(word: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over the words of each line, in whatever order they are."""
+    return np.add.reduceat(mix(word), cuts[:-1]).view(np.int64), np.add.reduceat(mix(word ^ ODD), cuts[:-1]).view(np.int64)
+
+
+def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(uid, bag) of the wanted (uid, d1, d2): their sorted words, UNIT bytes each."""
+    cell = F.col("d1").bitwiseAND(8 * FILTER - 1)
+    bits = wanted.groupBy(F.shiftright(cell, 3).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(d1 & 7 AS int))")).cast("short").alias("bits"))
+    got = bits.toArrow()  # 6 bytes for each of FILTER rows at most
+    table_ = np.zeros(FILTER, dtype=np.uint8)
+    table_[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = shared.value
+        same = np.zeros(CELLS, dtype=np.uint8)  # words by their hash alone
+        for batch in batches:
+            for _, data, offsets in blocks(batch.column(0)):
+                word, _, _, _, cuts = line_sets(data, offsets, same)
+                if not len(word):
+                    continue
+                d1, d2 = digests(word, cuts)
+                own = (d1 & (8 * FILTER - 1)).astype(np.int64)
+                hit = pa.array((named[own >> 3] >> (own & 7).astype(np.uint8) & 1).astype(bool))
+                raw = pack(word >> np.uint64(64 - 8 * UNIT))
+                bag = pa.Array.from_buffers(pa.binary(), len(d1), [None, pa.py_buffer((UNIT * cuts).astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), bag], names=["d1", "d2", "bag"]).filter(hit)
+
+    found = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "d1 long, d2 long, bag binary")
+    return found.join(wanted, ["d1", "d2"]).select("uid", "bag").dropDuplicates(["uid"])
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -183,13 +210,13 @@ def candidates(sets: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    each = sets.select("uid", "n", "live", F.explode(F.sequence(F.lit(0), F.size("live") - 1, F.lit(2))).alias("i"))
+    each = sets.filter(F.size("live") > 0).select("uid", "n", "live", F.explode(F.sequence(F.lit(0), F.size("live") - 1, F.lit(2))).alias("i"))
     each = each.select(F.get("live", F.col("i")).alias("word"), "uid", "n", F.get("live", F.col("i") + 1).alias("place"))
     return each.repartition("word").sortWithinPartitions("word", "n", "uid").mapInArrow(run, "a long, b long").distinct()
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b) of sets whose Jaccard similarity is SIMILAR or more."""
+def links(pairs: DataFrame, bag: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose Jaccard similarity is SIMILAR or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,8 +227,6 @@ def links(sets: DataFrame) -> DataFrame:
                 keep.append(both >= SIMILAR * (len(a) + len(b) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    bag = sets.select("uid", "bag")
-    pairs = candidates(sets)
     joined = pairs.join(bag.withColumnsRenamed({"uid": "a", "bag": "bag_a"}), "a").join(bag.withColumnsRenamed({"uid": "b", "bag": "bag_b"}), "b")
     return joined.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
 
@@ -212,11 +237,12 @@ def matches(docs: DataFrame) -> DataFrame:
     key = ["d1", "d2"]
     with Scratch(docs.sparkSession) as scratch:
         found = scratch.keep(lines(docs, rarity(docs)))
-        grouped = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times"))
+        grouped = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("live").alias("live"))
         sets = scratch.keep(grouped.withColumn("uid", F.monotonically_increasing_id()))
-        # of equal sets one brings the words
-        worded = found.filter("bag IS NOT NULL").select(*key, "n", "bag", "live").dropDuplicates(key).join(sets.select("uid", *key), key)
-        linked = scratch.keep(links(scratch.keep(worded.select("uid", "n", "bag", "live"))))
+        pairs = scratch.keep(candidates(sets.select("uid", "n", "live")))
+        met = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+        bag = scratch.keep(bags(docs, scratch.keep(sets.select("uid", *key).join(met, "uid"))))
+        linked = scratch.keep(links(pairs, bag))
         first = sets.select("uid", "first")
         both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
         of = both.join(first.withColumnsRenamed({"uid": "b", "first": "other"}), "b").groupBy("a").agg(F.min("other").alias("other"), F.count("*").alias("n_links"))
