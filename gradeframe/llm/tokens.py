@@ -156,10 +156,14 @@ class WordEncoder:
 
     def _other_ids(self, words: list[str]) -> list[bytes]:
         """_word_ids() of any words; those that may hold a special token are encoded one by one."""
-        special = [w for w in words if "<" in w]
-        rest = [w for w in words if "<" not in w]
-        low = self.tokenizer.normalizer.normalize_str
-        ids = dict(zip(special, self._ids(special))) | dict(zip(rest, self._word_ids(rest, [len(self.pattern.findall(low(w))) for w in rest])))
+        special, letters, rest = [], [], []
+        for w in words:
+            (special if "<" in w else letters if w.isascii() and w.isalpha() else rest).append(w)
+        # of ASCII the normaliser only changes the case
+        normal = [w.lower() if w.isascii() else self.tokenizer.normalizer.normalize_str(w) for w in rest]
+        ids = dict(zip(special, self._ids(special)))
+        ids.update(zip(letters, self._word_ids([w.lower() for w in letters], [1] * len(letters), self.plain)))
+        ids.update(zip(rest, self._word_ids(rest, [len(self.pattern.findall(w)) for w in normal])))
         return [ids[w] for w in words]
 
     @staticmethod
@@ -170,7 +174,10 @@ class WordEncoder:
             return None  # what the tokenizer makes of these letters depends on their neighbours
         if ".." in low or ",," in low or ".," in low or ",." in low:
             return None
-        bare = low.replace(" ", "").replace(".", "").replace(",", "").replace("\n", "")
+        if low.isascii():
+            bare = low.encode().translate(None, b" .,\n")
+        else:
+            bare = low.replace(" ", "").replace(".", "").replace(",", "").replace("\n", "")
         return low.replace(".", " . ").replace(",", " , ").split() if bare.isalpha() else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
