@@ -50,6 +50,11 @@ def probe(rows: DataFrame) -> DataFrame:
     )
 
 
+def config(flags: dict) -> dict:
+    """The whitelisted settings of a run, paths as text. The prompt's version comes with the run, not from the scorer."""
+    return {k: v if v is None or isinstance(v, (bool, int, float)) else str(v) for k, v in flags.items() if k in CONFIG}
+
+
 def percent(x: float | None) -> str:
     return "n/a" if x is None else f"{100 * x:.1f}%"
 
