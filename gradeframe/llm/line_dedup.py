@@ -3,8 +3,9 @@
 A line is the set of its words. Words are put in one order for all lines, the
 rarest first; two sets with a Jaccard similarity of SIMILAR or more share a word
 among the first few of each (the prefix). Lines are joined on prefix words,
-candidates are bounded by their lengths and by the places of the shared word,
-and what is left is compared word by word. A line goes if an earlier one (by
+candidates are bounded by their lengths, by the places of the shared word and by
+the bits of 128-bit word filters that only one of them has, and what is left is
+compared word by word. A line goes if an earlier one (by
 doc_id, then line) is equal or similar to it.
 
 Rarity is counted over all lines in a table of a fixed number of hashed cells, a
@@ -91,7 +92,7 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 
 def lines(docs: DataFrame, table_of_codes: np.ndarray) -> DataFrame:
-    """A row per line of LEAST words or more: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n and live (prefix words that another line may have, each followed by its place)."""
+    """A row per line of LEAST words or more: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n, b1, b2 (a filter of its words) and live (prefix words that another line may have, each followed by its place)."""
     shared = docs.sparkSession.sparkContext.broadcast(table_of_codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +112,16 @@ def lines(docs: DataFrame, table_of_codes: np.ndarray) -> DataFrame:
                 own = text[cuts[:-1]]
                 first_line = np.concatenate([[0], np.cumsum(data == 10)])[offsets[own]] + own
                 rows = pa.array(own + first_row)
+                bit = (word >> np.uint64(24)) % np.uint64(128)
+                value = np.uint64(1) << bit % np.uint64(64)
+                b1, b2 = (np.bitwise_or.reduceat(np.where(half, value, np.uint64(0)), cuts[:-1]).view(np.int64) for half in (bit < 64, bit >= 64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line[cuts[:-1]] - first_line), pa.array(d1), pa.array(d2), pa.array(sizes), live],
-                    names=["doc_id", "mark", "line", "d1", "d2", "n", "live"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line[cuts[:-1]] - first_line), *map(pa.array, (d1, d2, sizes, b1, b2)), live],
+                    names=["doc_id", "mark", "line", "d1", "d2", "n", "b1", "b2", "live"],
                 )
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, "doc_id long, mark long, line long, d1 long, d2 long, n long, live array<long>")
+    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, "doc_id long, mark long, line long, d1 long, d2 long, n long, b1 long, b2 long, live array<long>")
 
 
 def digests(word: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,15 +165,20 @@ def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 def candidates(sets: DataFrame) -> DataFrame:
     """(a, b), a < b: sets that share a prefix word and pass the bounds on lengths and places."""
 
-    def pairs(uid: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def fits(n, place, bits, m, there, others) -> np.ndarray:
+        """Whether sets of n <= m words whose first shared prefix word is at these places can be similar."""
+        most = np.minimum(place, there) + np.minimum(n - place, m - there)
+        alone, alone_there = (sum(np.bitwise_count(a & ~b).astype(np.int64) for a, b in zip(x, y)) for x, y in ((bits, others), (others, bits)))
+        most = np.minimum(most, np.minimum(n - alone, m - alone_there))
+        return (m * SIMILAR <= n + 1e-9) & (most >= needed(n, m))
+
+    def pairs(uid: np.ndarray, n: np.ndarray, place: np.ndarray, bits: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for at in range(0, len(uid), RUN):  # sorted by n: the partners of a run that are no shorter
             x = slice(at, at + RUN)
             end = int(np.searchsorted(n, n[x][-1] / SIMILAR + 1e-9, side="right"))
             for to in range(at, end, RUN * 8):
                 y = slice(to, min(to + RUN * 8, end))
-                most = np.minimum(n[x, None] - place[x, None], n[None, y] - place[None, y])
-                before = np.minimum(place[x, None], place[None, y])
-                ok = (n[None, y] * SIMILAR <= n[x, None] + 1e-9) & (before + most >= needed(n[x, None], n[None, y]))
+                ok = fits(n[x, None], place[x, None], [b[x, None] for b in bits], n[None, y], place[None, y], [b[None, y] for b in bits])
                 i, j = np.nonzero(ok)
                 i, j = i + at, j + to
                 i, j = i[i < j], j[i < j]
@@ -181,14 +190,16 @@ def candidates(sets: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
-            word, uid, n, place = (t.column(i).to_numpy() for i in range(4))
+            word, uid, n, place, *bits = (t.column(i).to_numpy() for i in range(6))
+            bits = [b.view(np.uint64) for b in bits]  # of signed integers the bits of the absolute value would count
             cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
             sizes = np.diff(cuts)
             # groups of two at once, larger ones in turn
             two = cuts[:-1][sizes == 2]
+            two = two[fits(n[two], place[two], [b[two] for b in bits], n[two + 1], place[two + 1], [b[two + 1] for b in bits])]
             out = [(np.minimum(uid[two], uid[two + 1]), np.maximum(uid[two], uid[two + 1]))]
             for a, b in zip(cuts[:-1][sizes > 2].tolist(), cuts[1:][sizes > 2].tolist()):
-                for p in pairs(uid[a:b], n[a:b], place[a:b]):
+                for p in pairs(uid[a:b], n[a:b], place[a:b], [v[a:b] for v in bits]):
                     out.append(p)
                     if sum(len(x) for x, _ in out) > 200_000:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
@@ -210,8 +221,8 @@ def candidates(sets: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    each = sets.filter(F.size("live") > 0).select("uid", "n", "live", F.explode(F.sequence(F.lit(0), F.size("live") - 1, F.lit(2))).alias("i"))
-    each = each.select(F.get("live", F.col("i")).alias("word"), "uid", "n", F.get("live", F.col("i") + 1).alias("place"))
+    each = sets.filter(F.size("live") > 0).select("uid", "n", "b1", "b2", "live", F.explode(F.sequence(F.lit(0), F.size("live") - 1, F.lit(2))).alias("i"))
+    each = each.select(F.get("live", F.col("i")).alias("word"), "uid", "n", F.get("live", F.col("i") + 1).alias("place"), "b1", "b2")
     return each.repartition("word").sortWithinPartitions("word", "n", "uid").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -237,9 +248,9 @@ def matches(docs: DataFrame) -> DataFrame:
     key = ["d1", "d2"]
     with Scratch(docs.sparkSession) as scratch:
         found = scratch.keep(lines(docs, rarity(docs)))
-        grouped = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("live").alias("live"))
+        grouped = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("n", "b1", "b2", "live")))
         sets = scratch.keep(grouped.withColumn("uid", F.monotonically_increasing_id()))
-        pairs = scratch.keep(candidates(sets.select("uid", "n", "live")))
+        pairs = scratch.keep(candidates(sets.select("uid", "n", "b1", "b2", "live")))
         met = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
         bag = scratch.keep(bags(docs, scratch.keep(sets.select("uid", *key).join(met, "uid"))))
         linked = scratch.keep(links(pairs, bag))
