@@ -154,17 +154,20 @@ class WordEncoder:
             out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
         return out
 
+    def _plain_ids(self, pre_tokens: list[str]) -> list[bytes]:
+        return self._word_ids(pre_tokens, [1] * len(pre_tokens), self.plain)
+
     def _other_ids(self, words: list[str]) -> list[bytes]:
-        """_word_ids() of any words; those that may hold a special token are encoded one by one."""
-        special, letters, rest = [], [], []
-        for w in words:
-            (special if "<" in w else letters if w.isascii() and w.isalpha() else rest).append(w)
+        """Ids of any words, by their pre-tokens; those that may hold a special token are encoded as they are."""
+        out, known = {}, self.known
+        special = [w for w in words if "<" in w]
+        out.update(zip(special, self._ids(special)))
         # of ASCII the normaliser only changes the case
-        normal = [w.lower() if w.isascii() else self.tokenizer.normalizer.normalize_str(w) for w in rest]
-        ids = dict(zip(special, self._ids(special)))
-        ids.update(zip(letters, self._word_ids([w.lower() for w in letters], [1] * len(letters), self.plain)))
-        ids.update(zip(rest, self._word_ids(rest, [len(self.pattern.findall(w)) for w in normal])))
-        return [ids[w] for w in words]
+        cut = {w: self.pattern.findall(w.lower() if w.isascii() else self.tokenizer.normalizer.normalize_str(w)) for w in words if "<" not in w}
+        new = list(set().union(*cut.values()).difference(known))
+        known.update(zip(new, self._plain_ids(new)))
+        out.update((w, b"".join([known[p] for p in parts])) for w, parts in cut.items())
+        return [out[w] for w in words]
 
     @staticmethod
     def _pre_tokens(text: str) -> list[str] | None:
@@ -192,7 +195,7 @@ class WordEncoder:
             else:
                 other.append((i, ASCII_SPACES.split(t) if any(c in t for c in ODD_SPACES) else t.split()))
         out = [b""] * len(texts)
-        for kind, encode in ((plain, lambda words: self._word_ids(words, [1] * len(words), self.plain)), (other, self._other_ids)):
+        for kind, encode in ((plain, self._plain_ids), (other, self._other_ids)):
             new = list(set().union(*(parts for _, parts in kind)).difference(self.known))
             self.known.update(zip(new, encode(new)))
             of = self.known.__getitem__
@@ -244,8 +247,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         doc_ids: list[int | None] = []
         parts: list[bytes] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
                 doc_ids += some.column(0).to_pylist()
                 parts += [x + end for x in encoder.encode(some.column(1).to_pylist())]
         if not parts:
