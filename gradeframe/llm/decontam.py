@@ -1,10 +1,10 @@
 """Benchmark decontamination as a prefix-filtered join of word windows.
 
 An item's windows are its runs of WINDOW words. A window that occurs in a
-document occurs with each of its words, so one necessary word, the rarest among the
-items' words, finds its candidates. Neighbouring windows mostly share that
+document occurs with each of its words, so one necessary word, the rarest over
+all documents, finds its candidates. Neighbouring windows mostly share that
 word: the join is on (word, place in the item), which fixes the alignment of
-item and document, each of whose words is met once. Bounds on length and position drop alignments that stick out
+item and document. Bounds on length and position drop alignments that stick out
 of the document, and the words of the window are compared one by one.
 """
 
@@ -57,12 +57,20 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     wins = checkpoint(windows(items))
     n_wins = wins.count()
     placed = wins.select("item", "start", "length", "body", F.posexplode("body").alias("place", "word"))
-    # rarity among the items' windows, longer words first of equals: no pass over the documents is spent on it
-    seen = placed.groupBy("word").agg(F.count("*").alias("seen"))
-    order = W.partitionBy("item", "start").orderBy("seen", F.length("word").desc(), "word", "place")
-    rarest = placed.join(small(seen, n_wins * WINDOW), "word").withColumn("rank", F.row_number().over(order)).filter("rank = 1")
-    # lower() equates at least what lowered() does, and is quick; the words are compared by lowered() below
-    prefix = checkpoint(rarest.groupBy(F.lower("word").alias("key")).agg(F.collect_list(F.struct("item", "length", "place", F.array_join("body", " ").alias("text"), F.lower(F.col("body")[0]).alias("first"), F.lower(F.element_at("body", -1)).alias("last"))).alias("wins")))
+    # rarity over all documents, by lower(): it equates at least what lowered() does, and is quick
+    placed = placed.withColumn("key", F.lower("word"))
+    said = docs.select(F.explode(pieces()).alias("word")).select(F.lower("word").alias("key"))
+    seen = checkpoint(said.join(small(placed.select("key").distinct(), n_wins * WINDOW), "key", "left_semi").groupBy("key").agg(F.count("*").alias("seen")))
+    own = W.partitionBy("item", "start")
+    order = own.orderBy("seen", F.length("word").desc(), "word", "place")
+    # a window with a word that no document has is nowhere
+    rarest = (
+        placed.join(small(seen, n_wins * WINDOW), "key")
+        .withColumn("have", F.count("*").over(own))
+        .withColumn("rank", F.row_number().over(order))
+        .filter((F.col("have") == F.col("length")) & (F.col("rank") == 1))
+    )
+    prefix = checkpoint(rarest.groupBy("key").agg(F.collect_list(F.struct("item", "length", "place", F.array_join("body", " ").alias("text"), F.lower(F.col("body")[0]).alias("first"), F.lower(F.element_at("body", -1)).alias("last"))).alias("wins")))
     split = docs.select("doc_id", F.xxhash64("text").alias("mark"), pieces().alias("all"))
     spoken = split.select("doc_id", "mark", "all", F.posexplode("all").alias("pos", "word")).withColumn("key", F.lower("word"))
     near = spoken.join(small(prefix, n_wins), "key").select("doc_id", "mark", "all", "pos", F.explode("wins").alias("w"))
