@@ -291,16 +291,17 @@ def test_pairs_are_named_in_their_first_bucket():
     r = np.random.default_rng(0)
     x = r.integers(0, 2, (500, near_dedup.REGISTERS)).astype(np.uint8)
     y = np.where(r.random(x.shape) < 0.8, x, 2).astype(np.uint8)
-    mask = r.integers(0, 1 << near_dedup.BANDS, 500)
+    small = r.integers(0, 1 << near_dedup.BANDS, 500)
+    mask = r.integers(0, 1 << near_dedup.BANDS, 500) & ~small
     same = (x == y)[:, : near_dedup.BANDS * near_dedup.ROWS].reshape(500, near_dedup.BANDS, near_dedup.ROWS).all(axis=2)
     times = np.zeros(500, dtype=int)
     met = np.zeros(500, dtype=bool)
     for band in range(near_dedup.BANDS):
-        for d in range(1, near_dedup.NEXT + 1):
-            other = (band + d) % near_dedup.BANDS
-            here = same[:, band] & same[:, other] & (mask >> band & 1).astype(bool)
+        for d in range(near_dedup.NEXT + 1):
+            other = (band + d) % near_dedup.BANDS if d else -1
+            here = same[:, band] & ((mask >> band & 1).astype(bool) & same[:, other] if d else (small >> band & 1).astype(bool))
             met |= here
-            times += here & near_dedup.is_first(x, y, mask, band, other)
+            times += here & near_dedup.is_first(x, y, small, mask, band, other)
     assert met.any() and (times == met).all()
 
 
