@@ -289,7 +289,7 @@ def test_large_buckets_are_divided(spark, monkeypatch):
 
 def test_pairs_are_named_in_their_first_bucket():
     r = np.random.default_rng(0)
-    x = r.integers(0, 2, (500, near_dedup.REGISTERS)).astype(np.uint8)
+    x = r.integers(0, 2, (500, near_dedup.REGISTERS)).astype(np.uint8)  # agreeing by chance, too
     y = np.where(r.random(x.shape) < 0.8, x, 2).astype(np.uint8)
     small = r.integers(0, 1 << near_dedup.BANDS, 500)
     mask = r.integers(0, 1 << near_dedup.BANDS, 500) & ~small
