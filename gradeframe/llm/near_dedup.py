@@ -10,7 +10,8 @@ until they are later than all registers, so heavy weights cost little.
 
 Bands of the signature name buckets. Texts that share a bucket and whose
 signatures agree enough are candidates; their multisets of shingles are compared
-exactly; classes are the connected components of verified links.
+exactly; classes are the connected components of verified links. Texts with equal
+multisets are one from the start.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ ROUNDS = ((0, 1), (1, 4), (4, 16), (16, BUCKET))
 #: The first round leaves out all but one in SPARE of the buckets that were divided twice, in which the same
 #: neighbours meet again and again; the second one makes up for it.
 SPARE = 16
+#: Texts of each side, about, when buckets of more than BUCKET texts are compared block by block.
+SIDE = 2048
 
 
 def least(registers: int) -> float:
@@ -76,11 +79,11 @@ def bag_min_hash(element: np.ndarray, weight: np.ndarray, text: np.ndarray, n_te
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, t1, t2 (digests of the text), n (shingles), bands array<long>, sig (four bits a register); bands are null without shingles."""
+    """doc_id, t1, t2 (digests of the text), n (shingles), m1, m2 (digests of the multiset, of the text without shingles), bands array<long>, sig (four bits a register); bands are null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands, sigs, sizes = [], [], []
+            bands, sigs, sizes, sums = [], [], [], []
             for _, data, offsets in blocks(batch.column(3)):
                 n = len(offsets) - 1
                 element, times, text = multisets(data, offsets)
@@ -95,15 +98,21 @@ def sign(docs: DataFrame) -> DataFrame:
                 four = (bits & np.uint64(15)).astype(np.uint8)
                 sigs += [x.tobytes() for x in four[:, ::2] | four[:, 1::2] << 4]
                 sizes.append(size)
+                sums.append(np.zeros((2, n), dtype=np.uint64))
+                for k in range(2):
+                    np.add.at(sums[-1][k], text, mix(mix(element + np.uint64(k)) + times.astype(np.uint64) * ODD))
             if len(batch):
+                size = np.concatenate(sizes)
+                own = (batch.column(1 + k).to_numpy() for k in range(2))
+                m1, m2 = (pa.array(np.where(size > 0, m.view(np.int64), t)) for m, t in zip(np.concatenate(sums, axis=1), own))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array(np.concatenate(sizes)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                    names=["doc_id", "t1", "t2", "n", "bands", "sig"],
+                    [*batch.columns[:3], pa.array(size), m1, m2, pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                    names=["doc_id", "t1", "t2", "n", "m1", "m2", "bands", "sig"],
                 )
 
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select("doc_id", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, bands array<long>, sig binary")
+    return narrow.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, m1 long, m2 long, bands array<long>, sig binary")
 
 
 def buckets(texts: DataFrame) -> DataFrame:
@@ -165,6 +174,31 @@ def is_first(x: np.ndarray, y: np.ndarray, small: np.ndarray, mask: np.ndarray,
     return (met.argmax(axis=1) == own) | ~met[:, own]
 
 
+def registers_of(sigs: pa.ChunkedArray) -> np.ndarray:
+    sig = np.frombuffer(b"".join(sigs.to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS // 2)
+    return np.stack([sig & 15, sig >> 4], axis=2).reshape(-1, REGISTERS)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches that are sorted by their first column, put together so that none of its values goes on in the next table."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if rest and (last > 0 or rest[-1].column(0)[0].as_py() != key[0]):
+            yield pa.Table.from_batches([*rest, batch.slice(0, last)]).combine_chunks()
+            rest = [batch.slice(last)]
+        elif last > 0:
+            yield pa.Table.from_batches([batch.slice(0, last)]).combine_chunks()
+            rest = [batch.slice(last)]
+        else:
+            rest.append(batch)
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks()
+
+
 def candidates(members: DataFrame, ranks: tuple[int, int]) -> DataFrame:
     """(a, b), a < b, of members (buckets() with class and sig): similar signatures, different classes, and among each other's nearest of these ranks."""
     low, high = ranks
@@ -172,7 +206,7 @@ def candidates(members: DataFrame, ranks: tuple[int, int]) -> DataFrame:
     def of_group(uid: np.ndarray, cls: np.ndarray, sig: np.ndarray, small: np.ndarray, mask: np.ndarray, band: int, other: int) -> np.ndarray:
         found = [np.zeros((0, 2), dtype=np.int64)]
         few = BANDS * ROWS
-        for at in range(0, len(uid), BUCKET):  # more than one run only for what agrees in three bands
+        for at in range(0, len(uid), BUCKET):  # more than one run only for what agrees in three bands; across() compares the runs
             u, c, s, few_of, many_of = (v[at : at + BUCKET] for v in (uid, cls, sig, small, mask))
             if (c == c[0]).all():
                 continue
@@ -193,13 +227,9 @@ def candidates(members: DataFrame, ranks: tuple[int, int]) -> DataFrame:
         return np.unique(np.concatenate(found), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-
-        def flush(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(tables).combine_chunks()
+        for t in whole_groups(batches):
             key, uid, cls = (t.column(i).to_numpy() for i in range(3))
-            sig = np.frombuffer(b"".join(t.column(3).to_pylist()), dtype=np.uint8).reshape(-1, REGISTERS // 2)
-            sig = np.stack([sig & 15, sig >> 4], axis=2).reshape(-1, REGISTERS)
+            sig = registers_of(t.column(3))
             band, other, small, mask = (t.column(i).to_numpy() for i in (4, 5, 6, 7))
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -208,26 +238,75 @@ def candidates(members: DataFrame, ranks: tuple[int, int]) -> DataFrame:
                 if b - a > 1 and len(pairs := of_group(uid[a:b], cls[a:b], sig[a:b], small[a:b], mask[a:b], int(band[a]), int(other[a]))):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        for batch in batches:  # sorted by key; a group may go on in the next batch
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy()
-            last = int(np.searchsorted(key, key[-1]))
-            if rest and (last > 0 or rest[-1].column(0)[0].as_py() != key[0]):
-                yield from flush([*rest, batch.slice(0, last)])
-                rest = [batch.slice(last)]
-            elif last > 0:
-                yield from flush([batch.slice(0, last)])
-                rest = [batch.slice(last)]
-            else:
-                rest.append(batch)
-        if rest:
-            yield from flush(rest)
-
     dealt = members.select("key", "uid", "class", "sig", "band", "other", "small", "mask").repartition("key").sortWithinPartitions("key", "uid")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def crowded(members: DataFrame) -> DataFrame:
+    """(key, uid, members) of the buckets that candidates() cuts into runs; one of those that hold the same texts."""
+    last = checkpoint(members.filter("band < 0").select("key", "uid"))
+    total = F.sum(F.xxhash64("uid").cast("decimal(20,0)")).alias("total")
+    sizes = last.groupBy("key").agg(F.count("*").alias("members"), total, F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("parity"))
+    once = sizes.filter(F.col("members") > BUCKET).groupBy("members", "total", "parity").agg(F.min("key").alias("key"))
+    return join_counted(last, once.select("key", "members"), "key", "members", max(1, last.count()))
+
+
+def across(crowd: DataFrame, leads: bool, nearest: bool) -> DataFrame:
+    """(a, b), a < b, of crowded() with class and sig: similar signatures and different classes.
+
+    Every text that isn't of its bucket's largest class is compared with all of
+    the bucket, in blocks, each pair of blocks by itself. With leads, only the
+    texts of least uid of the bucket's classes are compared; with nearest, a text
+    only names its nearest one of each block.
+    """
+    few = BANDS * ROWS
+
+    def of_block(uid: np.ndarray, cls: np.ndarray, sig: np.ndarray, left: np.ndarray) -> Iterator[np.ndarray]:
+        ours, theirs = np.flatnonzero(left), np.flatnonzero(~left)
+        there = np.ascontiguousarray(sig[theirs, :few])
+        for at in range(0, len(ours) if len(theirs) else 0, BUCKET):
+            own = ours[at : at + BUCKET]
+            rough = np.stack([(there == row).sum(axis=1) for row in sig[own, :few]]) >= least(few) * few
+            x, y = np.nonzero(rough & (cls[own][:, None] != cls[theirs]))
+            x, y = own[x], theirs[y]
+            alike = np.concatenate([np.zeros(0), *((sig[x[i : i + 4096]] == sig[y[i : i + 4096]]).mean(axis=1) for i in range(0, len(x), 4096))])
+            ok = alike >= least(REGISTERS)
+            x, y, alike = x[ok], y[ok], alike[ok]
+            if nearest:
+                order = np.lexsort((uid[y], -alike, x))
+                x, y = x[order], y[order]
+                first = np.searchsorted(x, x) == np.arange(len(x))
+                x, y = x[first], y[first]
+            if len(x):
+                yield np.stack([np.minimum(uid[x], uid[y]), np.maximum(uid[x], uid[y])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches):
+            key, uid, cls = (t.column(i).to_numpy() for i in range(3))
+            left = t.column(4).to_numpy().astype(bool)
+            sig = registers_of(t.column(3))
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                for pairs in of_block(uid[a:b], cls[a:b], sig[a:b], left[a:b]):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    by_class = crowd.groupBy("key", "class").agg(F.count("*").alias("texts"), F.min("uid").alias("uid"))
+    if leads:
+        crowd = crowd.join(by_class.select("key", "uid"), ["key", "uid"])
+        by_class = by_class.withColumn("texts", F.lit(1).cast("long"))
+    most = F.max(F.struct("texts", "class")).alias("most")
+    by_key = by_class.groupBy("key").agg(most, F.sum("texts").alias("n"), F.count("*").alias("n_classes")).filter("n_classes > 1")
+    rows = join_counted(crowd.select("key", "uid", "class", "sig"), by_key, "key", "n", max(1, crowd.count()))
+    rows = rows.withColumn("outer", F.ceil((F.col("n") - F.col("most.texts")) / SIDE)).withColumn("inner", F.ceil(F.col("n") / SIDE))
+    at = lambda sides: F.pmod(F.xxhash64(F.lit(2), "uid"), F.col(sides))
+    each = lambda sides: F.explode(F.sequence(F.lit(0).cast("long"), F.col(sides) - 1))
+    ours = rows.filter(F.col("class") != F.col("most.class")).select("*", at("outer").alias("i"), each("inner").alias("j"))
+    theirs = rows.select("*", at("inner").alias("j"), each("outer").alias("i"))
+    sides = ours.withColumn("left", F.lit(True)).unionByName(theirs.withColumn("left", F.lit(False)))
+    dealt = sides.select(F.xxhash64("key", "i", "j").alias("block"), "uid", "class", "sig", "left")
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
+
+
 #: Bytes of a shingle's hash in a bag.
 UNIT = 5
 
@@ -279,28 +358,40 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     with Scratch(docs.sparkSession) as scratch:
         rows = scratch.keep(sign(docs))
-        grouped = rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-        texts = scratch.keep(grouped.withColumn("uid", F.monotonically_increasing_id()))
+        grouped = rows.groupBy("m1", "m2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("t1", "t2")).alias("text"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        texts = scratch.keep(grouped.select("m1", "m2", "least", "copies", "text.t1", "text.t2", "bands", "sig", F.monotonically_increasing_id().alias("uid")))
         members = scratch.keep(buckets(texts))
         near = scratch.keep(members.select("uid").distinct())
         bag = scratch.keep(bags(docs, texts.select("uid", "t1", "t2").join(near, "uid")))
         signed = members.join(texts.select("uid", "sig"), "uid")
         labels = near.withColumn("class", F.col("uid"))
         links = None
-        for ranks in ROUNDS:
-            tried = scratch.keep(candidates(signed.join(labels, "uid"), ranks))
-            new = scratch.keep(verify(tried, bag))
+
+        def link(tried: DataFrame) -> bool:
+            nonlocal links, labels
+            new = scratch.keep(verify(scratch.keep(tried), bag))
             if new.isEmpty():
-                continue
+                return False
             links = new if links is None else links.unionByName(new)
             found = components(links).withColumnsRenamed({"node": "uid", "component": "class"})
             labels = scratch.keep(near.join(found, "uid", "left").withColumn("class", F.coalesce("class", "uid")))
+            return True
+
+        for ranks in ROUNDS:
+            link(candidates(signed.join(labels, "uid"), ranks))
+        crowd = scratch.keep(crowded(members))
+        if not crowd.isEmpty():
+            crowd = scratch.keep(crowd.join(texts.select("uid", "sig"), "uid"))
+            for leads in (True, False):
+                while link(across(crowd.join(labels, "uid"), leads, nearest=True)):
+                    pass
+            link(across(crowd.join(labels, "uid"), leads=False, nearest=False))
         known = labels.withColumnRenamed("class", "label")
-        labelled = scratch.keep(texts.select("uid", "t1", "t2", "least", "copies").join(known, "uid", "left").withColumn("class", F.coalesce("label", "uid")))
+        labelled = scratch.keep(texts.select("uid", "m1", "m2", "least", "copies").join(known, "uid", "left").withColumn("class", F.coalesce("label", "uid")))
         sizes = labelled.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("texts"))
-        named = join_counted(labelled.select("class", "t1", "t2", "copies"), sizes, "class", "texts", max(1, labelled.count()))
-        of_text = scratch.keep(named.select("t1", "t2", "class_id", "class_size", "copies"))
-        named = join_counted(rows.select("doc_id", "t1", "t2", "n"), of_text, ["t1", "t2"], "copies", max(1, rows.count()))
+        named = join_counted(labelled.select("class", "m1", "m2", "copies"), sizes, "class", "texts", max(1, labelled.count()))
+        of_text = scratch.keep(named.select("m1", "m2", "class_id", "class_size", "copies"))
+        named = join_counted(rows.select("doc_id", "t1", "t2", "n", "m1", "m2"), of_text, ["m1", "m2"], "copies", max(1, rows.count()))
         return checkpoint(named.select("doc_id", "t1", "t2", "n", "class_id", "class_size"))
 
 

@@ -287,6 +287,38 @@ def test_large_buckets_are_divided(spark, monkeypatch):
     assert got.select("class_id").distinct().count() <= 3
 
 
+def test_more_equal_signatures_than_a_bucket(spark, monkeypatch):
+    spaced = [(i, prose(1, 40).replace(" ", " " * (i % 20 + 1), i // 20 + 1)) for i in range(near_dedup.BUCKET + 44)]
+    got = near_dedup.classes(spark.createDataFrame(spaced, "doc_id long, text string"))
+    assert {tuple(r) for r in got.select("class_id", "class_size").collect()} == {(0, len(spaced))}
+    monkeypatch.setattr(near_dedup, "BUCKET", 8)
+    monkeypatch.setattr(near_dedup, "SIDE", 16)
+    monkeypatch.setattr(near_dedup, "ROUNDS", ((0, 3), (3, 8)))
+    docs = [(i, prose(1, 8000) + f" end{i}") for i in range(60)]
+    got = near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {tuple(r) for r in got.select("class_id", "class_size").collect()} == {(0, 60)}
+
+
+def test_blocks_of_a_large_bucket_are_all_compared(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SIDE", 4)
+    r = np.random.default_rng(3)
+    base = r.integers(0, 256, near_dedup.REGISTERS // 2).astype(np.uint8)
+    rows = []
+    for u in range(40):
+        sig = base.copy()
+        at = r.choice(len(sig), int(r.integers(0, 30)), replace=False)
+        sig[at] = r.integers(0, 256, len(at))
+        rows.append((7, u, int(r.integers(0, 4)) if u % 3 else 0, sig.tobytes()))
+    registers = near_dedup.registers_of(pa.chunked_array([[x[3] for x in rows]]))
+    few = near_dedup.BANDS * near_dedup.ROWS
+    alike = lambda a, b, n: (registers[a, :n] == registers[b, :n]).sum() >= near_dedup.least(n) * n
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if rows[a][2] != rows[b][2] and alike(a, b, few) and alike(a, b, near_dedup.REGISTERS)}
+    crowd = spark.createDataFrame(rows, "key long, uid long, class long, sig binary")
+    assert want and {tuple(x) for x in near_dedup.across(crowd, leads=False, nearest=False).collect()} == want
+    assert {tuple(x) for x in near_dedup.across(crowd, leads=False, nearest=True).collect()} <= want
+    assert len(near_dedup.across(crowd, leads=True, nearest=True).collect()) <= 12
+
+
 def test_pairs_are_named_in_their_first_bucket():
     r = np.random.default_rng(0)
     x = r.integers(0, 2, (500, near_dedup.REGISTERS)).astype(np.uint8)  # agreeing by chance, too
