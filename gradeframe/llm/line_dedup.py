@@ -27,8 +27,6 @@ from gradeframe.llm.common import Scratch, checkpoint, join_counted, table
 from gradeframe.llm.shingles import ODD, blocks, mix, pack, spaces, unpack, words
 
 SIMILAR = 0.8
-#: Lines of fewer different words are left alone.
-LEAST = 5
 #: Cells of the rarity table.
 CELLS = 1 << 24
 #: Bytes of a word's hash in a bag.
@@ -49,7 +47,7 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def line_sets(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(word, code, line, text, cuts) of the different words of each line of LEAST or more: lines in order, a line's words rarest first.
+    """(word, code, line, text, cuts) of the different words of each line that has any: lines in order, a line's words rarest first.
 
     line counts from 0 over the whole block; a text's end is a line's end too.
     """
@@ -62,8 +60,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple
     first[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
     word, code, line, text = word[first], code[first], line[first], text[first]
     sizes = np.diff(np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1], [True]]))) if len(line) else np.zeros(0, np.int64)
-    keep = np.repeat(sizes >= LEAST, sizes)
-    return word[keep], code[keep], line[keep], text[keep], np.concatenate([[0], np.cumsum(sizes[sizes >= LEAST])])
+    return word, code, line, text, np.concatenate([[0], np.cumsum(sizes)])
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -92,7 +89,7 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 
 def lines(docs: DataFrame, table_of_codes: np.ndarray) -> DataFrame:
-    """A row per line of LEAST words or more: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n, b1, b2 (a filter of its words) and live (prefix words that another line may have, each followed by its place)."""
+    """A row per line with words: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n, b1, b2 (a filter of its words) and live (prefix words that another line may have, each followed by its place)."""
     shared = docs.sparkSession.sparkContext.broadcast(table_of_codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +240,7 @@ def links(pairs: DataFrame, bag: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """A row per line of LEAST words or more: doc_id, mark, line, n_links (different lines like it), first_doc, removed."""
+    """A row per line with words: doc_id, mark, line, n_links (different lines like it), first_doc, removed."""
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
     key = ["d1", "d2"]
     with Scratch(docs.sparkSession) as scratch:

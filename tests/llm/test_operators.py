@@ -377,6 +377,29 @@ def test_line_links(spark):
     assert all(len((left[d] or "").split("\n")) == len((t or "").split("\n")) - removed[d] or not left[d] for d, t in docs)
 
 
+def test_short_lines(spark):
+    lines = ["Home", "Read more", "read more", "a b c d", "d c b a", "a b c d e", "a b c", "Home Home", " ", ""]
+    docs = [(i, "\n".join(random.Random(i).choices(lines, k=5))) for i in range(30)]
+    where = collections.defaultdict(list)
+    for d, t in docs:
+        for n, line in enumerate(t.split("\n")):
+            if s := frozenset(split(line)):
+                where[s].append((d, n))
+    removed, links = collections.defaultdict(set), collections.Counter()
+    for s, places in where.items():
+        like = [o for o in where if o != s and len(s & o) >= 0.8 * len(s | o) - 1e-9]
+        earliest = min(min(where[o]) for o in [s, *like])
+        for d, n in places:
+            links[d] += len(like)
+            if (d, n) > earliest:
+                removed[d].add(n)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x.doc_id: x for x in line_dedup.summary(frame).collect()}
+    assert all((got[d].n_removed, got[d].n_links) == (len(removed[d]), links[d]) for d, _ in docs)
+    left = {x.doc_id: x.text for x in line_dedup.clean(frame).collect()}
+    assert all(left[d] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in removed[d]) for d, t in docs)
+
+
 # ---- repeated passages ----------------------------------------------------------
 
 
