@@ -158,11 +158,9 @@ def buckets(texts: DataFrame) -> DataFrame:
 
 
 def is_first(x: np.ndarray, y: np.ndarray, small: np.ndarray, mask: np.ndarray, band: int, other: int) -> np.ndarray:
-    """Of pairs of signatures (rows of x and y) and the bands that both have undivided and divided buckets of: whether (band, other) is the first bucket that they share.
+    """Of pairs of texts (rows of x and y, ROWS numbers a band, such as the four quarters of its hash) and the bands that both have undivided and divided buckets of: whether (band, other) is the first bucket that they share.
 
-    Pairs meet in every bucket that they share; naming them once is enough. Bands
-    are compared by 16 bits, so in one of 65,536 cases a band seems shared that
-    isn't.
+    Pairs meet in every bucket that they share; naming them once is enough.
     """
     same = (x[:, : BANDS * ROWS] == y[:, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
     has = lambda bits: (bits[:, None] >> np.arange(BANDS) & 1).astype(bool)
@@ -200,14 +198,14 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def candidates(members: DataFrame, ranks: tuple[int, int]) -> DataFrame:
-    """(a, b), a < b, of members (buckets() with class and sig): similar signatures, different classes, and among each other's nearest of these ranks."""
+    """(a, b), a < b, of members (buckets() with class, sig and bands): similar signatures, different classes, and among each other's nearest of these ranks."""
     low, high = ranks
 
-    def of_group(uid: np.ndarray, cls: np.ndarray, sig: np.ndarray, small: np.ndarray, mask: np.ndarray, band: int, other: int) -> np.ndarray:
+    def of_group(uid: np.ndarray, cls: np.ndarray, sig: np.ndarray, small: np.ndarray, mask: np.ndarray, hashes: np.ndarray, band: int, other: int) -> np.ndarray:
         found = [np.zeros((0, 2), dtype=np.int64)]
         few = BANDS * ROWS
         for at in range(0, len(uid), BUCKET):  # more than one run only for what agrees in three bands; across() compares the runs
-            u, c, s, few_of, many_of = (v[at : at + BUCKET] for v in (uid, cls, sig, small, mask))
+            u, c, s, few_of, many_of, quarters = (v[at : at + BUCKET] for v in (uid, cls, sig, small, mask, hashes))
             if (c == c[0]).all():
                 continue
             rough = np.stack([(s[:, :few] == row[:few]).sum(axis=1) for row in s]) >= least(few) * few
@@ -222,7 +220,7 @@ def candidates(members: DataFrame, ranks: tuple[int, int]) -> DataFrame:
             from_ = 0 if band < 0 and ranks == ROUNDS[1] else low
             ok = (rank >= from_) & (rank < high) & (c[x] != c[y])
             x, y = x[ok], y[ok]
-            ok = is_first(s[x], s[y], few_of[x] & few_of[y], many_of[x] & many_of[y], band, other) if len(x) else np.ones(0, dtype=bool)
+            ok = is_first(quarters[x], quarters[y], few_of[x] & few_of[y], many_of[x] & many_of[y], band, other) if len(x) else np.ones(0, dtype=bool)
             found.append(np.stack([np.minimum(u[x[ok]], u[y[ok]]), np.maximum(u[x[ok]], u[y[ok]])], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
@@ -231,14 +229,15 @@ def candidates(members: DataFrame, ranks: tuple[int, int]) -> DataFrame:
             key, uid, cls = (t.column(i).to_numpy() for i in range(3))
             sig = registers_of(t.column(3))
             band, other, small, mask = (t.column(i).to_numpy() for i in (4, 5, 6, 7))
+            hashes = t.column(8).combine_chunks().flatten().to_numpy().reshape(-1, BANDS).view(np.uint16)
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 if not low and band[a] < 0 and key[a] % SPARE:
                     continue
-                if b - a > 1 and len(pairs := of_group(uid[a:b], cls[a:b], sig[a:b], small[a:b], mask[a:b], int(band[a]), int(other[a]))):
+                if b - a > 1 and len(pairs := of_group(uid[a:b], cls[a:b], sig[a:b], small[a:b], mask[a:b], hashes[a:b], int(band[a]), int(other[a]))):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    dealt = members.select("key", "uid", "class", "sig", "band", "other", "small", "mask").repartition("key").sortWithinPartitions("key", "uid")
+    dealt = members.select("key", "uid", "class", "sig", "band", "other", "small", "mask", "bands").repartition("key").sortWithinPartitions("key", "uid")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -363,7 +362,7 @@ def classes(docs: DataFrame) -> DataFrame:
         members = scratch.keep(buckets(texts))
         near = scratch.keep(members.select("uid").distinct())
         bag = scratch.keep(bags(docs, texts.select("uid", "t1", "t2").join(near, "uid")))
-        signed = members.join(texts.select("uid", "sig"), "uid")
+        signed = members.join(texts.select("uid", "sig", "bands"), "uid")
         labels = near.withColumn("class", F.col("uid"))
         links = None
 

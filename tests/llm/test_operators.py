@@ -337,6 +337,13 @@ def test_pairs_are_named_in_their_first_bucket():
     assert met.any() and (times == met).all()
 
 
+def test_bands_that_only_seem_shared(spark):
+    sig = bytes(near_dedup.REGISTERS // 2)  # equal in all bands, but by four bits a register only
+    rows = [(7, u, u, sig, 5, -1, 1 | 1 << 5, 0, [1 if b == 5 else u * 100 + b for b in range(near_dedup.BANDS)]) for u in (1, 2)]
+    members = spark.createDataFrame(rows, "key long, uid long, class long, sig binary, band int, other int, small int, mask int, bands array<long>")
+    assert [tuple(x) for x in near_dedup.candidates(members, (0, near_dedup.BUCKET)).collect()] == [(1, 2)]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
