@@ -88,3 +88,17 @@ def join_counted(rows: DataFrame, stats: DataFrame, key: str | list[str], count:
     by_broadcast = rows.join(F.broadcast(hot), keys)
     cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return by_broadcast.unionByName(cold.join(stats.filter(~is_hot), keys))
+
+
+def join_split(rows: DataFrame, wide: DataFrame, key: str, total: int, part: int = 256) -> DataFrame:
+    """Inner join of rows with one wide row per key, where wide["pairs"] is the key's number of rows.
+
+    Of keys with many rows, the wide row is copied once for each `part` of them and
+    they are dealt to the copies, so no task gets more of one key.
+    """
+    parts = F.ceil(F.col("pairs") / part)
+    counts = join_counted(rows, wide.select(key, "pairs").filter(F.col("pairs") > part), key, "pairs", total)
+    dealt = counts.select(*rows.columns, F.pmod(F.xxhash64(*rows.columns), parts).alias("__part"))
+    many, few = F.col("pairs") > part, F.col("pairs") <= part
+    copies = wide.filter(many).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("pairs")
+    return dealt.join(copies, [key, "__part"]).drop("__part").unionByName(rows.join(wide.filter(few).drop("pairs"), key))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import checkpoint
+from gradeframe.llm.common import checkpoint, join_counted
 
 
 #: Edges that a task should have at least: a small graph isn't dealt out to all partitions again and again.
@@ -16,10 +16,10 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _least(rows: DataFrame) -> DataFrame:
-    """rows (a, b) with m, the least of a and its b."""
-    best = rows.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return rows.join(best, "a")
+def _least(rows: DataFrame, total: int) -> DataFrame:
+    """rows (a, b) with m, the least of a and its b; a may be a hub."""
+    best = rows.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("a", "m"))
+    return join_counted(rows, best, "a", "degree", total)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,9 +34,9 @@ def components(links: DataFrame) -> DataFrame:
     tasks = 2 * size[0] // EDGES + 1
     edges = edges.coalesce(tasks)
     while True:
-        large = _least(_both(edges)).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _least(_both(edges), max(1, 2 * size[0])).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = checkpoint(large.coalesce(tasks).filter("a <> b").distinct().coalesce(tasks))
-        small = _least(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).coalesce(tasks)
+        small = _least(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), max(1, size[0])).coalesce(tasks)
         linked = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         edges = checkpoint(linked.filter("a <> b").distinct().coalesce(tasks))
         before, size = size, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()

@@ -12,10 +12,25 @@ Bands of the signature name buckets. Texts that share a bucket and whose
 signatures agree enough are candidates; their multisets of shingles are compared
 exactly; classes are the connected components of verified links. Texts with equal
 multisets are one from the start.
+
+A class needs a spanning tree of its links only, so candidates are tried in this
+order, and those that are in one class by then need no trial:
+
+1. pivots: in each bucket, the text nearest to the most common registers of those
+   not placed yet takes all that are like it, until all are placed. At most as many
+   candidates as members.
+2. nearest: every text that isn't of its bucket's largest class tries its nearest
+   one of another class, as long as that finds links. At most as many again.
+3. all the rest: every untried pair of one bucket and different classes, named in
+   the first bucket that it shares. Nothing is left out.
+
+Buckets of more than SIDE texts are dealt to tasks in parts; the parts' classes
+meet by their best linked texts, then in blocks of parts.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import Scratch, checkpoint, join_counted, table
+from gradeframe.llm.common import Scratch, checkpoint, join_counted, join_split, table
 from gradeframe.llm.components import components
 from gradeframe.llm.shingles import ODD, blocks, mix, multisets, pack, unpack
 
@@ -31,15 +46,10 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 #: Registers of a signature; the first BANDS * ROWS make the bands, all estimate similarity.
 REGISTERS = 256
-#: Larger buckets are divided by further bands: by each of the NEXT after the one they are of.
-BUCKET, NEXT = 256, 3
-#: Rounds: in each one, a text's candidates of these ranks that aren't in its class already are verified.
-ROUNDS = ((0, 1), (1, 4), (4, 16), (16, BUCKET))
-#: The first round leaves out all but one in SPARE of the buckets that were divided twice, in which the same
-#: neighbours meet again and again; the second one makes up for it.
-SPARE = 16
-#: Texts of each side, about, when buckets of more than BUCKET texts are compared block by block.
+#: Texts, about, that a task compares with each other or with as many others at a time; larger buckets are dealt out.
 SIDE = 2048
+#: Texts compared with all of a block at once.
+RUN = 256
 
 
 def least(registers: int) -> float:
@@ -115,61 +125,17 @@ def sign(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, m1 long, m2 long, bands array<long>, sig binary")
 
 
-def buckets(texts: DataFrame) -> DataFrame:
-    """(key, uid, band, other, small, mask): the texts of each bucket with more than one.
-
-    A bucket of more than BUCKET texts is divided by each of the NEXT bands after
-    its own (the first follow the last), so two of its texts meet again if they
-    share one of those too; texts that are similar share ten bands or so, two of
-    which are near each other. Those that are large even then agree in two
-    bands, and a third, fixed one divides them once more.
-
-    band and other tell what a bucket agrees in (other is -1 if it isn't divided,
-    both are if it is divided once more); small has the text's bands with undivided
-    buckets and mask those with divided ones none of which was divided once more.
-    """
-    def shared(rows: DataFrame) -> DataFrame:
-        rows = checkpoint(rows)
-        sizes = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-        return checkpoint(join_counted(rows, sizes, "key", "members", rows.count()))
+def buckets(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, uid, band, members): the texts of each bucket with more than one."""
+    by_band = texts.filter("bands IS NOT NULL").select("uid", F.posexplode("bands").alias("band", "hash"))
+    rows = scratch.keep(by_band.select(F.xxhash64("band", "hash").alias("key"), "uid", "band"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    return scratch.keep(join_counted(rows, sizes, "key", "members", max(1, rows.count())))
 
-    def bits(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("uid").agg(F.bit_or(F.expr("shiftleft(1, band)")).alias(name))
 
-    by_band = texts.filter("bands IS NOT NULL").select("uid", F.posexplode("bands").alias("band", "hash"))
-    first = shared(by_band.select(F.xxhash64("band", "hash").alias("key"), "uid", "band"))
-    undivided = first.filter(F.col("members") <= BUCKET)
-    named = checkpoint(bits(undivided, "small"))
-    small = undivided.join(named, "uid").select("key", "uid", "band", F.lit(-1).alias("other"), "small")
-    large = first.filter(F.col("members") > BUCKET)
-    if large.isEmpty():
-        return small.withColumn("mask", F.lit(0))
-    bands = texts.select("uid", "bands")
-    ahead = F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda i: (F.col("band") + i) % BANDS)
-    later = large.join(bands, "uid").select("key", "uid", "band", "bands", F.explode(ahead).alias("other"))
-    second = shared(later.select(F.xxhash64("key", "other", F.get("bands", F.col("other"))).alias("key"), "uid", "band", "other"))
-    whole = second.groupBy("uid", "band").agg(F.max("members").alias("most")).filter(F.col("most") <= BUCKET)
-    masks = checkpoint(bits(whole, "mask"))
-    divided = second.filter(F.col("members") <= BUCKET).select("key", "uid", "band", "other")
-    third = second.filter(F.col("members") > BUCKET).join(bands, "uid")
-    again = third.select(F.xxhash64("key", F.get("bands", (F.col("other") + 7) % BANDS)).alias("key"), "uid", F.lit(-1).alias("band"), F.lit(-1).alias("other"))
-    every = small.unionByName(divided.unionByName(again).join(named, "uid", "left")).join(masks, "uid", "left")
-    return every.select("key", "uid", "band", "other", F.coalesce("small", F.lit(0)).alias("small"), F.coalesce("mask", F.lit(0)).alias("mask"))
-
-
-def is_first(x: np.ndarray, y: np.ndarray, small: np.ndarray, mask: np.ndarray, band: int, other: int) -> np.ndarray:
-    """Of pairs of texts (rows of x and y, ROWS numbers a band, such as the four quarters of its hash) and the bands that both have undivided and divided buckets of: whether (band, other) is the first bucket that they share.
-
-    Pairs meet in every bucket that they share; naming them once is enough.
-    """
-    same = (x[:, : BANDS * ROWS] == y[:, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
-    has = lambda bits: (bits[:, None] >> np.arange(BANDS) & 1).astype(bool)
-    divided = same & has(mask)
-    met = np.stack([same & has(small), *(divided & np.roll(same, -d, axis=1) for d in range(1, NEXT + 1))], axis=2).reshape(-1, BANDS * (NEXT + 1))
-    if band < 0:  # of a bucket that was divided twice: whether they share no other
-        return ~met.any(axis=1)
-    own = band * (NEXT + 1) + ((other - band) % BANDS if other >= 0 else 0)
-    return (met.argmax(axis=1) == own) | ~met[:, own]
+def named_in(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first band, of which one at least is equal, of texts with these bands."""
+    return (x == y).argmax(axis=1)
 
 
 def registers_of(sigs: pa.ChunkedArray) -> np.ndarray:
@@ -177,6 +143,12 @@ def registers_of(sigs: pa.ChunkedArray) -> np.ndarray:
     return np.stack([sig & 15, sig >> 4], axis=2).reshape(-1, REGISTERS)
 
 
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Part of the registers in which rows of x and y agree, some rows at a time."""
+    parts = [(x[i : i + 4096] == y[i : i + 4096]).mean(axis=1) for i in range(0, len(x), 4096)]
+    return np.concatenate([np.zeros(0), *parts])
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches that are sorted by their first column, put together so that none of its values goes on in the next table."""
     rest: list[pa.RecordBatch] = []
@@ -197,79 +169,81 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest).combine_chunks()
 
 
-def candidates(members: DataFrame, ranks: tuple[int, int]) -> DataFrame:
-    """(a, b), a < b, of members (buckets() with class, sig and bands): similar signatures, different classes, and among each other's nearest of these ranks."""
-    low, high = ranks
-
-    def of_group(uid: np.ndarray, cls: np.ndarray, sig: np.ndarray, small: np.ndarray, mask: np.ndarray, hashes: np.ndarray, band: int, other: int) -> np.ndarray:
-        found = [np.zeros((0, 2), dtype=np.int64)]
-        few = BANDS * ROWS
-        for at in range(0, len(uid), BUCKET):  # more than one run only for what agrees in three bands; across() compares the runs
-            u, c, s, few_of, many_of, quarters = (v[at : at + BUCKET] for v in (uid, cls, sig, small, mask, hashes))
-            if (c == c[0]).all():
-                continue
-            rough = np.stack([(s[:, :few] == row[:few]).sum(axis=1) for row in s]) >= least(few) * few
-            np.fill_diagonal(rough, False)
-            x, y = np.nonzero(rough)
-            alike = np.concatenate([(s[x[i : i + 4096]] == s[y[i : i + 4096]]).mean(axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros(0)
-            ok = alike >= least(REGISTERS)
-            x, y, alike = x[ok], y[ok], alike[ok]
-            order = np.lexsort((y, -alike, x))
-            x, y = x[order], y[order]
-            rank = np.arange(len(x)) - np.searchsorted(x, x)
-            from_ = 0 if band < 0 and ranks == ROUNDS[1] else low
-            ok = (rank >= from_) & (rank < high) & (c[x] != c[y])
-            x, y = x[ok], y[ok]
-            ok = is_first(quarters[x], quarters[y], few_of[x] & few_of[y], many_of[x] & many_of[y], band, other) if len(x) else np.ones(0, dtype=bool)
-            found.append(np.stack([np.minimum(u[x[ok]], u[y[ok]]), np.maximum(u[x[ok]], u[y[ok]])], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+def ordered(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    names = ["a", "b", "key"][: 2 + len(more)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.minimum(a, b), np.maximum(a, b), *more)], names=names)
+
+
+def by_pivots(members: DataFrame) -> DataFrame:
+    """(a, b), a < b, of members (key, uid, sig): one of them is a pivot of the key, the other is like it and like no earlier one."""
+
+    def of_group(uid: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left = np.arange(len(uid))
+        while len(left) > 1:
+            own = sig[left]
+            if len(left) > 2:
+                votes = np.stack([(own == v).sum(axis=0) for v in range(16)])
+                at = int((own == votes.argmax(axis=0).astype(np.uint8)).sum(axis=1).argmax())
+            else:
+                at = 0
+            near = (own == own[at]).mean(axis=1) >= least(REGISTERS)
+            near[at] = False
+            if near.any():
+                yield np.full(int(near.sum()), uid[left[at]]), uid[left[near]]
+            near[at] = True
+            left = left[~near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            key, uid, cls = (t.column(i).to_numpy() for i in range(3))
-            sig = registers_of(t.column(3))
-            band, other, small, mask = (t.column(i).to_numpy() for i in (4, 5, 6, 7))
-            hashes = t.column(8).combine_chunks().flatten().to_numpy().reshape(-1, BANDS).view(np.uint16)
+            key, uid = (t.column(i).to_numpy() for i in range(2))
+            sig = registers_of(t.column(2))
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if not low and band[a] < 0 and key[a] % SPARE:
-                    continue
-                if b - a > 1 and len(pairs := of_group(uid[a:b], cls[a:b], sig[a:b], small[a:b], mask[a:b], hashes[a:b], int(band[a]), int(other[a]))):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    dealt = members.select("key", "uid", "class", "sig", "band", "other", "small", "mask", "bands").repartition("key").sortWithinPartitions("key", "uid")
+            sizes = np.diff(cuts)
+            two = cuts[:-1][sizes == 2]  # most buckets; all of them at once
+            two = two[agreement(sig[two], sig[two + 1]) >= least(REGISTERS)]
+            found = [(uid[two], uid[two + 1])]
+            for a, b in zip(cuts[:-1][sizes > 2].tolist(), cuts[1:][sizes > 2].tolist()):
+                found += of_group(uid[a:b], sig[a:b])
+            yield ordered(*(np.concatenate(x) for x in zip(*found)))
+
+    dealt = members.select("key", "uid", "sig").repartition("key").sortWithinPartitions("key", "uid")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def crowded(members: DataFrame) -> DataFrame:
-    """(key, uid, members) of the buckets that candidates() cuts into runs; one of those that hold the same texts."""
-    last = checkpoint(members.filter("band < 0").select("key", "uid"))
-    total = F.sum(F.xxhash64("uid").cast("decimal(20,0)")).alias("total")
-    sizes = last.groupBy("key").agg(F.count("*").alias("members"), total, F.bit_xor(F.xxhash64(F.lit(1), "uid")).alias("parity"))
-    once = sizes.filter(F.col("members") > BUCKET).groupBy("members", "total", "parity").agg(F.min("key").alias("key"))
-    return join_counted(last, once.select("key", "members"), "key", "members", max(1, last.count()))
+def parted(members: DataFrame) -> DataFrame:
+    """members (key, uid, members, ...) with a key for each part of a bucket of more than SIDE texts."""
+    part = F.pmod(F.xxhash64(F.lit(2), "uid"), F.ceil(F.col("members") / SIDE))
+    return members.withColumn("key", F.xxhash64("key", part))
 
 
-def across(crowd: DataFrame, leads: bool, nearest: bool) -> DataFrame:
-    """(a, b), a < b, of crowded() with class and sig: similar signatures and different classes.
+def unsettled(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """members (key, uid, band) with class, n (texts of the bucket), most (its largest class) and few (texts not of it), of the buckets with more than one class."""
+    labelled = members.select("key", "uid", "band").join(labels, "uid")
+    by_class = labelled.groupBy("key", "class").agg(F.count("*").alias("texts"))
+    by_key = by_class.groupBy("key").agg(F.max(F.struct("texts", "class")).alias("most"), F.sum("texts").alias("n")).filter(F.col("n") > F.col("most.texts"))
+    by_key = by_key.select("key", "n", F.col("most.class").alias("most"), (F.col("n") - F.col("most.texts")).alias("few"))
+    return join_counted(labelled, by_key, "key", "n", total)
+
+
+def across(crowd: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b, key), a < b, of unsettled() with sig and bands: candidates of different classes, named in the first bucket that they share.
 
     Every text that isn't of its bucket's largest class is compared with all of
-    the bucket, in blocks, each pair of blocks by itself. With leads, only the
-    texts of least uid of the bucket's classes are compared; with nearest, a text
+    the bucket, in blocks, each pair of blocks by itself. With nearest, a text
     only names its nearest one of each block.
     """
     few = BANDS * ROWS
 
-    def of_block(uid: np.ndarray, cls: np.ndarray, sig: np.ndarray, left: np.ndarray) -> Iterator[np.ndarray]:
+    def of_block(uid: np.ndarray, cls: np.ndarray, sig: np.ndarray, bands: np.ndarray, band: int, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ours, theirs = np.flatnonzero(left), np.flatnonzero(~left)
         there = np.ascontiguousarray(sig[theirs, :few])
-        for at in range(0, len(ours) if len(theirs) else 0, BUCKET):
-            own = ours[at : at + BUCKET]
+        for at in range(0, len(ours) if len(theirs) else 0, RUN):
+            own = ours[at : at + RUN]
             rough = np.stack([(there == row).sum(axis=1) for row in sig[own, :few]]) >= least(few) * few
             x, y = np.nonzero(rough & (cls[own][:, None] != cls[theirs]))
             x, y = own[x], theirs[y]
-            alike = np.concatenate([np.zeros(0), *((sig[x[i : i + 4096]] == sig[y[i : i + 4096]]).mean(axis=1) for i in range(0, len(x), 4096))])
-            ok = alike >= least(REGISTERS)
+            alike = agreement(sig[x], sig[y])
+            ok = (alike >= least(REGISTERS)) & (named_in(bands[x], bands[y]) == band)
             x, y, alike = x[ok], y[ok], alike[ok]
             if nearest:
                 order = np.lexsort((uid[y], -alike, x))
@@ -277,33 +251,28 @@ def across(crowd: DataFrame, leads: bool, nearest: bool) -> DataFrame:
                 first = np.searchsorted(x, x) == np.arange(len(x))
                 x, y = x[first], y[first]
             if len(x):
-                yield np.stack([np.minimum(uid[x], uid[y]), np.maximum(uid[x], uid[y])])
+                yield uid[x], uid[y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
-            key, uid, cls = (t.column(i).to_numpy() for i in range(3))
-            left = t.column(4).to_numpy().astype(bool)
-            sig = registers_of(t.column(3))
-            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            block, key, uid, cls = (t.column(i).to_numpy() for i in range(4))
+            band = t.column(4).to_numpy()
+            sig = registers_of(t.column(5))
+            bands = t.column(6).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            left = t.column(7).to_numpy().astype(bool)
+            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                for pairs in of_block(uid[a:b], cls[a:b], sig[a:b], left[a:b]):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    by_class = crowd.groupBy("key", "class").agg(F.count("*").alias("texts"), F.min("uid").alias("uid"))
-    if leads:
-        crowd = crowd.join(by_class.select("key", "uid"), ["key", "uid"])
-        by_class = by_class.withColumn("texts", F.lit(1).cast("long"))
-    most = F.max(F.struct("texts", "class")).alias("most")
-    by_key = by_class.groupBy("key").agg(most, F.sum("texts").alias("n"), F.count("*").alias("n_classes")).filter("n_classes > 1")
-    rows = join_counted(crowd.select("key", "uid", "class", "sig"), by_key, "key", "n", max(1, crowd.count()))
-    rows = rows.withColumn("outer", F.ceil((F.col("n") - F.col("most.texts")) / SIDE)).withColumn("inner", F.ceil(F.col("n") / SIDE))
+                for x, y in of_block(uid[a:b], cls[a:b], sig[a:b], bands[a:b], int(band[a]), left[a:b]):
+                    yield ordered(x, y, np.full(len(x), key[a]))
+
+    rows = crowd.withColumn("outer", F.ceil(F.col("few") / SIDE)).withColumn("inner", F.ceil(F.col("n") / SIDE))
     at = lambda sides: F.pmod(F.xxhash64(F.lit(2), "uid"), F.col(sides))
     each = lambda sides: F.explode(F.sequence(F.lit(0).cast("long"), F.col(sides) - 1))
-    ours = rows.filter(F.col("class") != F.col("most.class")).select("*", at("outer").alias("i"), each("inner").alias("j"))
-    theirs = rows.select("*", at("inner").alias("j"), each("outer").alias("i"))
-    sides = ours.withColumn("left", F.lit(True)).unionByName(theirs.withColumn("left", F.lit(False)))
-    dealt = sides.select(F.xxhash64("key", "i", "j").alias("block"), "uid", "class", "sig", "left")
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
+    columns = ["key", "uid", "class", "band", "sig", "bands", "left"]
+    ours = rows.filter(F.col("class") != F.col("most")).withColumn("left", F.lit(True)).select(*columns, at("outer").alias("i"), each("inner").alias("j"))
+    theirs = rows.withColumn("left", F.lit(False)).select(*columns, each("outer").alias("i"), at("inner").alias("j"))
+    dealt = ours.unionByName(theirs).select(F.xxhash64("key", "i", "j").alias("block"), *columns)
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long, key long")
 
 
 #: Bytes of a shingle's hash in a bag.
@@ -311,7 +280,7 @@ UNIT = 5
 
 
 def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(uid, bag) of the wanted (uid, t1, t2): the sorted hashes of all shingles, the j-th of equal ones hashed with j."""
+    """(uid, bag) of the wanted (uid, lead: doc_id, t1, t2 of a row with the text): the sorted hashes of all shingles, the j-th of equal ones hashed with j."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,9 +295,12 @@ def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), pa.array(out, pa.binary())], names=["uid", "bag"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
-    one_each = keyed.join(wanted, ["t1", "t2"]).dropDuplicates(["uid"])
-    return one_each.select("uid", "text").mapInArrow(run, "uid long, bag binary")
+    keyed = docs.select(F.struct("doc_id", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")).alias("lead"), text.alias("text"))
+    both = keyed.select("text", F.xxhash64("lead.t1", "lead.doc_id").alias("at"), "lead").join(
+        wanted.select("uid", F.xxhash64("lead.t1", "lead.doc_id").alias("at"), F.col("lead").alias("of")), "at"
+    )  # by the row's id too: of many copies of a text only one meets
+    one_each = both.filter(F.col("lead").eqNullSafe(F.col("of"))).select("uid", "text").dropDuplicates(["uid"])
+    return one_each.mapInArrow(run, "uid long, bag binary")
 
 
 def verify(pairs: DataFrame, bag: DataFrame) -> DataFrame:
@@ -343,9 +315,11 @@ def verify(pairs: DataFrame, bag: DataFrame) -> DataFrame:
                 keep.append(both >= SIMILAR * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = bag.withColumnsRenamed({"uid": "a", "bag": "bag_a"})
-    right = bag.withColumnsRenamed({"uid": "b", "bag": "bag_b"})
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
+    total = max(1, pairs.count())
+    of_a = bag.join(pairs.groupBy("a").agg(F.count("*").alias("pairs")), bag["uid"] == F.col("a")).select("a", F.col("bag").alias("bag_a"), "pairs")
+    of_b = bag.join(pairs.groupBy("b").agg(F.count("*").alias("pairs")), bag["uid"] == F.col("b")).select("b", F.col("bag").alias("bag_b"), "pairs")
+    joined = join_split(join_split(pairs, of_a, "a", total), of_b, "b", total)
+    return joined.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -357,36 +331,56 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     with Scratch(docs.sparkSession) as scratch:
         rows = scratch.keep(sign(docs))
-        grouped = rows.groupBy("m1", "m2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("t1", "t2")).alias("text"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-        texts = scratch.keep(grouped.select("m1", "m2", "least", "copies", "text.t1", "text.t2", "bands", "sig", F.monotonically_increasing_id().alias("uid")))
-        members = scratch.keep(buckets(texts))
+        lead = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2")).alias("lead")
+        grouped = rows.groupBy("m1", "m2").agg(lead, F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+        texts = scratch.keep(grouped.select("m1", "m2", F.struct("lead.doc_id", "lead.t1", "lead.t2").alias("lead"), "copies", "bands", "sig", F.monotonically_increasing_id().alias("uid")))
+        members = buckets(texts, scratch)
+        total = max(1, members.count())
         near = scratch.keep(members.select("uid").distinct())
-        bag = scratch.keep(bags(docs, texts.select("uid", "t1", "t2").join(near, "uid")))
-        signed = members.join(texts.select("uid", "sig", "bands"), "uid")
+        bag = scratch.keep(bags(docs, texts.select("uid", "lead").join(near, "uid")))
+        sigs = texts.select("uid", "sig")
         labels = near.withColumn("class", F.col("uid"))
-        links = None
-
-        def link(tried: DataFrame) -> bool:
-            nonlocal links, labels
-            new = scratch.keep(verify(scratch.keep(tried), bag))
+        tried: list[DataFrame] = []
+        links: list[DataFrame] = []
+
+        def link(found: DataFrame) -> bool:
+            """Verifies the pairs that weren't tried and merges the classes of those that are similar; whether there are any."""
+            nonlocal labels
+            for old in tried:
+                found = found.join(old, ["a", "b"], "left_anti")
+            tried.append(scratch.keep(found))
+            new = scratch.keep(verify(tried[-1], bag))
             if new.isEmpty():
                 return False
-            links = new if links is None else links.unionByName(new)
-            found = components(links).withColumnsRenamed({"node": "uid", "component": "class"})
-            labels = scratch.keep(near.join(found, "uid", "left").withColumn("class", F.coalesce("class", "uid")))
+            links.append(new)
+            of = lambda end, name: labels.withColumnsRenamed({"uid": end, "class": name})
+            between = new.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+            merged = components(between).withColumnsRenamed({"node": "class"})
+            sizes = labels.groupBy("class").agg(F.count("*").alias("texts")).join(merged, "class", "left")
+            named = join_counted(labels, sizes.select("class", "texts", F.coalesce("component", "class").alias("into")), "class", "texts", total)
+            labels = scratch.keep(named.select("uid", F.col("into").alias("class")))
             return True
 
-        for ranks in ROUNDS:
-            link(candidates(signed.join(labels, "uid"), ranks))
-        crowd = scratch.keep(crowded(members))
-        if not crowd.isEmpty():
-            crowd = scratch.keep(crowd.join(texts.select("uid", "sig"), "uid"))
-            for leads in (True, False):
-                while link(across(crowd.join(labels, "uid"), leads, nearest=True)):
-                    pass
-            link(across(crowd.join(labels, "uid"), leads=False, nearest=False))
+        link(by_pivots(parted(members).join(sigs, "uid")))
+        large = members.filter(F.col("members") > SIDE)
+        while links and not large.isEmpty():
+            ends = functools.reduce(DataFrame.unionByName, [x.select(F.col(end).alias("uid")) for x in links for end in ("a", "b")])
+            degree = ends.groupBy("uid").agg(F.count("*").alias("degree"))
+            best = F.max_by("uid", F.struct(F.coalesce("degree", F.lit(0)), "uid")).alias("uid")
+            leads = scratch.keep(large.select("key", "uid").join(labels, "uid").join(degree, "uid", "left").groupBy("key", "class").agg(best).select("key", "uid"))
+            counted = leads.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+            if not link(by_pivots(parted(join_counted(leads, counted, "key", "members", max(1, leads.count()))).join(sigs, "uid"))):
+                break
+        signed = texts.select("uid", "sig", "bands")
+        alive = members
+        while True:
+            found = scratch.keep(across(unsettled(alive, labels, total).join(signed, "uid"), nearest=True))
+            alive = scratch.keep(alive.join(found.select("key").distinct(), "key", "left_semi"))  # a bucket without candidates gets none by merging
+            if not link(found.select("a", "b").distinct()):
+                break
+        link(across(unsettled(alive, labels, total).join(signed, "uid"), nearest=False).select("a", "b").distinct())
         known = labels.withColumnRenamed("class", "label")
-        labelled = scratch.keep(texts.select("uid", "m1", "m2", "least", "copies").join(known, "uid", "left").withColumn("class", F.coalesce("label", "uid")))
+        labelled = scratch.keep(texts.select("uid", "m1", "m2", F.col("lead.doc_id").alias("least"), "copies").join(known, "uid", "left").withColumn("class", F.coalesce("label", "uid")))
         sizes = labelled.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("texts"))
         named = join_counted(labelled.select("class", "m1", "m2", "copies"), sizes, "class", "texts", max(1, labelled.count()))
         of_text = scratch.keep(named.select("m1", "m2", "class_id", "class_size", "copies"))

@@ -278,22 +278,36 @@ def test_near_duplicates(spark):
     assert got == {i: root(i) for i in got}
 
 
-def test_large_buckets_are_divided(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BUCKET", 8)
-    monkeypatch.setattr(near_dedup, "ROUNDS", ((0, 3), (3, 8)))
-    assert [near_dedup.unpack(near_dedup.pack(np.array(x, np.uint64))).tolist() for x in ([], [1, (1 << 40) - 1])] == [[], [1, (1 << 40) - 1]]
-    docs = [(i, edited(prose(1, 150), 0.002, i)) for i in range(80)]
-    got = near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert got.select("class_id").distinct().count() <= 3
+@pytest.mark.parametrize("side", [2048, 64])
+def test_large_group_against_brute_force(spark, monkeypatch, side):
+    """A base's copies at all distances from it: some links are between texts that are both far from the middle."""
+    monkeypatch.setattr(near_dedup, "SIDE", side)
+    docs = [(i, edited(prose(1, 100), 0.05 * random.Random(i).random(), i)) for i in range(500)]
+    bags = [set(bag(t)) for _, t in docs]
+    assert max(max(bag(t).values()) for _, t in docs) == 1
+    ids = {w: k for k, w in enumerate(sorted(set().union(*bags)))}
+    has = np.zeros((500, len(ids)), dtype=np.float32)
+    for i, x in enumerate(bags):
+        has[i, [ids[w] for w in x]] = 1
+    both = has @ has.T
+    links = both >= 0.8 * (has.sum(axis=1)[:, None] + has.sum(axis=1)[None] - both)
+    label = np.arange(500)
+    while True:
+        new = np.where(links, label[None], 500).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    assert 3 < len(set(label.tolist())) < 400
+    got = dict(near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "class_id").collect())
+    assert [got[i] for i in range(500)] == label.tolist()
 
 
-def test_more_equal_signatures_than_a_bucket(spark, monkeypatch):
-    spaced = [(i, prose(1, 40).replace(" ", " " * (i % 20 + 1), i // 20 + 1)) for i in range(near_dedup.BUCKET + 44)]
+def test_equal_signatures_are_one_class(spark, monkeypatch):
+    assert [near_dedup.unpack(near_dedup.pack(np.array(x, np.uint64))).tolist() for x in ([], [1, (1 << 40) - 1])] == [[], [1, (1 << 40) - 1]]
+    spaced = [(i, prose(1, 40).replace(" ", " " * (i % 20 + 1), i // 20 + 1)) for i in range(300)]
     got = near_dedup.classes(spark.createDataFrame(spaced, "doc_id long, text string"))
     assert {tuple(r) for r in got.select("class_id", "class_size").collect()} == {(0, len(spaced))}
-    monkeypatch.setattr(near_dedup, "BUCKET", 8)
     monkeypatch.setattr(near_dedup, "SIDE", 16)
-    monkeypatch.setattr(near_dedup, "ROUNDS", ((0, 3), (3, 8)))
     docs = [(i, prose(1, 8000) + f" end{i}") for i in range(60)]
     got = near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {tuple(r) for r in got.select("class_id", "class_size").collect()} == {(0, 60)}
@@ -308,40 +322,19 @@ def test_blocks_of_a_large_bucket_are_all_compared(spark, monkeypatch):
         sig = base.copy()
         at = r.choice(len(sig), int(r.integers(0, 30)), replace=False)
         sig[at] = r.integers(0, 256, len(at))
-        rows.append((7, u, int(r.integers(0, 4)) if u % 3 else 0, sig.tobytes()))
-    registers = near_dedup.registers_of(pa.chunked_array([[x[3] for x in rows]]))
+        rows.append((7, u, int(r.integers(0, 4)) if u % 3 else 0, 5, sig.tobytes(), [3 if b == 5 or b == 2 and u % 4 == 0 else u * 100 + b for b in range(near_dedup.BANDS)]))
+    registers = near_dedup.registers_of(pa.chunked_array([[x[4] for x in rows]]))
     few = near_dedup.BANDS * near_dedup.ROWS
     alike = lambda a, b, n: (registers[a, :n] == registers[b, :n]).sum() >= near_dedup.least(n) * n
-    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if rows[a][2] != rows[b][2] and alike(a, b, few) and alike(a, b, near_dedup.REGISTERS)}
-    crowd = spark.createDataFrame(rows, "key long, uid long, class long, sig binary")
-    assert want and {tuple(x) for x in near_dedup.across(crowd, leads=False, nearest=False).collect()} == want
-    assert {tuple(x) for x in near_dedup.across(crowd, leads=False, nearest=True).collect()} <= want
-    assert len(near_dedup.across(crowd, leads=True, nearest=True).collect()) <= 12
-
-
-def test_pairs_are_named_in_their_first_bucket():
-    r = np.random.default_rng(0)
-    x = r.integers(0, 2, (500, near_dedup.REGISTERS)).astype(np.uint8)  # agreeing by chance, too
-    y = np.where(r.random(x.shape) < 0.8, x, 2).astype(np.uint8)
-    small = r.integers(0, 1 << near_dedup.BANDS, 500)
-    mask = r.integers(0, 1 << near_dedup.BANDS, 500) & ~small
-    same = (x == y)[:, : near_dedup.BANDS * near_dedup.ROWS].reshape(500, near_dedup.BANDS, near_dedup.ROWS).all(axis=2)
-    times = np.zeros(500, dtype=int)
-    met = np.zeros(500, dtype=bool)
-    for band in range(near_dedup.BANDS):
-        for d in range(near_dedup.NEXT + 1):
-            other = (band + d) % near_dedup.BANDS if d else -1
-            here = same[:, band] & ((mask >> band & 1).astype(bool) & same[:, other] if d else (small >> band & 1).astype(bool))
-            met |= here
-            times += here & near_dedup.is_first(x, y, small, mask, band, other)
-    assert met.any() and (times == met).all()
-
-
-def test_bands_that_only_seem_shared(spark):
-    sig = bytes(near_dedup.REGISTERS // 2)  # equal in all bands, but by four bits a register only
-    rows = [(7, u, u, sig, 5, -1, 1 | 1 << 5, 0, [1 if b == 5 else u * 100 + b for b in range(near_dedup.BANDS)]) for u in (1, 2)]
-    members = spark.createDataFrame(rows, "key long, uid long, class long, sig binary, band int, other int, small int, mask int, bands array<long>")
-    assert [tuple(x) for x in near_dedup.candidates(members, (0, near_dedup.BUCKET)).collect()] == [(1, 2)]
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40) if rows[a][2] != rows[b][2] and (a % 4 or b % 4) and alike(a, b, few) and alike(a, b, near_dedup.REGISTERS)}
+    n_most = collections.Counter(x[2] for x in rows).most_common(1)[0]
+    crowd = spark.createDataFrame(rows, "key long, uid long, class long, band int, sig binary, bands array<long>")
+    crowd = crowd.withColumn("n", F.lit(40).cast("long")).withColumn("most", F.lit(n_most[0]).cast("long")).withColumn("few", F.lit(40 - n_most[1]).cast("long"))
+    assert want and {tuple(x)[:2] for x in near_dedup.across(crowd, nearest=False).collect()} == want  # pairs of which both are multiples of 4 share band 2, too
+    assert {tuple(x)[:2] for x in near_dedup.across(crowd, nearest=True).collect()} <= want
+    pairs = near_dedup.by_pivots(crowd).collect()
+    assert 0 < len(pairs) < 40
+    assert all(alike(a, b, near_dedup.REGISTERS) for a, b in pairs)
 
 
 def test_components(spark):
