@@ -50,6 +50,8 @@ REGISTERS = 256
 SIDE = 2048
 #: Texts compared with all of a block at once.
 RUN = 256
+#: 64-bit words of a text's filter, which has a bit for every different shingle.
+FILTER = 16
 
 
 def least(registers: int) -> float:
@@ -88,12 +90,29 @@ def bag_min_hash(element: np.ndarray, weight: np.ndarray, text: np.ndarray, n_te
     return out.reshape(n_texts, registers)
 
 
+def filters(element: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
+    """A filter for each text, n_texts x FILTER words."""
+    out = np.zeros(n_texts * FILTER, dtype=np.uint64)
+    place = (element >> np.uint64(40)) % np.uint64(64 * FILTER)
+    np.bitwise_or.at(out, text * FILTER + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out.reshape(n_texts, FILTER)
+
+
+def may_be_similar(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether texts of n and m shingles with filters x and y can be similar.
+
+    A bit that only one of them has stands for a shingle that only it has, so this loses no link.
+    """
+    most = np.minimum(n - np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64))
+    return most * (1 + SIMILAR) >= SIMILAR * (n + m) - 1e-6
+
+
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, t1, t2 (digests of the text), n (shingles), m1, m2 (digests of the multiset, of the text without shingles), bands array<long>, sig (four bits a register); bands are null without shingles."""
+    """doc_id, t1, t2 (digests of the text), n (shingles), m1, m2 (digests of the multiset, of the text without shingles), bands array<long>, sig (four bits a register), bits (the filter); bands are null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands, sigs, sizes, sums = [], [], [], []
+            bands, sigs, sizes, sums, bits_of = [], [], [], [], []
             for _, data, offsets in blocks(batch.column(3)):
                 n = len(offsets) - 1
                 element, times, text = multisets(data, offsets)
@@ -107,6 +126,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 bands += [x if ok else None for x, ok in zip(key.view(np.int64), whole.tolist())]
                 four = (bits & np.uint64(15)).astype(np.uint8)
                 sigs += [x.tobytes() for x in four[:, ::2] | four[:, 1::2] << 4]
+                bits_of += [x.tobytes() for x in filters(element, text, n)]
                 sizes.append(size)
                 sums.append(np.zeros((2, n), dtype=np.uint64))
                 for k in range(2):
@@ -116,13 +136,13 @@ def sign(docs: DataFrame) -> DataFrame:
                 own = (batch.column(1 + k).to_numpy() for k in range(2))
                 m1, m2 = (pa.array(np.where(size > 0, m.view(np.int64), t)) for m, t in zip(np.concatenate(sums, axis=1), own))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[:3], pa.array(size), m1, m2, pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                    names=["doc_id", "t1", "t2", "n", "m1", "m2", "bands", "sig"],
+                    [*batch.columns[:3], pa.array(size), m1, m2, pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(bits_of, pa.binary())],
+                    names=["doc_id", "t1", "t2", "n", "m1", "m2", "bands", "sig", "bits"],
                 )
 
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select("doc_id", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, m1 long, m2 long, bands array<long>, sig binary")
+    return narrow.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, m1 long, m2 long, bands array<long>, sig binary, bits binary")
 
 
 def buckets(texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -143,6 +163,10 @@ def registers_of(sigs: pa.ChunkedArray) -> np.ndarray:
     return np.stack([sig & 15, sig >> 4], axis=2).reshape(-1, REGISTERS)
 
 
+def filters_of(bits: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(bits.to_pylist()), dtype=np.uint64).reshape(-1, FILTER)
+
+
 def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Part of the registers in which rows of x and y agree, some rows at a time."""
     parts = [(x[i : i + 4096] == y[i : i + 4096]).mean(axis=1) for i in range(0, len(x), 4096)]
@@ -175,9 +199,9 @@ def ordered(a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
 
 
 def by_pivots(members: DataFrame) -> DataFrame:
-    """(a, b), a < b, of members (key, uid, sig): one of them is a pivot of the key, the other is like it and like no earlier one."""
+    """(a, b), a < b, of members (key, uid, sig, n, bits): one of them is a pivot of the key, the other is like it and like no earlier one."""
 
-    def of_group(uid: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def of_group(uid: np.ndarray, sig: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         left = np.arange(len(uid))
         while len(left) > 1:
             own = sig[left]
@@ -187,6 +211,7 @@ def by_pivots(members: DataFrame) -> DataFrame:
             else:
                 at = 0
             near = (own == own[at]).mean(axis=1) >= least(REGISTERS)
+            near &= may_be_similar(n[left], bits[left], n[left[at]], bits[left[at]])
             near[at] = False
             if near.any():
                 yield np.full(int(near.sum()), uid[left[at]]), uid[left[near]]
@@ -196,17 +221,18 @@ def by_pivots(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches):
             key, uid = (t.column(i).to_numpy() for i in range(2))
-            sig = registers_of(t.column(2))
+            sig, n, bits = registers_of(t.column(2)), t.column(3).to_numpy(), filters_of(t.column(4))
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             sizes = np.diff(cuts)
             two = cuts[:-1][sizes == 2]  # most buckets; all of them at once
             two = two[agreement(sig[two], sig[two + 1]) >= least(REGISTERS)]
+            two = two[may_be_similar(n[two], bits[two], n[two + 1], bits[two + 1])]
             found = [(uid[two], uid[two + 1])]
             for a, b in zip(cuts[:-1][sizes > 2].tolist(), cuts[1:][sizes > 2].tolist()):
-                found += of_group(uid[a:b], sig[a:b])
+                found += of_group(uid[a:b], sig[a:b], n[a:b], bits[a:b])
             yield ordered(*(np.concatenate(x) for x in zip(*found)))
 
-    dealt = members.select("key", "uid", "sig").repartition("key").sortWithinPartitions("key", "uid")
+    dealt = members.select("key", "uid", "sig", "n", "bits").repartition("key").sortWithinPartitions("key", "uid")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -226,7 +252,7 @@ def unsettled(members: DataFrame, labels: DataFrame, total: int) -> DataFrame:
 
 
 def across(crowd: DataFrame, nearest: bool) -> DataFrame:
-    """(a, b, key), a < b, of unsettled() with sig and bands: candidates of different classes, named in the first bucket that they share.
+    """(a, b, key), a < b, of unsettled() with sig, bands, size (shingles) and bits: candidates of different classes, named in the first bucket that they share.
 
     Every text that isn't of its bucket's largest class is compared with all of
     the bucket, in blocks, each pair of blocks by itself. With nearest, a text
@@ -234,7 +260,7 @@ def across(crowd: DataFrame, nearest: bool) -> DataFrame:
     """
     few = BANDS * ROWS
 
-    def of_block(uid: np.ndarray, cls: np.ndarray, sig: np.ndarray, bands: np.ndarray, band: int, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def of_block(uid: np.ndarray, cls: np.ndarray, sig: np.ndarray, bands: np.ndarray, size: np.ndarray, bits: np.ndarray, band: int, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ours, theirs = np.flatnonzero(left), np.flatnonzero(~left)
         there = np.ascontiguousarray(sig[theirs, :few])
         for at in range(0, len(ours) if len(theirs) else 0, RUN):
@@ -244,6 +270,7 @@ def across(crowd: DataFrame, nearest: bool) -> DataFrame:
             x, y = own[x], theirs[y]
             alike = agreement(sig[x], sig[y])
             ok = (alike >= least(REGISTERS)) & (named_in(bands[x], bands[y]) == band)
+            ok[ok] = may_be_similar(size[x[ok]], bits[x[ok]], size[y[ok]], bits[y[ok]])
             x, y, alike = x[ok], y[ok], alike[ok]
             if nearest:
                 order = np.lexsort((uid[y], -alike, x))
@@ -259,16 +286,17 @@ def across(crowd: DataFrame, nearest: bool) -> DataFrame:
             band = t.column(4).to_numpy()
             sig = registers_of(t.column(5))
             bands = t.column(6).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-            left = t.column(7).to_numpy().astype(bool)
+            size, bits = t.column(7).to_numpy(), filters_of(t.column(8))
+            left = t.column(9).to_numpy().astype(bool)
             cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                for x, y in of_block(uid[a:b], cls[a:b], sig[a:b], bands[a:b], int(band[a]), left[a:b]):
+                for x, y in of_block(uid[a:b], cls[a:b], sig[a:b], bands[a:b], size[a:b], bits[a:b], int(band[a]), left[a:b]):
                     yield ordered(x, y, np.full(len(x), key[a]))
 
     rows = crowd.withColumn("outer", F.ceil(F.col("few") / SIDE)).withColumn("inner", F.ceil(F.col("n") / SIDE))
     at = lambda sides: F.pmod(F.xxhash64(F.lit(2), "uid"), F.col(sides))
     each = lambda sides: F.explode(F.sequence(F.lit(0).cast("long"), F.col(sides) - 1))
-    columns = ["key", "uid", "class", "band", "sig", "bands", "left"]
+    columns = ["key", "uid", "class", "band", "sig", "bands", "size", "bits", "left"]
     ours = rows.filter(F.col("class") != F.col("most")).withColumn("left", F.lit(True)).select(*columns, at("outer").alias("i"), each("inner").alias("j"))
     theirs = rows.withColumn("left", F.lit(False)).select(*columns, each("outer").alias("i"), at("inner").alias("j"))
     dealt = ours.unionByName(theirs).select(F.xxhash64("key", "i", "j").alias("block"), *columns)
@@ -332,13 +360,13 @@ def classes(docs: DataFrame) -> DataFrame:
     with Scratch(docs.sparkSession) as scratch:
         rows = scratch.keep(sign(docs))
         lead = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2")).alias("lead")
-        grouped = rows.groupBy("m1", "m2").agg(lead, F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-        texts = scratch.keep(grouped.select("m1", "m2", F.struct("lead.doc_id", "lead.t1", "lead.t2").alias("lead"), "copies", "bands", "sig", F.monotonically_increasing_id().alias("uid")))
+        grouped = rows.groupBy("m1", "m2").agg(lead, F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+        texts = scratch.keep(grouped.select("m1", "m2", F.struct("lead.doc_id", "lead.t1", "lead.t2").alias("lead"), "copies", "bands", "sig", "n", "bits", F.monotonically_increasing_id().alias("uid")))
         members = buckets(texts, scratch)
         total = max(1, members.count())
         near = scratch.keep(members.select("uid").distinct())
         bag = scratch.keep(bags(docs, texts.select("uid", "lead").join(near, "uid")))
-        sigs = texts.select("uid", "sig")
+        sigs = texts.select("uid", "sig", "n", "bits")
         labels = near.withColumn("class", F.col("uid"))
         tried: list[DataFrame] = []
         links: list[DataFrame] = []
@@ -346,8 +374,8 @@ def classes(docs: DataFrame) -> DataFrame:
         def link(found: DataFrame) -> bool:
             """Verifies the pairs that weren't tried and merges the classes of those that are similar; whether there are any."""
             nonlocal labels
-            for old in tried:
-                found = found.join(old, ["a", "b"], "left_anti")
+            if tried:
+                found = found.join(functools.reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
             tried.append(scratch.keep(found))
             new = scratch.keep(verify(tried[-1], bag))
             if new.isEmpty():
@@ -371,7 +399,7 @@ def classes(docs: DataFrame) -> DataFrame:
             counted = leads.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
             if not link(by_pivots(parted(join_counted(leads, counted, "key", "members", max(1, leads.count()))).join(sigs, "uid"))):
                 break
-        signed = texts.select("uid", "sig", "bands")
+        signed = texts.select("uid", "sig", "bands", F.col("n").alias("size"), "bits")
         alive = members
         while True:
             found = scratch.keep(across(unsettled(alive, labels, total).join(signed, "uid"), nearest=True))

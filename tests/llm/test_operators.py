@@ -302,6 +302,17 @@ def test_large_group_against_brute_force(spark, monkeypatch, side):
     assert [got[i] for i in range(500)] == label.tolist()
 
 
+def test_filters_bound_similarity():
+    texts = [edited(prose(k % 3, 60), 0.02 * (k % 5), k) for k in range(60)] + ["a b " * 30, "a b " * 24 + "c", "a b"]
+    for _, data, offsets in blocks(pa.array(texts)):
+        element, times, text = multisets(data, offsets)
+        n, bits = np.bincount(text, weights=times).astype(np.int64), near_dedup.filters(element, text, len(texts))
+        x, y = (v.ravel() for v in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+        may = near_dedup.may_be_similar(n[x], bits[x], n[y], bits[y])
+        like = np.array([similarity(bag(texts[i]), bag(texts[j])) >= 0.8 for i, j in zip(x, y)])
+        assert like.sum() > len(texts) and not (like & ~may).any() and may.mean() < 0.5
+
+
 def test_equal_signatures_are_one_class(spark, monkeypatch):
     assert [near_dedup.unpack(near_dedup.pack(np.array(x, np.uint64))).tolist() for x in ([], [1, (1 << 40) - 1])] == [[], [1, (1 << 40) - 1]]
     spaced = [(i, prose(1, 40).replace(" ", " " * (i % 20 + 1), i // 20 + 1)) for i in range(300)]
@@ -329,10 +340,11 @@ def test_blocks_of_a_large_bucket_are_all_compared(spark, monkeypatch):
     want = {(a, b) for a in range(40) for b in range(a + 1, 40) if rows[a][2] != rows[b][2] and (a % 4 or b % 4) and alike(a, b, few) and alike(a, b, near_dedup.REGISTERS)}
     n_most = collections.Counter(x[2] for x in rows).most_common(1)[0]
     crowd = spark.createDataFrame(rows, "key long, uid long, class long, band int, sig binary, bands array<long>")
+    crowd = crowd.withColumns({"size": F.lit(9).cast("long"), "bits": F.lit(bytes(8 * near_dedup.FILTER))})
     crowd = crowd.withColumn("n", F.lit(40).cast("long")).withColumn("most", F.lit(n_most[0]).cast("long")).withColumn("few", F.lit(40 - n_most[1]).cast("long"))
     assert want and {tuple(x)[:2] for x in near_dedup.across(crowd, nearest=False).collect()} == want  # pairs of which both are multiples of 4 share band 2, too
     assert {tuple(x)[:2] for x in near_dedup.across(crowd, nearest=True).collect()} <= want
-    pairs = near_dedup.by_pivots(crowd).collect()
+    pairs = near_dedup.by_pivots(crowd.drop("n").withColumnRenamed("size", "n")).collect()
     assert 0 < len(pairs) < 40
     assert all(alike(a, b, near_dedup.REGISTERS) for a, b in pairs)
 
