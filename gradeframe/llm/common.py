@@ -70,6 +70,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def id_type(docs: DataFrame) -> str:
+    """The type of doc_id, for the schemas of Arrow functions that carry it: ids may be integers or texts."""
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
 def id_text(col: str = "doc_id") -> Column:
     """doc_id as text; null counts as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -29,6 +29,8 @@ TRAIN_ROWS = 4000
 SHARP = 25.0
 #: Characters handled at a time.
 CHUNK = 1 << 20
+#: Cells of a table of texts and trigrams.
+TABLE = 1 << 22
 UNKNOWN = "und"
 
 
@@ -66,8 +68,15 @@ def bundle(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     used = np.flatnonzero(np.bincount(ids, minlength=SLOTS**3))
     place = np.zeros(SLOTS**3, dtype=np.int64)
     place[used] = np.arange(len(used))
-    counts = np.bincount(doc * len(used) + place[ids], minlength=len(texts) * len(used)).reshape(len(texts), len(used))
-    return counts.astype(np.float32) @ trigram_vectors(used).astype(np.float32), np.bincount(doc, minlength=len(texts)) > 0
+    known = trigram_vectors(used).astype(np.float32)
+    out = np.zeros((len(texts), DIM), dtype=np.float32)
+    step = max(1, TABLE // max(1, len(used)))
+    for at in range(0, len(texts), step):  # texts in many scripts have many trigrams: fewer texts at a time
+        n = min(step, len(texts) - at)
+        own = slice(*np.searchsorted(doc, [at, at + n]))
+        counts = np.bincount((doc[own] - at) * len(used) + place[ids[own]], minlength=n * len(used)).reshape(n, len(used))
+        out[at : at + n] = counts.astype(np.float32) @ known
+    return out, np.bincount(doc, minlength=len(texts)) > 0
 
 
 def vectors(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -146,7 +155,8 @@ def _predicted(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> Dat
 
 
 def identify(docs: DataFrame, langs: list[str], prototypes: np.ndarray) -> DataFrame:
-    """docs with lang_pred, lang_score and lang_cosine; see _predicted()."""
+    """docs with lang_pred, lang_score and lang_cosine, in place of columns of these names; see _predicted()."""
+    docs = docs.drop("lang_pred", "lang_score", "lang_cosine")
     return _predicted(docs, langs, prototypes).toDF(*docs.columns, "lang_pred", "lang_score", "lang_cosine")
 
 
@@ -155,7 +165,12 @@ LEAST_COSINE = 0.05
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The documents in a language that docs' labels teach, with their columns; texts without letters and those like none go."""
+    """The documents in a language that docs' labels teach, with their columns; texts without letters and those like none go.
+
+    Null texts have no letters and go too. Null languages teach nothing; without
+    any labelled row nothing is known and all rows go. Null ids and repeated rows
+    are rows like any others; an empty table gives an empty result.
+    """
     langs, prototypes = learn(docs)
     kept = _predicted(docs, langs, prototypes).filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_cosine") >= LEAST_COSINE))
     return kept.drop("lang_pred", "lang_score", "lang_cosine").toDF(*docs.columns)

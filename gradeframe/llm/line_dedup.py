@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import Scratch, checkpoint, join_counted, table
+from gradeframe.llm.common import Scratch, checkpoint, id_type, join_counted, table
 from gradeframe.llm.shingles import ODD, blocks, mix, pack, spaces, unpack, words
 
 SIMILAR = 0.8
@@ -118,7 +118,7 @@ def lines(docs: DataFrame, table_of_codes: np.ndarray) -> DataFrame:
                 )
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, "doc_id long, mark long, line long, d1 long, d2 long, n long, b1 long, b2 long, live array<long>")
+    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, f"doc_id {id_type(docs)}, mark long, line long, d1 long, d2 long, n long, b1 long, b2 long, live array<long>")
 
 
 def digests(word: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

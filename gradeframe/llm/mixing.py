@@ -56,8 +56,24 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
+def source_key() -> Column:
+    return F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
+
+
+def due(demand: Column, weight: Column) -> Column:
+    """The training time, 0 to 1, at which a source of this weight has given this part of its target.
+
+    Its schedule leads from the weight at time 0 to 4 less the weight at time 1: later sources of a trio gain,
+    earlier ones lose.
+    """
+    start, slope = weight, 4.0 - 2 * weight
+    part = F.least(F.lit(1.0), demand)
+    when = F.when(slope == 0, part).otherwise((F.sqrt(start * start + 4 * slope * part) - start) / F.nullif(slope, F.lit(0.0)))
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), when)), 9)
+
+
 def schedule(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """A row per input row: skey, doc_id, size, source_size, target, taken, copies, position and `row`, a digest of id and text.
+    """A row per input row: skey, doc_id, size, source_size, target, taken, copies, position, `row` (a digest of the text), offset (words before it in its source's stream) and weight.
 
     Documents stand in their source's stream in the order of a digest of their
     id. All are taken floor(target / source_size) times and the stream's start,
@@ -70,9 +86,8 @@ def schedule(docs: DataFrame, whole: bool = False) -> DataFrame:
     nothing and have no copies; equal rows are told apart by their order only.
     """
     ids = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    skey = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
     rows = checkpoint(
-        docs.select(skey.alias("skey"), "doc_id", word_count().alias("size"), ids.alias("place"), F.md5(F.coalesce("text", F.lit(""))).alias("row"))
+        docs.select(source_key().alias("skey"), "doc_id", word_count().alias("size"), ids.alias("place"), F.md5(F.coalesce("text", F.lit(""))).alias("row"))
     )
     per_source = rows.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     source = F.when(F.col("skey") == "-", F.lit(None)).otherwise(F.substring("skey", 2, 1 << 30))
@@ -98,12 +113,7 @@ def schedule(docs: DataFrame, whole: bool = False) -> DataFrame:
     if whole:
         part_taken = F.when(2 * part_taken >= F.col("size"), F.col("size")).otherwise(F.lit(0))
     taken = begun.withColumn("full", full).withColumn("rest", rest).withColumn("more", part_taken.cast("long"))
-    # weight at time 0 and at time 1: later sources of a trio gain, earlier ones lose
-    start, end = F.col("weight"), 4.0 - F.col("weight")
-    demand = F.when(F.col("target") > 0, F.least(F.lit(1.0), F.col("offset") / F.col("target"))).otherwise(F.lit(0.0))
-    area = demand * (start + end) / 2
-    slope = end - start
-    when = F.when(slope == 0, demand).otherwise((F.sqrt(start * start + 2 * slope * area) - start) / F.nullif(slope, F.lit(0.0)))
+    demand = F.when(F.col("target") > 0, F.col("offset") / F.col("target")).otherwise(F.lit(0.0))
     return taken.select(
         "skey",
         "doc_id",
@@ -113,27 +123,43 @@ def schedule(docs: DataFrame, whole: bool = False) -> DataFrame:
         "target",
         (F.col("full") * F.col("size") + F.col("more")).cast("long").alias("taken"),
         F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("full") + (F.col("more") > 0).cast("long")).cast("long").alias("copies"),
-        F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), when)), 9).alias("position"),
+        due(demand, F.col("weight")).alias("position"),
+        "offset",
+        "weight",
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, whole, once per copy and range-sorted by training position, with the columns of docs."""
+    """The documents of the mix, whole, once per copy and range-sorted by training position, with the columns of docs.
+
+    The k-th copy (from 0) of a document has its own position: where its source's
+    demand reaches k times the source's size and the document's offset. So a source
+    that is taken twice gives its second copies in the second half of its stream,
+    among the other sources' documents of that time.
+
+    Null and empty texts have no words and aren't taken; null ids and sources are
+    values like others. Rows with equal id, text and source share their copies,
+    one plan row each. An empty table gives an empty result.
+    """
     names = docs.columns
-    row = F.md5(F.coalesce("text", F.lit("")))
-    copies = schedule(docs, whole=True).filter("copies > 0").groupBy("doc_id", "row").agg(
-        F.sum("copies").alias("__copies"), F.count("*").alias("__rows"), F.min("position").alias("__position")
-    )
-    wanted = copies.withColumnsRenamed({"doc_id": "__id", "row": "__of"})
-    keyed = docs.withColumn("__row", row)
-    joined = keyed.join(wanted, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__of")))
-    # equal rows share their copies; the first ones take what doesn't divide
-    nth = F.row_number().over(W.partitionBy("__id", "__of").orderBy("__position"))
-    own = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__nth") <= F.col("__copies") % F.col("__rows")).cast("long")
-    times = joined.withColumn("__nth", nth).withColumn("__own", own.cast("int")).filter("__own > 0")
-    spread = times.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__own") - 1)))
-    by = ["__copy", "__position", "__row"]
-    return spread.repartitionByRange(*by).sortWithinPartitions(*by).select(*names)
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), c), F.lit("-"))
+    key = lambda row: F.md5(F.concat_ws("|", part(F.col("doc_id").cast("string")), row, F.col("skey")))
+    given = ("copies", "offset", "source_size", "target", "weight")
+    plan = schedule(docs, whole=True).filter("copies > 0").select(key(F.col("row")).alias("__key"), F.struct(*given).alias("__plan"))
+    plan = checkpoint(plan.withColumn("__nth", F.row_number().over(W.partitionBy("__key").orderBy("__plan"))))
+    counted = plan.groupBy("__key").agg(F.max("__nth").alias("__rows"), F.min(F.when(F.col("__nth") == 1, F.col("__plan"))).alias("__first"))
+    text_row = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    keyed = docs.withColumn("__key", F.md5(F.concat_ws("|", part(F.col("doc_id").cast("string")), text_row, source_key())))
+    joined = keyed.join(counted, "__key").withColumn("__nth", F.row_number().over(W.partitionBy("__key").orderBy("__key")))
+    joined = joined.filter(F.col("__nth") <= F.col("__rows"))
+    once = joined.filter("__nth = 1").select(*names, "__key", F.col("__first").alias("__plan"))
+    again = joined.filter("__nth > 1").select(*names, "__key", "__nth").join(plan.filter("__nth > 1"), ["__key", "__nth"]).select(*names, "__key", "__plan")
+    rows = once.unionByName(again)
+    spread = rows.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__plan.copies") - 1)))
+    demand = (F.col("__copy") * F.col("__plan.source_size") + F.col("__plan.offset")) / F.col("__plan.target")
+    placed = spread.withColumn("__position", due(demand, F.col("__plan.weight"))).drop("__plan")
+    by = ["__position", "__key", "__copy"]
+    return placed.repartitionByRange(*by).sortWithinPartitions(*by).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

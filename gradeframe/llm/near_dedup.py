@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import Scratch, checkpoint, join_counted, join_split, table
+from gradeframe.llm.common import Scratch, checkpoint, id_type, join_counted, join_split, table
 from gradeframe.llm.components import components
 from gradeframe.llm.shingles import ODD, blocks, mix, multisets, pack, unpack
 
@@ -142,7 +142,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select("doc_id", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, m1 long, m2 long, bands array<long>, sig binary, bits binary")
+    return narrow.mapInArrow(run, f"doc_id {id_type(docs)}, t1 long, t2 long, n long, m1 long, m2 long, bands array<long>, sig binary, bits binary")
 
 
 def buckets(texts: DataFrame, scratch: Scratch) -> DataFrame:

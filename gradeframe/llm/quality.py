@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import id_text, table
+from gradeframe.llm.common import id_text, id_type, table
 
 WIDTH, STEP = 8, 4
 EMBED, FILTERS = 8, 32
@@ -154,7 +154,7 @@ def score(docs: DataFrame, net: ByteConvNet) -> DataFrame:
             texts = [t or b"" for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(net.score_all(texts), pa.float64())], names=["doc_id", "held_out", "score"])
 
-    return docs.select("doc_id", "held_out", F.col("text").cast("binary")).mapInArrow(predict, "doc_id long, held_out boolean, score double")
+    return docs.select("doc_id", "held_out", F.col("text").cast("binary")).mapInArrow(predict, f"doc_id {id_type(docs)}, held_out boolean, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

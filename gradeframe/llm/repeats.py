@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import Scratch, checkpoint, join_counted, table
+from gradeframe.llm.common import Scratch, checkpoint, id_type, join_counted, table
 from gradeframe.llm.shingles import ODD, blocks, mix, powers
 
 LENGTH, GRAM = 400, 128
@@ -185,7 +185,7 @@ def contexts(docs: DataFrame) -> DataFrame:
                 rows = pa.array(text + first)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), *map(pa.array, found)], names=["doc_id", "t1", "t2", "lo", "hi", "h", "c1", "c2"])
 
-    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, lo long, hi long, h long, c1 long, c2 long")
+    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, t1 long, t2 long, lo long, hi long, h long, c1 long, c2 long")
 
 
 def with_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             n, r, s, kept = zip(*out) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.select("doc_id", "text", "marks").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.select("doc_id", "text", "marks").mapInArrow(run, f"doc_id {id_type(docs)}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,13 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import checkpoint, table
+from gradeframe.llm.common import checkpoint, id_type, table
 
 #: Partitions that deal rows; more are merged first, which bounds the matrix.
 DEALERS = 4096
@@ -67,17 +67,18 @@ def assign(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     total = int(counts.sum())
     blocks = max(1, -(-total // (shards * BLOCK)))
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = TaskContext.get().partitionId()
         rng = np.random.default_rng([seed, p])
         to = rng.permutation(np.repeat(np.arange(shards, dtype=np.int32), matrix[p]))
         at = 0
-        for pdf in batches:
-            again = rng.integers(0, 1 << 62, len(pdf), dtype=np.int64)
-            yield pdf.assign(shard=to[at : at + len(pdf)], key=again)
-            at += len(pdf)
+        for batch in batches:
+            n = batch.num_rows
+            again = rng.integers(0, 1 << 62, n, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to[at : at + n]), pa.array(again)], names=[*batch.schema.names, "shard", "key"])
+            at += n
 
-    dealt = keys.mapInPandas(deal, schema="doc_id long, size long, text_crc32 long, shard int, key long")
+    dealt = keys.mapInArrow(deal, f"doc_id {id_type(docs)}, size long, text_crc32 long, shard int, key long")
     dealt = checkpoint(dealt.withColumn("block", F.expr(f"cast((key >> 31) * {blocks} >> 31 as int)")))
     per_block = dealt.groupBy("shard", "block").count()
     earlier = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -89,12 +90,24 @@ def assign(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 7) -> DataFrame:
-    """Writes the documents (ids must be unique) as path/shard=N/, each in slot order; returns the assignment."""
-    where = checkpoint(assign(docs, shards, seed).select("doc_id", "shard", "slot"))
-    n = where.count()
-    whole = docs.join(where, "doc_id")
-    whole.repartitionByRange(max(shards, n // 1_000_000), "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
-    return where
+    """Writes the documents as path/shard=N/, each in slot order, with their slot; returns the assignment.
+
+    Null and repeated ids and equal rows are rows like any others: rows that are
+    alike in id, size and crc are interchangeable and get their places in any
+    order. Input columns `shard` and `slot` are written as input_shard and
+    input_slot. An empty table writes no rows.
+    """
+    where = checkpoint(assign(docs, shards, seed))
+    renamed = docs.withColumnsRenamed({c: f"input_{c}" for c in docs.columns if c in ("shard", "slot")})
+    key = lambda size, crc: F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("+"), F.col("doc_id").cast("string")), F.lit("-")), size, crc))
+    alike = F.row_number().over(W.partitionBy("__key").orderBy("__key"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    own = renamed.withColumn("__key", key((F.octet_length(text) + 16).cast("long"), F.crc32(text.cast("binary")))).withColumn("__nth", alike)
+    places = where.select(key(F.col("size"), F.col("text_crc32")).alias("__key"), "shard", "slot").withColumn("__nth", F.row_number().over(W.partitionBy("__key").orderBy("shard", "slot")))
+    whole = own.join(places, ["__key", "__nth"]).drop("__key", "__nth")
+    files = max(shards, where.count() // 1_000_000)
+    whole.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    return where.select("doc_id", "shard", "slot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def test_empty_table(spark, none, name):
     assert RUNS[name](spark, none).count() == 0
 
 
-@pytest.mark.parametrize("name", sorted(set(RUNS) - {"language"}))
+@pytest.mark.parametrize("name", sorted(set(RUNS)))
 def test_clashing_columns(spark, clashing, name):
     assert RUNS[name](spark, clashing).count() == len(ODD)
 
@@ -157,6 +157,40 @@ def test_curriculum_order(spark):
     assert mean["+a"] > mean["+c"]  # weight 1 grows over time, weight 3 shrinks
 
 
+def test_each_copy_has_its_own_position(spark, monkeypatch):
+    rows = [(i, prose(i, 3 + i % 40), "en", "src" + "abcd"[min(3, i % 7)], i) for i in range(160)]
+    rows += [(500, prose(500, 30), "en", "srca", 1)] * 3 + [(None, prose(501, 20), None, None, 2)] * 2  # equal rows, nulls
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plan = mixing.schedule(docs, whole=True).collect()
+    want = []
+    for r in plan:
+        start, slope = r.weight, 4 - 2 * r.weight
+        for k in range(r.copies):
+            demand = min(1.0, (k * r.source_size + r.offset) / r.target)
+            # the area under the line from start to end, scaled to 1, reaches the demand at this time
+            lo, hi = 0.0, 1.0
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if (start * mid + slope * mid * mid / 2) / 2 < demand else (lo, mid)
+            want.append((lo, r.doc_id, r.size))
+    assert max(r.copies for r in plan) >= 2
+    got = mixing.mix(docs).collect()
+    assert sorted(map(str, ((r.doc_id, len(split(r.text))) for r in got))) == sorted(str(x[1:]) for x in want)
+    at = collections.defaultdict(list)
+    for when, i, size in sorted(want, key=lambda x: x[0]):
+        at[i, size].append(when)
+    seen = collections.Counter()
+    times = []
+    for r in got:
+        k = (r.doc_id, len(split(r.text)))
+        times.append(at[k][seen[k]])
+        seen[k] += 1
+    assert all(a <= b + 1e-6 for a, b in zip(times, times[1:]))
+    double = {r.skey for r in plan if r.copies > 1 and r.target >= 2 * r.source_size}
+    places = [n for n, r in enumerate(got) if f"+{r.source}" in double]
+    assert double and np.mean(places) / len(got) < 0.75  # not all at the end
+
+
 # ---- sharding -----------------------------------------------------------------
 
 
@@ -179,6 +213,30 @@ def test_communication_matrix():
     assert np.allclose(draws, 10, atol=0.5)
 
 
+def test_communication_matrix_is_hypergeometric():
+    """Against shuffling all rows and counting: means and variances of a cell."""
+    counts, shards = np.array([6, 10, 4]), 4
+    drawn = np.array([sharding.communication_matrix(counts, shards, s) for s in range(3000)])
+    rng = np.random.default_rng(5)
+    of = np.repeat(np.arange(3), counts)
+    cut = []
+    for _ in range(3000):
+        to = np.repeat(np.arange(shards), 5)[rng.permutation(20)]
+        cut.append([[((of == p) & (to == s)).sum() for s in range(shards)] for p in range(3)])
+    cut = np.array(cut)
+    assert np.allclose(drawn.mean(axis=0), cut.mean(axis=0), atol=0.12)
+    assert np.allclose(drawn.var(axis=0), cut.var(axis=0), atol=0.2)
+
+
+def test_shards_keep_large_ids_beside_nulls(spark):
+    ids = [(1 << 60) + 7, (1 << 60) + 9, None, -3, None, (1 << 60) + 7]
+    docs = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    got = sharding.assign(docs, 2).collect()
+    key = lambda i: (i is None, i or 0)
+    assert sorted((r.doc_id for r in got), key=key) == sorted(ids, key=key)
+    assert {zlib.crc32(f"t{n}".encode()): i for n, i in enumerate(ids)} == {r.text_crc32: r.doc_id for r in got}
+
+
 def test_written_shards(spark, tmp_path):
     docs = spark.range(200).selectExpr("id AS doc_id", "cast(id AS string) AS text")
     where = sharding.write_shards(docs, str(tmp_path / "s"), 5)
@@ -186,6 +244,25 @@ def test_written_shards(spark, tmp_path):
     assert back.count() == 200 and back.join(where, ["doc_id", "shard", "slot"]).count() == 200
 
 
+def test_written_shards_of_odd_rows(spark, clashing, none, tmp_path):
+    for n, docs in enumerate((clashing, none)):
+        path = str(tmp_path / str(n))
+        where = sharding.write_shards(docs, path, 3)
+        if not n:
+            back = spark.read.parquet(path)
+            assert back.count() == where.count() == len(ODD) and {"input_shard", "input_slot"} < set(back.columns)
+            pairs = lambda rows: sorted(str((r.doc_id, r.shard, r.slot)) for r in rows.collect())
+            assert pairs(back) == pairs(where)
+            assert sorted(str((r.doc_id, r.text)) for r in back.collect()) == sorted(str(x[:2]) for x in ODD)
+
+
+@pytest.mark.parametrize("name", ["repeats", "shards", "near", "lines"])
+def test_ids_may_be_texts(spark, odd, name):
+    docs = odd.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    got = RUNS[name](spark, docs)
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted("None" if x[0] is None else f"d{x[0]}" for x in ODD)
+
+
 # ---- decontamination ----------------------------------------------------------
 
 
