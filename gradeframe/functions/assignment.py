@@ -82,8 +82,8 @@ def score_matrix(gold: list[tuple[str, np.ndarray]], pred: list[tuple[str, np.nd
     return np.array([[name_weight * name_score(a, b) + (1 - name_weight) * data_score(x, y) for b, y in pred] for a, x in gold], dtype=float).reshape(len(gold), len(pred))
 
 
-def assign_series(gold: Column, pred: Column) -> Column:
-    """array<struct<g, p>> of 0-based places in two arrays of series, ordered by g."""
+def assign_normalised(gold: Column, pred: Column) -> Column:
+    """array<struct<g, p>> of 0-based places in two arrays of struct<name, data: array<struct<y, ...>>>, names normalised, ordered by g."""
 
     @F.pandas_udf(PAIRS)
     def solve(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -97,6 +97,12 @@ def assign_series(gold: Column, pred: Column) -> Column:
             yield pd.Series(out)
 
     def parts(series: Column) -> tuple[Column, Column]:
-        return F.transform(series, lambda s: normalize_text(s["name"])), F.transform(series, lambda s: F.transform(s.data, lambda p: p.y))
+        return F.transform(series, lambda s: s["name"]), F.transform(series, lambda s: F.transform(s.data, lambda p: p.y))
 
     return solve.asNondeterministic()(*parts(gold), *parts(pred))  # so the optimiser neither repeats it nor moves it into a lambda
+
+
+def assign_series(gold: Column, pred: Column) -> Column:
+    """assign_normalised() of series as they come."""
+    named = lambda series: F.transform(series, lambda s: F.struct(normalize_text(s["name"]).alias("name"), s.data.alias("data")))
+    return assign_normalised(named(gold), named(pred))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from gradeframe.functions.text import normalize_text
+from gradeframe.functions.text import ASCII, PLAIN, normalize_text, strip
 
 EPSILON = 1e-9
 TOLERANCES = (0.01, 0.05, 0.10)
-#: Factors by which whole series are known to be off.
+#: Factors by which whole series are known to be off.
 SCALES = (1e-6, 1e-3, 1e-2, 1e2, 1e3, 1e6)
 FLOAT = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
-#: Cells that hold no number.
+#: Cells that hold no number, and what a number looks like in others.
 NULL_CELLS = ("-", "--", "", "n/a", "na", "null", "none", "*")
 NUMBER = r"-?[\d,]*\.?\d+"
 
@@ -21,17 +26,24 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
+def ascii_digits(c: Column) -> Column:
+    """The decimal digits of all scripts as ASCII ones."""
+    digits = [chr(i) for i in range(128, 0x110000) if chr(i).isdecimal()]
+    plain = "".join(str(unicodedata.decimal(d)) for d in digits)
+    return F.when(c.rlike(ASCII), c).otherwise(F.translate(c, "".join(digits), plain))
+
+
 def as_float(c: Column) -> Column:
     """A string as a finite double, thousands commas and digit underscores allowed; else null."""
-    bare = F.replace(F.regexp_replace(c, r"^(?U)\s+|(?U)\s+$", ""), F.lit(","), F.lit(""))
+    bare = ascii_digits(strip(F.replace(c, F.lit(","), F.lit(""))))
     digits = F.when(bare.rlike(FLOAT), F.replace(bare, F.lit("_"), F.lit("")))
     return finite(digits.try_cast("double"))
 
 
 def parse_number(cell: Column) -> Column:
     """The first number of a table cell, whatever stands around it; null for cells without one."""
-    text = F.trim(cell)
-    found = F.regexp_extract(F.replace(text, F.lit(" "), F.lit("")), NUMBER, 0)
+    text = strip(cell)
+    found = F.regexp_extract(ascii_digits(F.replace(text, F.lit(" "), F.lit(""))), NUMBER, 0)
     number = F.replace(found, F.lit(","), F.lit("")).try_cast("double")
     return F.when(F.lower(text).isin(*NULL_CELLS), None).otherwise(number)
 
@@ -54,9 +66,10 @@ def x_matches(gold: Column, pred: Column) -> Column:
 
 
 def x_key(kind: Column, text: Column, number: Column) -> Column:
-    """What x_matches() compares: struct<num, text>."""
+    """What x_matches() compares: struct<num, text>. Labels that begin with a letter are no numbers, whole numbers are read as they are."""
     as_text = F.when(kind == "num", number.cast("string")).otherwise(text)
-    num = F.when(kind == "num", finite(number)).otherwise(as_float(text))
+    read = F.when(text.rlike("^[A-Za-z]") & text.rlike(PLAIN), None).when(text.rlike("^[0-9]{1,15}$"), text.cast("double")).otherwise(as_float(text))
+    num = F.when(kind == "num", finite(number)).otherwise(read)
     return F.struct(num.alias("num"), normalize_text(as_text).alias("text"))
 
 
@@ -98,12 +111,23 @@ def magnitude(values: Column) -> Column:
     return F.when(top > 0, F.floor(F.log10(top))).otherwise(F.lit(0)).cast("int")
 
 
-def readable(value: Column) -> Column:
-    """A value rounded as a chart would show it: three figures from 1000 on, a decimal from 10, else three."""
-    mag = F.floor(F.log10(F.abs(value)))
-    step = F.pow(F.lit(10.0), mag - 2)
-    big = F.rint(value / step) * step
-    return F.when(value == 0, F.lit(0.0)).when(mag >= 3, big).when(mag >= 1, F.rint(value * 10) / 10).otherwise(F.rint(value * 1000) / 1000)
+def shown(value: float | None) -> float | None:
+    """Rounded as a chart would show it: three figures from 1000 on, a decimal from 10, else three; ties by the binary value."""
+    if value is None or not math.isfinite(value) or value == 0:
+        return value
+    places = math.floor(math.log10(abs(value)))
+    return round(value, 2 - places if places >= 3 else 1 if places >= 1 else 3)
+
+
+@F.pandas_udf(DoubleType())
+def readable(value: pd.Series) -> pd.Series:
+    """shown() of a column. Spark's own rounding goes by the decimal text, so 10.35 would become 10.4."""
+    return value.map(shown, na_action="ignore")
+
+
+def over_capacity(peak: Column, capacity: Column) -> Column:
+    """Whether a peak spilled over what there was."""
+    return peak > capacity
 
 
 def scaled_side(side: Column, long_edge: Column, target: int, upscale: bool = True) -> Column:

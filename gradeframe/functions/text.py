@@ -5,26 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters whose case folding is more than lower-casing, and what they fold to.
-FOLDS = (("ß", "ss"), ("ς", "σ"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"))
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+#: White space of any script, and the separators 0x1C to 0x1F that count as such.
+SPACE = r"[\s\x1C-\x1F]"
+#: Words of ASCII letters and digits with one space between: most labels.
+PLAIN = r"^[A-Za-z0-9]+( [A-Za-z0-9]+)*$"
+ASCII = r"^[\x00-\x7F]*$"
+
+
+def strip(c: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(c, rf"^(?U){SPACE}+|(?U){SPACE}+$", "")
 
 
 def casefold(c: Column) -> Column:
-    out = F.lower(c)
-    for letter, folded in FOLDS:
-        out = F.replace(out, F.lit(letter), F.lit(folded))
-    return out
+    """Full case folding: what has one capital form becomes the small form of that (ligatures and sharp s more letters).
+
+    The dotless i stands aside, as its capital is that of the dotted one.
+    """
+    capital = F.upper(F.translate(F.lower(c), "\u0131", "\ufdd0"))  # the translations keep the optimiser from merging the conversions
+    folded = F.translate(F.lower(F.translate(capital, "\ufdd0", "\u0131")), "\u03c2", "\u03c3")
+    return F.when(c.rlike(ASCII), F.lower(c)).otherwise(folded)
 
 
 def squeeze(c: Column) -> Column:
     """White space runs as one space, none at the ends; null as empty."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?U){SPACE}+", " "))
 
 
 def normalize_text(c: Column) -> Column:
     """Labels compared by letters and digits: squeezed, folded, without other characters at the ends."""
-    return F.regexp_replace(casefold(squeeze(c)), EDGES, "")
+    return F.when(c.rlike(PLAIN), F.lower(c)).otherwise(F.regexp_replace(casefold(squeeze(c)), EDGES, ""))
 
 
 def text_correct(gold: Column, pred: Column) -> Column:
@@ -103,3 +114,9 @@ def failure_class(message: Column, kind: Column) -> Column:
 
 def error_text(kind: Column, message: Column, most: int = 200) -> Column:
     return F.concat(kind, F.lit(": "), F.substring(message, 1, most))
+
+
+def locale_pick(json: Column, key: str, default: Column) -> Column:
+    """The entry under `key` of a JSON object; a JSON that is no object is itself the value; else the default."""
+    bare = strip(json)
+    return F.coalesce(F.when(bare.startswith("{"), F.get_json_object(bare, f"$.{key}")).otherwise(json), default)

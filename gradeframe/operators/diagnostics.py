@@ -65,6 +65,12 @@ def throughput(df: DataFrame, by: str, order: str, size: str, seconds: str, stal
     return df.select(by, order, rate.alias("mb_s"), (rate < stall).alias("stalled"))
 
 
+def group_sums(df: DataFrame, by: str, value: str, parts: dict[str, Column]) -> DataFrame:
+    """Sums of a value by group: `total`, and of the rows that each named condition holds for."""
+    own = [F.sum(F.when(condition, F.col(value)).otherwise(0)).alias(name) for name, condition in parts.items()]
+    return df.groupBy(by).agg(F.sum(value).alias("total"), *own)
+
+
 def median_of_runs(df: DataFrame, by: str, warm_up: str, seconds: str, nth: str) -> DataFrame:
     """Upper median of the timed runs: one if the warm-up took over 3 s, else three."""
     used = df.filter(F.col(nth) <= F.when(F.col(warm_up) > 3, 1).otherwise(3))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeframe.functions.assignment import assign_series
+from gradeframe.functions.assignment import assign_normalised
 from gradeframe.functions.numbers import TOLERANCES, ape, array_mean, array_median, relative_error, scale_error, series_bucket, within
-from gradeframe.functions.text import text_correct
+from gradeframe.functions.text import normalize_text, text_correct
 from gradeframe.operators.matching import keyed, match_points
 from gradeframe.types import ALL_FIELDS, SERIES
 
@@ -28,19 +28,21 @@ def score_samples(df: DataFrame) -> DataFrame:
     none = F.array().cast(f"array<{SERIES}>")
     valid = F.col("pred").isNotNull()
     fields = F.coalesce(F.col("scored_fields"), F.array(*map(F.lit, ALL_FIELDS)))
+    # names and points' keys are made once, in a step of their own: the lambdas below read them many times
+    compared = lambda series: F.transform(series, lambda s: F.struct(normalize_text(s["name"]).alias("name"), keyed(s.data).alias("data")))
     df = (
         df.withColumn("fields", fields)
         .withColumn("valid_json", valid)
-        .withColumn("gold_series", F.coalesce(F.col("gold.series"), none))
-        .withColumn("pred_series", F.coalesce(F.col("pred.series"), none))
-        .withColumn("series_pairs", assign_series(F.col("gold_series"), F.col("pred_series")))
+        .withColumn("gold_series", compared(F.coalesce(F.col("gold.series"), none)))
+        .withColumn("pred_series", compared(F.coalesce(F.col("pred.series"), none)))
+        .withColumn("series_pairs", assign_normalised(F.col("gold_series"), F.col("pred_series")))
     )
     of = lambda name, i: F.get(F.col(name), i)
     matched = F.transform(
         "series_pairs",
         lambda q: F.struct(
-            text_correct(of("gold_series", q.g)["name"], of("pred_series", q.p)["name"]).alias("name_ok"),
-            match_points(keyed(of("gold_series", q.g).data), keyed(of("pred_series", q.p).data)).alias("m"),
+            (of("gold_series", q.g)["name"] == of("pred_series", q.p)["name"]).alias("name_ok"),
+            match_points(of("gold_series", q.g).data, of("pred_series", q.p).data).alias("m"),
         ),
     )
     df = df.withColumn("matched", matched)
@@ -63,13 +65,11 @@ def score_samples(df: DataFrame) -> DataFrame:
     for t in TOLERANCES:
         df = df.withColumn(f"hits_{SHORT[t]}", hits(t))
         df = df.withColumn(f"va_{SHORT[t]}", F.coalesce(F.try_divide(F.col(f"hits_{SHORT[t]}").cast("double"), "n_matched"), F.lit(0.0)))
-    finite = ape(F.col("errors"))
     names_ok = F.size(F.filter("matched", lambda s: s.name_ok)).cast("double")
     correct = {f: valid & text_correct(F.col(f"gold.{f}"), F.col(f"pred.{f}")) for f in ("title", "x_label", "y_label")}
     correct["chart_type"] = valid & F.coalesce(F.col("gold.chart_type") == F.col("pred.chart_type"), F.lit(False))
     df = (
-        df.withColumn("mape", 100 * array_mean(finite))
-        .withColumn("median_ape", 100 * array_median(finite))
+        df.withColumns(sample_ape(F.col("errors")))
         .withColumn("recall", F.coalesce(F.try_divide(F.col("n_matched").cast("double"), "gold_points"), F.lit(0.0)))
         .withColumn("series_names", F.when(~valid, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(names_ok, F.size("gold_series")), F.lit(1.0))))
         .withColumn("series_count_ok", valid & (F.size("gold_series") == F.size("pred_series")))
@@ -91,12 +91,34 @@ def score_samples(df: DataFrame) -> DataFrame:
     )
 
 
+def fully_annotated(fields: Column, names: tuple[str, ...] = ALL_FIELDS) -> Column:
+    """Whether all of the names are scored."""
+    return F.array_sort(F.array_distinct(fields)) == F.lit(sorted(names))
+
+
+def micro_average(hits: Column, matched: Column) -> Column:
+    """Aggregate: hits of all samples over matches of all samples, so a sample counts by its points; 0 without matches."""
+    return F.coalesce(F.try_divide(F.sum(hits).cast("double"), F.sum(matched)), F.lit(0.0))
+
+
+def ape_measures() -> list[Column]:
+    """Aggregates over parsed samples: mean of their mean errors and median of their median ones."""
+    parsed = F.col("valid_json")
+    return [F.avg(F.when(parsed, F.col("mape"))).alias("mape"), F.median(F.when(parsed, F.col("median_ape"))).alias("median_ape")]
+
+
+def sample_ape(errors: Column) -> dict[str, Column]:
+    """mape and median_ape, in percent, of a sample's relative errors; infinite ones don't count."""
+    finite = ape(errors)
+    return {"mape": 100 * array_mean(finite), "median_ape": 100 * array_median(finite)}
+
+
 def summarise(samples: DataFrame) -> DataFrame:
     """Overall, by chart type and by series bucket, in one aggregation: column `level` tells them apart."""
     rate = lambda c: F.avg(F.col(c).cast("double"))
     masked = lambda f, c: F.avg(F.when(F.array_contains("fields", f), F.col(c).cast("double")))
     parsed = lambda c: F.coalesce(F.sum(F.when(F.col("valid_json"), F.col(c))), F.lit(0))
-    full = F.array_sort(F.array_distinct("fields")) == F.lit(sorted(ALL_FIELDS))
+    full = fully_annotated(F.col("fields"))
     measures = [
         F.count("*").alias("n"),
         rate("valid_json").alias("valid_json_rate"),
@@ -108,9 +130,8 @@ def summarise(samples: DataFrame) -> DataFrame:
         rate("series_count_ok").alias("series_count_accuracy"),
         rate("point_count_ok").alias("point_count_accuracy"),
         rate("structural").alias("exact_structural_match"),
-        *(F.coalesce(F.try_divide(parsed(f"hits_{s}").cast("double"), parsed("n_matched")), F.lit(0.0)).alias(f"va_{s}") for s in SHORT.values()),
-        F.avg(F.when(F.col("valid_json"), F.col("mape"))).alias("mape"),
-        F.median(F.when(F.col("valid_json"), F.col("median_ape"))).alias("median_ape"),
+        *(micro_average(F.when(F.col("valid_json"), F.col(f"hits_{s}")), F.when(F.col("valid_json"), F.col("n_matched"))).alias(f"va_{s}") for s in SHORT.values()),
+        *ape_measures(),
         F.avg("recall").alias("point_recall"),
         *(parsed(f"n_{k}").alias(f"n_{k}_points") for k in ("matched", "missing", "spurious")),
         F.count_if("fallback").alias("n_positional_fallback"),
@@ -118,6 +139,7 @@ def summarise(samples: DataFrame) -> DataFrame:
     ]
     keys = samples.withColumnsRenamed({"chart_type": "by_type", "bucket": "by_bucket"})
     grouped = keys.groupingSets([[], ["by_type"], ["by_bucket"]], "by_type", "by_bucket").agg(F.grouping_id().alias("gid"), *measures)
+    grouped = grouped.filter((F.col("gid") != 1) | F.col("by_type").isNotNull())  # samples without a type are in no type's group
     level = F.when(F.col("gid") == 3, "overall").when(F.col("gid") == 1, "chart_type").otherwise("series_count")
     return grouped.withColumn("level", level).withColumn("key", F.coalesce("by_type", "by_bucket", F.lit("all"))).drop("gid", "by_type", "by_bucket")
 

@@ -6,23 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.functions.numbers import parse_number
+from gradeframe.functions.text import strip
 from gradeframe.types import POINT
 
-#: First headers that name nothing.
+#: First headers that name nothing.
 PLACEHOLDERS = ("characteristic", "category", "unnamed: 0", "")
 
 
 def cells(line: Column) -> Column:
-    bare = F.regexp_replace(F.trim(line), r"^\|+|\|+$", "")
-    return F.transform(F.split(bare, r"\|"), lambda c: F.trim(c))
+    bare = F.regexp_replace(strip(line), r"^\|+|\|+$", "")
+    return F.transform(F.split(bare, r"\|"), lambda c: strip(c))
 
 
 def parse_table(table: Column) -> Column:
     """struct<x_header, names, rows: array<array<string>>>, null if malformed. Ragged rows are left out."""
-    lines = F.filter(F.transform(F.split(table, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(table, r"\r\n|\n|\r"), lambda x: strip(x)), lambda x: x != "")
     header = cells(F.get(lines, F.lit(0)))
     body = F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))
-    is_rule = F.regexp_replace(F.get(body, F.lit(0)), r"[\s|\-]", "") == ""
+    is_rule = F.regexp_replace(F.get(body, F.lit(0)), rf"(?U)[\s\x1C-\x1F|\-]", "") == ""
     body = F.when(is_rule, F.slice(body, 2, F.size(body))).otherwise(body)
     rows = F.filter(F.transform(body, cells), lambda r: F.size(r) == F.size(header))
     fits = (F.size(lines) >= 2) & (F.size(header) >= 2) & (F.size(rows) > 0)
@@ -47,7 +48,7 @@ def series_of(parsed: Column) -> Column:
 
 
 def x_label(parsed: Column) -> Column:
-    head = F.trim(parsed["x_header"])
+    head = strip(parsed["x_header"])
     return F.when(F.lower(head).isin(*PLACEHOLDERS), None).otherwise(head)
 
 

@@ -22,7 +22,7 @@ from gradeframe.operators import log as L
 from gradeframe.operators import scoring as S
 from gradeframe.operators import tables as P
 from gradeframe.operators.matching import keyed, match_points
-from gradeframe.operators.synth import specs, stacked, with_gold
+from gradeframe.operators.synth import long_values, specs, stacked, with_gold
 from gradeframe.plans.evaluate import probe
 from gradeframe.sources.corpus import materialise, smallest_shard, with_ordinals
 from gradeframe.types import SERIES
@@ -180,12 +180,15 @@ def per_sample(spark, d) -> DataFrame:
 @query(f"SELECT round(sum(hits) / sum(matched), 9) AS micro, round(avg(hits / matched), 9) AS macro FROM ({PER_SAMPLE})")
 def micro_macro_accuracy(spark, d):
     s = per_sample(spark, d)
-    return s.agg(F.round(F.try_divide(F.sum("hits").cast("double"), F.sum("matched")), 9).alias("micro"), F.round(F.avg(F.col("hits") / F.col("matched")), 9).alias("macro"))
+    return s.agg(F.round(S.micro_average(F.col("hits"), F.col("matched")), 9).alias("micro"), F.round(F.avg(F.col("hits") / F.col("matched")), 9).alias("macro"))
 
 
 @query(f"SELECT round(100 * avg(mean), 4) AS mape, round(100 * median(med), 6) AS median_ape FROM ({PER_SAMPLE})")
 def ape_summary(spark, d):
-    return per_sample(spark, d).agg(F.round(100 * F.avg("mean"), 4).alias("mape"), F.round(100 * F.median("med"), 6).alias("median_ape"))
+    own = points(spark, d).filter("has_p").groupBy("sample").agg(F.collect_list(N.relative_error(F.col("g"), F.col("p"))).alias("errors"))
+    samples = own.withColumns(S.sample_ape(F.col("errors"))).withColumn("valid_json", F.lit(True))
+    mean, median = S.ape_measures()
+    return samples.agg(F.round(mean, 4).alias("mape"), F.round(median, 6).alias("median_ape"))
 
 
 @query(
@@ -219,7 +222,8 @@ def series_arrays(spark, d, renamed: int = 19) -> DataFrame:
 
 
 def matched(spark, d) -> DataFrame:
-    return series_arrays(spark, d).withColumn("m", match_points(keyed(F.col("gold")), keyed(F.col("pred"))))
+    keys = series_arrays(spark, d).withColumn("gold", keyed(F.col("gold"))).withColumn("pred", keyed(F.col("pred")))
+    return keys.withColumn("m", match_points(F.col("gold"), F.col("pred")))
 
 
 # Labels of one series are all of one kind, so first fit is a join on (label, nth of its label).
@@ -250,14 +254,19 @@ def missing_spurious(spark, d):
     return matched(spark, d).select("sample", "series", F.col("m.missing").cast("long").alias("missing"), F.col("m.spurious").cast("long").alias("spurious"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE p AS (SELECT n_name, r_name, lower(trim(n_name)) AS a, lower(trim(r_name)) AS b FROM nation, region),
+    t AS (SELECT n_name, r_name, a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0::BIGINT) AS r FROM p
+      UNION ALL SELECT n_name, r_name, a, b, i + 1, list_concat([0::BIGINT], list_transform(range(1, length(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(r[k + 1], CASE WHEN substr(b, k, 1) = substr(a, i + 1, 1) THEN r[k] + 1 ELSE 0 END))))) FROM t WHERE i < length(a))
+    SELECT n_name, r_name, round(2.0 * r[length(b) + 1] / (length(a) + length(b)), 9)::DOUBLE AS similarity FROM t WHERE i = length(a)"""
+)
 def series_similarity_matrix(spark, d):
     nation, region = read(spark, d, "nation"), read(spark, d, "region")
     pairs = nation.crossJoin(F.broadcast(region))  # 25 x 5 names: both tables are fixed
     return pairs.select("n_name", "r_name", F.round(T.name_similarity(F.col("n_name"), F.col("r_name")), 9).alias("similarity"))
 
 
-@query()
+@query("SELECT sample, unnest(range(n))::INT AS g, (n - 1 - unnest(range(n)))::INT AS p FROM (SELECT l_orderkey AS sample, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY ALL)")
 def series_assignment(spark, d):
     both = series_arrays(spark, d).groupBy("sample").agg(F.array_sort(F.collect_list(F.struct(F.col("series").alias("name"), F.col("gold").alias("data")))).alias("gold"))
     both = both.withColumn("pred", F.reverse("gold"))
@@ -325,6 +334,22 @@ def selfcheck_identity(spark, d):
     return s.agg(F.count("*").alias("n"), F.count_if(perfect).alias("n_perfect"))
 
 
+@query(
+    f"""WITH {SQL_MATCH}, l AS (SELECT sample, max(series) AS last, count(*) AS n FROM sizes GROUP BY sample), kept AS (SELECT s.* FROM sizes s JOIN l USING (sample) WHERE NOT (sample % 4 = 0 AND n > 1 AND series = last)),
+    k AS (SELECT sample, count(*) AS k FROM pairs JOIN kept USING (sample, series) GROUP BY sample), g AS (SELECT sample, sum(ng)::BIGINT AS ng FROM sizes GROUP BY sample), q AS (SELECT sample, sum(np)::BIGINT AS np FROM kept GROUP BY sample)
+    SELECT o_orderkey AS sample, coalesce(k, 0) AS n_matched, ng - coalesce(k, 0) AS n_missing, np - coalesce(k, 0) AS n_spurious, NOT (o_orderkey % 4 = 0 AND l.n > 1) AS series_count_ok
+    FROM (SELECT DISTINCT o_orderkey FROM orders) JOIN l ON l.sample = o_orderkey JOIN g ON g.sample = o_orderkey JOIN q ON q.sample = o_orderkey LEFT JOIN k ON k.sample = o_orderkey"""
+)
+def unmatched_series(spark, d):
+    """Predictions that lack a series, and have one that no gold series is left for."""
+    rows = sample_records(spark, d)
+    per = series_arrays(spark, d).groupBy("sample").agg(F.array_sort(F.collect_list(F.struct(F.col("series").alias("name"), F.col("pred").alias("data")))).cast(f"array<{SERIES}>").alias("ps"))
+    short = F.when((F.col("sample") % 4 == 0) & (F.size("ps") > 1), F.slice("ps", 1, F.size("ps") - 1)).otherwise(F.col("ps"))
+    pred = F.struct("gold.chart_type", "gold.title", "gold.x_label", "gold.y_label", short.alias("series"))
+    s = S.score_samples(rows.drop("pred").join(per, "sample").withColumn("pred", pred).drop("ps"))
+    return s.select("sample", *(F.col(c).cast("long").alias(c) for c in ("n_matched", "n_missing", "n_spurious")), "series_count_ok")
+
+
 @query("SELECT o_orderkey AS sample, count(DISTINCT l_returnflag) AS n_series, count(*) AS n_points FROM (SELECT DISTINCT o_orderkey FROM orders) JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
 def chart_rollups(spark, d):
     r = sample_records(spark, d, predicted=False)
@@ -368,12 +393,23 @@ def repair_histogram(spark, d):
     return S.repair_histogram(answers(spark, d), "event_id")
 
 
+@query("SELECT repair, count(*) AS n FROM (SELECT unnest(CASE event_id % 4 WHEN 0 THEN ['series<-datasets'] WHEN 1 THEN ['dropped note', 'dropped series.unit'] WHEN 2 THEN ['series<-data', 'dropped point.z'] END) AS repair FROM events) GROUP BY repair")
+def alias_and_unknown_keys(spark, d):
+    """Other names of the series list and keys that no record has, at each level."""
+    inner = "concat('\"data\": [{\"x\": \"', cast(user_id as string), '\", \"y\": ', cast(event_id as string)"
+    tops = (("datasets", "", "", ""), ("series", ', "unit": "t"', "", ', "note": 1'), ("data", "", ', "z": 0', ""), ("series", "", "", ""))
+    text = [f"""concat('{{"chart_type": "bar", "{name}": [{{"name": "a", ', {inner}), '{point}}}]{series}}}]{top}}}')""" for name, series, point, top in tops]
+    raw = "CASE event_id % 4 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(text)) + " END"
+    parsed = read(spark, d, "events").select("event_id", parse_prediction(F.expr(raw)).alias("r")).select("event_id", "r.repairs")
+    return S.repair_histogram(parsed, "event_id").select("repair", "n")
+
+
 @query("SELECT event_id, CASE event_id % 9 " + " ".join(f"WHEN {i} THEN '{a[1]}'" for i, a in enumerate(ANSWERS) if a[1]) + " END AS error FROM events")
 def parse_outcomes(spark, d):
     return answers(spark, d).select("event_id", "error")
 
 
-@query()
+@query("SELECT count(DISTINCT o_orderkey) AS n, count(DISTINCT o_orderkey) AS n_same FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def canonical_round_trip(spark, d):
     """Records written as JSON and read back; n_same should be n."""
     r = sample_records(spark, d, predicted=False).select(F.col("gold.series").alias("s"), "sample")
@@ -436,10 +472,14 @@ def seeded_sample(spark, d):
 
 @query("SELECT k, last_name, v FROM (SELECT r_regionkey AS k, list_sort(list(DISTINCT n_name)) AS names, max(n_nationkey) AS v, arg_max(n_name, n_nationkey) AS last_name FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY ALL)")
 def column_zip_last_wins(spark, d):
-    """Of columns under one name the last one's value counts."""
+    """A table for each region with one column per nation, all under one name: the last column's value counts."""
     n = read(spark, d, "nation")
-    last = L.compact(n.select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("v"), F.col("n_name").alias("last_name")), "k", "v")
-    return last.select("k", "last_name", "v")
+    keys = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_nationkey")).alias("keys"))
+    line = lambda head, c: F.concat(head, F.lit(" | "), F.array_join(F.transform("keys", c), " | "))
+    table = F.concat(line(F.lit("key"), lambda _: F.lit("v")), F.lit("\n"), line(F.lit("row"), lambda k: k.cast("string")))
+    got = P.ingest(keys.select(F.col("n_regionkey").alias("k"), table.alias("table"))).select("k", F.explode("gold.series").alias("s"))
+    last = got.select("k", F.explode("s.data").alias("p")).select("k", F.col("p.y").cast("int").alias("v")).distinct()
+    return last.join(n, F.col("v") == F.col("n_nationkey")).select("k", F.col("n_name").alias("last_name"), F.col("v").cast(n.schema["n_nationkey"].dataType).alias("v"))
 
 
 # ---- probes and diagnostics -----------------------------------------------------------
@@ -461,7 +501,7 @@ def anls_exact_match(spark, d):
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS question, event_id AS id FROM events")
 def locale_pick(spark, d):
     """The wanted entry of a keyed value, else a default."""
-    picked = F.coalesce(F.get_json_object("props", "$.k"), F.lit("none"))
+    picked = T.locale_pick(F.col("props"), "k", F.lit("none"))
     return read(spark, d, "events").select("event_id", picked.alias("question"), F.col("event_id").alias("id"))
 
 
@@ -487,9 +527,19 @@ def value_magnitude(spark, d):
     return read(spark, d, "lineitem").groupBy("l_orderkey").agg(N.magnitude(F.collect_list("l_extendedprice")).alias("value_magnitude"))
 
 
-@query()
+#: Prices at the sizes that are rounded differently, many of them on a tie's decimal text.
+READABLE = "unnest([p_retailprice, p_retailprice / 100 + 0.05, p_size + 0.25, p_size / 10 + 0.35, p_size / 1000 + 0.0005, 0.0])"
+
+
+@query(
+    f"""SELECT p_partkey, case_nr, CASE WHEN v = 0 THEN 0 WHEN floor(log10(abs(v))) >= 3 THEN printf('%.2e', v)::DOUBLE WHEN floor(log10(abs(v))) >= 1 THEN printf('%.1f', v)::DOUBLE ELSE printf('%.3f', v)::DOUBLE END AS shown
+    FROM (SELECT p_partkey, unnest(range(6))::INT AS case_nr, {READABLE} AS v FROM (SELECT p_partkey, p_retailprice::DOUBLE AS p_retailprice, p_size::DOUBLE AS p_size FROM part))"""
+)
 def readable_round(spark, d):
-    return read(spark, d, "part").select("p_partkey", N.readable(F.col("p_retailprice")).alias("shown"))
+    price, size = F.col("p_retailprice").cast("double"), F.col("p_size").cast("double")
+    sizes = F.array(price, price / 100 + F.lit(0.05), size + F.lit(0.25), size / 10 + F.lit(0.35), size / 1000 + F.lit(0.0005), F.lit(0.0))
+    each = read(spark, d, "part").select("p_partkey", F.posexplode(sizes).alias("case_nr", "v"))
+    return each.select("p_partkey", "case_nr", N.readable(F.col("v")).alias("shown"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (doc_id % 10 <> 0) AS n_identical FROM documents WHERE doc_id % 4 <> 0")
@@ -537,8 +587,7 @@ def throughput_delta(spark, d):
 
 @query("SELECT p_brand, sum(p_size)::BIGINT AS total, sum(CASE WHEN p_type LIKE '%STEEL%' THEN p_size ELSE 0 END)::BIGINT AS steel FROM part GROUP BY p_brand")
 def group_sums(spark, d):
-    steel = F.when(F.col("p_type").contains("STEEL"), F.col("p_size")).otherwise(0)
-    return read(spark, d, "part").groupBy("p_brand").agg(F.sum("p_size").alias("total"), F.sum(steel).alias("steel"))
+    return D.group_sums(read(spark, d, "part"), "p_brand", "p_size", {"steel": F.col("p_type").contains("STEEL")})
 
 
 @query(
@@ -563,7 +612,7 @@ def resize_dimensions(spark, d):
 )
 def failure_classes(spark, d):
     m = F.concat(F.when(F.col("event_id") % 4 == 0, F.lit("CUDA Out Of Memory at ")).otherwise(F.lit("bad value at ")), F.col("event_id").cast("string"))
-    return read(spark, d, "events").select("event_id", T.failure_class(m, F.col("event_type")).alias("class"), T.error_text(F.col("event_type"), m, 12).alias("message"), (F.col("value") > 50).alias("spilled"))
+    return read(spark, d, "events").select("event_id", T.failure_class(m, F.col("event_type")).alias("class"), T.error_text(F.col("event_type"), m, 12).alias("message"), N.over_capacity(F.col("value"), F.lit(50)).alias("spilled"))
 
 
 @query("SELECT doc_id, replace(replace(replace(replace(replace(source || '<&>' || lang || '\"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS shown FROM documents")
@@ -586,25 +635,50 @@ def verdict_chips(spark, d):
 def scored_field_masks(spark, d):
     rows = read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels"), "doc_id", "left")
     fields = F.array_compact(F.array(F.when(F.col("toxic").isNotNull(), F.lit("toxic")), F.when(F.col("quality").isNotNull(), F.lit("quality"))))
-    return rows.withColumn("f", fields).select("doc_id", F.array_contains("f", "quality").alias("scores_quality"), (F.array_sort(F.array_distinct("f")) == F.lit(["quality", "toxic"])).alias("complete"))
+    return rows.withColumn("f", fields).select("doc_id", F.array_contains("f", "quality").alias("scores_quality"), S.fully_annotated(F.col("f"), ("quality", "toxic")).alias("complete"))
 
 
 @query("SELECT l_orderkey, l_linenumber, n, sum(n) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING)::BIGINT - n AS base FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity::BIGINT)::BIGINT AS n FROM lineitem GROUP BY ALL)")
 def stacked_baseline(spark, d):
     rows = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("long")).alias("n"))
-    under = W.partitionBy("l_orderkey").orderBy("l_linenumber").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("base", F.coalesce(F.sum("n").over(under), F.lit(0)))
+    return stacked(rows.withColumn("place", F.lit(0)), "l_orderkey", "l_linenumber", "place", "n").drop("place")
 
 
 # ---- generator and sources ---------------------------------------------------------
 
 
-@query()
+def sql_draw(name: str, seed: int) -> str:
+    return f"(('0x' || substr(md5('{seed}:' || nth || ':' || {name}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+def sql_specs(n: int, seed: int) -> str:
+    """Relations c (charts) and v (their values) of the generator."""
+    u = lambda name: sql_draw(f"'{name}'", seed)
+    value = sql_draw("'value ' || s || ' ' || j", seed)
+    return f"""WITH a AS (SELECT range AS nth, ['bar', 'line', 'pie', 'scatter', 'stacked_bar'][1 + floor({u("type")} * 5)::INT] AS kind FROM range({n})),
+    b AS (SELECT *, kind = 'scatter' AND {u("dense_scatter")} < 0.35 AS dense, kind NOT IN ('pie', 'scatter') AND {u("many_series")} < 0.35 AS many, kind NOT IN ('pie', 'stacked_bar') AND {u("log_axis")} < 0.35 AS log_y FROM a),
+    n AS (SELECT *, CASE WHEN kind = 'pie' THEN 1 WHEN kind = 'scatter' THEN floor({u("series")} * 2) + 1 WHEN many THEN floor({u("series")} * 3) + 4 ELSE floor({u("series")} * 3) + 1 END::INT AS n_series,
+      CASE WHEN dense THEN floor({u("points")} * 16) + 12 ELSE floor({u("points")} * 7) + 4 END::INT AS n_points, pow(10.0, floor({u("scale")} * 7) - 1) AS scale FROM b),
+    c AS (SELECT *, printf('synth_%05d', nth) AS id, kind IN ('bar', 'line') AND n_series = 2 AND {u("dual_axis")} < 0.35 AS dual_axis, {u("no_title")} >= 0.35 AS has_title, {u("no_gridlines")} >= 0.35 AS grid,
+      CASE WHEN {u("rotated_labels")} < 0.35 THEN 30 * (floor({u("turn")} * 3)::INT + 1) ELSE 0 END AS label_rotation, [80, 110, 140][1 + floor({u("dpi")} * 3)::INT] AS dpi FROM n),
+    e AS (SELECT *, unnest(range(n_points)) AS j FROM (SELECT *, unnest(range(n_series)) AS s FROM c)),
+    w AS (SELECT id, s, j, scale * CASE WHEN log_y THEN exp(5 * {value}) WHEN kind IN ('line', 'scatter') THEN 3 + s + 2 * sin(j / 2 + s) + {value} / 2 ELSE 1 + 4 * {value} * {value} + s / 4 END AS x FROM e),
+    v AS (SELECT id, s::INT AS s, j::INT AS j, CASE WHEN x >= 1000 THEN round_even(x / pow(10.0, floor(log10(x)) - 2), 0) * pow(10.0, floor(log10(x)) - 2) WHEN x >= 10 THEN round_even(x * 10, 0) / 10 ELSE round_even(x * 1000, 0) / 1000 END AS y FROM w)"""
+
+
+@query(
+    f"""{sql_specs(200, 1)} SELECT id, kind AS chart_type, n_series, n_points, log_y, dual_axis, label_rotation, grid, n_series > 1 OR kind = 'pie' AS legend, dpi, has_title, kind = 'scatter' AS numeric_x,
+    (SELECT floor(log10(max(y)))::INT FROM v WHERE v.id = c.id) AS value_magnitude, concat_ws(',', CASE WHEN dense THEN 'dense_scatter' END, CASE WHEN many THEN 'many_series' END, CASE WHEN log_y THEN 'log_axis' END,
+    CASE WHEN dual_axis THEN 'dual_axis' END, CASE WHEN NOT has_title THEN 'no_title' END, CASE WHEN NOT grid THEN 'no_gridlines' END, CASE WHEN label_rotation > 0 THEN 'rotated_labels' END) AS hard_flags,
+    (SELECT round(sum(y), 3) FROM v WHERE v.id = c.id) AS total FROM c"""
+)
 def synth_records(spark, d):
-    return with_gold(specs(spark, 200, seed=1)).select("id", "gold", "properties")
+    total = F.aggregate(F.flatten(F.transform("gold.series", lambda s: F.transform(s.data, lambda p: p.y))), F.lit(0.0), lambda a, y: a + y)
+    rows = with_gold(specs(spark, 200, seed=1)).select("id", "properties.*", F.round(total, 3).alias("total"))
+    return rows.withColumn("hard_flags", F.array_join("hard_flags", ","))
 
 
-@query()
+@query(f"{sql_specs(200, 1)} SELECT kind AS chart_type, count(*) AS n, count(*) AS n_perfect FROM c GROUP BY kind")
 def synth_self_check(spark, d):
     """Type counts of generated charts and how many score perfectly against themselves."""
     g = with_gold(specs(spark, 200, seed=1)).withColumn("pred", F.col("gold")).withColumn("error", F.lit(None).cast("string"))
@@ -612,14 +686,12 @@ def synth_self_check(spark, d):
     return s.groupBy("chart_type").agg(F.count("*").alias("n"), F.count_if("structural").alias("n_perfect"))
 
 
-@query()
+@query(f"{sql_specs(50, 2)} SELECT id, s, j, y, round(coalesce(sum(y) OVER (PARTITION BY id, j ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS base FROM v")
 def synth_stacked(spark, d):
-    return stacked(specs(spark, 50, seed=2))
+    return stacked(long_values(specs(spark, 50, seed=2))).withColumn("base", F.round("base", 3))
 
 
 @query()
 def shard_choice(spark, d):
     """The smallest table file of the folder, by its last part."""
     return spark.createDataFrame([((smallest_shard(spark, d) or "").rsplit("/", 1)[-1],)], "shard string")
-
-

@@ -105,6 +105,13 @@ TABLES = [
 ]
 
 
+def test_pipe_table_with_tabs(spark):
+    table = "| Year\t|\u2003Wheat \x1f|\n|\t---|--- |\n|\t1999 |\t12\u2003|\n\t\n2000\t| 7 |"
+    r = P.ingest(spark.createDataFrame([(table,)], "table string")).first()
+    assert r.gold.x_label == "Year" and [s.name for s in r.gold.series] == ["Wheat"]
+    assert [(p.x_str, p.y) for p in r.gold.series[0].data] == [("1999", 12.0), ("2000", 7.0)]
+
+
 def test_pipe_tables(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TABLES)], "i int, table string")
     for r in P.ingest(df).orderBy("i").collect():
@@ -130,12 +137,21 @@ def values(spark, kind, items, f):
 def test_text(spark):
     messy = ["Revenue (USD)", "revenue  (usd", "  Quarter ", "Sales:", "A  B", "%", "-5", None, "Straße", "ΑΣ", "é a b(%)"]
     assert values(spark, "string", messy, T.normalize_text) == ["revenue (usd", "revenue (usd", "quarter", "sales", "a b", "", "5", "", "strasse", "ασ", "é a b"]
+    odd = ["\ufb03x", "\u0149", "\u0130\u0131I", "\u1e9e\u017f", "\u00b5m", "\u212a", "\x1c a\u2003b\x1f", "\u039f\u03a3 \u03c2", "\ud835\udfd9".encode("utf-16", "surrogatepass").decode("utf-16")]
+    import re
+
+    python = lambda t: re.sub(r"^[\W_]+|[\W_]+$", "", " ".join(t.split()).casefold())
+    assert values(spark, "string", odd, T.normalize_text) == [python(t) for t in odd]
+    assert values(spark, "string", ['{"en": "a"}', '{"de": "b"}', "plain", None], lambda c: T.locale_pick(c, "en", F.lit("?"))) == ["a", "?", "plain", "?"]
     assert values(spark, "string", ["kitten", "", "sitting"], lambda c: T.common_subsequence(c, F.lit("sitting"))) == [4, 0, 7]
     assert values(spark, "string", ["kitten"], lambda c: T.name_similarity(c, F.lit("Sitting!")))[0] == pytest.approx(8 / 13)
     assert values(spark, "string", ["", "%"], lambda c: T.name_similarity(c, F.lit("-"))) == [0.0, 0.0]
 
 
 def test_numbers(spark):
+    assert values(spark, "double", [10.35, 0.0005, 2.675, 12345.0, 12350.0, -10.25, None, float("inf")], N.readable) == [10.3, 0.001, 2.675, 12300.0, 12400.0, -10.2, None, float("inf")]
+    assert values(spark, "string", ["\u0663\u0664", " \uff11,\uff12\x1d", "\t7\u2003", ", 5"], N.as_float) == [34.0, 12.0, 7.0, 5.0]
+    assert values(spark, "string", ["ca \u0663 kg", "\tn/a\u2003", "\x1f--"], N.parse_number) == [3.0, None, None]
     texts = ["12", " 3 ", "1,000", "1_000", "1__0", "1d", "nan", "1e999", "-.5", "+5.", "", "abc", None]
     assert values(spark, "string", texts, N.as_float) == [12.0, 3.0, 1000.0, 1000.0, None, None, None, None, -0.5, 5.0, None, None, None]
     cells = ["2019-20", "(5)", "1.234.567", "−3", "$3.2m", "1e5", " N/A ", "*", "none", "5 000", None]
