@@ -230,42 +230,57 @@ def unpack_file(raw: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
     return [None] * nulls + (names.all().view(np.int64) + least).tolist(), bounds, ids
 
 
+#: Ids of a file, about: a task begins another file when it has as many, so its memory doesn't grow with the table.
+FILE_IDS = 1 << 25
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Writes docs as token files under path (a URI); returns the manifest: part, file, n_docs, n_ids.
+    """Writes docs as token files under path (a URI); returns the manifest: part, nth, file, n_docs, n_ids.
 
     Ascending doc_id, null first; rows of one id follow a hash of their text.
     Null texts count as empty: they have the end id only. An empty table writes
     no file. Other columns are ignored. Each of the session's shuffle partitions
-    makes one file, which its task holds in memory.
+    makes files of about FILE_IDS ids, one after the other; a document is whole in
+    one file. A task that runs again writes the same files anew.
     """
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(*by).sortWithinPartitions(*by)
+    schema = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
+        width = encoder.kind.itemsize
         end = np.array([end_id], dtype=encoder.kind).tobytes()
+        task = TaskContext.get()
         doc_ids: list[int | None] = []
         parts: list[bytes] = []
+        size, nth = 0, 0
+
+        def flush() -> pa.RecordBatch:
+            raw = pack_file(doc_ids, np.cumsum([len(x) // width for x in parts]), b"".join(parts), width)
+            fs, folder = pafs.FileSystem.from_uri(path)
+            fs.create_dir(folder, recursive=True)
+            name = f"{folder}/part-{task.partitionId():06d}-{nth:04d}.tok"
+            with fs.open_output_stream(own := f"{name}.{task.taskAttemptId()}") as out:
+                out.write(raw)
+            fs.move(own, name)
+            row = {"part": task.partitionId(), "nth": nth, "file": os.path.basename(name), "n_docs": len(doc_ids), "n_ids": size // width}
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                doc_ids += some.column(0).to_pylist()
-                parts += [x + end for x in encoder.encode(some.column(1).to_pylist())]
-        if not parts:
-            return
-        task = TaskContext.get()
-        ends = np.cumsum([len(x) // encoder.kind.itemsize for x in parts])
-        raw = pack_file(doc_ids, ends, b"".join(parts), encoder.kind.itemsize)
-        fs, folder = pafs.FileSystem.from_uri(path)
-        fs.create_dir(folder, recursive=True)
-        name = f"{folder}/part-{task.partitionId():06d}.tok"
-        with fs.open_output_stream(own := f"{name}.{task.taskAttemptId()}") as out:
-            out.write(raw)
-        fs.move(own, name)
-        row = {"part": task.partitionId(), "file": os.path.basename(name), "n_docs": len(doc_ids), "n_ids": int(ends[-1])}
-        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
+                    doc_ids.append(doc_id)
+                    parts.append(ids + end)
+                    size += len(parts[-1])
+                    if size >= FILE_IDS * width:
+                        yield flush()
+                        doc_ids, parts, size, nth = [], [], 0, nth + 1
+        if parts:
+            yield flush()
 
-    return checkpoint(ordered.mapInArrow(write, "part int, file string, n_docs long, n_ids long"))
+    return checkpoint(ordered.mapInArrow(write, "part int, nth int, file string, n_docs long, n_ids long"))
 
 
 def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
@@ -274,8 +289,8 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
     The files' starts are a running sum over the manifest, which has a row per
     file; each file is read by one task.
     """
-    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    placed = manifest.select("part", "file", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("before"))
+    earlier = W.orderBy("part", "nth").rowsBetween(W.unboundedPreceding, -1)
+    placed = manifest.select("part", "nth", "file", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("before"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pafs.FileSystem.from_uri(path)
@@ -291,7 +306,7 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "file"],
                 )
 
-    return placed.repartition("part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
+    return placed.repartition("part", "nth").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
 def default_tokenizer() -> str:

@@ -556,9 +556,12 @@ def test_word_encoder():
     assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == [x.ids for x in want]
 
 
-def test_token_files(spark, odd, none, tmp_path):
+@pytest.mark.parametrize("most", [tokens.FILE_IDS, 50])
+def test_token_files(spark, odd, none, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(tokens, "FILE_IDS", most)
     path = (tmp_path / "t").as_uri()
     manifest = tokens.write_tokens(odd, path, tokens.default_tokenizer())
+    assert (manifest.agg(F.max("nth")).first()[0] > 0) == (most == 50)
     got = sorted(tokens.read_tokens(manifest, path).collect(), key=lambda x: x.start)
     assert [x.doc_id for x in got] == sorted((d for d, *_ in ODD), key=lambda d: (d is not None, d or 0))
     t = tokens.WordEncoder(tokens.default_tokenizer()).tokenizer
