@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import checkpoint, table
+from gradeframe.llm.common import checkpoint, join_counted, table
 
 WINDOW = 13
-#: Rows of benchmark words or windows that may be broadcast; beyond, the joins are by shuffle.
+#: Rows of benchmark words or windows that may be broadcast; beyond, the joins are by shuffle, with the same results.
 BROADCAST_ROWS = 200_000
+#: Prefix words, a few bytes each, that may be broadcast then to keep all other words of the documents out of the shuffle.
+BROADCAST_KEYS = 1_000_000
 #: What parts words; A-Z belong to words, and are lower-cased.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,7 +62,12 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     # rarity over all documents, by lower(): it equates at least what lowered() does, and is quick
     placed = placed.withColumn("key", F.lower("word"))
     said = docs.select(F.explode(pieces()).alias("word")).select(F.lower("word").alias("key"))
-    seen = checkpoint(said.join(small(placed.select("key").distinct(), n_wins * WINDOW), "key", "left_semi").groupBy("key").agg(F.count("*").alias("seen")))
+    wanted = placed.select("key").distinct()
+    if n_wins * WINDOW <= BROADCAST_ROWS:
+        said = said.join(F.broadcast(wanted), "key", "left_semi")
+        wanted = None
+    seen = said.groupBy("key").agg(F.count("*").alias("seen"))  # counted on both sides of the shuffle
+    seen = checkpoint(seen if wanted is None else seen.join(wanted, "key", "left_semi"))
     own = W.partitionBy("item", "start")
     order = own.orderBy("seen", F.length("word").desc(), "word", "place")
     # a window with a word that no document has is nowhere
@@ -72,12 +79,23 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     prefix = checkpoint(rarest.groupBy("key").agg(F.collect_list(F.struct("item", "length", "place", F.array_join("body", " ").alias("text"), F.lower(F.col("body")[0]).alias("first"), F.lower(F.element_at("body", -1)).alias("last"))).alias("wins")))
     split = docs.select("doc_id", F.xxhash64("text").alias("mark"), pieces().alias("all"))
-    spoken = split.select("doc_id", "mark", "all", F.posexplode("all").alias("pos", "word")).withColumn("key", F.lower("word"))
-    near = spoken.join(small(prefix, n_wins), "key").select("doc_id", "mark", "all", "pos", F.explode("wins").alias("w"))
-    at = F.col("pos") - F.col("w.place")
+    if n_wins <= BROADCAST_ROWS:
+        spoken = split.select("doc_id", "mark", "all", F.posexplode("all").alias("pos", "word")).withColumn("key", F.lower("word"))
+        near = spoken.join(F.broadcast(prefix), "key").select("doc_id", "mark", "all", "pos", F.explode("wins").alias("w"))
+        near = near.withColumn("at", F.col("pos") - F.col("w.place"))
+    else:
+        # only (word, document, place) meets the windows; a document's words are fetched for its candidates afterwards
+        spoken = split.select("doc_id", "mark", F.posexplode("all").alias("pos", "word")).select("doc_id", "mark", "pos", F.lower("word").alias("key"))
+        keys = prefix.select("key")
+        if keys.count() <= BROADCAST_KEYS:
+            spoken = spoken.join(F.broadcast(keys), "key", "left_semi")
+        counted = prefix.join(seen, "key")
+        met = join_counted(spoken, counted, "key", "seen", max(1, counted.agg(F.sum("seen")).first()[0] or 0))
+        met = met.select("doc_id", "mark", "pos", F.explode("wins").alias("w")).withColumn("at", F.col("pos") - F.col("w.place")).filter("at >= 0")
+        candidates = met.select(F.col("doc_id").alias("c_id"), F.col("mark").alias("c_mark"), "at", "w").distinct()
+        near = split.join(candidates, split["doc_id"].eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark")))
     return (
-        near.withColumn("at", at)
-        .filter((F.col("at") >= 0) & (F.col("at") + F.col("w.length") <= F.size("all")))
+        near.filter((F.col("at") >= 0) & (F.col("at") + F.col("w.length") <= F.size("all")))
         .filter((F.lower(F.get("all", F.col("at"))) == F.col("w.first")) & (F.lower(F.get("all", F.col("at") + F.col("w.length") - 1)) == F.col("w.last")))
         # no lambda here: it would end the generated code and have each candidate carry its document's words
         .filter(F.translate(F.array_join(F.slice("all", F.col("at") + 1, F.col("w.length")), " "), UPPER, LOWER) == F.col("w.text"))
@@ -115,7 +133,12 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their columns."""
+    """The documents that are not contaminated, with their columns.
+
+    Null and wordless texts are clean; rows with the same id and text go or stay
+    together; null ids are values like others. Without items all rows stay; an
+    empty table gives an empty result.
+    """
     bad = decontaminate(docs, items).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__mark"))
     return docs.join(bad, same, "left_anti")

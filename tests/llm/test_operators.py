@@ -296,13 +296,24 @@ def test_decontamination(spark):
     assert sorted(str(tuple(x)) for x in got.collect()) == brute_decontam(docs, items)
 
 
-def test_large_benchmark_is_not_broadcast(spark, monkeypatch):
+@pytest.mark.parametrize("keys", [0, 100])
+def test_large_benchmark_is_not_broadcast(spark, monkeypatch, keys):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
-    docs, items = [(1, prose(1, 100)), (2, prose(2, 100))], [(7, prose(1, 40))]
+    monkeypatch.setattr(decontam, "BROADCAST_KEYS", keys)
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choice("abcdef") for _ in range(r.choice([0, 20, 150])))) for i in range(40)] + [(1, prose(1, 100)), (2, prose(2, 100)), (None, "b " + prose(1, 50)), (7, None), (8, prose(1, 100)), (8, "x")]
+    items = [(7, prose(1, 40))] + [(i, " ".join(r.choice("abcdef") for _ in range(r.choice([2, 13, 16])))) for i in range(20, 30)]
     got = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).drop("mark")
     assert sorted(str(tuple(x)) for x in got.collect()) == brute_decontam(docs, items)
 
 
+def test_clean_of_odd_rows(spark, odd, none):
+    items = spark.createDataFrame([(1, "kurz"), (2, None)], "item_id long, text string")
+    got = decontam.clean(odd, items)
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in odd.collect() if r.text != "kurz")
+    assert decontam.clean(none, items).count() == 0 and decontam.clean(odd, items.filter("false")).count() == len(ODD)
+
+
 # ---- near duplicates and lines ------------------------------------------------
 
 
