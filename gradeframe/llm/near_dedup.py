@@ -48,8 +48,8 @@ BANDS, ROWS = 24, 4
 REGISTERS = 256
 #: Texts, about, that a task compares with each other or with as many others at a time; larger buckets are dealt out.
 SIDE = 2048
-#: Texts compared with all of a block at once.
-RUN = 256
+#: Texts compared with all of a block at once, and pairs of them whose whole signatures are compared at once.
+RUN, PAIRS = 64, 4096
 #: 64-bit words of a text's filter, which has a bit for every different shingle.
 FILTER = 16
 
@@ -167,12 +167,6 @@ def filters_of(bits: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(bits.to_pylist()), dtype=np.uint64).reshape(-1, FILTER)
 
 
-def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Part of the registers in which rows of x and y agree, some rows at a time."""
-    parts = [(x[i : i + 4096] == y[i : i + 4096]).mean(axis=1) for i in range(0, len(x), 4096)]
-    return np.concatenate([np.zeros(0), *parts])
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches that are sorted by their first column, put together so that none of its values goes on in the next table."""
     rest: list[pa.RecordBatch] = []
@@ -225,7 +219,7 @@ def by_pivots(members: DataFrame) -> DataFrame:
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             sizes = np.diff(cuts)
             two = cuts[:-1][sizes == 2]  # most buckets; all of them at once
-            two = two[agreement(sig[two], sig[two + 1]) >= least(REGISTERS)]
+            two = two[(sig[two] == sig[two + 1]).mean(axis=1) >= least(REGISTERS)]
             two = two[may_be_similar(n[two], bits[two], n[two + 1], bits[two + 1])]
             found = [(uid[two], uid[two + 1])]
             for a, b in zip(cuts[:-1][sizes > 2].tolist(), cuts[1:][sizes > 2].tolist()):
@@ -266,12 +260,18 @@ def across(crowd: DataFrame, nearest: bool) -> DataFrame:
         for at in range(0, len(ours) if len(theirs) else 0, RUN):
             own = ours[at : at + RUN]
             rough = np.stack([(there == row).sum(axis=1) for row in sig[own, :few]]) >= least(few) * few
-            x, y = np.nonzero(rough & (cls[own][:, None] != cls[theirs]))
-            x, y = own[x], theirs[y]
-            alike = agreement(sig[x], sig[y])
-            ok = (alike >= least(REGISTERS)) & (named_in(bands[x], bands[y]) == band)
-            ok[ok] = may_be_similar(size[x[ok]], bits[x[ok]], size[y[ok]], bits[y[ok]])
-            x, y, alike = x[ok], y[ok], alike[ok]
+            i, j = np.nonzero(rough & (cls[own][:, None] != cls[theirs]))
+            found: list[tuple[np.ndarray, ...]] = []
+            for k in range(0, len(i), PAIRS):
+                x, y = own[i[k : k + PAIRS]], theirs[j[k : k + PAIRS]]
+                alike = (sig[x] == sig[y]).mean(axis=1)
+                ok = (alike >= least(REGISTERS)) & (named_in(bands[x], bands[y]) == band)
+                x, y, alike = x[ok], y[ok], alike[ok]
+                ok = may_be_similar(size[x], bits[x], size[y], bits[y])
+                found.append((x[ok], y[ok], alike[ok]))
+            if not found:
+                continue
+            x, y, alike = (np.concatenate(c) for c in zip(*found))
             if nearest:
                 order = np.lexsort((uid[y], -alike, x))
                 x, y = x[order], y[order]
@@ -337,8 +337,8 @@ def verify(pairs: DataFrame, bag: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = unpack(x), unpack(y)
+            for x, y in zip(batch.column(2), batch.column(3)):  # one by one: the batch is large already
+                a, b = unpack(x.as_buffer()), unpack(y.as_buffer())
                 both = len(a) + len(b) - len(np.union1d(a, b))
                 keep.append(both >= SIMILAR * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
