@@ -80,6 +80,10 @@ def id_text(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+#: Rows up to which a join needs no care: one key can't have more, and one task takes as many easily.
+FEW = 1 << 17
+
+
 def join_counted(rows: DataFrame, stats: DataFrame, key: str | list[str], count: str, total: int, share: int = 256) -> DataFrame:
     """Inner join of rows with one stats row per key, where stats[count] is the key's number of rows.
 
@@ -88,6 +92,8 @@ def join_counted(rows: DataFrame, stats: DataFrame, key: str | list[str], count:
     the others, none of which holds more than that part of the rows.
     """
     keys = [key] if isinstance(key, str) else key
+    if total <= FEW:
+        return rows.join(stats, keys)
     is_hot = F.col(count) * share > total
     hot = stats.filter(is_hot)
     by_broadcast = rows.join(F.broadcast(hot), keys)
@@ -101,6 +107,8 @@ def join_split(rows: DataFrame, wide: DataFrame, key: str, total: int, part: int
     Of keys with many rows, the wide row is copied once for each `part` of them and
     they are dealt to the copies, so no task gets more of one key.
     """
+    if total <= 32 * part:
+        return rows.join(wide.drop("pairs"), key)
     parts = F.ceil(F.col("pairs") / part)
     counts = join_counted(rows, wide.select(key, "pairs").filter(F.col("pairs") > part), key, "pairs", total)
     dealt = counts.select(*rows.columns, F.pmod(F.xxhash64(*rows.columns), parts).alias("__part"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import ODD, SCHEMA, prose  # noqa: I001
-from gradeframe.llm import decontam, exact_dedup, langid, line_dedup, mixing, near_dedup, quality, repeats, sharding, tokens
+from gradeframe.llm import common, decontam, exact_dedup, langid, line_dedup, mixing, near_dedup, quality, repeats, sharding, tokens
 from gradeframe.llm.components import components
 from gradeframe.llm.registry import ORACLES, QUERIES
 from gradeframe.llm.shingles import blocks, multisets
@@ -370,6 +370,7 @@ def test_near_duplicates(spark):
 def test_large_group_against_brute_force(spark, monkeypatch, side):
     """A base's copies at all distances from it: some links are between texts that are both far from the middle."""
     monkeypatch.setattr(near_dedup, "SIDE", side)
+    monkeypatch.setattr(common, "FEW", 0 if side < 2048 else common.FEW)
     docs = [(i, edited(prose(1, 100), 0.05 * random.Random(i).random(), i)) for i in range(500)]
     bags = [set(bag(t)) for _, t in docs]
     assert max(max(bag(t).values()) for _, t in docs) == 1
@@ -437,7 +438,20 @@ def test_blocks_of_a_large_bucket_are_all_compared(spark, monkeypatch):
     assert all(alike(a, b, near_dedup.REGISTERS) for a, b in pairs)
 
 
-def test_components(spark):
+def test_joins_split_hot_keys(spark, monkeypatch):
+    """The joins for hot keys against plain ones, on tables that are too small to need them."""
+    monkeypatch.setattr(common, "FEW", 0)
+    rows = spark.range(3000).selectExpr("id AS v", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 50 END AS k")
+    stats = rows.groupBy("k").agg(F.count("*").alias("pairs")).withColumn("w", F.col("k") * 2)
+    want = sorted(map(tuple, rows.join(stats, "k").select("k", "v", "w").collect()))
+    assert sorted(map(tuple, common.join_counted(rows, stats, "k", "pairs", 3000, 8).select("k", "v", "w").collect())) == want
+    assert sorted(map(tuple, common.join_split(rows, stats, "k", 3000, 20).select("k", "v", "w").collect())) == want
+    assert common.join_split(rows, stats, "k", 3000).count() == 3000
+
+
+@pytest.mark.parametrize("few", [0, common.FEW])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
     parent = {x: x for e in edges for x in e}
