@@ -44,6 +44,10 @@ def remove(path: str) -> None:
         fs.delete_dir(folder)
 
 
+#: Narrow rows that a written file should have at least.
+ROWS = 50_000
+
+
 class Scratch:
     """Tables that an operator writes to the shared folder, in less space than a checkpoint, and deletes at its end.
 
@@ -59,8 +63,11 @@ class Scratch:
     def __exit__(self, *_: object) -> None:
         remove(self.path)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """df, written and read again. With a bound on its rows (narrow ones), no more files than they are worth."""
         self.count += 1
+        if rows is not None:
+            df = df.coalesce(rows // ROWS + 1)
         path = f"{self.path}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

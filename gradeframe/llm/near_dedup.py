@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeframe.llm import common
 from gradeframe.llm.common import Scratch, checkpoint, id_type, join_counted, join_split, table
 from gradeframe.llm.components import components
 from gradeframe.llm.shingles import ODD, blocks, mix, multisets, pack, unpack
@@ -364,19 +365,19 @@ def classes(docs: DataFrame) -> DataFrame:
         texts = scratch.keep(grouped.select("m1", "m2", F.struct("lead.doc_id", "lead.t1", "lead.t2").alias("lead"), "copies", "bands", "sig", "n", "bits", F.monotonically_increasing_id().alias("uid")))
         members = buckets(texts, scratch)
         total = max(1, members.count())
-        near = scratch.keep(members.select("uid").distinct())
+        near = scratch.keep(members.select("uid").distinct(), total)
         bag = scratch.keep(bags(docs, texts.select("uid", "lead").join(near, "uid")))
         sigs = texts.select("uid", "sig", "n", "bits")
         labels = near.withColumn("class", F.col("uid"))
         tried: list[DataFrame] = []
         links: list[DataFrame] = []
 
-        def link(found: DataFrame) -> bool:
-            """Verifies the pairs that weren't tried and merges the classes of those that are similar; whether there are any."""
+        def link(found: DataFrame, most: int | None = None) -> bool:
+            """Verifies the pairs (at most so many) that weren't tried and merges the classes of those that are similar; whether there are any."""
             nonlocal labels
             if tried:
                 found = found.join(functools.reduce(DataFrame.unionByName, tried), ["a", "b"], "left_anti")
-            tried.append(scratch.keep(found))
+            tried.append(scratch.keep(found, most))
             new = scratch.keep(verify(tried[-1], bag))
             if new.isEmpty():
                 return False
@@ -386,34 +387,35 @@ def classes(docs: DataFrame) -> DataFrame:
             merged = components(between).withColumnsRenamed({"node": "class"})
             sizes = labels.groupBy("class").agg(F.count("*").alias("texts")).join(merged, "class", "left")
             named = join_counted(labels, sizes.select("class", "texts", F.coalesce("component", "class").alias("into")), "class", "texts", total)
-            labels = scratch.keep(named.select("uid", F.col("into").alias("class")))
+            labels = scratch.keep(named.select("uid", F.col("into").alias("class")), total)
             return True
 
-        link(by_pivots(parted(members).join(sigs, "uid")))
+        link(by_pivots(parted(members).join(sigs, "uid")), total)
         large = members.filter(F.col("members") > SIDE)
         while links and not large.isEmpty():
             ends = functools.reduce(DataFrame.unionByName, [x.select(F.col(end).alias("uid")) for x in links for end in ("a", "b")])
             degree = ends.groupBy("uid").agg(F.count("*").alias("degree"))
             best = F.max_by("uid", F.struct(F.coalesce("degree", F.lit(0)), "uid")).alias("uid")
-            leads = scratch.keep(large.select("key", "uid").join(labels, "uid").join(degree, "uid", "left").groupBy("key", "class").agg(best).select("key", "uid"))
+            leads = scratch.keep(large.select("key", "uid").join(labels, "uid").join(degree, "uid", "left").groupBy("key", "class").agg(best).select("key", "uid"), total)
             counted = leads.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-            if not link(by_pivots(parted(join_counted(leads, counted, "key", "members", max(1, leads.count()))).join(sigs, "uid"))):
+            if not link(by_pivots(parted(join_counted(leads, counted, "key", "members", max(1, leads.count()))).join(sigs, "uid")), total):
                 break
         signed = texts.select("uid", "sig", "bands", F.col("n").alias("size"), "bits")
         alive = members
         while True:
             found = scratch.keep(across(unsettled(alive, labels, total).join(signed, "uid"), nearest=True))
-            alive = scratch.keep(alive.join(found.select("key").distinct(), "key", "left_semi"))  # a bucket without candidates gets none by merging
-            if not link(found.select("a", "b").distinct()):
+            alive = scratch.keep(alive.join(found.select("key").distinct(), "key", "left_semi"), total)  # a bucket without candidates gets none by merging
+            if not link(found.select("a", "b").distinct(), total):
                 break
         link(across(unsettled(alive, labels, total).join(signed, "uid"), nearest=False).select("a", "b").distinct())
+        n_texts, n_rows = texts.count(), max(1, rows.count())
         known = labels.withColumnRenamed("class", "label")
-        labelled = scratch.keep(texts.select("uid", "m1", "m2", F.col("lead.doc_id").alias("least"), "copies").join(known, "uid", "left").withColumn("class", F.coalesce("label", "uid")))
+        labelled = scratch.keep(texts.select("uid", "m1", "m2", F.col("lead.doc_id").alias("least"), "copies").join(known, "uid", "left").withColumn("class", F.coalesce("label", "uid")), n_texts)
         sizes = labelled.groupBy("class").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("texts"))
-        named = join_counted(labelled.select("class", "m1", "m2", "copies"), sizes, "class", "texts", max(1, labelled.count()))
-        of_text = scratch.keep(named.select("m1", "m2", "class_id", "class_size", "copies"))
-        named = join_counted(rows.select("doc_id", "t1", "t2", "n", "m1", "m2"), of_text, ["m1", "m2"], "copies", max(1, rows.count()))
-        return checkpoint(named.select("doc_id", "t1", "t2", "n", "class_id", "class_size"))
+        named = join_counted(labelled.select("class", "m1", "m2", "copies"), sizes, "class", "texts", max(1, n_texts))
+        of_text = scratch.keep(named.select("m1", "m2", "class_id", "class_size", "copies"), n_texts)
+        named = join_counted(rows.select("doc_id", "t1", "t2", "n", "m1", "m2"), of_text, ["m1", "m2"], "copies", n_rows)
+        return checkpoint(named.select("doc_id", "t1", "t2", "n", "class_id", "class_size").coalesce(n_rows // common.ROWS + 1))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
