@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeframe.llm.common import SPACES, checkpoint, join_counted, table
+from gradeframe.llm.common import SPACES, checkpoint, join_counted, remove, shared_dir, table
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -21,38 +22,74 @@ def normalised(text: str | Column = "text") -> Column:
     return F.regexp_replace(F.coalesce(col, F.lit("")), SPACES, " ")
 
 
+#: Rows of the index that a bucket should have, about.
+BUCKET_ROWS = 1_000_000
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets for an index of so many rows: a power of two, 64 at least."""
+    return max(64, 1 << max(0, rows // BUCKET_ROWS).bit_length())
+
+
 class DigestIndex:
     """SHA-256 digests of all texts seen so far, each with the id that stays.
 
+    The table lies in versions under `path`, by default a folder of the shared
+    one, so it outlives the session if the path does: a session whose catalog
+    doesn't know the index takes up the last whole version. Appends add a file to each
+    bucket; compact() writes a new version with one sorted file a bucket.
+
     Re-running an append is harmless: digests that are there already are not
     appended again and keep their id.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, name: str, buckets: int = 64, path: str | None = None):
         self.spark, self.name, self.buckets = spark, name, buckets
+        self.path = path or f"{shared_dir(spark)}/{name}"
+
+    def versions(self) -> list[str]:
+        """Folders of whole versions, the last one first."""
+        fs, folder = pafs.FileSystem.from_uri(self.path)
+        found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+        whole = [f.base_name for f in found if f.base_name[:1] == "v" and fs.get_file_info(f"{f.path}/_SUCCESS").type == pafs.FileType.File]
+        return sorted(whole, key=lambda v: int(v[1:]), reverse=True)
 
     def exists(self) -> bool:
+        if not self.spark.catalog.tableExists(self.name) and (there := self.versions()):
+            at = f"{self.path}/{there[0]}"
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.spark.read.parquet(at).schema)
+            self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{at}'")
         return self.spark.catalog.tableExists(self.name)
 
     def read(self) -> DataFrame:
+        self.exists()
         return self.spark.table(self.name)
 
+    def _write(self, rows: DataFrame, name: str, version: str) -> None:
+        dealt = rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
+        dealt.mode("append").format("parquet").option("path", f"{self.path}/{version}").saveAsTable(name)
+
     def append(self, groups: DataFrame) -> None:
         """Adds the digests of groups (digest, keep_id, ...; one row each) that are new."""
         new = groups.select("digest", "keep_id")
         if self.exists():
             new = new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        (
-            new.repartition(self.buckets, "digest")
-            .write.bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .mode("append")
-            .format("parquet")
-            .saveAsTable(self.name)
-        )
+        self._write(new, self.name, (self.versions() or ["v0"])[0])
+
+    def compact(self) -> None:
+        """Writes all rows as a new version, then drops the old one; readers of the old one must be done."""
+        if not self.exists():
+            return
+        old, to = self.versions(), f"v{int(self.versions()[0][1:]) + 1}"
+        self._write(self.read(), f"{self.name}_{to}", to)
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.spark.sql(f"ALTER TABLE {self.name}_{to} RENAME TO {self.name}")
+        for version in old:
+            remove(f"{self.path}/{version}")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.path)
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
@@ -89,9 +126,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents")
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", buckets_for(docs.count()))
     try:
-        return deduplicate(table(spark, sf_dir, "documents"), index)
+        return deduplicate(docs, index)
     finally:
         index.drop()  # what the result needs of it is checkpointed
 

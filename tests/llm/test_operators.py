@@ -111,7 +111,15 @@ def test_index_persists(spark):
     assert index.read().count() == 3
     index.append(spark.createDataFrame([], "digest binary, keep_id long"))
     assert index.read().count() == 3
-    index.drop()
+    index.compact()
+    third = spark.createDataFrame([(10, "c"), (11, "e")], "doc_id long, text string")
+    assert {r.doc_id for r in exact_dedup.deduplicate(third, index).collect() if r.kept} == {11}
+    assert len(index.versions()) == 1 and index.versions() == ["v1"]
+    spark.sql(f"DROP TABLE {index.name}")  # as if another session had made it
+    again = exact_dedup.DigestIndex(spark, index.name, 4)
+    assert {r.doc_id for r in exact_dedup.deduplicate(third, again).collect() if r.kept} == set() and again.read().count() == 4
+    again.drop()
+    assert not again.exists() and exact_dedup.buckets_for(3) == 64 and exact_dedup.buckets_for(10**10) == 16384
 
 
 # ---- mixing -------------------------------------------------------------------
@@ -561,6 +569,17 @@ def test_repeats(spark, monkeypatch, most):
     assert sorted(str(tuple(x)) for x in got.collect()) == brute_repeats(docs)
 
 
+@pytest.mark.parametrize("words", [50, 51, 58, 66, 80, 120])
+def test_passages_by_length(spark, words):
+    """Passages of over 50 words in two texts: removed if they have 400 bytes, left if they have fewer."""
+    passage = " ".join(f"word{i % 10}" for i in range(words))[: words * 6 - 1]
+    passage = prose(words, 200)[: len(passage)]
+    docs = [(1, f"{prose(1, 30)} <{passage}> {prose(2, 30)}"), (2, f"{prose(3, 40)} [{passage}] {prose(4, 5)}"), (3, prose(5, 90))]
+    got = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i].n_removed for i in (1, 2, 3)] == [len(passage) * (len(passage) >= 400)] * 2 + [0]
+    assert got[1].kept.decode() == docs[0][1].replace(passage, "" if len(passage) >= 400 else passage)
+
+
 # ---- token files ----------------------------------------------------------------
 
 
@@ -643,9 +662,88 @@ def test_quality(spark, sf):
         net.params[k][...] = before[k]
 
 
+def test_quality_forward_by_loops():
+    net = quality.ByteConvNet.fresh(9)
+    net.params[0][0] = 0  # padding
+    embed, filters, bias, out, out_bias = net.params
+    texts = [b"", b"abc", b"plain words here, and more of them", b"xyxyxyxyxyxyxyxyxyxyxyxyxyxyxyxy!", b"la la la la la la la la la la la la la la", bytes(range(1, 200))]
+    for t, got in zip(texts, net.score_all(texts)):
+        padded = t + bytes((len(t) // 4 + 2) * 4 - len(t)) + bytes(40)
+        looped = [any(i >= d and all(padded[i + k] == padded[i + k - d] for k in range(16)) for d in range(2, 25)) and padded[i] != 0 for i in range(len(padded) - 16)]
+        best = np.full(len(bias), -np.inf)
+        for at in range(0, (len(t) // 4 + 1) * 4, 4):
+            x = np.concatenate([[*embed[padded[at + k]], float(looped[at + k])] for k in range(8)])
+            best = np.maximum(best, x @ filters + bias)
+        assert got == pytest.approx(1 / (1 + np.exp(-(np.maximum(best, 0) @ out + out_bias[0]))), abs=1e-5)
+
+
+def test_language_vectors_by_loops(monkeypatch):
+    texts = ["Añb ß", "", "123 !", "日本語 テキスト", "a", "Привет мир", "abc" * 50]
+    letter = langid.letter_vectors().astype(int)
+    place = lambda ch: 1 + ord(ch) % (langid.SLOTS - 1) if ch.isalpha() else 0
+    want = []
+    for t in texts:
+        padded, v = f" {t.lower()} ", np.zeros(langid.DIM)
+        for i in range(1, len(padded) - 1):
+            if padded[i].isalpha():
+                a, b, c = (letter[place(ch)] for ch in padded[i - 1 : i + 2])
+                v += np.roll(a, 2) * np.roll(b, 1) * c
+        want.append(v)
+    for cells in (langid.TABLE, 20):
+        monkeypatch.setattr(langid, "TABLE", cells)
+        got, has = langid.bundle([t.lower() for t in texts])
+        assert np.allclose(got, want) and has.tolist() == [any(ch.isalpha() for ch in t) for t in texts]
+
+
 # ---- pipeline ---------------------------------------------------------------------
 
 
+def test_pipeline_stages_against_brute_force(spark, sf):
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.limit(0)).cache()
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    texts = dict(docs.select("doc_id", "text").collect())
+    langs, prototypes = langid.learn(docs)
+    keep = []
+    for i, t in texts.items():
+        v, has = langid.bundle([(t or "").lower()])
+        cos = prototypes @ v[0] / max(1e-9, np.linalg.norm(v[0]))
+        if has[0] and cos.max() >= langid.LEAST_COSINE:
+            keep.append(i)
+    known = P.language(spark, docs, sf).cache()
+    assert ids(known) == sorted(keep)
+    # one document of each class of like ones
+    bags = {i: bag(texts[i]) for i in keep}
+    sizes = {i: sum(b.values()) for i, b in bags.items()}
+    root = {i: i for i in keep}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, i in enumerate(keep):
+        for j in keep[k + 1 :]:
+            if min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j]) and similarity(bags[i], bags[j]) >= 0.8:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    single = P.near_duplicates(spark, known, sf).cache()
+    assert ids(single) == sorted({top(i) for i in keep}) and single.columns == docs.columns
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    judged = [eval(x) for x in brute_decontam([tuple(r) for r in single.select("doc_id", "text").collect()], items)]
+    clean = P.decontamination(spark, single, sf).cache()
+    assert ids(clean) == sorted(x[0] for x in judged if not x[-1])
+    plan = {r.doc_id: r for r in mixing.schedule(clean, whole=True).collect()}
+    mixed = P.mixture(spark, clean, sf).cache()
+    assert ids(mixed) == sorted(i for i, r in plan.items() for _ in range(r.copies))
+    coder = tokens.WordEncoder(tokens.default_tokenizer()).tokenizer
+    want = [zlib.crc32(np.array([*coder.encode(texts[i] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i in ids(mixed)]
+    got = sorted(P.token_files(spark, mixed, sf).collect(), key=lambda r: r.start)
+    assert [r.ids_crc32 for r in got] == want
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as P
 
