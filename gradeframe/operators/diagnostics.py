@@ -91,3 +91,20 @@ def chips(sample: dict[str, Column], fields: Column) -> Column:
 def shown_repairs(repairs: Column) -> Column:
     """The first three distinct repairs, escaped."""
     return html_escape(F.array_join(F.slice(F.array_sort(F.array_distinct(repairs)), 1, 3), ", "))
+
+
+def details() -> Column:
+    """array<struct<label, state>> for the columns of scored samples: chips(), counts, and what was unusual about the match."""
+    label = lambda parts, state: F.struct(F.concat(*parts).alias("label"), state.alias("state"))
+    number = lambda c: c.cast("string")
+    note, none = F.lit("note"), F.lit(None).cast("struct<label: string, state: string>")
+    series = lambda c: F.size(F.coalesce(F.col(f"{c}.series"), F.array()))
+    every = chips({c: F.col(c) for c in ("valid_json", "va_05", "chart_type_ok", "title_ok", "x_label_ok", "y_label_ok")}, F.col("fields"))
+    more = F.array(
+        label([F.lit("series "), number(series("pred")), F.lit("/"), number(series("gold"))], F.when(F.col("series_count_ok"), "ok").otherwise("bad")),
+        label([F.lit("points "), number(F.col("n_matched")), F.lit("/"), number(F.col("gold_points")), F.lit(", missing "), number(F.col("n_missing")), F.lit(", extra "), number(F.col("n_spurious"))], note),
+        F.when(F.size("scale_errors") > 0, label([F.lit("scale x"), number(F.get("scale_errors", F.lit(0)))], F.lit("bad"))).otherwise(none),
+        F.when(F.col("fallback"), label([F.lit("matched by position")], note)).otherwise(none),
+        F.when(F.size("repairs") > 0, label([F.lit("repaired: "), shown_repairs(F.col("repairs"))], note)).otherwise(none),
+    )
+    return F.array_compact(F.concat(every, more))

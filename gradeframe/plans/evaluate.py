@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from gradeframe.functions.parsing import canonical_json, parse_prediction
 from gradeframe.functions.text import anls, exact_match
 from gradeframe.operators.log import is_error, scoring_view, timing
 from gradeframe.operators.scoring import parse_errors, repair_histogram, score_samples, summarise
+from gradeframe.sources.jsonl import read_text, score_json, write_text
 
 #: What a score file says about its run.
 CONFIG = ("manifest", "preds", "model", "adapter", "dtype", "prompt", "prompt_version", "constrained", "long_edge", "max_new_tokens")
@@ -17,7 +20,7 @@ CONFIG = ("manifest", "preds", "model", "adapter", "dtype", "prompt", "prompt_ve
 def samples(manifest: DataFrame, log: DataFrame, lenient: bool = True) -> DataFrame:
     """Scored rows: predictions whose id the manifest has. A failed generation has no record but keeps its repairs."""
     last = scoring_view(log)
-    parsed = last.select("id", "n_tokens", "seconds", "gen_error", "ord", parse_prediction(F.col("raw"), lenient).alias("parsed"))
+    parsed = last.select("id", "raw", "n_tokens", "seconds", "gen_error", "ord", parse_prediction(F.col("raw"), lenient).alias("parsed"))
     joined = parsed.join(manifest.select("id", "gold", "scored_fields", "properties"), "id")
     failed = is_error(F.col("gen_error"))
     pred = F.when(~failed, F.col("parsed.chart"))
@@ -59,28 +62,74 @@ def percent(x: float | None) -> str:
     return "n/a" if x is None else f"{100 * x:.1f}%"
 
 
-def report(runs: dict[str, list[dict]], title: str) -> str:
-    """Markdown of the summaries (rows of summarise() as dicts) of some runs."""
-    lines = [f"# {title}", "", "| run | n | valid JSON | chart type | series names | structural | value@1% | **value@5%** | value@10% | median APE | recall |", "|" + "---|" * 11]
-    for name, rows in runs.items():
-        for r in (r for r in rows if r["level"] == "overall"):
-            median = "n/a" if r["median_ape"] is None else f"{r['median_ape']:.0f}%"
-            shown = [percent(r[k]) for k in ("valid_json_rate", "chart_type_accuracy", "series_name_accuracy", "exact_structural_match", "va_01")]
-            lines.append("| " + " | ".join([name, str(r["n"]), *shown, f"**{percent(r['va_05'])}**", percent(r["va_10"]), median, percent(r["point_recall"])]) + " |")
-    for name, rows in runs.items():
-        for level, head in (("chart_type", "by chart type"), ("series_count", "by series count")):
-            own = sorted((r for r in rows if r["level"] == level), key=lambda r: r["key"])
-            if own:
-                lines += ["", f"## {name}: {head}", "", "| group | n | value@5% | structural | recall |", "|---|---|---|---|---|"]
-                lines += [f"| {r['key']} | {r['n']} | {percent(r['va_05'])} | {percent(r['exact_structural_match'])} | {percent(r['point_recall'])} |" for r in own]
+def write_scores(out: dict[str, DataFrame], flags: dict, path: str) -> None:
+    """score()'s frames as one score file: summary, parse errors, repairs, configuration and timing."""
+    timed = out["timing"].first()
+    extra = {
+        "parse_errors": out["parse_errors"].first()[0],
+        "repairs": {r.repair: r.n for r in out["repairs"].collect()},  # a name for each kind of repair
+        "config": config(flags),
+        "timing": {"median_seconds": timed.median_seconds, "mean_tokens": timed.mean_tokens},
+    }
+    write_text(path, score_json(out["summary"], extra))
+
+
+def read_runs(items: list[str]) -> dict[str, dict]:
+    """Score files by NAME=PATH; those that aren't there are left out."""
+    pairs = (item.partition("=") for item in items)
+    texts = {name.strip(): read_text(path.strip()) for name, _, path in pairs}
+    return {name: json.loads(text) for name, text in texts.items() if text is not None}
+
+
+def table_row(*cells: object) -> str:
+    return f"| {' | '.join(map(str, cells))} |"
+
+
+def run_line(name: str, run: dict) -> str:
+    """What a run was made with."""
+    said = [f"{k}: {v}" for k, v in run.get("config", {}).items() if v is not None]
+    timed = run.get("timing", {})
+    if timed.get("median_seconds") is not None:
+        said.append(f"{timed['median_seconds']:.1f} s a sample (median)")
+    if timed.get("mean_tokens") is not None:
+        said.append(f"{timed['mean_tokens']:.0f} tokens (mean)")
+    return f"- **{name}**: {'; '.join(said) or 'nothing is known'}"
+
+
+def report(runs: dict[str, dict], title: str, preamble: str = "") -> str:
+    """Markdown of some runs, given as score files have them: a table of all, groups of each, and what they were made with."""
+    rates = {"valid JSON": "valid_json_rate", "chart type": "chart_type_accuracy", "series names": "series_name_accuracy", "structural": "exact_structural_match"}
+    head = ["run", "n", *rates, "value@1%", "**value@5%**", "value@10%", "median APE", "recall"]
+    lines = [f"# {title}", "", *([preamble, ""] if preamble else []), table_row(*head), "|" + "---|" * len(head)]
+    for name, run in runs.items():
+        r, va = run["overall"], run["overall"]["value_accuracy"]
+        median = "n/a" if r["median_ape"] is None else f"{r['median_ape']:.0f}%"
+        lines.append(table_row(name, r["n"], *(percent(r[k]) for k in rates.values()), percent(va["1%"]), f"**{percent(va['5%'])}**", percent(va["10%"]), median, percent(r["point_recall"])))
+    for name, run in runs.items():
+        for level, label in (("by_chart_type", "chart type"), ("by_series_count", "series count")):
+            if run.get(level):
+                lines += ["", f"## {name}: by {label}", "", table_row(label, "n", "value@5%", "structural", "recall"), "|---|---|---|---|---|"]
+                lines += [table_row(k, r["n"], percent(r["value_accuracy"]["5%"]), percent(r["exact_structural_match"]), percent(r["point_recall"])) for k, r in run[level].items()]
+    if runs:
+        lines += ["", "## Runs", "", *(run_line(name, run) for name, run in runs.items())]
     return "\n".join(lines) + "\n"
 
 
-def inspector(rows: DataFrame, n: int) -> str:
-    """A self-contained page of the first n failures (id, raw, error, repairs)."""
+STYLE = "body{font:15px sans-serif;margin:2em}article{border:1px solid #bbb;margin:1em 0;padding:1em}.two{display:flex;gap:1em}pre{flex:1;overflow:auto;background:#f3f3f3;padding:.6em}.ok{color:#060}.bad{color:#b00}.note{color:#850}"
+
+
+def inspector(rows: DataFrame, n: int, only_failures: bool = True) -> str:
+    """A self-contained page of the first n scored samples by id, or of those that fail: verdicts, gold and prediction (its raw text, if there is one and it didn't parse) side by side."""
     from gradeframe.functions.text import html_escape
-    from gradeframe.operators.diagnostics import first_failures, shown_repairs
+    from gradeframe.operators.diagnostics import details, failures
+
+    picked = (failures(rows) if only_failures else rows).orderBy("id").limit(n)
+    raw = F.col("raw") if "raw" in rows.columns else F.lit(None).cast("string")
+    text = lambda c: html_escape(F.coalesce(c, F.lit("")))
+    shown = picked.select(text(F.col("id")).alias("id"), details().alias("chips"), text(F.col("error")).alias("error"), text(canonical_json(F.col("gold"))).alias("gold"), text(F.coalesce(F.when(F.col("pred").isNotNull(), canonical_json(F.col("pred"))), raw)).alias("pred"))
+
+    def card(r) -> str:
+        chips = " ".join(f'<span class="{c.state}">{c.label}</span>' for c in r.chips)
+        return f'<article><h2>{r.id}</h2><p>{chips}</p><p class="bad">{r.error}</p><div class="two"><pre>{r.gold}</pre><pre>{r.pred}</pre></div></article>'
 
-    shown = first_failures(rows, n, "id").select("id", html_escape(F.coalesce("error", F.lit(""))).alias("error"), shown_repairs(F.col("repairs")).alias("repairs"), F.format_string("%.0f%%", 100 * F.col("va_05")).alias("va"))
-    body = "".join(f"<tr><td>{r.id}</td><td>{r.va}</td><td>{r.error}</td><td>{r.repairs}</td></tr>" for r in shown.collect())  # n rows
-    return f"<!doctype html><meta charset=utf-8><table><tr><th>id<th>value@5%<th>error<th>repairs</tr>{body}</table>"
+    return f"<!doctype html><meta charset=utf-8><style>{STYLE}</style>" + "".join(map(card, shown.collect()))  # n rows

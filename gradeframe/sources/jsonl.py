@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +48,35 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").json(path)
 
 
+#: How a score file names the tolerances.
+SHOWN_TOLERANCES = {"va_01": "1%", "va_05": "5%", "va_10": "10%"}
+
+
+def score_layout(row: dict) -> dict:
+    """One summary row as a score file has it: accuracies by tolerance under one name, and the fully annotated samples."""
+    out = {k: v for k, v in row.items() if k not in ("level", "key", "n_partially_annotated", *SHOWN_TOLERANCES)}
+    return out | {"n_fully_annotated": row["n"] - row["n_partially_annotated"], "value_accuracy": {shown: row[k] for k, shown in SHOWN_TOLERANCES.items()}}
+
+
 def score_json(summary: DataFrame, extra: dict | None = None) -> str:
-    """A run's summary rows, a few dozen, as one indented JSON text."""
-    out: dict = {"overall": {}, "chart_type": {}, "series_count": {}}
-    for row in summary.collect():
-        r = row.asDict()
-        level, key = r.pop("level"), r.pop("key")
-        if level == "overall":
-            out["overall"] = r
-        else:
-            out[level][key] = r
-    return json.dumps({"overall": out["overall"], "by_chart_type": dict(sorted(out["chart_type"].items())), "by_series_count": dict(sorted(out["series_count"].items())), **(extra or {})}, indent=2)
+    """A run's summary rows, a few dozen, and what else is said of it, as one indented JSON text."""
+    rows = sorted((r.asDict() for r in summary.collect()), key=lambda r: r["key"])
+    level = lambda name: {r["key"]: score_layout(r) for r in rows if r["level"] == name}
+    return json.dumps({"overall": level("overall").get("all", {}), "by_chart_type": level("chart_type"), "by_series_count": level("series_count"), **(extra or {})}, indent=2)
+
+
+def write_text(path: str, text: str) -> None:
+    """A small text from the driver to a local path or a URI; folders are made, a file that is there is replaced."""
+    fs, place = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+    fs.create_dir(place.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(place) as out:
+        out.write(text.encode())
+
+
+def read_text(path: str) -> str | None:
+    """The text of a small file; None if there is no such file."""
+    fs, place = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), os.path.abspath(path))
+    if fs.get_file_info(place).type != pafs.FileType.File:
+        return None
+    with fs.open_input_stream(place) as f:
+        return f.read().decode()

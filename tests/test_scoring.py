@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gradeframe.__main__ import main
 from gradeframe.functions.assignment import assign
 from gradeframe.functions.parsing import canonical_json, parse_one, parse_prediction
 from gradeframe.operators.scoring import repair_histogram, score_samples, summarise
@@ -116,7 +117,9 @@ def test_micro_average_and_levels(spark):
     assert rows["overall", "all"].va_05 == pytest.approx(0.75) and rows["overall", "all"].n == 3
     assert rows["chart_type", "pie"].va_05 == 0 and ("chart_type", "all") not in rows and set(k for level, k in rows if level == "series_count") == {"1", "2-3"}
     assert rows["overall", "all"].n_missing_points == 0 and "by_chart_type" in json.loads(score_json(summarise(scored(spark, [a]))))
-    assert "| run |" in report({"r": [r.asDict() for r in rows.values()]}, "t")
+    file = json.loads(score_json(summarise(scored(spark, [a]))))
+    assert file["overall"]["value_accuracy"] == {"1%": 1.0, "5%": 1.0, "10%": 1.0} and file["overall"]["n_fully_annotated"] == 1
+    assert "| r | 1 |" in report({"r": file}, "t")
 
 
 PARSING = [
@@ -276,6 +279,31 @@ def test_known_run(spark, tmp_path):
     assert tuple(out["timing"].first()) == (30.0, 29.5)
 
 
+def test_command_line(spark, tmp_path, capsys):
+    other = {**CHART, "title": "<b>", "series": CHART["series"][:1]}
+    (tmp_path / "m.jsonl").write_text("\n".join(json.dumps({"id": i, "image": "x", "gold": CHART}) for i in "abc"))
+    log = [("a", json.dumps(CHART)), ("b", json.dumps(other)), ("c", "no < json")]
+    (tmp_path / "p.jsonl").write_text("\n".join(json.dumps({"id": i, "raw": r, "n_tokens": 5, "seconds": 2.0, "gen_error": None}) for i, r in log))
+    at = lambda name: str(tmp_path / name)
+    assert main(["selfcheck", "--manifest", at("m.jsonl")]) == 0 and "all perfect" in capsys.readouterr().out
+    empty = json.dumps({"id": "z", "image": "x", "gold": {**CHART, "series": []}})
+    (tmp_path / "bad.jsonl").write_text(empty)
+    assert main(["selfcheck", "--manifest", at("bad.jsonl")]) == 1 and "z" in capsys.readouterr().out
+    assert main(["score", "--manifest", at("m.jsonl"), "--preds", at("p.jsonl"), "--out", at("s/one.json"), "--model", "m1"]) == 0
+    assert main(["score", "--manifest", at("m.jsonl"), "--preds", at("p.jsonl"), "--out", at("s/two.json"), "--limit", "1"]) == 0
+    one, two = (json.loads((tmp_path / "s" / f"{x}.json").read_text()) for x in ("one", "two"))
+    assert (one["overall"]["n"], two["overall"]["n"]) == (3, 1) and one["config"]["model"] == "m1" and one["timing"] == {"median_seconds": 2.0, "mean_tokens": 5.0}
+    assert one["parse_errors"] == ["no JSON object found"] and one["overall"]["n_missing_points"] == 3
+    assert main(["report", "--run", f"one={at('s/one.json')}", "--run", f"none={at('s/none.json')}", "--run", f"two={at('s/two.json')}", "--out", at("r.md"), "--preamble", "Hello."]) == 0
+    page = (tmp_path / "r.md").read_text()
+    assert "| one | 3 |" in page and "none" not in page.split("## Runs")[1] and "model: m1" in page and "Hello." in page
+    assert main(["inspect", "--manifest", at("m.jsonl"), "--preds", at("p.jsonl"), "--out", at("i.html"), "--all"]) == 0
+    page = (tmp_path / "i.html").read_text()
+    assert page.count("<article>") == 3 and "&lt;b&gt;" in page and "no &lt; json" in page and "series 1/2" in page and "missing 3" in page
+    main(["inspect", "--manifest", at("m.jsonl"), "--preds", at("p.jsonl"), "--out", at("i.html")])
+    assert (tmp_path / "i.html").read_text().count("<article>") == 1
+
+
 def test_empty_inputs(spark):
     none = scored(spark, [(CHART, CHART)]).filter("false")
     assert summarise(none).count() == 0
