@@ -149,9 +149,9 @@ def sign(docs: DataFrame) -> DataFrame:
 def buckets(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, uid, band, members): the texts of each bucket with more than one."""
     by_band = texts.filter("bands IS NOT NULL").select("uid", F.posexplode("bands").alias("band", "hash"))
-    rows = scratch.keep(by_band.select(F.xxhash64("band", "hash").alias("key"), "uid", "band"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    return scratch.keep(join_counted(rows, sizes, "key", "members", max(1, rows.count())))
+    rows = by_band.select(F.xxhash64("band", "hash").alias("key"), "uid", "band")
+    sizes = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
+    return scratch.keep(join_counted(rows, sizes, "key", "members", max(1, BANDS * texts.count())))
 
 
 def named_in(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -483,18 +483,19 @@ def test_line_links(spark):
     where = collections.defaultdict(list)
     for d, t in sorted(docs):
         for n, line in enumerate((t or "").split("\n")):
-            if len(s := frozenset(split(line))) >= 5:
+            if s := frozenset(split(line)):
                 where[s].append((d, n))
     like = {s: [o for o in where if o != s and len(s & o) >= 0.8 * len(s | o) - 1e-9] for s in where}
-    removed, links = collections.Counter(), collections.Counter()
+    removed, links, first = collections.Counter(), collections.Counter(), {d: d for d, _ in docs}
     for s, places in where.items():
         earliest = min([min(places), *(min(where[o]) for o in like[s])])
         for p in places:
+            first[p[0]] = min(first[p[0]], earliest[0])
             removed[p[0]] += p > earliest
             links[p[0]] += len(like[s])
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = {x.doc_id: x for x in line_dedup.summary(frame).collect()}
-    assert all((got[d].n_removed, got[d].n_links) == (removed[d], links[d]) for d, _ in docs)
+    assert all((got[d].n_removed, got[d].n_links, got[d].first_doc) == (removed[d], links[d], first[d]) for d, _ in docs)
     left = {x.doc_id: x.text for x in line_dedup.clean(frame).collect()}
     assert all(len((left[d] or "").split("\n")) == len((t or "").split("\n")) - removed[d] or not left[d] for d, t in docs)
 
