@@ -2,12 +2,16 @@
 
 A line is the set of its words. Words are put in one order for all lines, the
 rarest first; two sets with a Jaccard similarity of SIMILAR or more share a word
-among the first few of each (the prefix). Lines are joined on prefix words,
+among the first few of each (the prefix). Lines are grouped by prefix words,
 candidates are bounded by their lengths, by the places of the shared word and by
 the bits of 128-bit word filters that only one of them has, and what is left is
 compared word by word. A line goes if an earlier one (by
 doc_id, then line) is equal or similar to it.
 
+Pairs are never rows: the first pass over the groups says which sets have
+candidates, the second one compares those and returns for each set how many are
+like it and where the earliest one is.
+
 Rarity is counted over all lines in a table of a fixed number of hashed cells, a
 byte each, which is broadcast. Any order gives the same links; a cell that
 several words share only makes some candidates more. A word whose cell counts
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +38,12 @@ CELLS = 1 << 24
 UNIT = 5
 #: Bytes of the filter, which is broadcast, of sets whose words are wanted. It only saves work: a join follows.
 FILTER = 1 << 23
-#: Lines compared at a time with others of the same word.
-RUN = 512
+#: Places from which on a word is a key only together with another one, and sets of a key from which on it is cut into blocks.
+OFTEN = 1 << 15
+#: Words of the least sets that can be similar without being equal.
+LONGER = 4
+#: Pairs compared at a time.
+PAIRS = 1 << 14
 
 
 def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -88,9 +97,19 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - np.ceil(SIMILAR * n - 1e-9).astype(np.int64) + 1
 
 
-def lines(docs: DataFrame, table_of_codes: np.ndarray) -> DataFrame:
-    """A row per line with words: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n, b1, b2 (a filter of its words) and live (prefix words that another line may have, each followed by its place)."""
+def binary(units: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The words between cuts, UNIT bytes each, as an array of one value for each piece."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((UNIT * cuts).astype(np.int32)), pa.py_buffer(pack(units))])
+
+
+def lines(docs: DataFrame, table_of_codes: np.ndarray, often: int = OFTEN) -> DataFrame:
+    """A row per line with words: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n, b1, b2 (a filter of its words), start, rare and live.
+
+    live has the words of the prefix, and the next one, that another line may have: those from the place `start`
+    on. The first `rare` of them aren't in more than `often` places.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(table_of_codes)
+    limit = 6 * np.log2(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = shared.value
@@ -102,10 +121,9 @@ def lines(docs: DataFrame, table_of_codes: np.ndarray) -> DataFrame:
                 sizes = np.diff(cuts)
                 d1, d2 = digests(word, cuts)
                 place = np.arange(len(word)) - np.repeat(cuts[:-1], sizes)
-                prefix = np.repeat(prefix_size(sizes), sizes)
-                where = np.flatnonzero((place < prefix) & (code > 0))
-                flat = np.stack([word[where].view(np.int64), place[where]], axis=1).ravel()
-                live = pa.ListArray.from_arrays(pa.array((2 * np.searchsorted(where, cuts)).astype(np.int32)), pa.array(flat))
+                where = np.flatnonzero((place <= np.repeat(prefix_size(sizes), sizes)) & (code > 0))
+                live = binary(word[where] >> np.uint64(64 - 8 * UNIT), np.searchsorted(where, cuts))
+                start, rare = (np.add.reduceat(x.astype(np.int64), cuts[:-1]) for x in (code == 0, (code > 0) & (code <= limit)))
                 own = text[cuts[:-1]]
                 first_line = np.concatenate([[0], np.cumsum(data == 10)])[offsets[own]] + own
                 rows = pa.array(own + first_row)
@@ -113,12 +131,13 @@ def lines(docs: DataFrame, table_of_codes: np.ndarray) -> DataFrame:
                 value = np.uint64(1) << bit % np.uint64(64)
                 b1, b2 = (np.bitwise_or.reduceat(np.where(half, value, np.uint64(0)), cuts[:-1]).view(np.int64) for half in (bit < 64, bit >= 64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line[cuts[:-1]] - first_line), *map(pa.array, (d1, d2, sizes, b1, b2)), live],
-                    names=["doc_id", "mark", "line", "d1", "d2", "n", "b1", "b2", "live"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line[cuts[:-1]] - first_line), *map(pa.array, (d1, d2, sizes, b1, b2, start, rare)), live],
+                    names=["doc_id", "mark", "line", "d1", "d2", "n", "b1", "b2", "start", "rare", "live"],
                 )
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, f"doc_id {id_type(docs)}, mark long, line long, d1 long, d2 long, n long, b1 long, b2 long, live array<long>")
+    schema = f"doc_id {id_type(docs)}, mark long, line long, d1 long, d2 long, n long, b1 long, b2 long, start long, rare long, live binary"
+    return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, schema)
 
 
 def digests(word: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,28 +145,27 @@ def digests(word: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.add.reduceat(mix(word), cuts[:-1]).view(np.int64), np.add.reduceat(mix(word ^ ODD), cuts[:-1]).view(np.int64)
 
 
-def bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(uid, bag) of the wanted (uid, d1, d2): their sorted words, UNIT bytes each."""
+def bags(docs: DataFrame, wanted: DataFrame, table_of_codes: np.ndarray) -> DataFrame:
+    """(uid, bag) of the wanted (uid, d1, d2): their words, rarest first, UNIT bytes each."""
     cell = F.col("d1").bitwiseAND(8 * FILTER - 1)
     bits = wanted.groupBy(F.shiftright(cell, 3).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(d1 & 7 AS int))")).cast("short").alias("bits"))
     got = bits.toArrow()  # 6 bytes for each of FILTER rows at most
     table_ = np.zeros(FILTER, dtype=np.uint8)
     table_[got.column(0).to_numpy()] = got.column(1).to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(table_)
+    order = docs.sparkSession.sparkContext.broadcast(table_of_codes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = shared.value
-        same = np.zeros(CELLS, dtype=np.uint8)  # words by their hash alone
+        named, codes = shared.value, order.value
         for batch in batches:
             for _, data, offsets in blocks(batch.column(0)):
-                word, _, _, _, cuts = line_sets(data, offsets, same)
+                word, _, _, _, cuts = line_sets(data, offsets, codes)
                 if not len(word):
                     continue
                 d1, d2 = digests(word, cuts)
                 own = (d1 & (8 * FILTER - 1)).astype(np.int64)
                 hit = pa.array((named[own >> 3] >> (own & 7).astype(np.uint8) & 1).astype(bool))
-                raw = pack(word >> np.uint64(64 - 8 * UNIT))
-                bag = pa.Array.from_buffers(pa.binary(), len(d1), [None, pa.py_buffer((UNIT * cuts).astype(np.int32)), pa.py_buffer(raw)])
+                bag = binary(word >> np.uint64(64 - 8 * UNIT), cuts)
                 yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), bag], names=["d1", "d2", "bag"]).filter(hit)
 
     found = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "d1 long, d2 long, bag binary")
@@ -159,102 +177,177 @@ def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.ceil(SIMILAR / (1 + SIMILAR) * (n + m) - 1e-9)
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(a, b), a < b: sets that share a prefix word and pass the bounds on lengths and places."""
-
-    def fits(n, place, bits, m, there, others) -> np.ndarray:
-        """Whether sets of n <= m words whose first shared prefix word is at these places can be similar."""
-        most = np.minimum(place, there) + np.minimum(n - place, m - there)
-        alone, alone_there = (sum(np.bitwise_count(a & ~b).astype(np.int64) for a, b in zip(x, y)) for x, y in ((bits, others), (others, bits)))
-        most = np.minimum(most, np.minimum(n - alone, m - alone_there))
-        return (m * SIMILAR <= n + 1e-9) & (most >= needed(n, m))
-
-    def pairs(uid: np.ndarray, n: np.ndarray, place: np.ndarray, bits: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for at in range(0, len(uid), RUN):  # sorted by n: the partners of a run that are no shorter
-            x = slice(at, at + RUN)
-            end = int(np.searchsorted(n, n[x][-1] / SIMILAR + 1e-9, side="right"))
-            for to in range(at, end, RUN * 8):
-                y = slice(to, min(to + RUN * 8, end))
-                ok = fits(n[x, None], place[x, None], [b[x, None] for b in bits], n[None, y], place[None, y], [b[None, y] for b in bits])
-                i, j = np.nonzero(ok)
-                i, j = i + at, j + to
-                i, j = i[i < j], j[i < j]
-                if len(i):
-                    yield np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])
+def entries(sets: DataFrame, common: bool) -> DataFrame:
+    """A row for each key of a set: key, uid, n, place, after, b1, b2.
+
+    A word of the prefix that isn't in more than OFTEN places is a key by itself
+    (after is -1). A common one makes keys with each next word up to one word past
+    the prefix: similar sets of four words or more share two words there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            word, uid, n, place, *bits = (t.column(i).to_numpy() for i in range(6))
-            bits = [b.view(np.uint64) for b in bits]  # of signed integers the bits of the absolute value would count
-            cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
-            sizes = np.diff(cuts)
-            # groups of two at once, larger ones in turn
-            two = cuts[:-1][sizes == 2]
-            two = two[fits(n[two], place[two], [b[two] for b in bits], n[two + 1], place[two + 1], [b[two + 1] for b in bits])]
-            out = [(np.minimum(uid[two], uid[two + 1]), np.maximum(uid[two], uid[two + 1]))]
-            for a, b in zip(cuts[:-1][sizes > 2].tolist(), cuts[1:][sizes > 2].tolist()):
-                for p in pairs(uid[a:b], n[a:b], place[a:b], [v[a:b] for v in bits]):
-                    out.append(p)
-                    if sum(len(x) for x, _ in out) > 200_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
-                        out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["a", "b"])
-
-        for batch in batches:  # sorted by word and n
+        for batch in batches:
             if not batch.num_rows:
                 continue
-            word = batch.column(0).to_numpy()
-            last = int(np.searchsorted(word, word[-1]))
-            if held and held[-1].column(0)[-1].as_py() == word[0] and last == 0:
-                held.append(batch)
-                continue
-            held.append(batch.slice(0, last))
-            yield from flush()
-            held = [batch.slice(last)]
-        if held:
-            yield from flush()
-
-    each = sets.filter(F.size("live") > 0).select("uid", "n", "b1", "b2", "live", F.explode(F.sequence(F.lit(0), F.size("live") - 1, F.lit(2))).alias("i"))
-    each = each.select(F.get("live", F.col("i")).alias("word"), "uid", "n", F.get("live", F.col("i") + 1).alias("place"), "b1", "b2")
-    return each.repartition("word").sortWithinPartitions("word", "n", "uid").mapInArrow(run, "a long, b long").distinct()
+            uid, n, b1, b2, start, rare = (batch.column(i).to_numpy() for i in range(6))
+            sizes = np.diff(np.frombuffer(batch.column(6).buffers()[1], np.int32)[batch.column(6).offset :][: len(uid) + 1]) // UNIT
+            word = unpack(b"".join(batch.column(6).to_pylist()))
+            heads = np.minimum(sizes, prefix_size(n) - start)  # words of the prefix itself
+            heads = np.clip(np.where(common, heads - rare, np.minimum(heads, rare)), 0, None)
+            skip = np.minimum(rare, sizes) if common else np.zeros(len(uid), np.int64)
+            own = np.repeat(np.arange(len(uid)), heads)
+            nth = np.arange(len(own)) - np.repeat(np.cumsum(heads) - heads, heads) + skip[own]
+            begin = np.cumsum(sizes) - sizes
+            key, place, after = word[begin[own] + nth], start[own] + nth, np.full(len(own), -1)
+            if common:
+                rest = sizes[own] - nth - 1
+                own, nth, key, place = (np.repeat(x, rest) for x in (own, nth, key, place))
+                second = nth + 1 + np.arange(len(own)) - np.repeat(np.cumsum(rest) - rest, rest)
+                key, after = mix(key * ODD + word[begin[own] + second]), start[own] + second
+            columns = (key.view(np.int64), uid[own], n[own].astype(np.int32), place.astype(np.int32), after.astype(np.int32), b1[own], b2[own])
+            for at in range(0, len(own), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names=["key", "uid", "n", "place", "after", "b1", "b2"])
+
+    return sets.select("uid", "n", "b1", "b2", "start", "rare", "live").mapInArrow(run, "key long, uid long, n int, place int, after int, b1 long, b2 long")
+
+
+def parted(rows: DataFrame, most: int) -> DataFrame:
+    """The rows, with a side: keys of more than `most` rows are cut into blocks, and each two blocks have a key of their own.
+
+    Rows of the sides 1 and 2 are compared with each other, those of side 0 with all of their key.
+    """
+    counts, total = rows.groupBy("key").agg(F.count("*").alias("count")), rows.count()
+    each = join_counted(rows, counts, "key", "count", total)
+    parts = F.ceil(F.col("count") / most)
+    each = each.withColumn("mine", F.pmod(F.xxhash64("uid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when(low == high, 0).when(F.col("mine") == low, 1).otherwise(2)
+    return each.select(F.when(parts > 1, F.xxhash64("key", low, high)).otherwise(F.col("key")).alias("key"), *rows.columns[1:], side.cast("int").alias("side"))
+
+
+def pairs(key, n, place, after, side, b1, b2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, sorted by key and n, of sets that can be similar if the key has the first words that they share."""
+    rest = n - np.where(after < 0, place, after - 1)  # words that may be shared, from the key on
+    row, far = np.arange(len(key)), 0
+    while len(row):
+        far += 1
+        row = row[row + far < len(key)]
+        row = row[(key[row] == key[row + far]) & (n[row + far] * SIMILAR <= n[row] + 1e-9)]
+        i, j = row, row + far
+        least = needed(n[i], n[j])
+        ok = (np.minimum(rest[i], rest[j]) >= least) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j, least = i[ok], j[ok], least[ok]
+        alone, alone_there = (np.bitwise_count(b1[x] & ~b1[y]).astype(np.int64) + np.bitwise_count(b2[x] & ~b2[y]) for x, y in ((i, j), (j, i)))
+        ok = np.minimum(n[i] - alone, n[j] - alone_there) >= least
+        if ok.any():
+            yield i[ok], j[ok]
+
+
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, cut between its values only."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if last or (held and held[-1].column(0)[-1].as_py() != key[0]):
+            whole = [*held, batch.slice(0, last)] if last else held
+            yield pa.Table.from_batches(whole).combine_chunks()
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def columns(rows: pa.Table) -> list[np.ndarray]:
+    """key, n, place, after, side, b1, b2; the bits unsigned, as of signed integers those of the absolute value would count."""
+    key, n, place, after, side, b1, b2 = (rows.column(c).to_numpy() for c in ("key", "n", "place", "after", "side", "b1", "b2"))
+    return [key, n.astype(np.int64), place.astype(np.int64), after.astype(np.int64), side, b1.view(np.uint64), b2.view(np.uint64)]
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """The rows that have a candidate under their key."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_key(batches):
+            met = np.zeros(len(held), dtype=bool)
+            for i, j in pairs(*columns(held)):
+                met[i] = met[j] = True
+            yield from held.filter(pa.array(met)).to_batches()
 
-def links(pairs: DataFrame, bag: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose Jaccard similarity is SIMILAR or more."""
+    rows = rows.select("key", "uid", "n", "place", "after", "b1", "b2", "side")
+    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(run, rows.schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = unpack(x), unpack(y)
-                both = len(a) + len(b) - len(np.union1d(a, b))
-                keep.append(both >= SIMILAR * (len(a) + len(b) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(bag.withColumnsRenamed({"uid": "a", "bag": "bag_a"}), "a").join(bag.withColumnsRenamed({"uid": "b", "bag": "bag_b"}), "b")
-    return joined.select("a", "b", "bag_a", "bag_b").mapInArrow(run, "a long, b long")
+def verified(rows: DataFrame, kind: str) -> DataFrame:
+    """A row per key and set with links there: uid, n_links, and last, doc_id, line, the place of the earliest set like it.
 
+    rows have bag, last, doc_id and line besides the columns of meeting(). A link
+    counts under the key of the first words that its sets share, so it counts once.
+    """
 
-def matches(docs: DataFrame) -> DataFrame:
-    """A row per line with words: doc_id, mark, line, n_links (different lines like it), first_doc, removed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_key(batches):
+            key, n, place, after, side, b1, b2 = columns(held)
+            rank = np.empty(len(held), np.int64)
+            rank[pc.sort_indices(held, [(c, "ascending") for c in ("last", "doc_id", "line")]).to_numpy()] = np.arange(len(held))
+            word = unpack(b"".join(held.column("bag").to_pylist()))
+            begin = np.cumsum(n) - n
+            code, number = np.unique(word, return_inverse=True)
+            known = np.repeat(np.arange(len(held)), n) * len(code) + number  # (row, word), by number
+            order = np.argsort(known)
+            known = known[order]
+            links, best = np.zeros(len(held), np.int64), np.full(len(held), len(held))
+            for many_i, many_j in pairs(key, n, place, after, side, b1, b2):
+                for at in range(0, len(many_i), PAIRS):
+                    i, j = many_i[at : at + PAIRS], many_j[at : at + PAIRS]
+                    own = np.repeat(np.arange(len(i)), n[i])
+                    nth = np.arange(len(own)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
+                    want = j[own] * len(code) + number[begin[i][own] + nth]
+                    found = np.minimum(np.searchsorted(known, want), len(known) - 1)
+                    hit = np.flatnonzero(known[found] == want)
+                    own, mine, theirs = own[hit], nth[hit], order[found[hit]] - begin[j][own[hit]]
+                    both = np.bincount(own, minlength=len(i))
+                    nth = np.arange(len(own)) - np.repeat(np.cumsum(both) - both, both)  # of the shared words
+                    wrong = ((nth == 0) & ((mine != place[i][own]) | (theirs != place[j][own]))) | (
+                        (nth == 1) & (after[i][own] >= 0) & ((mine != after[i][own]) | (theirs != after[j][own]))
+                    )
+                    ok = (both >= SIMILAR * (n[i] + n[j] - both) - 1e-9) & (np.bincount(own[wrong], minlength=len(i)) == 0)
+                    i, j = i[ok], j[ok]
+                    for x, y in ((i, j), (j, i)):
+                        np.add.at(links, x, 1)
+                        np.minimum.at(best, x, rank[y])
+            some = np.flatnonzero(links)
+            other = held.select(["last", "doc_id", "line"]).take(pa.array(np.argsort(rank)[best[some]]))
+            out = pa.table({"uid": held.column("uid").take(pa.array(some)), "n_links": links[some], **{c: other.column(c) for c in other.column_names}})
+            yield from out.to_batches()
+
+    rows = rows.select("key", "uid", "n", "place", "after", "b1", "b2", "side", "bag", "last", "doc_id", "line")
+    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(run, f"uid long, n_links long, last boolean, doc_id {kind}, line long")
+
+
+def matches(docs: DataFrame, often: int = OFTEN, most: int = OFTEN) -> DataFrame:
+    """A row per line with words: doc_id, mark, line, n_links (different lines like it), first_doc, removed.
+
+    Words in more than `often` places are keys only together with another one, and
+    keys of more than `most` sets are compared by blocks; neither changes results.
+    """
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
     key = ["d1", "d2"]
     with Scratch(docs.sparkSession) as scratch:
-        found = scratch.keep(lines(docs, rarity(docs)))
-        grouped = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("n", "b1", "b2", "live")))
+        codes = rarity(docs)
+        found = scratch.keep(lines(docs, codes, often))
+        grouped = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("n", "b1", "b2", "start", "rare", "live")))
         sets = scratch.keep(grouped.withColumn("uid", F.monotonically_increasing_id()))
-        pairs = scratch.keep(candidates(sets.select("uid", "n", "b1", "b2", "live")))
-        met = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-        bag = scratch.keep(bags(docs, scratch.keep(sets.select("uid", *key).join(met, "uid"))))
-        linked = scratch.keep(links(pairs, bag))
-        first = sets.select("uid", "first")
-        both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        of = both.join(first.withColumnsRenamed({"uid": "b", "first": "other"}), "b").groupBy("a").agg(F.min("other").alias("other"), F.count("*").alias("n_links"))
-        judged = sets.select("uid", *key, "times", "first").join(of.withColumnRenamed("a", "uid"), "uid", "left")
+        wide = sets.filter(F.col("n") >= LONGER)
+        common = scratch.keep(entries(wide.filter(F.length("live") > UNIT * F.col("rare")), True))
+        met = scratch.keep(meeting(entries(wide, False).withColumn("side", F.lit(0)).unionByName(parted(common, most))))
+        wanted = scratch.keep(sets.select("uid", *key).join(met.select("uid").distinct(), "uid"))
+        place_of = sets.select("uid", "first.*").join(wanted.select("uid"), "uid")
+        bag = scratch.keep(bags(docs, wanted, codes).join(place_of, "uid"))
+        of = verified(met.join(bag, "uid"), id_type(docs)).groupBy("uid").agg(F.min(place).alias("other"), F.sum("n_links").alias("n_links"))
+        judged = sets.select("uid", *key, "times", "first").join(of, "uid", "left")
         earliest = F.least("first", F.coalesce("other", "first"))
         judged = scratch.keep(judged.select(*key, "times", earliest.alias("earliest"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
         each = join_counted(found.select("doc_id", "mark", "line", *key), judged, key, "times", max(1, found.count()))

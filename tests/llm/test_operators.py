@@ -500,6 +500,26 @@ def test_line_links(spark):
     assert all(len((left[d] or "").split("\n")) == len((t or "").split("\n")) - removed[d] or not left[d] for d, t in docs)
 
 
+def test_line_keys_of_two_words(spark):
+    """Common words as keys with a second one, and keys cut into blocks, find what plain keys find."""
+    r = random.Random(4)
+    base = [[f"w{r.randint(0, 40)}" for _ in range(r.randint(8, 30))] for _ in range(4)]
+    texts = [" ".join(w if r.random() < 0.96 else f"w{r.randint(0, 40)}" for w in r.choice(base)) for _ in range(240)]
+    frame = spark.createDataFrame([(i, "\n".join(texts[2 * i : 2 * i + 2])) for i in range(120)], "doc_id long, text string")
+    where = collections.defaultdict(list)
+    for k, t in enumerate(texts):
+        where[frozenset(split(t))].append((k // 2, k % 2))
+    like = {s: [o for o in where if o != s and len(s & o) >= 0.8 * len(s | o) - 1e-9] for s in where}
+    want = {}
+    for s, places in where.items():
+        earliest = min(min(where[o]) for o in [s, *like[s]])
+        want |= {p: (len(like[s]), earliest[0], p > earliest) for p in places}
+    assert sum(map(len, like.values())) > 1000
+    for often, most in ((1 << 15, 1 << 15), (2, 1 << 15), (20, 5), (1, 3)):
+        rows = line_dedup.matches(frame, often, most).collect()
+        assert {(x.doc_id, x.line): (x.n_links, x.first_doc, x.removed) for x in rows} == want
+
+
 def test_short_lines(spark):
     lines = ["Home", "Read more", "read more", "a b c d", "d c b a", "a b c d e", "a b c", "Home Home", " ", ""]
     docs = [(i, "\n".join(random.Random(i).choices(lines, k=5))) for i in range(30)]
