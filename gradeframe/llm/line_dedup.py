@@ -42,6 +42,10 @@ FILTER = 1 << 23
 OFTEN = 1 << 15
 #: Words of the least sets that can be similar without being equal.
 LONGER = 4
+#: Columns of a set's row under a key, with their types in memory and in tables.
+ENTRY = [("key", "i8", "long"), ("uid", "i8", "long"), ("n", "i4", "int"), ("place", "i4", "int"), ("after", "i4", "int"), ("b1", "i8", "long"), ("b2", "i8", "long"), ("side", "i1", "byte")]
+#: Entries of a box, about.
+BOX = 1 << 14
 #: Pairs compared at a time.
 PAIRS = 1 << 14
 
@@ -55,6 +59,17 @@ def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(inner & (begins[:-1] | ~np.concatenate([[False], inner[:-1]])))
 
 
+def in_order(line: np.ndarray, code: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order by line, code and word: one sort of packed integers, unless they leave words undecided."""
+    if len(line) and line[-1] < 1 << 20:
+        packed = line.astype(np.uint64) << np.uint64(44) | code.astype(np.uint64) << np.uint64(37) | word >> np.uint64(27)
+        order = np.argsort(packed)
+        packed, sorted_words = packed[order], word[order]
+        if not np.any((packed[1:] == packed[:-1]) & (sorted_words[1:] != sorted_words[:-1])):
+            return order
+    return np.lexsort((word, line << 8 | code))
+
+
 def line_sets(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, ...]:
     """(word, code, line, text, cuts) of the different words of each line that has any: lines in order, a line's words rarest first.
 
@@ -63,7 +78,7 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple
     word, text = words(data, offsets)
     line = np.cumsum(data == 10)[word_starts(data, offsets)] + text
     code = codes[(word % np.uint64(CELLS)).astype(np.int64)]
-    order = np.lexsort((word, line << 8 | code))
+    order = in_order(line, code, word)
     word, code, line, text = word[order], code[order], line[order], text[order]
     first = np.ones(len(word), dtype=bool)
     first[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
@@ -177,38 +192,79 @@ def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.ceil(SIMILAR / (1 + SIMILAR) * (n + m) - 1e-9)
 
 
-def entries(sets: DataFrame, common: bool) -> DataFrame:
-    """A row for each key of a set: key, uid, n, place, after, b1, b2.
+def entries(batch: pa.RecordBatch, common: bool) -> list[np.ndarray]:
+    """The columns of ENTRY, without a side, for each key of the sets (uid, n, b1, b2, start, rare, live).
 
     A word of the prefix that isn't in more than OFTEN places is a key by itself
     (after is -1). A common one makes keys with each next word up to one word past
     the prefix: similar sets of four words or more share two words there.
     """
+    uid, n, b1, b2, start, rare = (batch.column(i).to_numpy() for i in range(6))
+    live = batch.column(6)
+    sizes = np.diff(np.frombuffer(live.buffers()[1], np.int32)[live.offset :][: len(uid) + 1]) // UNIT
+    word = unpack(b"".join(live.to_pylist()))
+    heads = np.minimum(sizes, prefix_size(n) - start)  # words of the prefix itself
+    heads = np.clip(heads - rare if common else np.minimum(heads, rare), 0, None)
+    skip = np.minimum(rare, sizes) if common else np.zeros(len(uid), np.int64)
+    own = np.repeat(np.arange(len(uid)), heads)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(heads) - heads, heads) + skip[own]
+    begin = np.cumsum(sizes) - sizes
+    key, place, after = word[begin[own] + nth], start[own] + nth, np.full(len(own), -1)
+    if common:
+        rest = sizes[own] - nth - 1
+        own, nth, key, place = (np.repeat(x, rest) for x in (own, nth, key, place))
+        second = nth + 1 + np.arange(len(own)) - np.repeat(np.cumsum(rest) - rest, rest)
+        key, after = mix(key * ODD + word[begin[own] + second]), start[own] + second
+    return [x.astype(kind) for x, (_, kind, _) in zip((key, uid[own], n[own], place, after, b1[own], b2[own]), ENTRY)]
+
+
+def rows_of(sets: DataFrame, common: bool) -> DataFrame:
+    """A row for each key of a set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = entries(batch, common)
+                for at in range(0, len(found[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in found], names=[name for name, _, _ in ENTRY[:-1]])
+
+    return sets.select("uid", "n", "b1", "b2", "start", "rare", "live").mapInArrow(run, ", ".join(f"{name} {kind}" for name, _, kind in ENTRY[:-1]))
+
+
+def boxed(rows: DataFrame, boxes: int, sets: bool) -> DataFrame:
+    """(box, held): entries by the box of their key, whole columns in one value; of sets or of rows of ENTRY.
+
+    So few rows go through the shuffle. A box has all entries of its keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            uid, n, b1, b2, start, rare = (batch.column(i).to_numpy() for i in range(6))
-            sizes = np.diff(np.frombuffer(batch.column(6).buffers()[1], np.int32)[batch.column(6).offset :][: len(uid) + 1]) // UNIT
-            word = unpack(b"".join(batch.column(6).to_pylist()))
-            heads = np.minimum(sizes, prefix_size(n) - start)  # words of the prefix itself
-            heads = np.clip(np.where(common, heads - rare, np.minimum(heads, rare)), 0, None)
-            skip = np.minimum(rare, sizes) if common else np.zeros(len(uid), np.int64)
-            own = np.repeat(np.arange(len(uid)), heads)
-            nth = np.arange(len(own)) - np.repeat(np.cumsum(heads) - heads, heads) + skip[own]
-            begin = np.cumsum(sizes) - sizes
-            key, place, after = word[begin[own] + nth], start[own] + nth, np.full(len(own), -1)
-            if common:
-                rest = sizes[own] - nth - 1
-                own, nth, key, place = (np.repeat(x, rest) for x in (own, nth, key, place))
-                second = nth + 1 + np.arange(len(own)) - np.repeat(np.cumsum(rest) - rest, rest)
-                key, after = mix(key * ODD + word[begin[own] + second]), start[own] + second
-            columns = (key.view(np.int64), uid[own], n[own].astype(np.int32), place.astype(np.int32), after.astype(np.int32), b1[own], b2[own])
-            for at in range(0, len(own), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], names=["key", "uid", "n", "place", "after", "b1", "b2"])
-
-    return sets.select("uid", "n", "b1", "b2", "start", "rare", "live").mapInArrow(run, "key long, uid long, n int, place int, after int, b1 long, b2 long")
+            found = entries(batch, False) if sets else [batch.column(i).to_numpy() for i in range(len(ENTRY))]
+            found = [*found, np.zeros(len(found[0]), np.int8)][: len(ENTRY)]
+            box = (mix(found[0].view(np.uint64)) % np.uint64(boxes)).astype(np.int64)
+            order = np.argsort(box, kind="stable")
+            box, found = box[order], [c[order] for c in found]
+            cuts = np.flatnonzero(np.concatenate([[True], box[1:] != box[:-1], [True]])).tolist() if len(box) else [0]
+            held = [b"".join(c[x:y].tobytes() for c in found) for x, y in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(box[cuts[:-1]]), pa.array(held, pa.binary())], names=["box", "held"])
+
+    rows = rows.select("uid", "n", "b1", "b2", "start", "rare", "live") if sets else rows.select(*[name for name, _, _ in ENTRY])
+    return rows.mapInArrow(run, "box long, held binary")
+
+
+def unboxed(held: list[bytes]) -> list[np.ndarray]:
+    """The columns of ENTRY of boxes, by key and n."""
+    parts, sizes = [[] for _ in ENTRY], [np.dtype(kind).itemsize for _, kind, _ in ENTRY]
+    for raw in held:
+        n, at = len(raw) // sum(sizes), 0
+        for part, (_, kind, _), size in zip(parts, ENTRY, sizes):
+            part.append(np.frombuffer(raw, kind, n, at))
+            at += n * size
+    found = [np.concatenate(part) for part in parts]
+    order = np.lexsort((found[2], found[0]))
+    return [c[order] for c in found]
 
 
 def parted(rows: DataFrame, most: int) -> DataFrame:
@@ -222,7 +278,7 @@ def parted(rows: DataFrame, most: int) -> DataFrame:
     each = each.withColumn("mine", F.pmod(F.xxhash64("uid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(low == high, 0).when(F.col("mine") == low, 1).otherwise(2)
-    return each.select(F.when(parts > 1, F.xxhash64("key", low, high)).otherwise(F.col("key")).alias("key"), *rows.columns[1:], side.cast("int").alias("side"))
+    return each.select(F.when(parts > 1, F.xxhash64("key", low, high)).otherwise(F.col("key")).alias("key"), *rows.columns[1:], side.cast("byte").alias("side"))
 
 
 def pairs(key, n, place, after, side, b1, b2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -260,24 +316,24 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def columns(rows: pa.Table) -> list[np.ndarray]:
-    """key, n, place, after, side, b1, b2; the bits unsigned, as of signed integers those of the absolute value would count."""
-    key, n, place, after, side, b1, b2 = (rows.column(c).to_numpy() for c in ("key", "n", "place", "after", "side", "b1", "b2"))
+def columns(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """key, n, place, after, side, b1, b2 of the columns of ENTRY; the bits unsigned, as of signed integers those of the absolute value would count."""
+    key, _, n, place, after, b1, b2, side = rows
     return [key, n.astype(np.int64), place.astype(np.int64), after.astype(np.int64), side, b1.view(np.uint64), b2.view(np.uint64)]
 
 
-def meeting(rows: DataFrame) -> DataFrame:
-    """The rows that have a candidate under their key."""
+def meeting(boxes: DataFrame) -> DataFrame:
+    """The entries that have a candidate under their key, a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in by_key(batches):
-            met = np.zeros(len(held), dtype=bool)
-            for i, j in pairs(*columns(held)):
+            rows = unboxed(held.column(1).to_pylist())
+            met = np.zeros(len(rows[0]), dtype=bool)
+            for i, j in pairs(*columns(rows)):
                 met[i] = met[j] = True
-            yield from held.filter(pa.array(met)).to_batches()
+            yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in rows], names=[name for name, _, _ in ENTRY])
 
-    rows = rows.select("key", "uid", "n", "place", "after", "b1", "b2", "side")
-    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(run, rows.schema)
+    return boxes.repartition("box").sortWithinPartitions("box").mapInArrow(run, ", ".join(f"{name} {kind}" for name, _, kind in ENTRY))
 
 
 def verified(rows: DataFrame, kind: str) -> DataFrame:
@@ -289,31 +345,38 @@ def verified(rows: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in by_key(batches):
-            key, n, place, after, side, b1, b2 = columns(held)
+            key, n, place, after, side, b1, b2 = columns([held.column(c).to_numpy() for c, _, _ in ENTRY])
             rank = np.empty(len(held), np.int64)
             rank[pc.sort_indices(held, [(c, "ascending") for c in ("last", "doc_id", "line")]).to_numpy()] = np.arange(len(held))
             word = unpack(b"".join(held.column("bag").to_pylist()))
             begin = np.cumsum(n) - n
-            code, number = np.unique(word, return_inverse=True)
-            known = np.repeat(np.arange(len(held)), n) * len(code) + number  # (row, word), by number
-            order = np.argsort(known)
-            known = known[order]
+            row = np.repeat(np.arange(len(held), dtype=np.uint64) << np.uint64(8 * UNIT), n)
+            order = np.argsort(row | word)
+            known = (row | word)[order]
+
+            def shared(i: np.ndarray, j: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+                """(pair, place in i, place in j) of the words that are among the first `most` of row i and in row j."""
+                own = np.repeat(np.arange(len(i)), most)
+                mine = np.arange(len(own)) - np.repeat(np.cumsum(most) - most, most)
+                want = j[own].astype(np.uint64) << np.uint64(8 * UNIT) | word[begin[i][own] + mine]
+                found = np.minimum(np.searchsorted(known, want), len(known) - 1)
+                hit = np.flatnonzero(known[found] == want)
+                own = own[hit]
+                return own, mine[hit], order[found[hit]] - begin[j][own]
+
             links, best = np.zeros(len(held), np.int64), np.full(len(held), len(held))
             for many_i, many_j in pairs(key, n, place, after, side, b1, b2):
                 for at in range(0, len(many_i), PAIRS):
                     i, j = many_i[at : at + PAIRS], many_j[at : at + PAIRS]
-                    own = np.repeat(np.arange(len(i)), n[i])
-                    nth = np.arange(len(own)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
-                    want = j[own] * len(code) + number[begin[i][own] + nth]
-                    found = np.minimum(np.searchsorted(known, want), len(known) - 1)
-                    hit = np.flatnonzero(known[found] == want)
-                    own, mine, theirs = own[hit], nth[hit], order[found[hit]] - begin[j][own[hit]]
-                    both = np.bincount(own, minlength=len(i))
-                    nth = np.arange(len(own)) - np.repeat(np.cumsum(both) - both, both)  # of the shared words
-                    wrong = ((nth == 0) & ((mine != place[i][own]) | (theirs != place[j][own]))) | (
-                        (nth == 1) & (after[i][own] >= 0) & ((mine != after[i][own]) | (theirs != after[j][own]))
-                    )
-                    ok = (both >= SIMILAR * (n[i] + n[j] - both) - 1e-9) & (np.bincount(own[wrong], minlength=len(i)) == 0)
+                    # the key has the first words that they share: at these places, and none before
+                    to = np.where(after[i] < 0, place[i], after[i]) + 1
+                    own, mine, theirs = shared(i, j, to)
+                    right = ((mine == place[i][own]) & (theirs == place[j][own])) | ((mine == after[i][own]) & (theirs == after[j][own]))
+                    due = 1 + (after[i] >= 0)
+                    first = (np.bincount(own, minlength=len(i)) == due) & (np.bincount(own[right], minlength=len(i)) == due)
+                    i, j = i[first], j[first]
+                    both = np.bincount(shared(i, j, n[i])[0], minlength=len(i))
+                    ok = both >= SIMILAR * (n[i] + n[j] - both) - 1e-9
                     i, j = i[ok], j[ok]
                     for x, y in ((i, j), (j, i)):
                         np.add.at(links, x, 1)
@@ -323,7 +386,7 @@ def verified(rows: DataFrame, kind: str) -> DataFrame:
             out = pa.table({"uid": held.column("uid").take(pa.array(some)), "n_links": links[some], **{c: other.column(c) for c in other.column_names}})
             yield from out.to_batches()
 
-    rows = rows.select("key", "uid", "n", "place", "after", "b1", "b2", "side", "bag", "last", "doc_id", "line")
+    rows = rows.select(*[name for name, _, _ in ENTRY], "bag", "last", "doc_id", "line")
     return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(run, f"uid long, n_links long, last boolean, doc_id {kind}, line long")
 
 
@@ -341,8 +404,9 @@ def matches(docs: DataFrame, often: int = OFTEN, most: int = OFTEN) -> DataFrame
         grouped = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("n", "b1", "b2", "start", "rare", "live")))
         sets = scratch.keep(grouped.withColumn("uid", F.monotonically_increasing_id()))
         wide = sets.filter(F.col("n") >= LONGER)
-        common = scratch.keep(entries(wide.filter(F.length("live") > UNIT * F.col("rare")), True))
-        met = scratch.keep(meeting(entries(wide, False).withColumn("side", F.lit(0)).unionByName(parted(common, most))))
+        common = scratch.keep(rows_of(wide.filter(F.length("live") > UNIT * F.col("rare")), True))
+        boxes = (wide.agg(F.sum(F.length("live"))).first()[0] or 0) // UNIT // BOX + 1
+        met = scratch.keep(meeting(boxed(wide, boxes, True).unionByName(boxed(parted(common, most), boxes, False))))
         wanted = scratch.keep(sets.select("uid", *key).join(met.select("uid").distinct(), "uid"))
         place_of = sets.select("uid", "first.*").join(wanted.select("uid"), "uid")
         bag = scratch.keep(bags(docs, wanted, codes).join(place_of, "uid"))
