@@ -34,6 +34,8 @@ from gradeframe.llm.shingles import ODD, blocks, mix, pack, spaces, unpack, word
 SIMILAR = 0.8
 #: Cells of the rarity table.
 CELLS = 1 << 24
+#: Cells that are summed together.
+PIECE = 1 << 16
 #: Bytes of a word's hash in a bag.
 UNIT = 5
 #: Bytes of the filter, which is broadcast, of sets whose words are wanted. It only saves work: a join follows.
@@ -96,15 +98,25 @@ def rarity(docs: DataFrame) -> np.ndarray:
             for _, data, offsets in blocks(batch.column(0)):
                 np.add.at(cells, (words(data, offsets)[0] % np.uint64(CELLS)).astype(np.int64), 1)
         used = np.flatnonzero(cells)
-        for at in range(0, len(used), 1 << 17):
-            own = used[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(cells[own].astype(np.int64))], names=["cell", "n"])
-
-    counts = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
-    code = F.least(F.lit(127), F.round(F.lit(6.0) * F.log2("n"))).cast("byte")
-    got = counts.select("cell", code.alias("code")).toArrow()  # 5 bytes for each of CELLS rows at most
+        cuts = np.searchsorted(used, np.arange(0, CELLS + 1, PIECE))
+        held = [used[x:y].astype(np.int32).tobytes() + cells[used[x:y]].tobytes() for x, y in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(held), dtype=np.int32)), pa.array(held, pa.binary())], names=["piece", "held"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_key(batches):
+            sums: dict[int, np.ndarray] = {}
+            for piece, raw in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                cell, n = np.frombuffer(raw, np.int32).reshape(2, -1)
+                own = sums.setdefault(piece, np.zeros(PIECE, np.int64))
+                own[cell - piece * PIECE] += n
+            coded = [np.where(n > 1, np.minimum(127, np.round(6 * np.log2(np.maximum(n, 1)))), 0).astype(np.uint8).tobytes() for n in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(coded, pa.binary())], names=["piece", "held"])
+
+    schema = "piece int, held binary"
+    got = docs.select("text").mapInArrow(count, schema).repartition("piece").sortWithinPartitions("piece").mapInArrow(total, schema).toArrow()  # a byte for each of CELLS cells at most
     out = np.zeros(CELLS, dtype=np.uint8)
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    for piece, raw in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
+        out[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(raw, np.uint8)
     return out
 
 
@@ -118,7 +130,7 @@ def binary(units: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 def lines(docs: DataFrame, table_of_codes: np.ndarray, often: int = OFTEN) -> DataFrame:
-    """A row per line with words: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n, b1, b2 (a filter of its words), start, rare and live.
+    """A row per line with words: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n, b1, b2 (a filter of its words), start, rare, live and head (whether it is its text's first one).
 
     live has the words of the prefix, and the next one, that another line may have: those from the place `start`
     on. The first `rare` of them aren't in more than `often` places.
@@ -146,12 +158,12 @@ def lines(docs: DataFrame, table_of_codes: np.ndarray, often: int = OFTEN) -> Da
                 value = np.uint64(1) << bit % np.uint64(64)
                 b1, b2 = (np.bitwise_or.reduceat(np.where(half, value, np.uint64(0)), cuts[:-1]).view(np.int64) for half in (bit < 64, bit >= 64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line[cuts[:-1]] - first_line), *map(pa.array, (d1, d2, sizes, b1, b2, start, rare)), live],
-                    names=["doc_id", "mark", "line", "d1", "d2", "n", "b1", "b2", "start", "rare", "live"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line[cuts[:-1]] - first_line), *map(pa.array, (d1, d2, sizes, b1, b2, start, rare)), live, pa.array(np.diff(own, prepend=-1) > 0)],
+                    names=["doc_id", "mark", "line", "d1", "d2", "n", "b1", "b2", "start", "rare", "live", "head"],
                 )
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    schema = f"doc_id {id_type(docs)}, mark long, line long, d1 long, d2 long, n long, b1 long, b2 long, start long, rare long, live binary"
+    schema = f"doc_id {id_type(docs)}, mark long, line long, d1 long, d2 long, n long, b1 long, b2 long, start long, rare long, live binary, head boolean"
     return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, schema)
 
 
@@ -390,32 +402,36 @@ def verified(rows: DataFrame, kind: str) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(run, f"uid long, n_links long, last boolean, doc_id {kind}, line long")
 
 
+def judged(docs: DataFrame, scratch: Scratch, often: int = OFTEN, most: int = OFTEN) -> DataFrame:
+    """The rows of matches(), and head (whether it is its text's first line with words); they read scratch."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
+    key = ["d1", "d2"]
+    codes = rarity(docs)
+    found = scratch.keep(lines(docs, codes, often))
+    grouped = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("n", "b1", "b2", "start", "rare", "live")))
+    sets = scratch.keep(grouped.withColumn("uid", F.monotonically_increasing_id()))
+    wide = sets.filter(F.col("n") >= LONGER)
+    common = scratch.keep(rows_of(wide.filter(F.length("live") > UNIT * F.col("rare")), True))
+    boxes = (wide.agg(F.sum(F.length("live"))).first()[0] or 0) // UNIT // BOX + 1
+    met = scratch.keep(meeting(boxed(wide, boxes, True).unionByName(boxed(parted(common, most), boxes, False))))
+    wanted = scratch.keep(sets.select("uid", *key, "first").join(met.select("uid").distinct(), "uid"))
+    bag = scratch.keep(bags(docs, wanted.drop("first"), codes).join(wanted.select("uid", "first.*"), "uid"))
+    of = verified(met.join(bag, "uid"), id_type(docs)).groupBy("uid").agg(F.min(place).alias("other"), F.sum("n_links").alias("n_links"))
+    earliest = F.least("first", F.coalesce("other", "first"))
+    result = sets.select("uid", *key, "times", "first").join(of, "uid", "left")
+    result = scratch.keep(result.select(*key, "times", earliest.alias("earliest"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    each = join_counted(found.select("doc_id", "mark", "line", "head", *key), result, key, "times", max(1, found.count()))
+    return each.select("doc_id", "mark", "line", "n_links", F.col("earliest.doc_id").alias("first_doc"), (place > F.col("earliest")).alias("removed"), "head")
+
+
 def matches(docs: DataFrame, often: int = OFTEN, most: int = OFTEN) -> DataFrame:
     """A row per line with words: doc_id, mark, line, n_links (different lines like it), first_doc, removed.
 
     Words in more than `often` places are keys only together with another one, and
     keys of more than `most` sets are compared by blocks; neither changes results.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
-    key = ["d1", "d2"]
     with Scratch(docs.sparkSession) as scratch:
-        codes = rarity(docs)
-        found = scratch.keep(lines(docs, codes, often))
-        grouped = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("n", "b1", "b2", "start", "rare", "live")))
-        sets = scratch.keep(grouped.withColumn("uid", F.monotonically_increasing_id()))
-        wide = sets.filter(F.col("n") >= LONGER)
-        common = scratch.keep(rows_of(wide.filter(F.length("live") > UNIT * F.col("rare")), True))
-        boxes = (wide.agg(F.sum(F.length("live"))).first()[0] or 0) // UNIT // BOX + 1
-        met = scratch.keep(meeting(boxed(wide, boxes, True).unionByName(boxed(parted(common, most), boxes, False))))
-        wanted = scratch.keep(sets.select("uid", *key).join(met.select("uid").distinct(), "uid"))
-        place_of = sets.select("uid", "first.*").join(wanted.select("uid"), "uid")
-        bag = scratch.keep(bags(docs, wanted, codes).join(place_of, "uid"))
-        of = verified(met.join(bag, "uid"), id_type(docs)).groupBy("uid").agg(F.min(place).alias("other"), F.sum("n_links").alias("n_links"))
-        judged = sets.select("uid", *key, "times", "first").join(of, "uid", "left")
-        earliest = F.least("first", F.coalesce("other", "first"))
-        judged = scratch.keep(judged.select(*key, "times", earliest.alias("earliest"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-        each = join_counted(found.select("doc_id", "mark", "line", *key), judged, key, "times", max(1, found.count()))
-        return checkpoint(each.select("doc_id", "mark", "line", "n_links", F.col("earliest.doc_id").alias("first_doc"), (place > F.col("earliest")).alias("removed")))
+        return checkpoint(judged(docs, scratch, often, most).drop("head"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
@@ -425,8 +441,11 @@ def summary(docs: DataFrame) -> DataFrame:
     rows have equal lines at equal places and don't remove each other's. Other
     columns are ignored; an empty table gives an empty result.
     """
-    per_doc = matches(docs).groupBy("doc_id", "mark", "line").agg(F.first("n_links").alias("n_links"), F.first("first_doc").alias("first_doc"), F.first("removed").alias("removed"))
-    per_doc = checkpoint(per_doc.groupBy("doc_id", "mark").agg(F.count_if("removed").alias("n_removed"), F.sum("n_links").alias("n_links"), F.min("first_doc").alias("first_doc")))
+    with Scratch(docs.sparkSession) as scratch:
+        per_doc = judged(docs, scratch).groupBy("doc_id", "mark")
+        copies = F.count_if("head")  # equal rows have all lines as often
+        once = {"n_removed": F.count_if("removed"), "n_links": F.sum("n_links")}
+        per_doc = checkpoint(per_doc.agg(*(F.call_function("div", v, copies).alias(c) for c, v in once.items()), F.min("first_doc").alias("first_doc")))
     own = per_doc.withColumnsRenamed({"doc_id": "own_id", "mark": "own_mark"})
     text = F.coalesce(F.col("text"), F.lit(""))
     n_lines = F.when(F.length(text) == 0, 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
