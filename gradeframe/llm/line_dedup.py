@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeframe.llm.common import Scratch, checkpoint, id_type, join_counted, table
-from gradeframe.llm.shingles import ODD, blocks, mix, pack, spaces, unpack, words
+from gradeframe.llm.shingles import ODD, blocks, mix, pack, unpack, words
 
 SIMILAR = 0.8
 #: Cells of the rarity table.
@@ -52,15 +52,6 @@ BOX = 1 << 14
 PAIRS = 1 << 14
 
 
-def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    if not len(data):
-        return np.zeros(0, np.int64)
-    inner = ~spaces()[data]
-    begins = np.zeros(len(data) + 1, dtype=bool)
-    begins[offsets] = True
-    return np.flatnonzero(inner & (begins[:-1] | ~np.concatenate([[False], inner[:-1]])))
-
-
 def in_order(line: np.ndarray, code: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The order by line, code and word: one sort of packed integers, unless they leave words undecided."""
     if len(line) and line[-1] < 1 << 20:
@@ -77,14 +68,15 @@ def line_sets(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple
 
     line counts from 0 over the whole block; a text's end is a line's end too.
     """
-    word, text = words(data, offsets)
-    line = np.cumsum(data == 10)[word_starts(data, offsets)] + text
+    ends = np.flatnonzero(data == 10)
+    word, line = words(data, np.sort(np.concatenate([offsets, ends + 1])))
     code = codes[(word % np.uint64(CELLS)).astype(np.int64)]
     order = in_order(line, code, word)
-    word, code, line, text = word[order], code[order], line[order], text[order]
+    word, code, line = word[order], code[order], line[order]
     first = np.ones(len(word), dtype=bool)
     first[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
-    word, code, line, text = word[first], code[first], line[first], text[first]
+    word, code, line = word[first], code[first], line[first]
+    text = np.searchsorted(np.searchsorted(ends, offsets[:-1]) + np.arange(len(offsets) - 1), line, side="right") - 1
     sizes = np.diff(np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1], [True]]))) if len(line) else np.zeros(0, np.int64)
     return word, code, line, text, np.concatenate([[0], np.cumsum(sizes)])
 
@@ -96,7 +88,9 @@ def rarity(docs: DataFrame) -> np.ndarray:
         cells = np.zeros(CELLS, dtype=np.int32)
         for batch in batches:
             for _, data, offsets in blocks(batch.column(0)):
-                np.add.at(cells, (words(data, offsets)[0] % np.uint64(CELLS)).astype(np.int64), 1)
+                cell = np.sort((words(data, offsets)[0] % np.uint64(CELLS)).astype(np.int32))
+                first = np.flatnonzero(np.diff(cell, prepend=-1))
+                cells[cell[first]] += np.diff(np.append(first, len(cell))).astype(np.int32)
         used = np.flatnonzero(cells)
         cuts = np.searchsorted(used, np.arange(0, CELLS + 1, PIECE))
         held = [used[x:y].astype(np.int32).tobytes() + cells[used[x:y]].tobytes() for x, y in zip(cuts, cuts[1:])]
