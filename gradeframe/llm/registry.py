@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeframe.llm import decontam, exact_dedup, langid, line_dedup, mixing, near_dedup, quality, repeats, sharding, tokens
+from gradeframe.llm import clustering, decontam, exact_dedup, langid, line_dedup, mixing, near_dedup, quality, repeats, sharding, tokens
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_decontamination": decontam.query,
     "op10_language_id": langid.query,
+    "op11_clustering": clustering.query,
 }
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op9_decontamination": decontam.ORACLE,
+    "op11_clustering": clustering.ORACLE,
 }

@@ -37,7 +37,7 @@ def test_same_as_sql(spark, con, sf, name):
     assert sorted(tuple(map(cell, r)) for r in got.collect()) == sorted(tuple(cell(r[i]) for i in at) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(q for q in QUERIES if int(q[2:].split("_")[0]) <= 10))
 def test_a_row_per_document(spark, sf, name):
     assert QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
 
