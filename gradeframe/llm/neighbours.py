@@ -8,7 +8,8 @@ comes to is compared exactly.
 The trees' cuts are learnt from a bounded sample, so the forest has a bounded size
 and is broadcast; every vector is in a leaf of every tree. Leaves and visits of
 one leaf are dealt out in parts of bounded size. Equal vectors are one row with
-its least ids.
+its least ids. Each query is compared with a bounded sample first: its k-th best
+there is the score that a leaf's vectors must reach to be returned.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ LEAF = 256
 FIT_ROWS, DEPTH = 1 << 18, 15
 #: Queries whose neighbours are found by brute force, to say how many leaves a query visits, and the share of them that is to be found.
 MEASURED, RECALL = 256, 0.95
+#: Vectors, about, that every query is compared with.
+FLOOR_ROWS = 1 << 12
 #: Vectors of a leaf, and queries at a leaf, that one task compares; pairs at a time; difference of scores that may be rounding.
 PART, VISITS, PAIRS, SLACK = 1 << 14, 1 << 12, 1 << 21, 1e-12
 
@@ -210,6 +213,40 @@ def visits_needed(vectors: DataFrame, forest: Forest, dim: int, k: int) -> int:
     return int(np.sort(counts)[int(np.ceil(RECALL * len(counts))) - 1]) if len(counts) else len(forest.cuts)
 
 
+@dataclass
+class Sample:
+    """Some of the vectors, with what a result says of them."""
+
+    did: np.ndarray
+    ids: pa.Array
+    x: np.ndarray
+    length: np.ndarray
+
+    def nearest(self, batch: pa.RecordBatch, dim: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place in the sample, cosine) of the k nearest others of each query (did, x), in the queries' order."""
+        x, length = units(batch.column(1), dim)
+        own, other, score = scores(x, length, self.x, self.length, k + 1) if len(self.did) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        others = np.flatnonzero(batch.column(0).to_numpy()[own] != self.did[other])
+        keep = others[first_of(own[others], k, -score[others], self.did[other[others]])]
+        return own[keep], other[keep], score[keep]
+
+    def floors(self, batch: pa.RecordBatch, dim: int, k: int) -> np.ndarray:
+        """The k-th best score of each query; -2 if there are fewer."""
+        own, _, score = self.nearest(batch, dim, k)
+        out = np.full(batch.num_rows, -2.0)
+        last = np.flatnonzero(np.diff(own, append=-1))
+        whole = np.bincount(own, minlength=batch.num_rows)[own[last]] == k
+        out[own[last[whole]]] = score[last[whole]]
+        return out
+
+
+def draw(vectors: DataFrame, n: int, dim: int) -> Sample:
+    """About FLOOR_ROWS of n vectors, drawn by their hashes."""
+    got = vectors.filter(F.pmod(F.xxhash64("x", F.lit(2)), F.lit(1 << 32)) < min(1 << 32, (FLOOR_ROWS << 32) // n)).select("did", "ids", "x").toArrow().combine_chunks()  # about FLOOR_ROWS rows
+    whole = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in got.columns]
+    return Sample(whole[0].to_numpy(), whole[1], *units(whole[2], dim))
+
+
 def in_parts(rows: DataFrame, counted: DataFrame, most: int, name: str, copied: DataFrame) -> tuple[DataFrame, DataFrame]:
     """rows with a column `name` that deals those of one leaf out where counted (tree, leaf, n) has over `most`, and a copy of copied's rows of that leaf for each part."""
     parts = counted.filter(F.col("n") > most).select("tree", "leaf", F.ceil(F.col("n") / most).alias("parts"))
@@ -239,6 +276,7 @@ def search(vectors: DataFrame, asks: Column, k: int = NEAREST, trees: int = TREE
     forest = grow(distinct, n, dim, trees, seed)
     most = visits_needed(distinct, forest, dim, k)
     shared = spark.sparkContext.broadcast(forest)
+    sample = spark.sparkContext.broadcast(draw(distinct, n, dim))  # about FLOOR_ROWS vectors
     x_type = distinct.schema["x"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,16 +289,25 @@ def search(vectors: DataFrame, asks: Column, k: int = NEAREST, trees: int = TREE
         for batch in batches:
             x, length = units(batch.column(1), dim)
             p = shared.value.projections(x / length[:, None]).transpose(1, 0, 2)
+            floor = sample.value.floors(batch, dim, k)
             for i, own in enumerate(p.tolist()):
                 met = [at for at, _ in zip(shared.value.visits(own), range(most))]
                 t, leaf = zip(*met)
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(leaf, pa.int64()), *batch.take(pa.array([i] * len(met))).columns], names=["tree", "leaf", "did", "x"])
+                copies = pa.array([i] * len(met))
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(leaf, pa.int64()), *batch.take(copies).columns, pa.array(floor).take(copies)], names=["tree", "leaf", "did", "x", "floor"])
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other, score = sample.value.nearest(batch, dim, k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array(sample.value.did[other]), pa.array(score), sample.value.ids.take(pa.array(other))], names=["qid", "mid", "score", "ids"])
 
     def compare(members: pa.Table, queries: pa.Table) -> pa.Table:
         members, queries = members.combine_chunks(), queries.combine_chunks()
         if members.num_rows and queries.num_rows:
             (q, q_length), (x, x_length) = (units(s.column("x").chunk(0), dim) for s in (queries, members))
             own, other, score = scores(q, q_length, x, x_length, k + 1)
+            good = score >= queries.column("floor").to_numpy()[own] - SLACK
+            own, other, score = own[good], other[good], score[good]
             least = members.column("ids").chunk(0)
             head = least.flatten().field("vec_id").take(pa.array(least.offsets.to_numpy()[:-1] - least.offsets.to_numpy()[0]))
             keep = first_of(own, k + 1, -score, head.is_null().to_numpy(zero_copy_only=False)[other], head.fill_null(0).to_numpy()[other])
@@ -273,12 +320,13 @@ def search(vectors: DataFrame, asks: Column, k: int = NEAREST, trees: int = TREE
     with Scratch(spark) as scratch:
         members = distinct.select("did", "x", "ids").mapInArrow(place, f"tree int, leaf long, did long, x {x_type}, ids {ids_type}")
         sizes = distinct.select("did", "x").mapInArrow(place, f"tree int, leaf long, did long, x {x_type}").groupBy("tree", "leaf").agg(F.count("*").alias("n"))
-        visits = scratch.keep(distinct.filter("asks > 0").select("did", "x").mapInArrow(visit, f"tree int, leaf long, did long, x {x_type}"))
+        visits = scratch.keep(distinct.filter("asks > 0").select("did", "x").mapInArrow(visit, f"tree int, leaf long, did long, x {x_type}, floor double"))
         met = visits.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
         members, visits = in_parts(members, sizes, PART, "part", visits)
         visits, members = in_parts(visits, met, VISITS, "turn", members)
         cell = ["tree", "leaf", "part", "turn"]
         found = members.groupBy(*cell).cogroup(visits.groupBy(*cell)).applyInArrow(compare, f"qid long, mid long, score double, ids {ids_type}")
+        found = found.unionByName(distinct.filter("asks > 0").select("did", "x").mapInArrow(known, f"qid long, mid long, score double, ids {ids_type}"))
         once = found.groupBy("qid", "mid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))  # a vector may be met in several trees
         head = F.get("ids", F.lit(0)).vec_id
         nth = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), head.asc_nulls_last()))
