@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradeframe.llm import clustering, decontam, exact_dedup, langid, line_dedup, mixing, near_dedup, neighbours, quality, repeats, sharding, tokens
+from gradeframe.llm import clustering, decontam, exact_dedup, langid, line_dedup, mixing, near_dedup, neighbours, phrases, quality, repeats, sharding, tokens
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontam.query,
     "op10_language_id": langid.query,
     "op11_clustering": clustering.query,
+    "op12_phrases": phrases.query,
     "op13_neighbours": neighbours.query,
 }
 
@@ -24,4 +25,5 @@ ORACLES = {
     "op5_mixing": mixing.ORACLE,
     "op9_decontamination": decontam.ORACLE,
     "op11_clustering": clustering.ORACLE,
+    "op12_phrases": phrases.ORACLE,
 }
