@@ -34,6 +34,8 @@ RULED = (2, 3)
 BYTES_A_CELL, CELLS, PIECE = 128, (16, 26), 1 << 14
 #: Keys of a block, about, and of the blocks that are broadcast together: 17 bytes a key. More keys take more readings of the texts.
 BLOCK_KEYS, ROUND_KEYS = 1 << 17, 1 << 21
+#: Pieces in which candidates go through the shuffle, as powers of two: about one for 16 MB of text.
+PIECES = (3, 12)
 #: Bytes of text, about, whose words are handled at a time, and words and candidates that a task remembers.
 PART, WORDS, SEEN = 1 << 22, 1 << 19, 1 << 21
 #: Phrases of a language that one task ranks.
@@ -146,18 +148,21 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Part]:
 
 @dataclass
 class Cells:
-    """Which hashed cells of phrases count enough for one of them to be frequent."""
+    """Which hashed cells of phrases count enough for one of them to be frequent. A phrase has a cell in each half of the table."""
 
     bits: np.ndarray
     size: int
 
-    def may_be(self, h: np.ndarray) -> np.ndarray:
-        at = cell(h, self.size)
-        return (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    def may_be(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        one, other = cells_of(h1, h2, self.size)
+        has = lambda at: (self.bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return has(one) & has(other)
 
 
-def cell(h: np.ndarray, size: int) -> np.ndarray:
-    return (h >> np.uint64(20)).astype(np.int64) & (size - 1)
+def cells_of(h1: np.ndarray, h2: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    half = size // 2
+    at = lambda h: (h >> np.uint64(20)).astype(np.int64) & (half - 1)
+    return at(h1), at(h2) + half
 
 
 def grams(part: Part, ruled: dict[int, Cells], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -168,7 +173,7 @@ def grams(part: Part, ruled: dict[int, Cells], longest: int) -> Iterator[tuple[i
         at = np.flatnonzero(good)
         h1, h2 = part.keys(at, k)
         if k in ruled:
-            may = ruled[k].may_be(h1)
+            may = ruled[k].may_be(h1, h2)
             at, h1, h2 = at[may], h1[may], h2[may]
             good = np.zeros(len(good), dtype=bool)
             good[at] = True
@@ -184,8 +189,8 @@ def all_grams(part: Part, ruled: dict[int, Cells], longest: int, every_word: boo
         yield k, at, h1, h2
 
 
-def sums_by_key(batches: Iterator[pa.RecordBatch], width: int, kind: type) -> Iterator[tuple[int, np.ndarray]]:
-    """(key, sum) of arrays (key, array as bytes) that come in the order of their keys."""
+def sums_by_key(batches: Iterator[pa.RecordBatch], width: int, kind: type, packed: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(key, sum) of arrays (key, array as bytes, compressed if they are of width) that come in the order of their keys."""
     last, total = None, np.zeros(0, np.int64)
     for batch in batches:
         for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -193,7 +198,7 @@ def sums_by_key(batches: Iterator[pa.RecordBatch], width: int, kind: type) -> It
                 if last is not None:
                     yield last, total
                 last, total = key, np.zeros(width, np.int64)
-            own = np.frombuffer(raw.as_buffer(), kind)
+            own = np.frombuffer(pa.decompress(raw.as_buffer(), width * np.dtype(kind).itemsize, "zstd") if packed else raw.as_buffer(), kind)
             total[: len(own)] += own
     if last is not None:
         yield last, total
@@ -207,15 +212,16 @@ def rule_out(docs: DataFrame, level: int, ruled: dict[int, Cells], size: int, le
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(size, np.uint8)
         for part in parts(batches):
-            *_, (_, _, h, _) = grams(part, shared.value, level)
-            at, n = np.unique(cell(h, size), return_counts=True)
-            cells[at] = np.minimum(most, cells[at] + n)
+            *_, (_, _, h1, h2) = grams(part, shared.value, level)
+            for where in cells_of(h1, h2, size):
+                at, n = np.unique(where, return_counts=True)
+                cells[at] = np.minimum(most, cells[at] + n)
         held = [(i, cells[a : a + PIECE]) for i, a in enumerate(range(0, size, PIECE))]
-        held = [(i, own.tobytes()) for i, own in held if own.any()]
+        held = [(i, pa.compress(own.tobytes(), "zstd", asbytes=True)) for i, own in held if own.any()]
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], pa.int32()), pa.array([own for _, own in held], pa.binary())], names=["piece", "held"])
 
     def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, total in sums_by_key(batches, min(PIECE, size), np.uint8):
+        for piece, total in sums_by_key(batches, min(PIECE, size), np.uint8, True):
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.packbits(total >= most).tobytes()], pa.binary())], names=["piece", "held"])
 
     schema = "piece int, held binary"
@@ -333,24 +339,72 @@ class Slots:
 # ---- candidates, counts, cuts -----------------------------------------------------------
 
 
-def candidates(docs: DataFrame, ruled: dict[int, Cells], longest: int) -> DataFrame:
-    """h1, h2, lang, k, phrase: once each, the words and phrases that may be frequent."""
+KEYS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.binary())])
+
+
+def once(tables: list[pa.Table]) -> pa.Table:
+    """One row for each key of KEYS tables."""
+    rows = pa.concat_tables(tables).combine_chunks()
+    h1, h2 = (rows.column(c).to_numpy() for c in ("h1", "h2"))
+    order = np.lexsort((h2, h1))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
+    return rows.take(pa.array(order[new]))
+
+
+def boxes(rows: pa.Table, pieces: int) -> pa.RecordBatch:
+    """piece, box: the keys of each piece as one value."""
+    piece = rows.column("h1").to_numpy().view(np.uint64) % np.uint64(pieces)
+    order = np.argsort(piece, kind="stable")
+    rows, cuts, held = rows.take(pa.array(order)), np.searchsorted(piece[order], np.arange(pieces + 1)), []
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if b > a:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, KEYS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows.slice(a, b - a))
+            held.append((i, sink.getvalue().to_pybytes()))
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in held], pa.int32()), pa.array([x for _, x in held], pa.binary())], names=["piece", "box"])
+
+
+def candidates(docs: DataFrame, ruled: dict[int, Cells], longest: int, pieces: int) -> DataFrame:
+    """h1, h2, lang, k, phrase: once each, the words and phrases that may be frequent. They go through the shuffle in boxes."""
     shared = docs.sparkSession.sparkContext.broadcast(ruled)  # 8 MB a level at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1, np.uint64)  # in order; it only spares rows, as the shuffle keeps one of each
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = np.zeros(1, np.uint64), []  # seen is in order; it only spares rows
         for part in parts(batches):
             k, at, h1, h2 = map(np.concatenate, zip(*((np.full(len(at), k, np.int32), at, h1, h2) for k, at, h1, h2 in all_grams(part, shared.value, longest, False))))
             own, first = np.unique(h1, return_index=True)
             new = seen[np.minimum(np.searchsorted(seen, own), len(seen) - 1)] != own
-            seen = np.sort(np.concatenate([seen, own[new]]), kind="stable") if len(seen) < SEEN else own
+            seen = np.sort(np.concatenate([seen, own[new]]), kind="stable")
             first = first[new]
             k, at, h1, h2 = k[first], at[first], h1[first], h2[first]
-            names = pa.array([part.languages[i] for i in part.language[at]], pa.string())
-            texts = pa.array([part.text(*x) for x in zip(at.tolist(), k.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), names, pa.array(k), texts], names=["h1", "h2", "lang", "k", "phrase"])
-
-    return docs.mapInArrow(run, "h1 long, h2 long, lang string, k int, phrase binary").distinct().withColumn("phrase", F.col("phrase").cast("string"))
+            texts = [part.text(*x) for x in zip(at.tolist(), k.tolist())]
+            held.append(pa.table([h1.view(np.int64), h2.view(np.int64), [part.languages[i] for i in part.language[at]], k, texts], schema=KEYS))
+            if len(seen) > SEEN:
+                yield boxes(pa.concat_tables(held), pieces)
+                seen, held = np.zeros(1, np.uint64), []
+        if held:
+            yield boxes(pa.concat_tables(held), pieces)
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, count = None, [], 0
+        for batch in batches:
+            for piece, box in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if piece != last and held:
+                    yield from once(held).to_batches()
+                    held, count = [], 0
+                last = piece
+                held.append(pa.ipc.open_stream(box.as_buffer()).read_all())
+                count += held[-1].num_rows
+                if count > SEEN:
+                    held = [once(held)]
+                    count = 0
+        if held:
+            yield from once(held).to_batches()
+
+    dealt = docs.mapInArrow(found, "piece int, box binary").repartition("piece").sortWithinPartitions("piece")
+    return dealt.mapInArrow(unpacked, "h1 long, h2 long, lang string, k int, phrase binary").withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def hashed(keys: DataFrame, blocks: int) -> DataFrame:
@@ -482,7 +536,7 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int =
     for level in RULED:
         ruled[level] = rule_out(own, level, ruled, size, least)
     with Scratch(spark) as scratch:
-        keys = scratch.keep(candidates(own, ruled, longest))
+        keys = scratch.keep(candidates(own, ruled, longest, 1 << min(PIECES[1], max(PIECES[0], (volume >> 24).bit_length()))))
         n_keys = keys.count()
         blocks = max(1, -(-n_keys // BLOCK_KEYS))
         hashes = scratch.keep(hashed(keys, blocks))

@@ -104,8 +104,8 @@ def test_cells_keep_what_is_frequent(spark):
         ruled[level] = phrases.rule_out(docs, level, ruled, 1 << 16, 40)
     whole = next(phrases.parts(iter([pa.RecordBatch.from_arrays([pa.array(["und" if r[1] is None else r[1] for r in rows]), pa.array([(r[2] or "").encode() for r in rows])], names=["lang", "text"])])))
     for level in (2, 3):
-        *_, (_, at, h, _) = phrases.grams(whole, {k: v for k, v in ruled.items() if k < level}, level)
+        *_, (_, _, h, g) = phrases.grams(whole, {k: v for k, v in ruled.items() if k < level}, level)
         n = collections.Counter(h.tolist())
-        may = dict(zip(h.tolist(), ruled[level].may_be(h).tolist()))
+        may = dict(zip(h.tolist(), ruled[level].may_be(h, g).tolist()))
         assert all(may[x] for x, c in n.items() if c >= 40) and any(c >= 40 for c in n.values())
         assert sum(may.values()) <= sum(c >= 40 for c in n.values()) + 5
