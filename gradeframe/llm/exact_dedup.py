@@ -36,56 +36,87 @@ class DigestIndex:
 
     The table lies in versions under `path`, by default a folder of the shared
     one, so it outlives the session if the path does: a session whose catalog
-    doesn't know the index takes up the last whole version. Appends add a file to each
-    bucket; compact() writes a new version with one sorted file a bucket.
-
-    Re-running an append is harmless: digests that are there already are not
-    appended again and keep their id.
+    doesn't know the last whole version takes it up. A version keeps the number of
+    buckets that it was written with, which its folder's name says; `buckets` is for a
+    new index only. Appends add a file to each bucket; compact() writes a new
+    version with one sorted file a bucket, and may change their number.
+
+    An append's rows carry its number and count once its mark is there, so one
+    that died midway leaves nothing behind that is read. Re-running an append is
+    harmless: digests that are there already are not appended again and keep their id.
     """
 
     def __init__(self, spark: SparkSession, name: str, buckets: int = 64, path: str | None = None):
-        self.spark, self.name, self.buckets = spark, name, buckets
+        self.spark, self.name, self.new_buckets = spark, name, buckets
         self.path = path or f"{shared_dir(spark)}/{name}"
 
-    def versions(self) -> list[str]:
-        """Folders of whole versions, the last one first."""
+    def _folders(self) -> list[tuple[int, int, str]]:
+        """(number, buckets, folder) of whole versions, the last one first."""
         fs, folder = pafs.FileSystem.from_uri(self.path)
         found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
         whole = [f.base_name for f in found if f.base_name[:1] == "v" and fs.get_file_info(f"{f.path}/_SUCCESS").type == pafs.FileType.File]
-        return sorted(whole, key=lambda v: int(v[1:]), reverse=True)
+        return sorted(((*map(int, v[1:].split("-")), v) for v in whole), reverse=True)
+
+    def versions(self) -> list[str]:
+        """Names of whole versions, the last one first."""
+        return [f"v{number}" for number, _, _ in self._folders()]
+
+    @property
+    def buckets(self) -> int:
+        """Buckets of the last whole version, or of the first one to be."""
+        there = self._folders()
+        return there[0][1] if there else self.new_buckets
 
     def exists(self) -> bool:
-        if not self.spark.catalog.tableExists(self.name) and (there := self.versions()):
-            at = f"{self.path}/{there[0]}"
-            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.spark.read.parquet(at).schema)
-            self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{at}'")
-        return self.spark.catalog.tableExists(self.name)
+        there = self._folders()
+        known = self.spark.catalog.tableExists(self.name)
+        if known and there and not self.spark.sql(f"DESCRIBE FORMATTED {self.name}").filter("col_name = 'Location'").first().data_type.rstrip("/").endswith(f"/{there[0][2]}"):
+            self.spark.sql(f"DROP TABLE {self.name}")  # of an older version; its files stay
+            known = False
+        if not known and there:
+            _, buckets, folder = there[0]
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.spark.read.parquet(f"{self.path}/{folder}").schema)
+            self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}/{folder}'")
+        return bool(there)
+
+    def _appended(self, folder: str) -> list[int]:
+        """Numbers of the appends that count, from 0."""
+        fs, at = pafs.FileSystem.from_uri(f"{self.path}/{folder}")
+        return sorted(int(f.base_name[8:]) for f in fs.get_file_info(pafs.FileSelector(at)) if f.base_name.startswith("_append-"))
 
     def read(self) -> DataFrame:
+        """digest, keep_id of all appends that count."""
         self.exists()
-        return self.spark.table(self.name)
+        return self.spark.table(self.name).filter(F.col("append").isin(self._appended(self._folders()[0][2]))).select("digest", "keep_id")
 
-    def _write(self, rows: DataFrame, name: str, version: str) -> None:
-        dealt = rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
-        dealt.mode("append").format("parquet").option("path", f"{self.path}/{version}").saveAsTable(name)
+    def _write(self, rows: DataFrame, table_name: str, folder: str, buckets: int, append: int) -> None:
+        dealt = rows.select("digest", "keep_id", F.lit(append).alias("append")).repartition(buckets, "digest").write.bucketBy(buckets, "digest").sortBy("digest")
+        dealt.mode("append").format("parquet").option("path", f"{self.path}/{folder}").saveAsTable(table_name)
+        fs, at = pafs.FileSystem.from_uri(f"{self.path}/{folder}")
+        with fs.open_output_stream(f"{at}/_append-{append}"):
+            pass
 
     def append(self, groups: DataFrame) -> None:
         """Adds the digests of groups (digest, keep_id, ...; one row each) that are new."""
-        new = groups.select("digest", "keep_id")
+        new, (_, buckets, folder), number = groups.select("digest", "keep_id"), (0, self.new_buckets, f"v0-{self.new_buckets}"), 0
         if self.exists():
             new = new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        self._write(new, self.name, (self.versions() or ["v0"])[0])
+            _, buckets, folder = self._folders()[0]
+            number = self.spark.table(self.name).agg(F.max("append")).first()[0]
+            number = 0 if number is None else number + 1  # an append that died has had its number
+        self._write(new, self.name, folder, buckets, number)
 
-    def compact(self) -> None:
-        """Writes all rows as a new version, then drops the old one; readers of the old one must be done."""
+    def compact(self, buckets: int | None = None) -> None:
+        """Writes all rows as a new version, then removes the old ones; readers of those must be done."""
         if not self.exists():
             return
-        old, to = self.versions(), f"v{int(self.versions()[0][1:]) + 1}"
-        self._write(self.read(), f"{self.name}_{to}", to)
-        self.spark.sql(f"DROP TABLE {self.name}")
-        self.spark.sql(f"ALTER TABLE {self.name}_{to} RENAME TO {self.name}")
-        for version in old:
-            remove(f"{self.path}/{version}")
+        old = self._folders()
+        to, number = buckets or old[0][1], old[0][0] + 1
+        self._write(self.read(), f"{self.name}_v{number}", f"v{number}-{to}", to, 0)
+        self.spark.sql(f"DROP TABLE {self.name}_v{number}")  # the files are the version; exists() takes it up
+        self.exists()
+        for _, _, folder in old:
+            remove(f"{self.path}/{folder}")
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
