@@ -11,6 +11,7 @@ texts are dealt out like any others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import e, floor, lgamma, log, log1p, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,20 +28,77 @@ DEALERS = 4096
 BLOCK = 4000
 
 
+def stirling_error(n: float) -> float:
+    """log n! less Stirling's formula for it, n log n - n + log(2 pi n) / 2."""
+    if n < 16:
+        return lgamma(n + 1) - (n + 0.5) * log(n) + n - 0.5 * log(2 * pi) if n else 0.0
+    m = n * n
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * m)) / m) / m) / n
+
+
+def deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, by a series where these nearly cancel."""
+    if abs(x - mean) >= 0.1 * (x + mean):
+        return x * log(x / mean) + mean - x
+    v = (x - mean) / (x + mean)
+    total, term, k = (x - mean) * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        k += 2
+        if total + term / k == total:
+            return total
+        total += term / k
+
+
+def log_binomial(x: int, n: int, p: float) -> float:
+    """log of the binomial probability of x, to full precision for n of any size (Loader's saddle point)."""
+    if x == 0:
+        return n * log1p(-p)
+    if x == n:
+        return n * log(p)
+    error = stirling_error(n) - stirling_error(x) - stirling_error(n - x) - deviance(x, n * p) - deviance(n - x, n * (1 - p))
+    return error - 0.5 * (log(2 * pi * x) + log1p(-x / n))
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many of `drawn` rows out of good + bad are good; exact in law for counts far beyond 2^31.
+
+    Rejection by the ratio of uniforms (Stadlober), the probabilities being those of
+    two binomials whose sum is known.
+    """
+    total = good + bad
+    low, high = max(0, drawn - bad), min(good, drawn)
+    if low == high:
+        return low
+    p = drawn / total
+    log_of = lambda k: log_binomial(k, good, p) + log_binomial(drawn - k, bad, p)
+    mode = min(high, max(low, (drawn + 1) * (good + 1) // (total + 2)))
+    top, mean = log_of(mode), drawn * (good / total)
+    width = 2 * sqrt(2 / e) * sqrt(mean * (bad / total) * ((total - drawn) / max(1, total - 1)) + 0.5) + 3 - 2 * sqrt(3 / e)
+    while True:
+        u, v = rng.random(2)
+        if u == 0:
+            continue
+        k = floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= k <= high and 2 * log(u) <= log_of(k) - top:
+            return k
+
+
 def communication_matrix(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Rows of each dealer for each shard; shard sizes differ by one at most."""
     rng = np.random.default_rng(seed)
     total = int(counts.sum())
-    room = np.full(shards, total // shards, dtype=np.int64)
-    room[rng.permutation(shards)[: total % shards]] += 1
+    room = [total // shards] * shards
+    for s in rng.permutation(shards)[: total % shards]:
+        room[s] += 1
     out = np.zeros((len(counts), shards), dtype=np.int64)
-    for p, n in enumerate(counts):
-        left, rest = int(n), int(room.sum())
+    for p, n in enumerate(counts.tolist()):
+        rest = sum(room)
         for s in range(shards):
-            rest -= int(room[s])
-            out[p, s] = rng.hypergeometric(int(room[s]), rest, left) if left and room[s] else 0
-            left -= int(out[p, s])
-        room -= out[p]
+            rest -= room[s]
+            out[p, s] = got = hypergeometric(rng, room[s], rest, n)
+            room[s] -= got
+            n -= got
     return out
 
 
@@ -58,7 +116,9 @@ def assign(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keys = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    keys = checkpoint(keys.coalesce(DEALERS))
+    keys = checkpoint(keys)
+    if keys.rdd.getNumPartitions() > DEALERS:
+        keys = checkpoint(keys.coalesce(DEALERS))
     n_parts = keys.rdd.getNumPartitions()
     counts = np.zeros(n_parts, dtype=np.int64)
     for p, n in keys.groupBy(F.spark_partition_id().alias("p")).count().collect():  # at most DEALERS rows

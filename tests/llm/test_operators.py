@@ -122,6 +122,49 @@ def test_index_persists(spark):
     assert not again.exists() and exact_dedup.buckets_for(3) == 64 and exact_dedup.buckets_for(10**10) == 16384
 
 
+def texts(spark, ids):
+    return spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+
+
+def test_index_keeps_its_buckets(spark):
+    """An index reopened with another number of buckets knows all it has; compact() changes the number."""
+    name = f"test_index_{random.randrange(1 << 40)}"
+    first = exact_dedup.DigestIndex(spark, name, 8)
+    assert exact_dedup.deduplicate(texts(spark, range(300)), first).filter("kept").count() == 300
+    for buckets in (16, 3):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        again = exact_dedup.DigestIndex(spark, name, buckets)
+        assert again.buckets == 8 and exact_dedup.deduplicate(texts(spark, range(300)), again).filter("kept").count() == 0
+        assert again.read().count() == 300
+    again.compact(32)
+    assert again.buckets == 32 and again.versions() == ["v1"] and first.buckets == 32
+    assert exact_dedup.deduplicate(texts(spark, range(250, 350)), first).filter("kept").count() == 50 and first.read().count() == 350
+    first.drop()
+
+
+def test_an_append_that_died_is_not_read(spark, monkeypatch):
+    """Rows without their append's mark don't count: the same batch again is kept whole, as if it came first."""
+    index = dedup_index(spark)
+    exact_dedup.deduplicate(texts(spark, range(10)), index)
+    write = index._write
+
+    def dies(rows, table_name, folder, buckets, append):
+        write(rows, table_name, folder, buckets, append)
+        fs, at = exact_dedup.pafs.FileSystem.from_uri(f"{index.path}/{folder}")
+        fs.delete_file(f"{at}/_append-{append}")
+        raise OSError("the executor is gone")
+
+    monkeypatch.setattr(index, "_write", dies)
+    with pytest.raises(OSError):
+        index.append(exact_dedup.deduplicate(texts(spark, range(10, 20)), dedup_index(spark)).select(F.unhex("text_sha256").alias("digest"), "keep_id"))
+    monkeypatch.undo()
+    assert index.read().count() == 10
+    assert exact_dedup.deduplicate(texts(spark, range(5, 20)), index).filter("kept").count() == 10 and index.read().count() == 20
+    index.compact()
+    assert index.read().count() == 20 and spark.table(index.name).count() == 20
+    index.drop()
+
+
 # ---- mixing -------------------------------------------------------------------
 
 
@@ -236,6 +279,42 @@ def test_communication_matrix_is_hypergeometric():
     assert np.allclose(drawn.var(axis=0), cut.var(axis=0), atol=0.2)
 
 
+def test_matrix_of_a_hundred_billion_rows():
+    counts = np.array([20_000_000_000, 0, 7, 79_999_999_993, 1], dtype=np.int64)
+    a = sharding.communication_matrix(counts, 40, 3)
+    assert (a.sum(axis=1) == counts).all() and set(a.sum(axis=0)) == {2_500_000_000, 2_500_000_001} and (a >= 0).all()
+    big = a[0] / 20_000_000_000  # each near 1/40, by a few standard deviations of some 1e-6
+    assert abs(big - 1 / 40).max() < 6e-6 and len(set(a[0].tolist())) > 30
+
+
+@pytest.mark.parametrize("good, bad, drawn", [(3, 4, 2), (10, 5, 12), (1, 100, 50), (400, 600, 300), (70_000, 30_000, 50_000)])
+def test_hypergeometric_draws(good, bad, drawn):
+    """Frequencies against the exact probabilities, by chi square over classes of enough draws."""
+    from math import comb
+
+    rng, n = np.random.default_rng(9), 20_000
+    got = collections.Counter(sharding.hypergeometric(rng, good, bad, drawn) for _ in range(n))
+    low, high = max(0, drawn - bad), min(good, drawn)
+    if good < 1000:
+        want = {k: n * comb(good, k) * comb(bad, drawn - k) / comb(good + bad, drawn) for k in range(low, high + 1)}
+        many = [k for k, x in want.items() if x >= 20]
+        assert set(got) <= set(want)
+        assert sum((got[k] - want[k]) ** 2 / want[k] for k in many) < len(many) + 5 * (2 * len(many)) ** 0.5
+    total = good + bad
+    mean, var = drawn * good / total, drawn * good / total * bad / total * (total - drawn) / (total - 1)
+    x = np.array(list(got.elements()))
+    assert abs(x.mean() - mean) < 5 * (var / n) ** 0.5 and abs(x.var() / var - 1) < 0.06
+
+
+def test_log_binomial():
+    from math import comb, log
+
+    for n, p in ((5, 0.3), (60, 0.5), (300, 0.01)):
+        for x in range(n + 1):
+            want = log(comb(n, x)) + (x * log(p)) + (n - x) * log(1 - p)
+            assert abs(sharding.log_binomial(x, n, p) - want) < 1e-10 * max(1, abs(want))
+
+
 def test_shards_keep_large_ids_beside_nulls(spark):
     ids = [(1 << 60) + 7, (1 << 60) + 9, None, -3, None, (1 << 60) + 7]
     docs = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "doc_id long, text string").coalesce(1)
