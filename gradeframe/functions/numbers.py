@@ -12,10 +12,13 @@ from pyspark.sql.types import DoubleType
 
 from gradeframe.functions.text import ASCII, PLAIN, normalize_text, strip
 
+#: What counts as zero, tolerances of values, and the tolerance of numeric x.
 EPSILON = 1e-9
 TOLERANCES = (0.01, 0.05, 0.10)
+X_TOLERANCE = 1e-6
 #: Factors by which whole series are known to be off.
 SCALES = (1e-6, 1e-3, 1e-2, 1e2, 1e3, 1e6)
+#: Fixed value: what reads as a number.
 FLOAT = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 #: Cells that hold no number, and what a number looks like in others.
 NULL_CELLS = ("-", "--", "", "n/a", "na", "null", "none", "*")
@@ -61,7 +64,7 @@ def within(gold: Column, pred: Column, tolerance: float) -> Column:
 
 def x_matches(gold: Column, pred: Column) -> Column:
     """Points' x: numerically if both are numbers, else as text. Structs with `num` and `text`."""
-    close = F.abs(gold.num - pred.num) <= 1e-6 * F.greatest(F.abs(gold.num), F.abs(pred.num), F.lit(1.0))
+    close = F.abs(gold.num - pred.num) <= X_TOLERANCE * F.greatest(F.abs(gold.num), F.abs(pred.num), F.lit(1.0))
     return F.when(gold.num.isNotNull() & pred.num.isNotNull(), close).otherwise(gold.text == pred.text)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gradeframe.functions.text import html_escape
 from gradeframe.operators.log import upper_median
+from gradeframe.operators.ranks import running_sums
 
 
 def frequencies(df: DataFrame, column: str, order: str | None = None) -> DataFrame:
@@ -24,9 +27,41 @@ def failure_rates(df: DataFrame, by: str, failed: Column) -> DataFrame:
 
 
 def run_difference(a: DataFrame, b: DataFrame, key: str, raw: str) -> DataFrame:
-    """One row: ids in both runs and how many have byte-identical answers."""
-    both = a.select(key, F.col(raw).alias("a")).join(b.select(key, F.col(raw).alias("b")), key)
-    return both.agg(F.count("*").alias("n"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("n_identical"))
+    """One row: ids in both runs, how many of them have byte-identical answers, and ids that only the first or the second run has."""
+    left, right = (df.select(key, F.col(raw).alias(name), F.lit(True).alias(f"in_{name}")) for df, name in ((a, "a"), (b, "b")))
+    every, has_a, has_b = left.join(right, key, "full"), F.col("in_a").isNotNull(), F.col("in_b").isNotNull()
+    same = has_a & has_b & F.col("a").eqNullSafe(F.col("b"))
+    return every.agg(F.count_if(has_a & has_b).alias("n"), F.count_if(same).alias("n_identical"), F.count_if(~has_b).alias("n_only_first"), F.count_if(~has_a).alias("n_only_second"))
+
+
+def draws(key: Column, k: Column, seed: int) -> Column:
+    """A fraction from 0 to below 1 for the k-th draw of a row, from a digest of seed, row and k."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string"), F.lit(":"), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+#: Chances that a Poisson draw of mean 1 is over 0, 1, 2, ...: what is beyond has less than 2^-32.
+OVER = [1 - exp(-1) * sum(1 / factorial(j) for j in range(n + 1)) for n in range(12)]
+
+
+def paired_differences(samples: DataFrame, metrics: list[str], base: str, key: str = "id", rounds: int = 200, seed: int = 0) -> DataFrame:
+    """run, metric, n, mean, low, high: of each other run's samples less those of run `base` with the same key.
+
+    low and high are the 2.5 and 97.5 % points of the mean over `rounds` bootstrap
+    rounds. A sample counts in each round by a Poisson draw of its key, the same for
+    all runs and metrics, so a round needs no order of rows and is one aggregation.
+    Samples without a value in either run don't count.
+    """
+    of_base = samples.filter(F.col("run") == base).select(key, F.struct(*metrics).alias("theirs"))
+    both = samples.filter(F.col("run") != base).select("run", key, *metrics).join(of_base, key)
+    differences = F.array(*(F.struct(F.lit(m).alias("metric"), (F.col(m).cast("double") - F.col(f"theirs.{m}").cast("double")).alias("d")) for m in metrics))
+    each = both.select("run", key, F.explode(differences).alias("x")).select("run", key, "x.*").filter(F.col("d").isNotNull())
+    weighed = each.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))  # round 0 is the data itself
+    u = draws(F.col(key), F.col("round"), seed)
+    weight = F.when(F.col("round") == 0, 1).otherwise(sum((u < p).cast("int") for p in OVER[1:]) + (u < OVER[0]).cast("int"))
+    means = weighed.withColumn("w", weight).groupBy("run", "metric", "round").agg(F.try_divide(F.sum(F.col("d") * F.col("w")), F.sum("w")).alias("mean"), F.count("*").alias("n"))
+    at = lambda p: F.expr(f"percentile(CASE WHEN round > 0 THEN mean END, {p})")  # noqa: E731  of `rounds` values
+    return means.groupBy("run", "metric").agg(F.max(F.when(F.col("round") == 0, F.col("n"))).alias("n"), F.max(F.when(F.col("round") == 0, F.col("mean"))).alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"))
 
 
 def union_runs(runs: dict[str, DataFrame]) -> DataFrame:
@@ -52,10 +87,9 @@ def repetition(items: Column) -> Column:
 
 
 def running_mean(df: DataFrame, value: str, order: str, every: int = 10) -> DataFrame:
-    """The mean so far at every `every`-th row. A progress report: all rows pass one task in order."""
-    so_far = W.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    out = df.select(order, F.row_number().over(W.orderBy(order)).alias("nth"), F.avg(value).over(so_far).alias("running_mean"))
-    return out.filter(F.col("nth") % every == 0)
+    """order, nth, running_mean: the mean so far at every `every`-th row; values that are null don't count."""
+    sums = running_sums(df, order, value).filter(F.col("nth") % every == 0)
+    return sums.select(order, "nth", F.try_divide(F.col("total").cast("double"), "n_values").alias("running_mean"))
 
 
 def throughput(df: DataFrame, by: str, order: str, size: str, seconds: str, stall: float = 0.01) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from gradeframe.functions.assignment import assign_normalised
 from gradeframe.functions.numbers import TOLERANCES, ape, array_mean, array_median, relative_error, scale_error, series_bucket, within
 from gradeframe.functions.text import normalize_text, text_correct
-from gradeframe.operators.matching import keyed, match_points
+from gradeframe.operators.matching import keyed, match_series
+from gradeframe.operators.ranks import median
+from gradeframe.sources.shared import checkpointed
 from gradeframe.types import ALL_FIELDS, SERIES
 
 SHORT = {0.01: "01", 0.05: "05", 0.10: "10"}
@@ -38,14 +40,12 @@ def score_samples(df: DataFrame) -> DataFrame:
         .withColumn("series_pairs", assign_normalised(F.col("gold_series"), F.col("pred_series")))
     )
     of = lambda name, i: F.get(F.col(name), i)
+    df = df.withColumn("points", match_series(F.col("gold_series"), F.col("pred_series"), F.col("series_pairs")))
     matched = F.transform(
-        "series_pairs",
-        lambda q: F.struct(
-            (of("gold_series", q.g)["name"] == of("pred_series", q.p)["name"]).alias("name_ok"),
-            match_points(of("gold_series", q.g).data, of("pred_series", q.p).data).alias("m"),
-        ),
+        F.arrays_zip("series_pairs", "points"),
+        lambda z: F.struct((of("gold_series", z.series_pairs.g)["name"] == of("pred_series", z.series_pairs.p)["name"]).alias("name_ok"), z.points.alias("m")),
     )
-    df = df.withColumn("matched", matched)
+    df = df.withColumn("matched", matched).drop("points")
     unpaired = F.filter(F.transform("gold_series", lambda s, i: F.struct(F.size(s.data).alias("n"), i.alias("i"))), lambda s: ~F.exists("series_pairs", lambda q: q.g == s.i))
     total = lambda name: F.aggregate("matched", F.lit(0), lambda a, s: a + s.m[name])
     df = (
@@ -101,52 +101,73 @@ def micro_average(hits: Column, matched: Column) -> Column:
     return F.coalesce(F.try_divide(F.sum(hits).cast("double"), F.sum(matched)), F.lit(0.0))
 
 
-def ape_measures() -> list[Column]:
-    """Aggregates over parsed samples: mean of their mean errors and median of their median ones."""
-    parsed = F.col("valid_json")
-    return [F.avg(F.when(parsed, F.col("mape"))).alias("mape"), F.median(F.when(parsed, F.col("median_ape"))).alias("median_ape")]
-
-
 def sample_ape(errors: Column) -> dict[str, Column]:
     """mape and median_ape, in percent, of a sample's relative errors; infinite ones don't count."""
     finite = ape(errors)
     return {"mape": 100 * array_mean(finite), "median_ape": 100 * array_median(finite)}
 
 
-def summarise(samples: DataFrame) -> DataFrame:
-    """Overall, by chart type and by series bucket, in one aggregation: column `level` tells them apart."""
-    rate = lambda c: F.avg(F.col(c).cast("double"))
-    masked = lambda f, c: F.avg(F.when(F.array_contains("fields", f), F.col(c).cast("double")))
-    parsed = lambda c: F.coalesce(F.sum(F.when(F.col("valid_json"), F.col(c))), F.lit(0))
-    full = fully_annotated(F.col("fields"))
-    measures = [
-        F.count("*").alias("n"),
-        rate("valid_json").alias("valid_json_rate"),
-        rate("conforms").alias("schema_conformance_rate"),
-        F.count_if(F.col("valid_json") & ~F.col("conforms")).alias("n_repaired"),
-        *(masked(f, f"{f}_ok").alias(f"{f}_accuracy") for f in ALL_FIELDS[:4]),
-        masked("series_names", "series_names").alias("series_name_accuracy"),
-        F.count_if(~full).alias("n_partially_annotated"),
-        rate("series_count_ok").alias("series_count_accuracy"),
-        rate("point_count_ok").alias("point_count_accuracy"),
-        rate("structural").alias("exact_structural_match"),
-        *(micro_average(F.when(F.col("valid_json"), F.col(f"hits_{s}")), F.when(F.col("valid_json"), F.col("n_matched"))).alias(f"va_{s}") for s in SHORT.values()),
-        *ape_measures(),
-        F.avg("recall").alias("point_recall"),
-        *(parsed(f"n_{k}").alias(f"n_{k}_points") for k in ("matched", "missing", "spurious")),
-        F.count_if("fallback").alias("n_positional_fallback"),
-        F.count_if(F.size("scale_errors") > 0).alias("n_scale_errors"),
-    ]
-    keys = samples.withColumnsRenamed({"chart_type": "by_type", "bucket": "by_bucket"})
-    grouped = keys.groupingSets([[], ["by_type"], ["by_bucket"]], "by_type", "by_bucket").agg(F.grouping_id().alias("gid"), *measures)
-    grouped = grouped.filter((F.col("gid") != 1) | F.col("by_type").isNotNull())  # samples without a type are in no type's group
-    level = F.when(F.col("gid") == 3, "overall").when(F.col("gid") == 1, "chart_type").otherwise("series_count")
-    return grouped.withColumn("level", level).withColumn("key", F.coalesce("by_type", "by_bucket", F.lit("all"))).drop("gid", "by_type", "by_bucket")
-
+def counters(samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A narrow row per sample: by, chart_type, bucket, sign (1), what is added up over samples, and ape, its median error if it parsed.
 
-def parse_errors(samples: DataFrame) -> DataFrame:
-    """One row: the distinct errors, sorted."""
-    return samples.agg(F.array_sort(F.collect_set("error")).alias("parse_errors"))
+    Rows may be taken back: the same row again with sign -1 undoes one.
+    """
+    valid, one = F.col("valid_json"), lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    parsed = lambda c, zero=0: F.coalesce(F.when(valid, F.col(c)), F.lit(zero))
+    scored = lambda f: F.array_contains("fields", f)
+    of = {
+        "valid": one(valid), "conforming": one(F.col("conforms")), "repaired": one(valid & ~F.col("conforms")),
+        **{f"{f}_scored": one(scored(f)) for f in ALL_FIELDS}, **{f"{f}_right": one(scored(f) & F.col(f"{f}_ok")) for f in ALL_FIELDS[:4]},
+        "series_names_right": F.when(scored("series_names"), F.col("series_names")).otherwise(0.0), "partial": one(~fully_annotated(F.col("fields"))),
+        **{c: one(F.col(c)) for c in ("series_count_ok", "point_count_ok", "structural", "fallback")}, "scaled": one(F.size("scale_errors") > 0),
+        **{c: parsed(c).cast("long") for c in ("n_matched", "n_missing", "n_spurious", *(f"hits_{t}" for t in SHORT.values()))},
+        "mape_sum": parsed("mape", 0.0), "mape_n": one(valid & F.col("mape").isNotNull()), "recall": F.col("recall"),
+    }
+    return samples.select(*by, "chart_type", "bucket", F.lit(1).alias("sign"), *(c.alias(name) for name, c in of.items()), F.when(valid, F.col("median_ape")).alias("ape"))
+
+
+def summarise_counters(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """counters() overall, by chart type and by series bucket, each within `by`: column `level` tells them apart.
+
+    The narrow rows are computed once, when this is called: the sums, which are one
+    aggregation, and the exact medians of ape read them from the checkpoint.
+    """
+    rows = checkpointed(rows)
+    added = [c for c in rows.columns if c not in (*by, "chart_type", "bucket", "sign", "ape")]
+    keys = rows.withColumnsRenamed({"chart_type": "by_type", "bucket": "by_bucket"})
+    sets = [[*by], [*by, "by_type"], [*by, "by_bucket"]]
+    sums = keys.groupingSets(sets, *by, "by_type", "by_bucket").agg(F.grouping_id().alias("gid"), F.sum("sign").alias("n"), *(F.sum(F.col(c) * F.col("sign")).alias(c) for c in added))
+    sums = sums.filter(((F.col("gid") != 1) | F.col("by_type").isNotNull()) & (F.col("n") > 0))  # samples without a type are in no type's group
+    level = F.when(F.col("gid") == 3, "overall").when(F.col("gid") == 1, "chart_type").otherwise("series_count")
+    per = lambda c, of="n": F.try_divide(F.col(c).cast("double"), of)
+    rates = {
+        "valid_json_rate": per("valid"), "schema_conformance_rate": per("conforming"), "n_repaired": F.col("repaired"),
+        **{f"{f}_accuracy": per(f"{f}_right", f"{f}_scored") for f in ALL_FIELDS[:4]}, "series_name_accuracy": per("series_names_right", "series_names_scored"), "n_partially_annotated": F.col("partial"),
+        "series_count_accuracy": per("series_count_ok"), "point_count_accuracy": per("point_count_ok"), "exact_structural_match": per("structural"),
+        **{f"va_{t}": F.coalesce(per(f"hits_{t}", "n_matched"), F.lit(0.0)) for t in SHORT.values()}, "mape": per("mape_sum", "mape_n"), "point_recall": per("recall"),
+        **{f"n_{k}_points": F.col(f"n_{k}") for k in ("matched", "missing", "spurious")}, "n_positional_fallback": F.col("fallback"), "n_scale_errors": F.col("scaled"),
+    }
+    summary = sums.select(*by, level.alias("level"), F.coalesce("by_type", "by_bucket", F.lit("all")).alias("key"), "n", *(c.alias(name) for name, c in rates.items()))
+    groups = F.array(*(F.struct(F.lit(name).alias("level"), key.alias("key")) for name, key in (("overall", F.lit("all")), ("chart_type", F.col("chart_type")), ("series_count", F.col("bucket")))))
+    each = rows.select(*by, F.explode(groups).alias("g"), "ape", "sign").select(*by, "g.*", "ape", "sign").filter(F.col("key").isNotNull())
+    medians = median(each, [*by, "level", "key"], "ape", "sign").withColumnRenamed("median", "median_ape")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "level", "key")]
+    return summary.alias("a").join(medians.alias("b"), same, "left").select("a.*", "b.median_ape")
+
+
+def summarise(samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rates and counts of score_samples() rows, see summarise_counters()."""
+    return summarise_counters(counters(samples, by), by)
+
+
+def parse_errors(samples: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """error, n: the different errors and how many samples have each, a row each."""
+    return samples.filter(F.col("error").isNotNull()).groupBy(*by, "error").agg(F.count("*").alias("n"))
+
+
+def common_errors(samples: DataFrame, k: int = 20, tracked: int = 10_000) -> DataFrame:
+    """error, n: about the k most common errors, from a summary of `tracked` of them that tasks merge; exact while there are no more."""
+    return samples.agg(F.expr(f"approx_top_k(error, {k}, {tracked})").alias("top")).select(F.explode("top").alias("t")).select(F.col("t.item").alias("error"), F.col("t.count").alias("n")).filter(F.col("error").isNotNull())
 
 
 def repair_histogram(samples: DataFrame, order: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +18,13 @@ from gradeframe.sources.jsonl import read_text, score_json, write_text
 CONFIG = ("manifest", "preds", "model", "adapter", "dtype", "prompt", "prompt_version", "constrained", "long_edge", "max_new_tokens")
 
 
-def samples(manifest: DataFrame, log: DataFrame, lenient: bool = True) -> DataFrame:
-    """Scored rows: predictions whose id the manifest has. A failed generation has no record but keeps its repairs."""
-    last = scoring_view(log)
-    parsed = last.select("id", "raw", "n_tokens", "seconds", "gen_error", "ord", parse_prediction(F.col("raw"), lenient).alias("parsed"))
+def score_rows(manifest: DataFrame, rows: DataFrame, lenient: bool = True) -> DataFrame:
+    """Scored rows of a log as it is: predictions whose id the manifest has. A failed generation has no record but keeps its repairs.
+
+    A column `run` is kept, so rows of several runs are scored at once.
+    """
+    keys = [c for c in ("run", "id") if c in rows.columns]
+    parsed = rows.select(*keys, "raw", "n_tokens", "seconds", "gen_error", "ord", parse_prediction(F.col("raw"), lenient).alias("parsed"))
     joined = parsed.join(manifest.select("id", "gold", "scored_fields", "properties"), "id")
     failed = is_error(F.col("gen_error"))
     pred = F.when(~failed, F.col("parsed.chart"))
@@ -28,8 +32,18 @@ def samples(manifest: DataFrame, log: DataFrame, lenient: bool = True) -> DataFr
     return score_samples(joined.withColumn("pred", pred).withColumn("error", error).withColumn("repairs", F.col("parsed.repairs")).drop("parsed"))
 
 
+def samples(manifest: DataFrame, log: DataFrame, lenient: bool = True) -> DataFrame:
+    """score_rows() of the last row of each id."""
+    return score_rows(manifest, scoring_view(log), lenient)
+
+
+def sweep(manifest: DataFrame, logs: DataFrame, lenient: bool = True) -> DataFrame:
+    """samples() of logs of several runs (column run), in one plan: one compaction, one join with the gold records."""
+    return score_rows(manifest, scoring_view(logs, ["run", "id"]), lenient)
+
+
 def score(manifest: DataFrame, log: DataFrame, lenient: bool = True) -> dict[str, DataFrame]:
-    """summary, parse_errors, repairs and timing of a run."""
+    """samples, summary, parse_errors, repairs and timing of a run. All but timing come from samples: persist it to have it computed once, as write_scores does."""
     rows = samples(manifest, log, lenient)
     return {"samples": rows, "summary": summarise(rows), "parse_errors": parse_errors(rows), "repairs": repair_histogram(rows, "ord"), "timing": timing(scoring_view(log))}
 
@@ -37,7 +51,11 @@ def score(manifest: DataFrame, log: DataFrame, lenient: bool = True) -> dict[str
 def self_check(manifest: DataFrame) -> DataFrame:
     """Samples whose own gold, written and read back, doesn't score perfectly. Should be empty."""
     own = manifest.select("id", canonical_json(F.col("gold")).alias("raw"), F.lit(0).alias("n_tokens"), F.lit(0.0).alias("seconds"), F.lit(None).cast("string").alias("gen_error"), "ord")
-    s = samples(manifest, own)
+    return imperfect(samples(manifest, own))
+
+
+def imperfect(s: DataFrame) -> DataFrame:
+    """Scored samples that aren't right in all."""
     perfect = F.col("valid_json") & F.col("structural") & (F.col("recall") == 1) & (F.col("va_01") == 1) & (F.col("n_missing") == 0) & (F.col("n_spurious") == 0) & F.coalesce(F.col("mape") == 0, F.lit(False))
     return s.filter(~perfect)
 
@@ -65,13 +83,17 @@ def percent(x: float | None) -> str:
 def write_scores(out: dict[str, DataFrame], flags: dict, path: str) -> None:
     """score()'s frames as one score file: summary, parse errors, repairs, configuration and timing."""
     timed = out["timing"].first()
-    extra = {
-        "parse_errors": out["parse_errors"].first()[0],
-        "repairs": {r.repair: r.n for r in out["repairs"].collect()},  # a name for each kind of repair
-        "config": config(flags),
-        "timing": {"median_seconds": timed.median_seconds, "mean_tokens": timed.mean_tokens},
-    }
-    write_text(path, score_json(out["summary"], extra))
+    out["samples"].persist(StorageLevel.DISK_ONLY)  # scored once for all that follows
+    try:
+        extra = {
+            "parse_errors": [r.error for r in out["parse_errors"].orderBy("error").toLocalIterator()],
+            "repairs": {r.repair: r.n for r in out["repairs"].collect()},  # a name for each kind of repair
+            "config": config(flags),
+            "timing": {"median_seconds": timed.median_seconds, "mean_tokens": timed.mean_tokens},
+        }
+        write_text(path, score_json(out["summary"], extra))
+    finally:
+        out["samples"].unpersist()
 
 
 def read_runs(items: list[str]) -> dict[str, dict]:

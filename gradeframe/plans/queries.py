@@ -22,8 +22,9 @@ from gradeframe.operators import log as L
 from gradeframe.operators import scoring as S
 from gradeframe.operators import tables as P
 from gradeframe.operators.matching import keyed, match_points
+from gradeframe.operators.ranks import median, middles
 from gradeframe.operators.synth import long_values, specs, stacked, with_gold
-from gradeframe.plans.evaluate import probe
+from gradeframe.plans.evaluate import imperfect, probe
 from gradeframe.sources.corpus import materialise, smallest_shard, with_ordinals
 from gradeframe.types import SERIES
 
@@ -186,9 +187,19 @@ def micro_macro_accuracy(spark, d):
 @query(f"SELECT round(100 * avg(mean), 4) AS mape, round(100 * median(med), 6) AS median_ape FROM ({PER_SAMPLE})")
 def ape_summary(spark, d):
     own = points(spark, d).filter("has_p").groupBy("sample").agg(F.collect_list(N.relative_error(F.col("g"), F.col("p"))).alias("errors"))
-    samples = own.withColumns(S.sample_ape(F.col("errors"))).withColumn("valid_json", F.lit(True))
-    mean, median = S.ape_measures()
-    return samples.agg(F.round(mean, 4).alias("mape"), F.round(median, 6).alias("median_ape"))
+    samples = own.withColumns(S.sample_ape(F.col("errors"))).select(F.lit("all").alias("key"), "mape", "median_ape")
+    both = samples.groupBy("key").agg(F.round(F.avg("mape"), 4).alias("mape")).join(median(samples, ["key"], "median_ape"), "key")
+    return both.select("mape", F.round("median", 6).alias("median_ape"))
+
+
+SQL_GROUPED = f"SELECT series, round(e, 1) AS digits, e FROM (SELECT *, {SQL_ERROR} AS e FROM ({SQL_POINTS}))"
+
+
+@query(f"SELECT series, digits, count(*) AS n, quantile_disc(e, 0.5) AS low, quantile_disc(e, 0.5 ORDER BY e DESC) AS high, median(e) AS median FROM ({SQL_GROUPED}) GROUP BY series, digits")
+def exact_medians(spark, d):
+    """Both middle values and the median of all points' errors by group: many rows of few groups, with ties."""
+    e = points(spark, d).select("series", N.relative_error(F.col("g"), F.col("p")).alias("e")).withColumn("digits", F.round("e", 1))
+    return middles(e, ["series", "digits"], "e").select("series", "digits", "n", "low", "high", ((F.col("low") + F.col("high")) / 2).alias("median"))
 
 
 @query(
@@ -330,8 +341,8 @@ def summary_grouping_sets(spark, d):
 @query("SELECT count(DISTINCT o_orderkey) AS n, count(DISTINCT o_orderkey) AS n_perfect FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def selfcheck_identity(spark, d):
     s = S.score_samples(sample_records(spark, d, predicted=False))
-    perfect = F.col("structural") & (F.col("va_01") == 1) & (F.col("recall") == 1) & (F.col("mape") == 0) & (F.col("n_missing") == 0) & (F.col("n_spurious") == 0)
-    return s.agg(F.count("*").alias("n"), F.count_if(perfect).alias("n_perfect"))
+    wrong = imperfect(s).agg(F.count("*").alias("wrong"))
+    return s.agg(F.count("*").alias("n")).crossJoin(F.broadcast(wrong)).select("n", (F.col("n") - F.col("wrong")).alias("n_perfect"))  # wrong is one row
 
 
 @query(
@@ -381,7 +392,13 @@ def answers(spark, d) -> DataFrame:
 
 @query("SELECT unnest(['" + "', '".join(sorted(a[1] for a in ANSWERS if a[1])) + "']) AS parse_error")
 def parse_error_set(spark, d):
-    return S.parse_errors(answers(spark, d)).select(F.explode("parse_errors").alias("parse_error"))
+    return S.parse_errors(answers(spark, d)).select(F.col("error").alias("parse_error"))
+
+
+@query("SELECT error, count(*) AS n FROM (SELECT CASE event_id % 9 " + " ".join(f"WHEN {i} THEN '{a[1]}'" for i, a in enumerate(ANSWERS) if a[1]) + " END AS error FROM events) WHERE error IS NOT NULL GROUP BY error")
+def common_errors(spark, d):
+    """The most common errors from a mergeable summary; there are fewer kinds than it tracks, so it is exact."""
+    return S.common_errors(answers(spark, d))
 
 
 @query(
@@ -546,7 +563,18 @@ def readable_round(spark, d):
 def run_diff_identity(spark, d):
     a = read(spark, d, "documents").select("doc_id", F.col("text").alias("raw"))
     b = a.withColumn("raw", F.when(F.col("doc_id") % 10 == 0, F.concat("raw", F.lit("."))).otherwise(F.col("raw")))
-    return D.run_difference(a, b, "doc_id", "raw")
+    return D.run_difference(a, b, "doc_id", "raw").select("n", "n_identical")
+
+
+@query(
+    """SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS n, count(*) FILTER (a = b) AS n_identical, count(*) FILTER (b IS NULL) AS n_only_first, count(*) FILTER (a IS NULL) AS n_only_second
+    FROM (SELECT l_orderkey AS k, max(l_shipdate)::VARCHAR AS a FROM lineitem GROUP BY ALL) FULL JOIN (SELECT o_orderkey AS k, max(o_orderdate)::VARCHAR AS b FROM orders GROUP BY ALL) USING (k)"""
+)
+def run_diff_both_ways(spark, d):
+    """Two runs with ids of their own: orders' last shipping days and orders' days."""
+    a = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_shipdate").cast("string").alias("raw"))
+    b = read(spark, d, "orders").groupBy(F.col("o_orderkey").alias("k")).agg(F.max("o_orderdate").cast("string").alias("raw"))
+    return D.run_difference(a, b, "k", "raw")
 
 
 @query("SELECT run, count(*) AS n, count(r_name) AS n_named FROM (SELECT 'nations' AS run, n_name AS name, NULL AS r_name FROM nation UNION ALL SELECT 'regions', r_name, r_name FROM region) GROUP BY run")
@@ -576,7 +604,7 @@ def semi_join_materialise(spark, d):
 @query("SELECT event_id, nth, running_mean FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS nth, round(avg(value) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), 9) AS running_mean FROM events) WHERE nth % 10 = 0")
 def running_mean(spark, d):
     r = D.running_mean(read(spark, d, "events"), "value", "event_id")
-    return r.select("event_id", F.col("nth").cast("long").alias("nth"), F.round("running_mean", 9).alias("running_mean"))
+    return r.select("event_id", "nth", F.round("running_mean", 9).alias("running_mean"))
 
 
 @query("SELECT user_id, event_id, r AS mb_s, coalesce(r < 0.01, false) AS stalled FROM (SELECT user_id, event_id, (event_id * 1000 - lag(event_id * 1000) OVER (PARTITION BY user_id ORDER BY event_id)) / 1e6 / 2.0 AS r FROM events)")

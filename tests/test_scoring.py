@@ -185,7 +185,7 @@ def test_log_to_scores(spark, tmp_path):
     out = score(read_manifest(spark, str(tmp_path / "m.jsonl")), read_predictions(spark, str(tmp_path / "p.jsonl")))
     total = out["summary"].filter("level = 'overall'").first()
     assert (total.n, total.valid_json_rate) == (3, pytest.approx(2 / 3))
-    assert out["parse_errors"].first()[0] == ["OOM"] and [(r.repair, r.n) for r in out["repairs"].collect()] == [("dropped extra", 1)]
+    assert [tuple(r) for r in out["parse_errors"].collect()] == [("OOM", 1)] and [(r.repair, r.n) for r in out["repairs"].collect()] == [("dropped extra", 1)]
     assert tuple(out["timing"].first()) == (4.0, 5.0)  # 0, 2, 4, 5 seconds
 
 
