@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,8 +17,9 @@ from gradeframe.functions.text import ASCII, PLAIN, normalize_text, strip
 EPSILON = 1e-9
 TOLERANCES = (0.01, 0.05, 0.10)
 X_TOLERANCE = 1e-6
-#: Factors by which whole series are known to be off.
+#: Factors by which whole series are known to be off, how near points must then be, the share that must be, of how many at least.
 SCALES = (1e-6, 1e-3, 1e-2, 1e2, 1e3, 1e6)
+SCALE_TOLERANCE, SCALE_SHARE, SCALE_LEAST = 0.05, 0.8, 3
 #: Fixed value: what reads as a number.
 FLOAT = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 #: Cells that hold no number, and what a number looks like in others.
@@ -29,11 +31,16 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
+@lru_cache(maxsize=1)
+def digits() -> tuple[str, str]:
+    """The decimal digits of all other scripts, and the ASCII digits in their places."""
+    found = [chr(i) for i in range(128, 0x110000) if chr(i).isdecimal()]
+    return "".join(found), "".join(str(unicodedata.decimal(d)) for d in found)
+
+
 def ascii_digits(c: Column) -> Column:
     """The decimal digits of all scripts as ASCII ones."""
-    digits = [chr(i) for i in range(128, 0x110000) if chr(i).isdecimal()]
-    plain = "".join(str(unicodedata.decimal(d)) for d in digits)
-    return F.when(c.rlike(ASCII), c).otherwise(F.translate(c, "".join(digits), plain))
+    return F.when(c.rlike(ASCII), c).otherwise(F.translate(c, *digits()))
 
 
 def as_float(c: Column) -> Column:
@@ -96,9 +103,9 @@ def scale_error(pairs: Column) -> Column:
     """The first factor that explains 80 % of at least three pairs (g, p) away from zero; else null."""
     usable = F.filter(pairs, lambda q: (F.abs(q.g) > EPSILON) & (F.abs(q.p) > EPSILON) & ~F.isnan(q.p))
     factors = F.array(*map(F.lit, SCALES))
-    hit = lambda f: F.size(F.filter(usable, lambda q: within(q.g * f, q.p, 0.05)))
-    found = F.get(F.filter(factors, lambda f: hit(f) >= 0.8 * F.size(usable)), F.lit(0))
-    return F.when(F.size(usable) >= 3, found)
+    hit = lambda f: F.size(F.filter(usable, lambda q: within(q.g * f, q.p, SCALE_TOLERANCE)))
+    found = F.get(F.filter(factors, lambda f: hit(f) >= SCALE_SHARE * F.size(usable)), F.lit(0))
+    return F.when(F.size(usable) >= SCALE_LEAST, found)
 
 
 def series_bucket(n: Column) -> Column:

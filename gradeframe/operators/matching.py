@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradeframe.functions.numbers import X_TOLERANCE, x_key
+from gradeframe.functions.nested import lists, spread
+from gradeframe.functions.numbers import EPSILON, SCALE_LEAST, SCALE_SHARE, SCALE_TOLERANCE, SCALES, X_TOLERANCE, x_key
 
 #: Fixed value: the share of points that must be found by x.
 FALLBACK = 0.5
-MATCHED = "array<struct<pairs: array<struct<g: double, p: double>>, fallback: boolean, missing: int, spurious: int>>"
+MATCHED = "array<struct<pairs: array<struct<g: double, p: double>>, fallback: boolean, missing: int, spurious: int, scale: double>>"
 
 
 def keyed(points: Column) -> Column:
@@ -26,19 +27,6 @@ def keyed(points: Column) -> Column:
     return F.transform(points, lambda p: F.struct(x_key(p.x_kind, p.x_str, p.x_num).alias("key"), p.y.alias("y")))
 
 
-def lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(ends, values): the lists of a column, null as empty, one after another."""
-    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), column.flatten()
-
-
-def spread(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run, place in the run, place in all) of each member of runs that begin somewhere and have sizes."""
-    run = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return run, at, begins[run] + at
-
-
 def close(a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray:
     return np.abs(a - b) <= X_TOLERANCE * np.maximum(np.maximum(np.abs(a), np.abs(b)), 1)
 
@@ -90,6 +78,17 @@ def one_by_one(g_num: np.ndarray, g_text: np.ndarray, p_num: np.ndarray, p_text:
     return out
 
 
+def scales(pair: np.ndarray, g: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
+    """numbers.scale_error() of each of n pairs of series, given all their points' values; NaN for none."""
+    with np.errstate(all="ignore"):
+        usable = (np.abs(g) > EPSILON) & (np.abs(p) > EPSILON)
+        out, count = np.full(n, np.nan), np.bincount(pair, usable, minlength=n)
+        for factor in reversed(SCALES):  # so that the first one stays
+            near = usable & (np.abs(g * factor) >= EPSILON) & (np.abs(p - g * factor) / np.abs(g * factor) <= SCALE_TOLERANCE)
+            out[(count >= SCALE_LEAST) & (np.bincount(pair, near, minlength=n) >= SCALE_SHARE * count)] = factor
+    return out
+
+
 def match(gold: pa.Array, pred: pa.Array, pairs: pa.Array) -> pa.Array:
     """A MATCHED per row of arrays of series (structs with data: keyed() points) and pairs (g, p) of their places."""
     (g_rows, g_series), (p_rows, p_series), (ends, q) = lists(gold), lists(pred), lists(pairs)
@@ -133,12 +132,13 @@ def match(gold: pa.Array, pred: pa.Array, pairs: pa.Array) -> pa.Array:
 
     both = pa.StructArray.from_arrays([g_points.field("y").take(pa.array(g[left])), p_points.field("y").take(pa.array(p[right]))], names=["g", "p"])
     whole = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(found)]), pa.int32()), both)
-    counts = [pa.array(fallback), pa.array((g_size - found).astype(np.int32)), pa.array((p_size - found).astype(np.int32))]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([whole, *counts], names=["pairs", "fallback", "missing", "spurious"]))
+    scale = scales(g_pair[left], *(c.to_numpy(zero_copy_only=False).astype(np.float64) for c in both.flatten()), n)
+    counts = [pa.array(fallback), pa.array((g_size - found).astype(np.int32)), pa.array((p_size - found).astype(np.int32)), pa.array(scale, mask=np.isnan(scale))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([whole, *counts], names=["pairs", "fallback", "missing", "spurious", "scale"]))
 
 
 def match_series(gold: Column, pred: Column, pairs: Column) -> Column:
-    """For each of pairs (g, p) of series, struct<pairs, fallback, missing, spurious> of their keyed() points.
+    """For each of pairs (g, p) of series, struct<pairs, fallback, missing, spurious, scale> of their keyed() points.
 
     If fewer than half as many pairs are found by x as the shorter side has
     points, the points are paired by position instead. Null arrays count as empty.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeframe.functions.assignment import assign_normalised
-from gradeframe.functions.numbers import TOLERANCES, ape, array_mean, array_median, relative_error, scale_error, series_bucket, within
+from gradeframe.functions.numbers import EPSILON, TOLERANCES, ape, array_mean, array_median, relative_error, series_bucket
 from gradeframe.functions.text import normalize_text, text_correct
 from gradeframe.operators.matching import keyed, match_series
 from gradeframe.operators.ranks import median
@@ -32,63 +32,56 @@ def score_samples(df: DataFrame) -> DataFrame:
     fields = F.coalesce(F.col("scored_fields"), F.array(*map(F.lit, ALL_FIELDS)))
     # names and points' keys are made once, in a step of their own: the lambdas below read them many times
     compared = lambda series: F.transform(series, lambda s: F.struct(normalize_text(s["name"]).alias("name"), keyed(s.data).alias("data")))
-    df = (
-        df.withColumn("fields", fields)
-        .withColumn("valid_json", valid)
-        .withColumn("gold_series", compared(F.coalesce(F.col("gold.series"), none)))
-        .withColumn("pred_series", compared(F.coalesce(F.col("pred.series"), none)))
-        .withColumn("series_pairs", assign_normalised(F.col("gold_series"), F.col("pred_series")))
+    df = df.withColumns(
+        {"fields": fields, "valid_json": valid, "gold_series": compared(F.coalesce(F.col("gold.series"), none)), "pred_series": compared(F.coalesce(F.col("pred.series"), none))}
+    ).withColumn("series_pairs", assign_normalised(F.col("gold_series"), F.col("pred_series")))
+    df = df.withColumn("matched", match_series(F.col("gold_series"), F.col("pred_series"), F.col("series_pairs")))
+    total = lambda name: F.aggregate("matched", F.lit(0), lambda a, m: a + m[name])
+    paired = F.transform("series_pairs", lambda q: q.g)
+    unpaired = F.aggregate(F.transform("gold_series", lambda s, i: F.when(F.array_contains(paired, i), 0).otherwise(F.size(s.data))), F.lit(0), lambda a, n: a + n)
+    of = lambda name, i: F.get(F.col(name), i)["name"]
+    df = df.withColumns(
+        {
+            "errors": F.transform(F.flatten(F.transform("matched", lambda m: m.pairs)), lambda q: relative_error(q.g, q.p)),
+            "n_missing": F.when(valid, total("missing") + unpaired).otherwise(0),
+            "n_spurious": total("spurious"),
+            "fallback": F.exists("matched", lambda m: m.fallback),
+            "scale_errors": F.filter(F.transform("matched", lambda m: m.scale), lambda f: f.isNotNull()),
+            "gold_points": n_points(F.col("gold_series")),
+            "pred_points": n_points(F.col("pred_series")),
+            "names_ok": F.size(F.filter("series_pairs", lambda q: of("gold_series", q.g) == of("pred_series", q.p))).cast("double"),
+        }
     )
-    of = lambda name, i: F.get(F.col(name), i)
-    df = df.withColumn("points", match_series(F.col("gold_series"), F.col("pred_series"), F.col("series_pairs")))
-    matched = F.transform(
-        F.arrays_zip("series_pairs", "points"),
-        lambda z: F.struct((of("gold_series", z.series_pairs.g)["name"] == of("pred_series", z.series_pairs.p)["name"]).alias("name_ok"), z.points.alias("m")),
-    )
-    df = df.withColumn("matched", matched).drop("points")
-    unpaired = F.filter(F.transform("gold_series", lambda s, i: F.struct(F.size(s.data).alias("n"), i.alias("i"))), lambda s: ~F.exists("series_pairs", lambda q: q.g == s.i))
-    total = lambda name: F.aggregate("matched", F.lit(0), lambda a, s: a + s.m[name])
-    df = (
-        df.withColumn("pairs", F.flatten(F.transform("matched", lambda s: s.m.pairs)))
-        .withColumn("errors", F.transform("pairs", lambda q: relative_error(q.g, q.p)))
-        .withColumn("n_matched", F.size("pairs"))
-        .withColumn("n_missing", F.when(valid, total("missing") + F.aggregate(unpaired, F.lit(0), lambda a, s: a + s.n)).otherwise(0))
-        .withColumn("n_spurious", total("spurious"))
-        .withColumn("fallback", F.exists("matched", lambda s: s.m.fallback))
-        .withColumn("scale_errors", F.filter(F.transform("matched", lambda s: scale_error(s.m.pairs)), lambda f: f.isNotNull()))
-        .withColumn("gold_points", n_points(F.col("gold_series")))
-        .withColumn("pred_points", n_points(F.col("pred_series")))
-    )
-    def hits(t: float) -> Column:
-        return F.size(F.filter("pairs", lambda q: within(q.g, q.p, t)))
-
-    for t in TOLERANCES:
-        df = df.withColumn(f"hits_{SHORT[t]}", hits(t))
-        df = df.withColumn(f"va_{SHORT[t]}", F.coalesce(F.try_divide(F.col(f"hits_{SHORT[t]}").cast("double"), "n_matched"), F.lit(0.0)))
-    names_ok = F.size(F.filter("matched", lambda s: s.name_ok)).cast("double")
     correct = {f: valid & text_correct(F.col(f"gold.{f}"), F.col(f"pred.{f}")) for f in ("title", "x_label", "y_label")}
     correct["chart_type"] = valid & F.coalesce(F.col("gold.chart_type") == F.col("pred.chart_type"), F.lit(False))
-    df = (
-        df.withColumns(sample_ape(F.col("errors")))
-        .withColumn("recall", F.coalesce(F.try_divide(F.col("n_matched").cast("double"), "gold_points"), F.lit(0.0)))
-        .withColumn("series_names", F.when(~valid, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(names_ok, F.size("gold_series")), F.lit(1.0))))
-        .withColumn("series_count_ok", valid & (F.size("gold_series") == F.size("pred_series")))
-        .withColumn("point_count_ok", valid & (F.col("gold_points") == F.col("pred_points")))
+    within = lambda t: F.size(F.filter("errors", lambda e: ~F.isnan(e) & (e <= t)))
+    hits = {SHORT[t]: within(t) for t in TOLERANCES}
+    df = df.withColumns(
+        {
+            "n_matched": F.size("errors"),
+            **{f"hits_{t}": c for t, c in hits.items()},
+            **sample_ape(F.col("errors")),
+            "series_names": F.when(~valid, F.lit(0.0)).otherwise(F.coalesce(F.try_divide("names_ok", F.size("gold_series")), F.lit(1.0))),
+            "series_count_ok": valid & (F.size("gold_series") == F.size("pred_series")),
+            "point_count_ok": valid & (F.col("gold_points") == F.col("pred_points")),
+            **{f"{f}_ok": ok for f, ok in correct.items()},
+        }
     )
-    for f, ok in correct.items():
-        df = df.withColumn(f"{f}_ok", ok)
-    field_ok = [~F.array_contains("fields", f) | F.col(f"{f}_ok") for f in correct]
-    names = ~F.array_contains("fields", "series_names") | (F.abs(F.col("series_names") - 1) <= 1e-9)
+    share = lambda c, of: F.coalesce(F.try_divide(F.col(c).cast("double"), of), F.lit(0.0))
+    names = ~F.array_contains("fields", "series_names") | (F.abs(F.col("series_names") - 1) <= EPSILON)
     structural = valid & F.col("series_count_ok") & F.col("point_count_ok") & names
-    for ok in field_ok:
-        structural = structural & ok
-    return (
-        df.withColumn("structural", structural)
-        .withColumn("conforms", valid & (F.size(F.coalesce("repairs", F.array().cast("array<string>"))) == 0))
-        .withColumn("chart_type", F.col("gold.chart_type"))
-        .withColumn("bucket", series_bucket(F.size("gold_series")))
-        .drop("matched", "series_pairs", "gold_series", "pred_series", "pairs", "errors")
-    )
+    for f in correct:
+        structural = structural & (~F.array_contains("fields", f) | F.col(f"{f}_ok"))
+    return df.withColumns(
+        {
+            **{f"va_{t}": share(f"hits_{t}", "n_matched") for t in hits},
+            "recall": share("n_matched", "gold_points"),
+            "structural": structural,
+            "conforms": valid & (F.size(F.coalesce("repairs", F.array().cast("array<string>"))) == 0),
+            "chart_type": F.col("gold.chart_type"),
+            "bucket": series_bucket(F.size("gold_series")),
+        }
+    ).drop("matched", "series_pairs", "gold_series", "pred_series", "errors", "names_ok")
 
 
 def fully_annotated(fields: Column, names: tuple[str, ...] = ALL_FIELDS) -> Column:
