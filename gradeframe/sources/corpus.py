@@ -18,9 +18,24 @@ def with_ordinals(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
 
 
+#: Files that a filter names at most.
+FILES = 10_000
+
+
 def materialise(spark: SparkSession, path: str, chosen: DataFrame, *columns: str) -> DataFrame:
-    """The (heavy) columns of the chosen (file, row_index) only."""
-    return with_ordinals(spark, path, *columns).join(chosen.select("file", "row_index"), ["file", "row_index"], "left_semi")
+    """The (heavy) columns of the chosen (file, row_index) only.
+
+    The chosen rows' files are found when this is called, and the scan leaves all
+    other files out; a choice from more than FILES files scans all of them. Inside a
+    file all of the columns are read: places of rows have no statistics to skip by.
+    """
+    chosen = chosen.select("file", "row_index")
+    files = [r.file for r in chosen.select("file").distinct().limit(FILES + 1).collect()]  # a name for each file
+    rows = spark.read.parquet(path)
+    if len(files) <= FILES:
+        rows = rows.filter(F.col("_metadata.file_path").isin(files))
+    rows = rows.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))
+    return rows.join(chosen, ["file", "row_index"], "left_semi")
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from gradeframe.functions.parsing import parse_prediction
 from gradeframe.functions.text import strip
+from gradeframe.sources.lines import SPLIT, placed_lines
 from gradeframe.types import PREDICTION, PROPERTIES
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and ord of each line that isn't blank; ord grows in file order, files in order of their names."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
-    return lines.filter(strip(F.col("value")) != "").select("value", F.struct("file", "row").alias("ord"))
+def read_lines(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """value and ord (file, row) of each line that isn't blank; row is the line's offset, files go by their names."""
+    return placed_lines(spark, path, split).filter(strip(F.col("value")) != "").select("value", F.struct("file", F.col("offset").alias("row")).alias("ord"))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

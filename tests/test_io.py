@@ -59,7 +59,7 @@ def test_streamed_log(spark, tmp_path):
     assert seen == {"a": ("2", "E"), "b": ("1", None)}
     import os
 
-    (folder / "b.jsonl").write_text(row("a", "3", seq=0))
+    (folder / "b.jsonl").write_text(row("a", "3", seq=0) + "\n")
     os.utime(folder / "b.jsonl", (4e9, 4e9))
     seen.clear()
     start(read_log_stream(spark, str(folder)), str(tmp_path / "state"), handle).awaitTermination(120)
@@ -92,6 +92,34 @@ def test_shards_and_late_materialisation(spark, tmp_path):
     assert sorted(r.heavy for r in materialise(spark, small, chosen, "heavy").collect()) == ["3", "7"]
 
 
+def scanned(df):
+    """Files that scans of the column `heavy` read; without adaptive stages, so that all scans are in one plan."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = df.select("*")
+        df.collect()
+        leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    scans = [leaves.apply(i) for i in range(leaves.size())]
+    return [s.metrics().apply("numFiles").value() for s in scans if "heavy" in s.toString()]
+
+
+def test_materialisation_reads_chosen_files_only(spark, tmp_path, monkeypatch):
+    from gradeframe.sources import corpus
+
+    path = str(tmp_path / "t")
+    spark.range(400).selectExpr("id", "cast(id AS string) AS heavy").repartitionByRange(8, "id").write.parquet(path)
+    chosen = with_ordinals(spark, path, "id").filter("id IN (3, 5, 399)")
+    got = materialise(spark, path, chosen, "heavy")
+    assert sorted(r.heavy for r in got.collect()) == ["3", "399", "5"] and scanned(got) == [2]
+    assert materialise(spark, path, chosen.limit(0), "heavy").count() == 0
+    monkeypatch.setattr(corpus, "FILES", 1)
+    got = materialise(spark, path, chosen, "heavy")
+    assert sorted(r.heavy for r in got.collect()) == ["3", "399", "5"] and scanned(got) == [8]
+
+
 TABLES = [
     ("| Year | A | B |\n|---|---|---|\n| 2019 | $1,200.5 | - |\n| 2020 | 3 % | 4 |", ("Year", {"A": [("2019", 1200.5), ("2020", 3.0)], "B": [("2020", 4.0)]})),
     ("Characteristic | A\n2019 | 5\nragged | 1 | 2\n2020-21 | (7)", (None, {"A": [("2019", 5.0), ("2020-21", 7.0)]})),
