@@ -23,10 +23,10 @@ from gradeframe.operators import scoring as S
 from gradeframe.operators import tables as P
 from gradeframe.operators.matching import keyed, match_points
 from gradeframe.operators.ranks import median, middles
-from gradeframe.operators.synth import long_values, specs, stacked, with_gold
-from gradeframe.plans.evaluate import imperfect, probe
+from gradeframe.operators.synth import long_values, specs_of, stacked, with_gold
+from gradeframe.plans.evaluate import imperfect, probe, samples, sweep
 from gradeframe.sources.corpus import materialise, smallest_shard, with_ordinals
-from gradeframe.types import SERIES
+from gradeframe.types import PROPERTIES, SERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -284,6 +284,16 @@ def series_assignment(spark, d):
     return both.select("sample", F.explode(assign_series(F.col("gold"), F.col("pred"))).alias("q")).select("sample", "q.g", "q.p")
 
 
+@query("SELECT sample, unnest(range(n))::INT AS g, (n - 1 - unnest(range(n)))::INT AS p FROM (SELECT l_orderkey AS sample, count(DISTINCT l_returnflag) AS n FROM lineitem GROUP BY ALL)")
+def series_by_data(spark, d):
+    """Series without names, the predicted ones in the opposite order: only their points tell which belong together."""
+    y = F.when(F.col("l_returnflag") == "A", 1.0).when(F.col("l_returnflag") == "N", 10.0).otherwise(100.0)
+    point = F.struct(F.lit("num").alias("x_kind"), F.lit(None).cast("string").alias("x_str"), F.col("l_linenumber").cast("double").alias("x_num"), y.alias("y"))
+    series = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("sample"), "l_returnflag").agg(F.collect_list(point).alias("data"))
+    gold = series.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("l_returnflag", "data"))).alias("s")).select("sample", F.transform("s", lambda s: F.struct(F.lit(" ").alias("name"), s.data.alias("data"))).alias("gold"))
+    return gold.select("sample", F.explode(assign_series(F.col("gold"), F.reverse("gold"))).alias("q")).select("sample", "q.g", "q.p")
+
+
 # ---- samples and summaries --------------------------------------------------------
 
 
@@ -345,6 +355,38 @@ def selfcheck_identity(spark, d):
     return s.agg(F.count("*").alias("n")).crossJoin(F.broadcast(wrong)).select("n", (F.col("n") - F.col("wrong")).alias("n_perfect"))  # wrong is one row
 
 
+def run_log(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Orders as a manifest, and a log of two rows for each of most of them, of others that the manifest lacks too; the second row counts."""
+    rows = sample_records(spark, d, predicted=False)
+    gold = rows.select(F.col("sample").cast("string").alias("id"), "sample", F.struct(F.lit("bar").alias("chart_type"), "gold.title", "gold.x_label", "gold.y_label", "gold.series").alias("gold"))
+    manifest = gold.select("id", "gold", F.lit(None).cast("array<string>").alias("scored_fields"), F.lit(None).cast(PROPERTIES).alias("properties"))
+    said = F.when(F.col("sample") % 7 == 0, "no chart").otherwise(canonical_json(F.col("gold")))
+    name = F.when(F.col("sample") % 5 == 0, F.concat(F.lit("x"), "id")).otherwise(F.col("id"))
+    last = gold.filter(F.col("sample") % 3 != 0).select(name.alias("id"), said.alias("raw"), F.lit(9).alias("n_tokens"), F.lit(1.5).alias("seconds"), F.when(F.col("sample") % 11 == 0, "OOM").alias("gen_error"), (F.col("sample") + 10**9).alias("ord"))
+    return manifest, last.unionByName(last.withColumn("raw", F.lit("")).withColumn("gen_error", F.lit("E")).withColumn("ord", F.col("ord") - 10**9))
+
+
+SQL_RUN = """SELECT o_orderkey::VARCHAR AS id, o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AS valid, CASE WHEN o_orderkey % 11 = 0 THEN 'OOM' WHEN o_orderkey % 7 = 0 THEN 'no JSON object found' END AS error,
+  CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 THEN count(*) ELSE 0 END AS n_matched
+  FROM (SELECT DISTINCT o_orderkey FROM orders) JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 GROUP BY o_orderkey"""
+
+
+@query(SQL_RUN)
+def scored_run(spark, d):
+    """A run from its log: the last rows count, predictions without a gold record go, gold records without a prediction don't count."""
+    return samples(*run_log(spark, d)).select("id", F.col("valid_json").alias("valid"), "error", F.col("n_matched").cast("long").alias("n_matched"))
+
+
+@query(f"SELECT run, count(*) AS n, count(*) FILTER (valid) AS n_valid, sum(n_matched)::BIGINT AS n_matched FROM (SELECT 'a' AS run, * FROM ({SQL_RUN}) UNION ALL SELECT 'b', id, valid AND id::BIGINT % 2 = 0, error, CASE WHEN id::BIGINT % 2 = 0 THEN n_matched ELSE 0 END FROM ({SQL_RUN})) GROUP BY run")
+def scored_sweep(spark, d):
+    """Two arms in one plan; the second one says nothing for odd orders."""
+    manifest, log = run_log(spark, d)
+    silent = F.when(F.col("ord") % 2 == 0, F.col("raw")).otherwise("")
+    logs = D.union_runs({"a": log, "b": log.withColumn("raw", silent)})
+    s = sweep(manifest, logs).groupBy("run").agg(F.count("*").alias("n"), F.count_if("valid_json").alias("n_valid"), F.sum("n_matched").alias("n_matched"))
+    return s.select("run", "n", "n_valid", "n_matched")
+
+
 @query(
     f"""WITH {SQL_MATCH}, l AS (SELECT sample, max(series) AS last, count(*) AS n FROM sizes GROUP BY sample), kept AS (SELECT s.* FROM sizes s JOIN l USING (sample) WHERE NOT (sample % 4 = 0 AND n > 1 AND series = last)),
     k AS (SELECT sample, count(*) AS k FROM pairs JOIN kept USING (sample, series) GROUP BY sample), g AS (SELECT sample, sum(ng)::BIGINT AS ng FROM sizes GROUP BY sample), q AS (SELECT sample, sum(np)::BIGINT AS np FROM kept GROUP BY sample)
@@ -675,15 +717,20 @@ def stacked_baseline(spark, d):
 # ---- generator and sources ---------------------------------------------------------
 
 
+def charts(spark: SparkSession, d: str, seed: int) -> DataFrame:
+    """A generated chart for each order."""
+    return specs_of(read(spark, d, "orders").select(F.col("o_orderkey").alias("nth")).distinct(), seed)
+
+
 def sql_draw(name: str, seed: int) -> str:
     return f"(('0x' || substr(md5('{seed}:' || nth || ':' || {name}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-def sql_specs(n: int, seed: int) -> str:
-    """Relations c (charts) and v (their values) of the generator."""
+def sql_specs(seed: int) -> str:
+    """Relations c (charts, one for each order) and v (their values) of the generator."""
     u = lambda name: sql_draw(f"'{name}'", seed)
     value = sql_draw("'value ' || s || ' ' || j", seed)
-    return f"""WITH a AS (SELECT range AS nth, ['bar', 'line', 'pie', 'scatter', 'stacked_bar'][1 + floor({u("type")} * 5)::INT] AS kind FROM range({n})),
+    return f"""WITH a AS (SELECT nth, ['bar', 'line', 'pie', 'scatter', 'stacked_bar'][1 + floor({u("type")} * 5)::INT] AS kind FROM (SELECT DISTINCT o_orderkey AS nth FROM orders)),
     b AS (SELECT *, kind = 'scatter' AND {u("dense_scatter")} < 0.35 AS dense, kind NOT IN ('pie', 'scatter') AND {u("many_series")} < 0.35 AS many, kind NOT IN ('pie', 'stacked_bar') AND {u("log_axis")} < 0.35 AS log_y FROM a),
     n AS (SELECT *, CASE WHEN kind = 'pie' THEN 1 WHEN kind = 'scatter' THEN floor({u("series")} * 2) + 1 WHEN many THEN floor({u("series")} * 3) + 4 ELSE floor({u("series")} * 3) + 1 END::INT AS n_series,
       CASE WHEN dense THEN floor({u("points")} * 16) + 12 ELSE floor({u("points")} * 7) + 4 END::INT AS n_points, pow(10.0, floor({u("scale")} * 7) - 1) AS scale FROM b),
@@ -695,28 +742,28 @@ def sql_specs(n: int, seed: int) -> str:
 
 
 @query(
-    f"""{sql_specs(200, 1)} SELECT id, kind AS chart_type, n_series, n_points, log_y, dual_axis, label_rotation, grid, n_series > 1 OR kind = 'pie' AS legend, dpi, has_title, kind = 'scatter' AS numeric_x,
+    f"""{sql_specs(1)} SELECT id, kind AS chart_type, n_series, n_points, log_y, dual_axis, label_rotation, grid, n_series > 1 OR kind = 'pie' AS legend, dpi, has_title, kind = 'scatter' AS numeric_x,
     (SELECT floor(log10(max(y)))::INT FROM v WHERE v.id = c.id) AS value_magnitude, concat_ws(',', CASE WHEN dense THEN 'dense_scatter' END, CASE WHEN many THEN 'many_series' END, CASE WHEN log_y THEN 'log_axis' END,
     CASE WHEN dual_axis THEN 'dual_axis' END, CASE WHEN NOT has_title THEN 'no_title' END, CASE WHEN NOT grid THEN 'no_gridlines' END, CASE WHEN label_rotation > 0 THEN 'rotated_labels' END) AS hard_flags,
     (SELECT round(sum(y), 3) FROM v WHERE v.id = c.id) AS total FROM c"""
 )
 def synth_records(spark, d):
     total = F.aggregate(F.flatten(F.transform("gold.series", lambda s: F.transform(s.data, lambda p: p.y))), F.lit(0.0), lambda a, y: a + y)
-    rows = with_gold(specs(spark, 200, seed=1)).select("id", "properties.*", F.round(total, 3).alias("total"))
+    rows = with_gold(charts(spark, d, 1)).select("id", "properties.*", F.round(total, 3).alias("total"))
     return rows.withColumn("hard_flags", F.array_join("hard_flags", ","))
 
 
-@query(f"{sql_specs(200, 1)} SELECT kind AS chart_type, count(*) AS n, count(*) AS n_perfect FROM c GROUP BY kind")
+@query(f"{sql_specs(1)} SELECT kind AS chart_type, count(*) AS n, count(*) AS n_perfect FROM c GROUP BY kind")
 def synth_self_check(spark, d):
     """Type counts of generated charts and how many score perfectly against themselves."""
-    g = with_gold(specs(spark, 200, seed=1)).withColumn("pred", F.col("gold")).withColumn("error", F.lit(None).cast("string"))
+    g = with_gold(charts(spark, d, 1)).withColumn("pred", F.col("gold")).withColumn("error", F.lit(None).cast("string"))
     s = S.score_samples(g.select("gold", "pred", "error", F.array().cast("array<string>").alias("repairs"), F.lit(None).cast("array<string>").alias("scored_fields")))
     return s.groupBy("chart_type").agg(F.count("*").alias("n"), F.count_if("structural").alias("n_perfect"))
 
 
-@query(f"{sql_specs(50, 2)} SELECT id, s, j, y, round(coalesce(sum(y) OVER (PARTITION BY id, j ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS base FROM v")
+@query(f"{sql_specs(2)} SELECT id, s, j, y, round(coalesce(sum(y) OVER (PARTITION BY id, j ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS base FROM v")
 def synth_stacked(spark, d):
-    return stacked(long_values(specs(spark, 50, seed=2))).withColumn("base", F.round("base", 3))
+    return stacked(long_values(charts(spark, d, 2))).withColumn("base", F.round("base", 3))
 
 
 @query()
