@@ -24,8 +24,9 @@ DISTANCES, RUN = range(2, 25), 16
 #: Labelled rows learnt from, about.
 TRAIN_ROWS = 4000
 EPOCHS, BATCH, RATE = 16, 32, 0.01
-#: Bytes handled at a time.
+#: Bytes handled at a time, and bytes on either side that a chunk's answers depend on.
 BLOCK = 1 << 19
+MARGIN = 32
 
 
 def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,15 +84,33 @@ class ByteConvNet:
         _, _, _, out, out_bias = self.params
         return 1 / (1 + np.exp(-(self.pooled(texts) @ out + out_bias).astype(np.float64)))
 
+    def long_score(self, text: bytes) -> float:
+        """The score of one text of any length, BLOCK bytes at a time: windows overlap by what a chunk depends on."""
+        best = np.full(FILTERS, -np.inf, dtype=np.float32)
+        for a in range(0, len(text) + 1, BLOCK):
+            left = min(a, MARGIN)
+            z = self.answers(self.inputs(lay_out([text[a - left : a + BLOCK + MARGIN]])[0]))
+            chunks = min(BLOCK // STEP, len(text) // STEP + 1 - a // STEP)  # those that begin in this window
+            if chunks > 0:
+                best = np.maximum(best, z[left // STEP : left // STEP + chunks].max(axis=0))
+        _, _, _, out, out_bias = self.params
+        return float(1 / (1 + np.exp(-(np.maximum(best, 0) @ out + out_bias).astype(np.float64)))[0])
+
     def score_all(self, texts: list[bytes]) -> np.ndarray:
-        """As scores(), in blocks of bounded size; a longer text is a block of its own."""
-        parts, first, size = [], 0, 0
-        for i, t in enumerate(texts):
-            if i > first and size + len(t) > BLOCK:
-                parts.append(self.scores(texts[first:i]))
-                first, size = i, 0
-            size += len(t)
-        return np.concatenate([*parts, self.scores(texts[first:])]) if texts else np.zeros(0)
+        """As scores(), in blocks of bounded size; a longer text goes in windows."""
+        parts, own, size = [], [], 0
+        for t in texts:
+            if own and size + len(t) > BLOCK:
+                parts.append(self.scores(own))
+                own, size = [], 0
+            if len(t) > BLOCK:
+                parts.append(np.array([self.long_score(t)]))
+            else:
+                own.append(t)
+                size += len(t)
+        if own:
+            parts.append(self.scores(own))
+        return np.concatenate(parts) if parts else np.zeros(0)
 
     def gradients(self, texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
         embed, filters, _, out, out_bias = self.params

@@ -777,6 +777,26 @@ def test_quality_forward_by_loops():
         assert got == pytest.approx(1 / (1 + np.exp(-(np.maximum(best, 0) @ out + out_bias[0]))), abs=1e-5)
 
 
+def test_quality_of_long_texts(monkeypatch):
+    """In windows as at once, wherever the windows end; a text of 50 MB takes little more memory than its bytes."""
+    import tracemalloc
+
+    net, r = quality.ByteConvNet.fresh(), random.Random(5)
+    word = lambda: bytes(r.choice(b"abc de.") for _ in range(r.randint(1, 30))) * r.choice([1, 1, 1, 4])
+    texts = [b"".join(word() for _ in range(n)) for n in (0, 1, 3, 40, 60, 90)]
+    texts += [t[:-k] for t in texts[3:] for k in (1, 2, 3)]
+    whole = [net.scores([t])[0] for t in texts]
+    for block in (64, 128, 1 << 10):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        assert np.allclose([net.long_score(t) for t in texts], whole, atol=1e-6) and np.allclose(net.score_all(texts), whole, atol=1e-6)
+    monkeypatch.setattr(quality, "BLOCK", 1 << 19)
+    long = b"some words and more of them. " * 1_800_000
+    tracemalloc.start()
+    assert 0 <= net.score_all([long])[0] <= 1
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
 def test_language_vectors_by_loops(monkeypatch):
     texts = ["Añb ß", "", "123 !", "日本語 テキスト", "a", "Привет мир", "abc" * 50]
     letter = langid.letter_vectors().astype(int)
