@@ -79,14 +79,41 @@ def bundle(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.bincount(doc, minlength=len(texts)) > 0
 
 
+def stretches(text: str) -> Iterator[str]:
+    """A text in parts of about CHUNK characters, cut at spaces, which no trigram round a letter tells from an end; a longer word stays whole."""
+    at = 0
+    while len(text) - at > CHUNK:
+        cut = text.rfind(" ", at + 1, at + CHUNK)
+        cut = cut if cut > 0 else text.find(" ", at + 1)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def long_bundle(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """bundle() of one text, part by part."""
+    total, has = np.zeros((1, DIM)), np.zeros(1, dtype=bool)
+    for part in stretches(text):
+        v, letters = bundle([part])
+        total += v
+        has |= letters
+    return total.astype(np.float32), has
+
+
 def vectors(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, vectors, has a letter) for runs of texts of bounded size."""
+    """(first row, vectors, has a letter) for runs of texts of bounded size; a longer text is a run of its own."""
     first, size = 0, 0
     for i, t in enumerate(texts):
         if i > first and (size + len(t) > CHUNK or i - first >= 512):
             yield first, *bundle(texts[first:i])
             first, size = i, 0
-        size += len(t)
+        if len(t) > CHUNK:
+            yield i, *long_bundle(t)
+            first, size = i + 1, 0
+        else:
+            size += len(t)
     if first < len(texts):
         yield first, *bundle(texts[first:])
 

@@ -777,6 +777,18 @@ def test_quality_forward_by_loops():
         assert got == pytest.approx(1 / (1 + np.exp(-(np.maximum(best, 0) @ out + out_bias[0]))), abs=1e-5)
 
 
+def test_language_of_long_texts(monkeypatch):
+    """Part by part as at once, and in the texts' order."""
+    r = random.Random(3)
+    texts = ["".join(r.choice(["wort ", "été", " ", "1, ", "ab", "\n"]) for _ in range(n)) for n in (0, 3, 400, 2, 900, 5, 5)] + ["x" * 300]
+    whole, has = langid.bundle(texts)
+    for chunk in (7, 50, 1000):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        runs = list(langid.vectors(texts))
+        assert [i for first, v, _ in runs for i in range(first, first + len(v))] == list(range(len(texts)))
+        assert np.allclose(np.concatenate([v for _, v, _ in runs]), whole) and (np.concatenate([h for *_, h in runs]) == has).all()
+
+
 def test_quality_of_long_texts(monkeypatch):
     """In windows as at once, wherever the windows end; a text of 50 MB takes little more memory than its bytes."""
     import tracemalloc
