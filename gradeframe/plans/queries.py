@@ -17,6 +17,7 @@ from gradeframe.functions import numbers as N
 from gradeframe.functions import text as T
 from gradeframe.functions.assignment import assign_series
 from gradeframe.functions.parsing import canonical_json, parse_prediction
+from gradeframe.functions.pipes import with_points
 from gradeframe.operators import diagnostics as D
 from gradeframe.operators import log as L
 from gradeframe.operators import scoring as S
@@ -505,6 +506,12 @@ def pipe_table_ingest(spark, d):
     return got.select("n_regionkey", "x_label", F.col("s.name").alias("series"), F.explode("s.data").alias("p")).select("n_regionkey", "x_label", "series", F.col("p.x_str").alias("x"), F.col("p.y").alias("y"))
 
 
+@query(f"{SQL_TABLE} SELECT n_regionkey, CASE WHEN n_regionkey % 2 = 0 THEN 'Nation' END AS x_label, series, x, y FROM u")
+def pipe_table_lateral(spark, d):
+    """The same points from a table function that is joined laterally."""
+    return with_points(rendered_tables(spark, d)).select("n_regionkey", "x_label", "series", "x", "y")
+
+
 @query(f"{SQL_TABLE} SELECT n_series, count(*) AS n, round(avg(p), 6) AS mean_points FROM (SELECT n_regionkey, count(DISTINCT series) AS n_series, count(*) AS p FROM u GROUP BY ALL) GROUP BY n_series")
 def corpus_summary(spark, d):
     return P.summary(P.ingest(rendered_tables(spark, d))).select(F.col("n_series").cast("long").alias("n_series"), "n", F.round("mean_points", 6).alias("mean_points"))

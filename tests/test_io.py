@@ -151,6 +151,21 @@ def test_pipe_tables(spark):
         assert r.scored_fields == (["series_names", "x_label"] if want[0] else ["series_names"])
 
 
+def test_pipe_tables_from_sql(spark):
+    """The table function gives the points that the expressions give, beside columns of its row."""
+    from gradeframe.functions import pipes
+
+    pipes.register(spark)
+    more = ["| Year\t|\u2003Wheat \x1f|\n|\t---|--- |\n|\t1999 |\t12\u2003|\n\t\n2000\t| 7 |", "a|b|b|c\r\nx|1,5|2|-\rq|(3)|none|1e5\n", "||a|b||\n|x|1|"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*(t for t, _ in TABLES), *more])], "i int, table string")
+    df.createOrReplaceTempView("pipe_test")
+    got = spark.sql("SELECT t.i, p.* FROM pipe_test t, LATERAL pipe_points(t.table) p").collect()
+    gold = P.ingest(df).select("i", "gold.x_label", F.explode("gold.series").alias("s")).select("i", "x_label", F.col("s.name").alias("series"), F.explode("s.data").alias("p"))
+    want = gold.select("i", "x_label", "series", F.col("p.x_str").alias("x"), F.col("p.y").alias("y")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, want))) and len(want) > 8
+    assert sorted(map(str, pipes.with_points(df).drop("table").collect())) == sorted(map(str, got))
+
+
 def test_eligibility_order(spark):
     rows = [(None, None, "unparseable"), (7, 30, "too_many_series"), (6, 25, "too_dense"), (2, 0, "empty"), (6, 24, "eligible")]
     df = spark.createDataFrame(rows, "s int, p int, want string")
