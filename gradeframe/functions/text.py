@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,25 +53,44 @@ def characters(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda x: x != "")
 
 
+#: Letters whose places are bits of one number, so that two such numbers add up without overflow.
+BITS = 62
+
+
 def common_subsequence(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two strings.
 
-    One row of the usual table is carried along a's characters; each new row is
-    a fold over b's.
+    The rows of the usual table differ from cell to cell by 0 or 1: a row is kept as
+    bits, BITS of a's letters to a number, and each letter of b makes the next row by an
+    addition with carry. Where each letter of a stands is looked up in a map.
     """
-    theirs = characters(b)
-    zero = F.array_repeat(F.lit(0), F.length(b) + 1)
+    ours, zero = characters(a), F.lit(0).cast("long")
+    words = F.sequence(F.lit(0), F.floor(F.greatest(F.size(ours) - 1, F.lit(0)) / BITS).cast("int"))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+    def bits(holds: Callable[[Column], Column]) -> Column:
+        """For each word the bits of the letters for which something holds."""
+        letters = lambda w: F.slice(ours, w * BITS + 1, F.lit(BITS))
+        return F.transform(words, lambda w: F.aggregate(F.transform(letters(w), lambda x, i: F.when(holds(x), bit(i)).otherwise(zero)), zero, lambda m, x: m.bitwiseOR(x)))
+
+    places = F.map_from_entries(F.transform(F.array_distinct(ours), lambda ch: F.struct(ch, bits(lambda x: x == ch))))
+    full = bits(lambda x: x.isNotNull())
 
     def next_row(row: Column, ch: Column) -> Column:
-        def cell(done: Column, pair: Column) -> Column:
-            j = F.size(done)  # 1-based place in theirs
-            longer = F.element_at(row, j) + 1
-            best = F.greatest(F.element_at(done, -1), F.element_at(row, j + 1))
-            return F.concat(done, F.array(F.when(pair == ch, longer).otherwise(best)))
+        here = F.try_element_at(places, ch)
+
+        def word(state: Column, w: Column) -> Column:
+            old = F.get(row, w)
+            hit = old.bitwiseAND(F.get(here, w))
+            total = old + hit + state["carry"]
+            new = total.bitwiseOR(old - hit).bitwiseAND(F.get(full, w))
+            return F.struct(F.array_append(state["done"], new).alias("done"), F.shiftright(total, BITS).alias("carry"))
 
-        return F.aggregate(theirs, F.array(F.lit(0)), cell)
+        start = F.struct(F.array().cast("array<bigint>").alias("done"), zero.alias("carry"))
+        return F.when(here.isNull(), row).otherwise(F.aggregate(words, start, word)["done"])
 
-    return F.element_at(F.aggregate(characters(a), zero, next_row), -1)
+    left = F.aggregate(characters(b), full, next_row)
+    return F.size(ours) - F.aggregate(left, F.lit(0), lambda n, x: n + F.bit_count(x))
 
 
 def indel_ratio(a: Column, b: Column) -> Column:

@@ -191,6 +191,20 @@ def test_text(spark):
     assert values(spark, "string", ["", "%"], lambda c: T.name_similarity(c, F.lit("-"))) == [0.0, 0.0]
 
 
+def test_common_subsequence(spark):
+    """Names of up to 200 characters, several numbers of bits long, as the big integers of Python say."""
+    import random
+
+    from gradeframe.functions.assignment import common_subsequence
+
+    r = random.Random(7)
+    name = lambda n: "".join(r.choice("ab\u00e9\U0001f600 c"[: r.randint(2, 6)]) for _ in range(n))
+    sizes = [0, 1, 2, 61, 62, 63, 123, 124, 125, 200]
+    rows = [(name(m), name(n)) for m in sizes for n in (0, 1, 62, 63, 200)] + [("x" * 124, "x" * 124), ("x" * 62 + "y", "y" + "x" * 62), (None, "a")]
+    got = spark.createDataFrame(rows, "a string, b string").repartition(3).select("a", "b", T.common_subsequence(F.col("a"), F.col("b")).alias("n")).collect()
+    assert len(got) == len(rows) and all(g.n == common_subsequence(g.a, g.b) for g in got if g.a is not None)
+
+
 def test_numbers(spark):
     assert values(spark, "double", [10.35, 0.0005, 2.675, 12345.0, 12350.0, -10.25, None, float("inf")], N.readable) == [10.3, 0.001, 2.675, 12300.0, 12400.0, -10.2, None, float("inf")]
     assert values(spark, "string", ["\u0663\u0664", " \uff11,\uff12\x1d", "\t7\u2003", ", 5"], N.as_float) == [34.0, 12.0, 7.0, 5.0]
