@@ -15,6 +15,10 @@ PLAIN = r"^[A-Za-z0-9]+( [A-Za-z0-9]+)*$"
 ASCII = r"^[\x00-\x7F]*$"
 
 
+#: Cherokee's small letters and the capitals that they fold to.
+CHEROKEE = tuple("".join(map(chr, [*letters, *more])) for letters, more in ((range(0xAB70, 0xABC0), range(0x13F8, 0x13FE)), (range(0x13A0, 0x13F0), range(0x13F0, 0x13F6))))
+
+
 def strip(c: Column) -> Column:
     """Without white space at the ends."""
     return F.regexp_replace(c, rf"^(?U){SPACE}+|(?U){SPACE}+$", "")
@@ -23,10 +27,11 @@ def strip(c: Column) -> Column:
 def casefold(c: Column) -> Column:
     """Full case folding: what has one capital form becomes the small form of that (ligatures and sharp s more letters).
 
-    The dotless i stands aside, as its capital is that of the dotted one.
+    The dotless i stands aside, as its capital is that of the dotted one. Cherokee
+    letters fold to capitals, and the final sigma to the other one.
     """
     capital = F.upper(F.translate(F.lower(c), "\u0131", "\ufdd0"))  # the translations keep the optimiser from merging the conversions
-    folded = F.translate(F.lower(F.translate(capital, "\ufdd0", "\u0131")), "\u03c2", "\u03c3")
+    folded = F.translate(F.lower(F.translate(capital, "\ufdd0", "\u0131")), "\u03c2" + CHEROKEE[0], "\u03c3" + CHEROKEE[1])
     return F.when(c.rlike(ASCII), F.lower(c)).otherwise(folded)
 
 

@@ -191,6 +191,14 @@ def test_text(spark):
     assert values(spark, "string", ["", "%"], lambda c: T.name_similarity(c, F.lit("-"))) == [0.0, 0.0]
 
 
+def test_case_folding_of_all_letters(spark):
+    """Every letter that Python knows or folds, but those that the two libraries' versions of Unicode disagree on."""
+    letters = [chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000 and (chr(i).isalpha() or chr(i).casefold() != chr(i))]
+    rows = spark.createDataFrame([(c, c.casefold()) for c in letters], "c string, want string").repartition(4)
+    wrong = [r.c for r in rows.filter(T.casefold(F.col("c")) != F.col("want")).select("c").collect()]
+    assert len(letters) > 100_000 and all(ord(c) > 0x1C80 for c in wrong) and len(wrong) <= 20, [hex(ord(c)) for c in wrong]
+
+
 def test_common_subsequence(spark):
     """Names of up to 200 characters, several numbers of bits long, as the big integers of Python say."""
     import random
