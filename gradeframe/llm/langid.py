@@ -127,7 +127,12 @@ def _lowered(column: pa.Array) -> list[str]:
 
 
 def learn(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and their prototypes, from a sample of about `rows` labelled documents of docs (doc_id, text, lang)."""
+    """Languages, sorted, and their prototypes, from a sample of about `rows` labelled documents of docs (doc_id, text, lang).
+
+    Rows with a null text or language teach nothing, texts without letters add
+    nothing, rows of one id are drawn or left out together and count each. An empty
+    table, or one without labelled rows, gives no languages.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     part = min(1.0, rows / max(1, known.count()))
     drawn = F.conv(F.substring(F.md5(id_text()), 1, 8), 16, 10).cast("long") < int(part * (1 << 32))

@@ -423,6 +423,8 @@ def matches(docs: DataFrame, often: int = OFTEN, most: int = OFTEN) -> DataFrame
 
     Words in more than `often` places are keys only together with another one, and
     keys of more than `most` sets are compared by blocks; neither changes results.
+    Null texts have no lines, lines without words have no rows, repeated rows (same id
+    and text) give their rows each, and an empty table gives none. Null ids come last.
     """
     with Scratch(docs.sparkSession) as scratch:
         return checkpoint(judged(docs, scratch, often, most).drop("head"))
@@ -449,7 +451,11 @@ def summary(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs without the lines that repeat earlier ones; rows and other columns stay."""
+    """docs without the lines that repeat earlier ones; rows and other columns stay.
+
+    Null texts stay null, texts whose lines all go become empty, repeated rows are
+    cleaned alike, and an empty table gives an empty result.
+    """
     gone = matches(docs).filter("removed").groupBy("doc_id", "mark").agg(F.collect_set("line").alias("__gone"))
     gone = gone.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__mark")), "left")

@@ -419,7 +419,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, that of the least doc_id, with docs' columns; of a class without ids all rows stay."""
+    """One document of each class, that of the least doc_id, with docs' columns; of a class without ids all rows stay.
+
+    Null texts count as empty, and empty texts are one class; of repeated rows (same id
+    and text) one stays. An empty table gives an empty result.
+    """
     of = classes(docs).filter(F.col("class_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("class_id")))
     gone = of.select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2")).distinct()
     text = F.coalesce(docs["text"], F.lit(""))

@@ -153,7 +153,12 @@ class ByteConvNet:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ByteConvNet:
-    """A network trained on about `rows` of the labelled documents, drawn by a digest of their ids; untrained if there is none."""
+    """A network trained on about `rows` of the labelled documents, drawn by a digest of their ids; untrained if there is none.
+
+    Labels without an id or a quality are left out, and of several for one id one
+    is taken. Documents of one id count each; null texts count as empty. An empty
+    table leaves the network untrained.
+    """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     part = min(1.0, rows / max(1, known.count()))
     drawn = known.filter(F.conv(F.substring(F.md5(id_text()), 1, 8), 16, 10).cast("long") < int(part * (1 << 32)))
