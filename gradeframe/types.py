@@ -11,4 +11,5 @@ PROPERTIES = (
     "struct<chart_type: string, n_series: bigint, n_points: bigint, log_y: boolean, dual_axis: boolean, label_rotation: bigint, grid: boolean, "
     "legend: boolean, dpi: bigint, has_title: boolean, numeric_x: boolean, value_magnitude: bigint, hard_flags: array<string>, source: string>"
 )
+#: The fields that can be scored.
 ALL_FIELDS = ("chart_type", "title", "x_label", "y_label", "series_names")
