@@ -14,10 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gradeframe.sources.shared import checkpointed
+
 #: Buckets for each factor of e, of the first round; what keeps them apart from 0; and where infinity and NaN go.
 FINE, OFFSET, END = 45, 40_000, 100_000
 #: Buckets of a later round. Doubles of one first bucket are fewer than SPLIT ** ROUNDS.
 SPLIT, ROUNDS = 1 << 17, 3
+#: Rows that one task puts in order easily.
+FEW = 1 << 17
 
 
 def coarse(value: Column) -> Column:
@@ -41,16 +45,33 @@ def middles(df: DataFrame, by: list[str], value: str, times: str | None = None)
     """by, n, low, high: of each group of a double's values that aren't null, those at (n - 1) // 2 and n // 2 in order, NaN last.
 
     Groups of nulls only have a row with n = 0; keys may be null. With `times`, rows
-    count that often; what sums to nothing isn't there. Every round reads the same
-    exchange of (by, value, count) rows, in which equal values are one.
+    count that often; what sums to nothing isn't there. The (by, value, count) rows,
+    in which equal values are one, are computed once, when this is called. Up to FEW of
+    them are put in order as they are, which one task can do.
     """
     keys = [F.col(c) for c in by] or [F.lit(0).alias("all")]
     names = by or ["all"]
     each = F.lit(1) if times is None else F.col(times)
     counts = df.select(*keys, F.col(value).cast("double").alias("v"), each.cast("long").alias("times")).groupBy(*names, "v").agg(F.sum(F.when(F.col("v").isNull(), 0).otherwise(F.col("times"))).alias("times"))
+    counts = checkpointed(counts)
     sizes = counts.groupBy(*names).agg(F.sum("times").alias("n"))
     rows = counts.filter(F.col("v").isNotNull() & (F.col("times") > 0))
     wanted = sizes.select(*names, "n", F.floor((F.col("n") - 1) / 2).alias("i"), F.floor(F.col("n") / 2).alias("j"))
+    found = _in_order(rows, wanted, names) if counts.count() <= FEW else _by_rounds(rows, wanted, names)
+    done = sizes.alias("r").join(found.alias("s"), _same(names), "left").select(*(f"r.{c}" for c in names), "r.n", "s.low", "s.high")
+    return done.select(*by, "n", "low", "high")
+
+
+def _in_order(rows: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
+    before = W.partitionBy(*names).orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("start", F.coalesce(F.sum("times").over(before), F.lit(0)))
+    both = placed.alias("r").join(wanted.alias("s"), _same(names))
+    has = lambda k: (F.col(k) >= F.col("start")) & (F.col(k) < F.col("start") + F.col("times"))
+    of = lambda k: F.max(F.when(has(k), F.col("v")))
+    return both.filter(has("i") | has("j")).groupBy(*(F.col(f"s.{c}").alias(c) for c in names)).agg(of("i").alias("low"), of("j").alias("high"))
+
+
+def _by_rounds(rows: DataFrame, wanted: DataFrame, names: list[str]) -> DataFrame:
     state = None
     for _ in range(ROUNDS + 1):  # each round reads the one before once, so the plan grows by the round only
         summed = (F.sum("times").alias("times"), F.min("v").alias("from"), F.max("v").alias("to"))
@@ -75,8 +96,7 @@ def middles(df: DataFrame, by: list[str], value: str, times: str | None = None)
         low = F.coalesce("low", F.when(apart | one, F.col("to")))  # next to each other in the order: the last of one bucket and the first of the next
         high = F.coalesce("high", F.when(apart, F.col("from_j")).when(one, F.col("from")))
         state = found.select(*names, "n", "i", "j", "under", "from", "to", low.alias("low"), high.alias("high"))
-    done = sizes.alias("r").join(state.alias("s"), _same(names), "left").select(*(f"r.{c}" for c in names), "r.n", "s.low", "s.high")
-    return done.select(*by, "n", "low", "high")
+    return state.select(*names, "low", "high")
 
 
 def median(df: DataFrame, by: list[str], value: str, times: str | None = None) -> DataFrame:

@@ -29,8 +29,9 @@ def order(x):
     return (1, 0.0) if math.isnan(x) else (0, x)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_middles(spark, seed):
+@pytest.mark.parametrize("seed, few", [(1, 0), (2, 0), (1, 1 << 17)])
+def test_middles(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(ranks, "FEW", few)
     groups = groups_of(seed)
     rows = [(k, v) for k, own in groups.items() for v in own]
     random.Random(seed).shuffle(rows)
@@ -42,7 +43,9 @@ def test_middles(spark, seed):
         assert str(got[k]).replace("-0.0", "0.0") == str(want).replace("-0.0", "0.0"), k
 
 
-def test_middles_with_times(spark):
+@pytest.mark.parametrize("few", [0, 100])
+def test_middles_with_times(spark, monkeypatch, few):
+    monkeypatch.setattr(ranks, "FEW", few)
     rows = [("a", 1.0, 3), ("a", 2.0, 1), ("a", 2.0, -1), ("a", 9.0, 2), ("b", 1.0, 1), ("b", 1.0, -1)]
     df = spark.createDataFrame(rows, "k string, v double, t int")
     assert sorted(map(tuple, ranks.median(df, ["k"], "v", "t").collect())) == [("a", 1.0), ("b", None)]
