@@ -1,9 +1,18 @@
-"""Nested Arrow columns as flat arrays."""
+"""Nested Arrow columns as flat arrays, and values that lambdas read."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being computed once a row: a lambda that reads an expression otherwise computes it for each element, and as often as it reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:

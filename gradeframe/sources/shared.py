@@ -16,3 +16,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gradeframe-"))
     return df.checkpoint()
+
+
+#: Rows for one task of a table that is dealt by its own size.
+ROWS = 1 << 15
+
+
+def parts(df: DataFrame) -> int:
+    """Partitions that a table is dealt into, so that a task's share doesn't grow with it. Of a Parquet table only the footers are read."""
+    return df.count() // ROWS + 1
