@@ -29,3 +29,10 @@ def test_charts_are_dealt_by_count(spark, monkeypatch):
     monkeypatch.setattr(shared, "ROWS", 100)
     rows = spark.read.parquet(f"{SF}/orders.parquet").count()
     assert QUERIES["synth_stacked"](spark, SF).rdd.getNumPartitions() == rows // 100 + 1
+
+
+def test_records_of_charts(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS", 100)
+    df = QUERIES["synth_records"](spark, SF)
+    assert df.rdd.getNumPartitions() == spark.read.parquet(f"{SF}/orders.parquet").count() // 100 + 1
+    assert plan(df).count("Class ") == 1  # an expression of its own, not one for each point
