@@ -30,12 +30,13 @@ def score_samples(df: DataFrame) -> DataFrame:
     none = F.array().cast(f"array<{SERIES}>")
     valid = F.col("pred").isNotNull()
     fields = F.coalesce(F.col("scored_fields"), F.array(*map(F.lit, ALL_FIELDS)))
-    # names and points' keys are made once, in a step of their own: the lambdas below read them many times
-    compared = lambda series: F.transform(series, lambda s: F.struct(normalize_text(s["name"]).alias("name"), keyed(s.data).alias("data")))
+    # names are made once, in a step of their own: the lambdas below read them many times. Points' keys are made for the matching alone
+    compared = lambda series: F.transform(series, lambda s: F.struct(normalize_text(s["name"]).alias("name"), s.data.alias("data")))
+    keys = lambda series: F.transform(series, lambda s: F.struct(keyed(s.data).alias("data")))
     df = df.withColumns(
         {"fields": fields, "valid_json": valid, "gold_series": compared(F.coalesce(F.col("gold.series"), none)), "pred_series": compared(F.coalesce(F.col("pred.series"), none))}
     ).withColumn("series_pairs", assign_normalised(F.col("gold_series"), F.col("pred_series")))
-    df = df.withColumn("matched", match_series(F.col("gold_series"), F.col("pred_series"), F.col("series_pairs")))
+    df = df.withColumn("matched", match_series(keys("gold_series"), keys("pred_series"), F.col("series_pairs")))
     total = lambda name: F.aggregate("matched", F.lit(0), lambda a, m: a + m[name])
     paired = F.transform("series_pairs", lambda q: q.g)
     unpaired = F.aggregate(F.transform("gold_series", lambda s, i: F.when(F.array_contains(paired, i), 0).otherwise(F.size(s.data))), F.lit(0), lambda a, n: a + n)

@@ -36,3 +36,10 @@ def test_records_of_charts(spark, monkeypatch):
     df = QUERIES["synth_records"](spark, SF)
     assert df.rdd.getNumPartitions() == spark.read.parquet(f"{SF}/orders.parquet").count() // 100 + 1
     assert plan(df).count("Class ") == 1  # an expression of its own, not one for each point
+
+
+def test_self_check_makes_no_keys_of_points(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS", 100)
+    df = QUERIES["synth_self_check"](spark, SF)
+    assert "^[0-9]{1,15}$" not in plan(df)  # points' keys are for the matching, which this query doesn't read
+    assert all(r.n == r.n_perfect for r in df.collect())
