@@ -21,25 +21,30 @@ CONFIG = ("manifest", "preds", "model", "adapter", "dtype", "prompt", "prompt_ve
 def score_rows(manifest: DataFrame, rows: DataFrame, lenient: bool = True) -> DataFrame:
     """Scored rows of a log as it is: predictions whose id the manifest has. A failed generation has no record but keeps its repairs.
 
-    A column `run` is kept, so rows of several runs are scored at once.
+    A column `run` is kept, so rows of several runs are scored at once. Rows without a gold record aren't parsed.
     """
     keys = [c for c in ("run", "id") if c in rows.columns]
-    parsed = rows.select(*keys, "raw", "n_tokens", "seconds", "gen_error", "ord", parse_prediction(F.col("raw"), lenient).alias("parsed"))
-    joined = parsed.join(manifest.select("id", "gold", "scored_fields", "properties"), "id")
+    joined = rows.select(*keys, "raw", "n_tokens", "seconds", "gen_error", "ord").join(manifest.select("id", "gold", "scored_fields", "properties"), "id")
+    joined = joined.withColumn("parsed", parse_prediction(F.col("raw"), lenient))
     failed = is_error(F.col("gen_error"))
     pred = F.when(~failed, F.col("parsed.chart"))
     error = F.when(failed, F.col("gen_error")).otherwise(F.col("parsed.error"))
     return score_samples(joined.withColumn("pred", pred).withColumn("error", error).withColumn("repairs", F.col("parsed.repairs")).drop("parsed"))
 
 
-def samples(manifest: DataFrame, log: DataFrame, lenient: bool = True) -> DataFrame:
+def dealt(df: DataFrame, parts: int | None) -> DataFrame:
+    """df by id in so many partitions, which compaction and join then share; None leaves it to Spark, whose partitions grow with large runs."""
+    return df if parts is None else df.repartition(parts, "id")
+
+
+def samples(manifest: DataFrame, log: DataFrame, lenient: bool = True, parts: int | None = None) -> DataFrame:
     """score_rows() of the last row of each id."""
-    return score_rows(manifest, scoring_view(log), lenient)
+    return score_rows(dealt(manifest, parts), scoring_view(dealt(log, parts)), lenient)
 
 
-def sweep(manifest: DataFrame, logs: DataFrame, lenient: bool = True) -> DataFrame:
+def sweep(manifest: DataFrame, logs: DataFrame, lenient: bool = True, parts: int | None = None) -> DataFrame:
     """samples() of logs of several runs (column run), in one plan: one compaction, one join with the gold records."""
-    return score_rows(manifest, scoring_view(logs, ["run", "id"]), lenient)
+    return score_rows(dealt(manifest, parts), scoring_view(dealt(logs, parts), ["run", "id"]), lenient)
 
 
 def score(manifest: DataFrame, log: DataFrame, lenient: bool = True) -> dict[str, DataFrame]:

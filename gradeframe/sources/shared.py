@@ -22,6 +22,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
 ROWS = 1 << 15
 
 
-def parts(df: DataFrame) -> int:
-    """Partitions that a table is dealt into, so that a task's share doesn't grow with it. Of a Parquet table only the footers are read."""
-    return df.count() // ROWS + 1
+def parts(df: DataFrame, rows: int | None = None) -> int:
+    """Partitions that a table is dealt into (ROWS rows each), so that a task's share doesn't grow with it. Of a Parquet table only the footers are read."""
+    return df.count() // (rows or ROWS) + 1

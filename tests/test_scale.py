@@ -1,5 +1,7 @@
 """Work that must grow no faster than the tables: what a value costs, and how rows are dealt to tasks."""
 
+import re
+
 from gradeframe.operators.synth import long_values, specs, stacked, stacked_values
 from gradeframe.plans.queries import QUERIES
 from gradeframe.sources import shared
@@ -43,3 +45,11 @@ def test_self_check_makes_no_keys_of_points(spark, monkeypatch):
     df = QUERIES["synth_self_check"](spark, SF)
     assert "^[0-9]{1,15}$" not in plan(df)  # points' keys are for the matching, which this query doesn't read
     assert all(r.n == r.n_perfect for r in df.collect())
+
+
+def test_scored_runs_are_dealt_by_count(spark, monkeypatch):
+    monkeypatch.setattr("gradeframe.plans.queries.ROWS", 25)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100 + 1
+    assert QUERIES["scored_run"](spark, SF).rdd.getNumPartitions() == n  # joined and scored as dealt, without another shuffle
+    text = plan(QUERIES["scored_sweep"](spark, SF))
+    assert len(re.findall(rf"RepartitionByExpression \[id#\d+\], {n}\b", text)) >= 2  # log and gold records
