@@ -1,7 +1,11 @@
 """Work that must grow no faster than the tables: what a value costs, and how rows are dealt to tasks."""
 
+import json
 import re
 
+from pyspark.sql import functions as F
+
+from gradeframe.functions.parsing import canonical_json, parse_prediction
 from gradeframe.operators.synth import long_values, specs, stacked, stacked_values
 from gradeframe.plans.queries import QUERIES
 from gradeframe.sources import shared
@@ -53,3 +57,20 @@ def test_scored_runs_are_dealt_by_count(spark, monkeypatch):
     assert QUERIES["scored_run"](spark, SF).rdd.getNumPartitions() == n  # joined and scored as dealt, without another shuffle
     text = plan(QUERIES["scored_sweep"](spark, SF))
     assert len(re.findall(rf"RepartitionByExpression \[id#\d+\], {n}\b", text)) >= 2  # log and gold records
+
+
+def test_plain_json_is_written_as_it_is(spark):
+    point = "struct<x_kind: string, x_str: string, x_num: double, y: double>"
+    chart = f"struct<chart_type: string, title: string, x_label: string, y_label: string, series: array<struct<name: string, data: array<{point}>>>>"
+    data = [("str", "a b", None, 1.0), ("str", 'a"b\\\n', None, 1e10), ("num", None, 0.1, 1e-5), ("str", "line\n", None, -0.0)]
+    df = spark.createDataFrame([(("bar", "t [1]", None, "", [("n]", data)]),)], f"c {chart}")
+    text = canonical_json(F.col("c"))
+    r = df.select(text.alias("json"), parse_prediction(text, False).chart.eqNullSafe(F.col("c")).alias("same")).first()
+    assert r.same and json.loads(r.json)["series"][0]["data"][1] == {"x": 'a"b\\\n', "y": 1e10}
+
+
+def test_round_trip_is_dealt_by_count_and_parsed_in_arrow(spark, monkeypatch):
+    monkeypatch.setattr("gradeframe.plans.queries.ROWS", 25)
+    text = QUERIES["canonical_round_trip"](spark, SF)._jdf.queryExecution().toString()
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100 + 1
+    assert re.search(rf"RepartitionByExpression \[sample#\d+L?\], {n}\b", text) and "ArrowEvalPython" in text
