@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def smallest_shard(spark: SparkSession, folder: str) -> str | None:
     """The smallest Parquet file of a folder, the first by name of equals."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path", "length")
-    found = files.orderBy("length", "path").limit(1).collect()
+    found = smallest(files, "path", F.col("length")).collect()
     return found[0].path if found else None
 
 
+def smallest(rows: DataFrame, shard: str, size: Column) -> DataFrame:
+    """shard, size: the shard whose rows' sizes sum to least, the first by name of equals. Null sizes count as 0; no rows give none."""
+    sizes = rows.groupBy(shard).agg(F.sum(F.coalesce(size.cast("long"), F.lit(0))).alias("size"))
+    return sizes.orderBy("size", F.asc_nulls_last(shard)).limit(1)
+
+
 def with_ordinals(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """The columns with each row's file and place in it; nothing else is read."""
     return spark.read.parquet(path).select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row_index"))

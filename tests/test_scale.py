@@ -9,6 +9,7 @@ from gradeframe.functions.parsing import canonical_json, parse_prediction
 from gradeframe.operators.synth import long_values, specs, stacked, stacked_values
 from gradeframe.plans.queries import QUERIES
 from gradeframe.sources import shared
+from gradeframe.sources.corpus import smallest
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +75,15 @@ def test_round_trip_is_dealt_by_count_and_parsed_in_arrow(spark, monkeypatch):
     text = QUERIES["canonical_round_trip"](spark, SF)._jdf.queryExecution().toString()
     n = spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100 + 1
     assert re.search(rf"RepartitionByExpression \[sample#\d+L?\], {n}\b", text) and "ArrowEvalPython" in text
+
+
+def test_shard_choice_reads_its_table(spark):
+    assert "documents.parquet" in " ".join(QUERIES["shard_choice"](spark, SF).inputFiles())
+
+
+def test_smallest_shard_of_rows(spark):
+    rows = spark.createDataFrame([("b", 3), ("a", 1), ("a", 2), ("c", 9), ("d", 3)], "name string, n int")
+    assert [tuple(r) for r in smallest(rows, "name", F.col("n")).collect()] == [("a", 3)]
+    nulls = spark.createDataFrame([("b", None), ("a", 1)], "name string, n int")
+    assert [tuple(r) for r in smallest(nulls, "name", F.col("n")).collect()] == [("b", 0)]
+    assert smallest(rows.limit(0), "name", F.col("n")).count() == 0
