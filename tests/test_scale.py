@@ -60,6 +60,18 @@ def test_scored_runs_are_dealt_by_count(spark, monkeypatch):
     assert len(re.findall(rf"RepartitionByExpression \[id#\d+\], {n}\b", text)) >= 2  # log and gold records
 
 
+def test_rows_of_files_are_dealt_twice(spark, monkeypatch):
+    want = {tuple(r) for r in QUERIES["scored_sweep"](spark, SF).collect()}
+    monkeypatch.setattr("gradeframe.plans.queries.ROWS", 25)
+    monkeypatch.setattr(shared, "STREAMED", 8)
+    df = QUERIES["scored_sweep"](spark, SF)
+    text = plan(df)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count() // 100 + 1
+    for key in ("l_orderkey", "o_orderkey"):  # rows as read: by key in few partitions, which take no memory to write, then in many
+        assert len(re.findall(rf"RepartitionByExpression \[sample#\d+L?\], {n}\b\s*[:|\s]*\+- Project .*\s*[:|\s]*\+- RepartitionByExpression \[{key}#\d+L?\], 8\b", text)) == 3
+    assert {tuple(r) for r in df.collect()} == want
+
+
 def test_plain_json_is_written_as_it_is(spark):
     point = "struct<x_kind: string, x_str: string, x_num: double, y: double>"
     chart = f"struct<chart_type: string, title: string, x_label: string, y_label: string, series: array<struct<name: string, data: array<{point}>>>>"
