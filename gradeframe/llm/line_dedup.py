@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeframe.llm.common import Scratch, checkpoint, id_type, join_counted, table
@@ -38,8 +38,12 @@ CELLS = 1 << 24
 PIECE = 1 << 16
 #: Bytes of a word's hash in a bag.
 UNIT = 5
-#: Bytes of the filter, which is broadcast, of sets whose words are wanted. It only saves work: a join follows.
+#: Bytes of the filter, which is broadcast, of lines whose words are wanted. It only saves work: a join follows.
 FILTER = 1 << 23
+#: Bytes of texts handled at a time: arrays of a word's or byte's 8 bytes stay in the cache.
+SPAN = 1 << 18
+#: What a line's number is multiplied by before it goes into its text's hash: odd, and no product overflows.
+STRIDE = 40503
 #: Places from which on a word is a key only together with another one, and sets of a key from which on it is cut into blocks.
 OFTEN = 1 << 15
 #: Words of the least sets that can be similar without being equal.
@@ -87,10 +91,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, dtype=np.int32)
         for batch in batches:
-            for _, data, offsets in blocks(batch.column(0)):
-                cell = np.sort((words(data, offsets)[0] % np.uint64(CELLS)).astype(np.int32))
-                first = np.flatnonzero(np.diff(cell, prepend=-1))
-                cells[cell[first]] += np.diff(np.append(first, len(cell))).astype(np.int32)
+            for _, data, offsets in blocks(batch.column(0), SPAN):
+                np.add.at(cells, (words(data, offsets)[0] % np.uint64(CELLS)).astype(np.int32), np.int32(1))
         used = np.flatnonzero(cells)
         cuts = np.searchsorted(used, np.arange(0, CELLS + 1, PIECE))
         held = [used[x:y].astype(np.int32).tobytes() + cells[used[x:y]].tobytes() for x, y in zip(cuts, cuts[1:])]
@@ -135,7 +137,7 @@ def lines(docs: DataFrame, table_of_codes: np.ndarray, often: int = OFTEN) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = shared.value
         for batch in batches:
-            for first_row, data, offsets in blocks(batch.column(2)):
+            for first_row, data, offsets in blocks(batch.column(2), SPAN):
                 word, code, line, text, cuts = line_sets(data, offsets, codes)
                 if not len(word):
                     continue
@@ -166,10 +168,35 @@ def digests(word: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.add.reduceat(mix(word), cuts[:-1]).view(np.int64), np.add.reduceat(mix(word ^ ODD), cuts[:-1]).view(np.int64)
 
 
+def chosen(data: np.ndarray, offsets: np.ndarray, mark: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the lines of texts with these marks whose place() the filter `named` has, each as a text of its own."""
+    ends = np.flatnonzero(data == 10)
+    before = np.searchsorted(ends, offsets)  # ends of lines before each text
+    text = np.repeat(np.arange(len(mark)), np.diff(before) + 1)
+    head = np.arange(len(mark)) + before[:-1]  # each text's first line
+    start, stop = np.empty(len(text), np.int64), np.empty(len(text), np.int64)
+    closed = np.arange(len(ends)) + np.repeat(np.arange(len(mark)), np.diff(before))  # the line that each end is of
+    start[head], start[closed + 1] = offsets[:-1], ends + 1
+    stop[head + np.diff(before)], stop[closed] = offsets[1:], ends
+    at = (mark[text] ^ (np.arange(len(text)) - head[text]) * STRIDE) & (8 * FILTER - 1)
+    hit = np.flatnonzero(named[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+    size = stop[hit] - start[hit]
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    return data[np.arange(cuts[-1]) + np.repeat(start[hit] - cuts[:-1], size)], cuts
+
+
+def place() -> Column:
+    """A hash of a line's text and number (mark, line), as chosen() has it."""
+    return F.col("mark").bitwiseXOR(F.col("line") * STRIDE)
+
+
 def bags(docs: DataFrame, wanted: DataFrame, table_of_codes: np.ndarray) -> DataFrame:
-    """(uid, bag) of the wanted (uid, d1, d2): their words, rarest first, UNIT bytes each."""
-    cell = F.col("d1").bitwiseAND(8 * FILTER - 1)
-    bits = wanted.groupBy(F.shiftright(cell, 3).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(d1 & 7 AS int))")).cast("short").alias("bits"))
+    """The wanted (uid, d1, d2, at and others) without d1, d2 and at, and with a bag: their words, rarest first, UNIT bytes each.
+
+    at is the place() of one line that has the set. Only such lines are split into words.
+    """
+    cell = F.col("at").bitwiseAND(8 * FILTER - 1)
+    bits = wanted.groupBy(F.shiftright(cell, 3).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(at & 7 AS int))")).cast("short").alias("bits"))
     got = bits.toArrow()  # 6 bytes for each of FILTER rows at most
     table_ = np.zeros(FILTER, dtype=np.uint8)
     table_[got.column(0).to_numpy()] = got.column(1).to_numpy()
@@ -179,18 +206,18 @@ def bags(docs: DataFrame, wanted: DataFrame, table_of_codes: np.ndarray) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named, codes = shared.value, order.value
         for batch in batches:
-            for _, data, offsets in blocks(batch.column(0)):
-                word, _, _, _, cuts = line_sets(data, offsets, codes)
+            mark = batch.column(0).to_numpy()
+            for first, data, offsets in blocks(batch.column(1)):
+                word, _, _, _, cuts = line_sets(*chosen(data, offsets, mark[first : first + len(offsets) - 1], named), codes)
                 if not len(word):
                     continue
                 d1, d2 = digests(word, cuts)
-                own = (d1 & (8 * FILTER - 1)).astype(np.int64)
-                hit = pa.array((named[own >> 3] >> (own & 7).astype(np.uint8) & 1).astype(bool))
                 bag = binary(word >> np.uint64(64 - 8 * UNIT), cuts)
-                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), bag], names=["d1", "d2", "bag"]).filter(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), bag], names=["d1", "d2", "bag"])
 
-    found = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, "d1 long, d2 long, bag binary")
-    return found.join(wanted, ["d1", "d2"]).select("uid", "bag").dropDuplicates(["uid"])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.select(F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, "d1 long, d2 long, bag binary")
+    return found.join(wanted.drop("at"), ["d1", "d2"]).drop("d1", "d2").dropDuplicates(["uid"])
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -398,24 +425,24 @@ def verified(rows: DataFrame, kind: str) -> DataFrame:
 
 def judged(docs: DataFrame, scratch: Scratch, often: int = OFTEN, most: int = OFTEN) -> DataFrame:
     """The rows of matches(), and head (whether it is its text's first line with words); they read scratch."""
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
     key = ["d1", "d2"]
     codes = rarity(docs)
     found = scratch.keep(lines(docs, codes, often))
-    grouped = found.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("n", "b1", "b2", "start", "rare", "live")))
+    grouped = found.groupBy(*key).agg(F.min(order).alias("first"), F.count("*").alias("times"), F.min(place()).alias("at"), *(F.first(c).alias(c) for c in ("n", "b1", "b2", "start", "rare", "live")))
     sets = scratch.keep(grouped.withColumn("uid", F.monotonically_increasing_id()))
     wide = sets.filter(F.col("n") >= LONGER)
     common = scratch.keep(rows_of(wide.filter(F.length("live") > UNIT * F.col("rare")), True))
     boxes = (wide.agg(F.sum(F.length("live"))).first()[0] or 0) // UNIT // BOX + 1
     met = scratch.keep(meeting(boxed(wide, boxes, True).unionByName(boxed(parted(common, most), boxes, False))))
-    wanted = scratch.keep(sets.select("uid", *key, "first").join(met.select("uid").distinct(), "uid"))
-    bag = scratch.keep(bags(docs, wanted.drop("first"), codes).join(wanted.select("uid", "first.*"), "uid"))
-    of = verified(met.join(bag, "uid"), id_type(docs)).groupBy("uid").agg(F.min(place).alias("other"), F.sum("n_links").alias("n_links"))
+    wanted = scratch.keep(sets.select("uid", *key, "at", "first.*").join(met.select("uid").distinct(), "uid"))
+    bag = scratch.keep(bags(docs, wanted, codes))
+    of = verified(met.join(bag, "uid"), id_type(docs)).groupBy("uid").agg(F.min(order).alias("other"), F.sum("n_links").alias("n_links"))
     earliest = F.least("first", F.coalesce("other", "first"))
     result = sets.select("uid", *key, "times", "first").join(of, "uid", "left")
     result = scratch.keep(result.select(*key, "times", earliest.alias("earliest"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     each = join_counted(found.select("doc_id", "mark", "line", "head", *key), result, key, "times", max(1, found.count()))
-    return each.select("doc_id", "mark", "line", "n_links", F.col("earliest.doc_id").alias("first_doc"), (place > F.col("earliest")).alias("removed"), "head")
+    return each.select("doc_id", "mark", "line", "n_links", F.col("earliest.doc_id").alias("first_doc"), (order > F.col("earliest")).alias("removed"), "head")
 
 
 def matches(docs: DataFrame, often: int = OFTEN, most: int = OFTEN) -> DataFrame:

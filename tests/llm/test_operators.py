@@ -622,6 +622,24 @@ def test_short_lines(spark):
     assert all(left[d] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in removed[d]) for d, t in docs)
 
 
+def test_only_wanted_lines_are_split():
+    r = random.Random(3)
+    texts = ["", "\n", "a b\n", None, "c", "\nd e\n\n f", "", *("".join(r.choices("ab \n\r", k=r.randint(0, 60))) for _ in range(200)), ""]
+    marks = np.array([r.getrandbits(64) - (1 << 63) for _ in texts])
+    lines = [(int(m), n, line) for m, t in zip(marks, texts) for n, line in enumerate((t or "").split("\n"))]
+    for share in (0, 0.2, 1):
+        picked = [x for x in lines if r.random() < share]
+        named = np.zeros(line_dedup.FILTER, np.uint8)
+        for m, n, _ in picked:
+            at = (m ^ n * line_dedup.STRIDE) % (8 * line_dedup.FILTER)
+            named[at >> 3] |= 1 << (at & 7)
+        got = []
+        for first, data, offsets in blocks(pa.array(texts), 500):
+            raw, cuts = line_dedup.chosen(data, offsets, marks[first : first + len(offsets) - 1], named)
+            got += [raw[x:y].tobytes().decode() for x, y in zip(cuts, cuts[1:])]
+        assert got == [line for _, _, line in picked]
+
+
 # ---- repeated passages ----------------------------------------------------------
 
 
