@@ -57,32 +57,37 @@ PAIRS = 1 << 14
 
 
 def in_order(line: np.ndarray, code: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The order by line, code and word: one sort of packed integers, unless they leave words undecided."""
-    if len(line) and line[-1] < 1 << 20:
-        packed = line.astype(np.uint64) << np.uint64(44) | code.astype(np.uint64) << np.uint64(37) | word >> np.uint64(27)
-        order = np.argsort(packed)
-        packed, sorted_words = packed[order], word[order]
-        if not np.any((packed[1:] == packed[:-1]) & (sorted_words[1:] != sorted_words[:-1])):
-            return order
+    """The order by line, code and word: one sort of packed integers with their places, unless they leave words undecided."""
+    if len(line):
+        low, high = max(1, (len(line) - 1).bit_length()), 64 - max(1, int(line[-1]).bit_length())  # below: the place; from `high` on: the line
+        if low + 7 < high:
+            bits = word >> np.uint64(64 - (high - 7 - low)) << np.uint64(low)
+            packed = line.astype(np.uint64) << np.uint64(high) | code.astype(np.uint64) << np.uint64(high - 7) | bits | np.arange(len(line), dtype=np.uint64)
+            packed.sort()
+            order = (packed & np.uint64((1 << low) - 1)).astype(np.int64)
+            packed >>= np.uint64(low)
+            again = np.flatnonzero(packed[1:] == packed[:-1])
+            if np.array_equal(word[order[again + 1]], word[order[again]]):
+                return order
     return np.lexsort((word, line << 8 | code))
 
 
 def line_sets(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(word, code, line, text, cuts) of the different words of each line that has any: lines in order, a line's words rarest first.
+    """(word, code, text, line, cuts) of the lines that have words: the different words and their codes, a line's rarest first, between cuts; text and line for each line, in order.
 
     line counts from 0 over the whole block; a text's end is a line's end too.
     """
     ends = np.flatnonzero(data == 10)
     word, line = words(data, np.sort(np.concatenate([offsets, ends + 1])))
-    code = codes[(word % np.uint64(CELLS)).astype(np.int64)]
+    code = codes[(word & np.uint64(CELLS - 1)).astype(np.int64)]
     order = in_order(line, code, word)
-    word, code, line = word[order], code[order], line[order]
-    first = np.ones(len(word), dtype=bool)
-    first[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
-    word, code, line = word[first], code[first], line[first]
+    word, line = word[order], line[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(word)), bool), (word[1:] != word[:-1]) | (line[1:] != line[:-1])]))
+    word, code, line = word[first], code[order[first]], line[first]
+    cuts = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1], [True]])) if len(line) else np.zeros(1, np.int64)
+    line = line[cuts[:-1]]
     text = np.searchsorted(np.searchsorted(ends, offsets[:-1]) + np.arange(len(offsets) - 1), line, side="right") - 1
-    sizes = np.diff(np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1], [True]]))) if len(line) else np.zeros(0, np.int64)
-    return word, code, line, text, np.concatenate([[0], np.cumsum(sizes)])
+    return word, code, text, line, cuts
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -92,7 +97,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
         cells = np.zeros(CELLS, dtype=np.int32)
         for batch in batches:
             for _, data, offsets in blocks(batch.column(0), SPAN):
-                np.add.at(cells, (words(data, offsets)[0] % np.uint64(CELLS)).astype(np.int32), np.int32(1))
+                np.add.at(cells, (words(data, offsets)[0] & np.uint64(CELLS - 1)).astype(np.int32), np.int32(1))
         used = np.flatnonzero(cells)
         cuts = np.searchsorted(used, np.arange(0, CELLS + 1, PIECE))
         held = [used[x:y].astype(np.int32).tobytes() + cells[used[x:y]].tobytes() for x, y in zip(cuts, cuts[1:])]
@@ -126,19 +131,28 @@ def binary(units: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 def lines(docs: DataFrame, table_of_codes: np.ndarray, often: int = OFTEN) -> DataFrame:
-    """A row per line with words: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n, b1, b2 (a filter of its words), start, rare, live and head (whether it is its text's first one).
+    """A row per line with words: doc_id, mark (a hash of the text), line, d1, d2 (digests of the set), n, b1, b2 (a filter of its words), start, rare, live and n_lines.
+
+    n_lines has the lines of the text, at its first row only. A text without words has one row, of no words.
 
     live has the words of the prefix, and the next one, that another line may have: those from the place `start`
     on. The first `rare` of them aren't in more than `often` places.
     """
     shared = docs.sparkSession.sparkContext.broadcast(table_of_codes)
     limit = 6 * np.log2(often)
+    names = ["doc_id", "mark", "line", "d1", "d2", "n", "b1", "b2", "start", "rare", "live", "n_lines"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = shared.value
         for batch in batches:
             for first_row, data, offsets in blocks(batch.column(2), SPAN):
-                word, code, line, text, cuts = line_sets(data, offsets, codes)
+                word, code, own, line, cuts = line_sets(data, offsets, codes)
+                ends = np.concatenate([[0], np.cumsum(data == 10)])[offsets]
+                n_lines = np.where(np.diff(offsets) > 0, np.diff(ends) + 1, 0)
+                empty = np.setdiff1d(np.arange(len(n_lines)), own)
+                if len(empty):
+                    rows, none = pa.array(empty + first_row), pa.array(np.zeros(len(empty), np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *[none] * 8, pa.array([b""] * len(empty), pa.binary()), pa.array(n_lines[empty])], names=names)
                 if not len(word):
                     continue
                 sizes = np.diff(cuts)
@@ -147,25 +161,23 @@ def lines(docs: DataFrame, table_of_codes: np.ndarray, often: int = OFTEN) -> Da
                 where = np.flatnonzero((place <= np.repeat(prefix_size(sizes), sizes)) & (code > 0))
                 live = binary(word[where] >> np.uint64(64 - 8 * UNIT), np.searchsorted(where, cuts))
                 start, rare = (np.add.reduceat(x.astype(np.int64), cuts[:-1]) for x in (code == 0, (code > 0) & (code <= limit)))
-                own = text[cuts[:-1]]
-                first_line = np.concatenate([[0], np.cumsum(data == 10)])[offsets[own]] + own
                 rows = pa.array(own + first_row)
-                bit = (word >> np.uint64(24)) % np.uint64(128)
-                value = np.uint64(1) << bit % np.uint64(64)
+                bit = (word >> np.uint64(24)) & np.uint64(127)
+                value = np.uint64(1) << (bit & np.uint64(63))
                 b1, b2 = (np.bitwise_or.reduceat(np.where(half, value, np.uint64(0)), cuts[:-1]).view(np.int64) for half in (bit < 64, bit >= 64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line[cuts[:-1]] - first_line), *map(pa.array, (d1, d2, sizes, b1, b2, start, rare)), live, pa.array(np.diff(own, prepend=-1) > 0)],
-                    names=["doc_id", "mark", "line", "d1", "d2", "n", "b1", "b2", "start", "rare", "live", "head"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(line - ends[own] - own), *map(pa.array, (d1, d2, sizes, b1, b2, start, rare)), live, pa.array(n_lines[own], mask=np.diff(own, prepend=-1) == 0)],
+                    names=names,
                 )
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    schema = f"doc_id {id_type(docs)}, mark long, line long, d1 long, d2 long, n long, b1 long, b2 long, start long, rare long, live binary, head boolean"
+    schema = f"doc_id {id_type(docs)}, mark long, line long, d1 long, d2 long, n long, b1 long, b2 long, start long, rare long, live binary, n_lines long"
     return docs.select("doc_id", F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, schema)
 
 
 def digests(word: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two sums over the words of each line, in whatever order they are."""
-    return np.add.reduceat(mix(word), cuts[:-1]).view(np.int64), np.add.reduceat(mix(word ^ ODD), cuts[:-1]).view(np.int64)
+    return np.add.reduceat(word, cuts[:-1]).view(np.int64), np.add.reduceat(mix(word ^ ODD), cuts[:-1]).view(np.int64)
 
 
 def chosen(data: np.ndarray, offsets: np.ndarray, mark: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -423,26 +435,34 @@ def verified(rows: DataFrame, kind: str) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(run, f"uid long, n_links long, last boolean, doc_id {kind}, line long")
 
 
-def judged(docs: DataFrame, scratch: Scratch, often: int = OFTEN, most: int = OFTEN) -> DataFrame:
-    """The rows of matches(), and head (whether it is its text's first line with words); they read scratch."""
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")
-    key = ["d1", "d2"]
+def judged(docs: DataFrame, scratch: Scratch, often: int = OFTEN, most: int = OFTEN) -> tuple[DataFrame, DataFrame]:
+    """The rows of lines(), and of each set that several lines have or that has links: d1, d2, times, earliest (like it), n_links."""
+    key, order = ["d1", "d2"], F.struct("last", "doc_id", "line")
     codes = rarity(docs)
     found = scratch.keep(lines(docs, codes, often))
-    grouped = found.groupBy(*key).agg(F.min(order).alias("first"), F.count("*").alias("times"), F.min(place()).alias("at"), *(F.first(c).alias(c) for c in ("n", "b1", "b2", "start", "rare", "live")))
-    sets = scratch.keep(grouped.withColumn("uid", F.monotonically_increasing_id()))
+    # of a set's columns, all but the first four are the same in all of its lines
+    line = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line", "mark", "n", "b1", "b2", "start", "rare", "live")
+    grouped = found.filter("n > 0").groupBy(*key).agg(F.min(line).alias("one"), F.count("*").alias("times"))
+    sets = scratch.keep(grouped.select(*key, "times", "one.*", F.monotonically_increasing_id().alias("uid")))
     wide = sets.filter(F.col("n") >= LONGER)
     common = scratch.keep(rows_of(wide.filter(F.length("live") > UNIT * F.col("rare")), True))
     boxes = (wide.agg(F.sum(F.length("live"))).first()[0] or 0) // UNIT // BOX + 1
     met = scratch.keep(meeting(boxed(wide, boxes, True).unionByName(boxed(parted(common, most), boxes, False))))
-    wanted = scratch.keep(sets.select("uid", *key, "at", "first.*").join(met.select("uid").distinct(), "uid"))
-    bag = scratch.keep(bags(docs, wanted, codes))
-    of = verified(met.join(bag, "uid"), id_type(docs)).groupBy("uid").agg(F.min(order).alias("other"), F.sum("n_links").alias("n_links"))
-    earliest = F.least("first", F.coalesce("other", "first"))
-    result = sets.select("uid", *key, "times", "first").join(of, "uid", "left")
-    result = scratch.keep(result.select(*key, "times", earliest.alias("earliest"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    each = join_counted(found.select("doc_id", "mark", "line", "head", *key), result, key, "times", max(1, found.count()))
-    return each.select("doc_id", "mark", "line", "n_links", F.col("earliest.doc_id").alias("first_doc"), (order > F.col("earliest")).alias("removed"), "head")
+    wanted = scratch.keep(sets.select("uid", *key, "times", place().alias("at"), "last", "doc_id", "line").join(met.select("uid").distinct(), "uid"))
+    bag = scratch.keep(bags(docs, wanted.drop("times"), codes))
+    of = scratch.keep(verified(met.join(bag, "uid"), id_type(docs)).groupBy("uid").agg(F.min(order).alias("other"), F.sum("n_links").alias("n_links")))
+    linked = wanted.join(of, "uid").select(*key, "times", F.least(order, "other").alias("earliest"), "n_links")
+    alone = sets.filter("times > 1").join(of, "uid", "left_anti").select(*key, "times", order.alias("earliest"), F.lit(0).cast("long").alias("n_links"))
+    return found, scratch.keep(linked.unionByName(alone))
+
+
+def placed(found: DataFrame, result: DataFrame, how: str) -> DataFrame:
+    """The rows of matches() from what judged() gives: of all lines (how is left), or of those of result's sets (inner)."""
+    order, earliest = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line"), F.col("earliest")
+    rows = found.filter("n > 0").select("doc_id", "mark", "line", "d1", "d2")
+    each = join_counted(rows, result, ["d1", "d2"], "times", max(1, found.count()), how=how)
+    first_doc = F.when(earliest.isNull(), F.col("doc_id")).otherwise(earliest["doc_id"])
+    return each.select("doc_id", "mark", "line", F.coalesce("n_links", F.lit(0)).alias("n_links"), first_doc.alias("first_doc"), F.coalesce(order > earliest, F.lit(False)).alias("removed"))
 
 
 def matches(docs: DataFrame, often: int = OFTEN, most: int = OFTEN) -> DataFrame:
@@ -454,7 +474,7 @@ def matches(docs: DataFrame, often: int = OFTEN, most: int = OFTEN) -> DataFrame
     and text) give their rows each, and an empty table gives none. Null ids come last.
     """
     with Scratch(docs.sparkSession) as scratch:
-        return checkpoint(judged(docs, scratch, often, most).drop("head"))
+        return checkpoint(placed(*judged(docs, scratch, often, most), "left"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
@@ -465,16 +485,15 @@ def summary(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     with Scratch(docs.sparkSession) as scratch:
-        per_doc = judged(docs, scratch).groupBy("doc_id", "mark")
-        copies = F.count_if("head")  # equal rows have all lines as often
-        once = {"n_removed": F.count_if("removed"), "n_links": F.sum("n_links")}
-        per_doc = checkpoint(per_doc.agg(*(F.call_function("div", v, copies).alias(c) for c, v in once.items()), F.min("first_doc").alias("first_doc")))
-    own = per_doc.withColumnsRenamed({"doc_id": "own_id", "mark": "own_mark"})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    n_lines = F.when(F.length(text) == 0, 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-    rows = docs.select("doc_id", F.xxhash64(text).alias("mark"), n_lines.cast("long").alias("n_lines"))
-    joined = rows.join(own, rows["doc_id"].eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")), "left")
-    return joined.select("doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.least("first_doc", "doc_id"), "doc_id").alias("first_doc"))
+        found, result = judged(docs, scratch)
+        texts = found.filter("n_lines IS NOT NULL").groupBy("doc_id", "mark").agg(F.min("n_lines").alias("n_lines"), F.count("*").alias("copies"))
+        own = placed(found, result, "inner").groupBy("doc_id", "mark").agg(F.count_if("removed").alias("n_removed"), F.sum("n_links").alias("n_links"), F.min("first_doc").alias("first_doc"))
+        own = own.withColumnsRenamed({"doc_id": "own_id", "mark": "own_mark"})
+        joined = texts.join(own, texts["doc_id"].eqNullSafe(F.col("own_id")) & (F.col("mark") == F.col("own_mark")), "left")
+        # equal rows have all lines as often
+        once = [F.coalesce(F.call_function("div", c, "copies"), F.lit(0)).alias(c) for c in ("n_removed", "n_links")]
+        each = joined.select("doc_id", "n_lines", *once, F.coalesce(F.least("first_doc", "doc_id"), "doc_id").alias("first_doc"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+        return checkpoint(each.drop("copy"))
 
 
 def clean(docs: DataFrame) -> DataFrame:

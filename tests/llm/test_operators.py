@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from conftest import ODD, SCHEMA, prose  # noqa: I001
 from gradeframe.llm import common, decontam, exact_dedup, langid, line_dedup, mixing, near_dedup, quality, repeats, sharding, tokens
 from gradeframe.llm.components import components
 from gradeframe.llm.registry import ORACLES, QUERIES
-from gradeframe.llm.shingles import blocks, multisets
+from gradeframe.llm.shingles import blocks, multisets, words
 
 SPACES = re.compile("[\x20\x09-\x0d]+")
 
@@ -622,6 +623,47 @@ def test_short_lines(spark):
     assert all(left[d] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in removed[d]) for d, t in docs)
 
 
+def test_lines_are_counted_as_they_are_split(spark, tmp_path):
+    """The result has all rows, equal ones and those without words too, without another reading of the texts."""
+    docs = [(1, "a b\n\nc d"), (1, "a b\n\nc d"), (1, "e"), (None, "a b\n"), (2, None), (3, ""), (3, ""), (4, " \n\t\n"), (5, "\n" * 7), (6, "f g h")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    out = line_dedup.summary(spark.read.parquet(f"{tmp_path}/docs"))
+    assert out.inputFiles() == []
+    shutil.rmtree(f"{tmp_path}/docs")
+    want = [(d, len(t.split("\n")) if t else 0, int(d is None), 0, 1 if d is None else d) for d, t in docs]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_left_join_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 0)
+    rows = spark.range(3000).selectExpr("id AS v", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 50 END AS k")
+    stats = rows.groupBy("k").agg(F.count("*").alias("pairs")).filter("k < 30 OR k = 40")
+    want = sorted(map(str, rows.join(stats, "k", "left").select("k", "v", "pairs").collect()))
+    assert sorted(map(str, common.join_counted(rows, stats, "k", "pairs", 3000, 8, how="left").select("k", "v", "pairs").collect())) == want
+
+
+def test_words_of_odd_texts():
+    r = random.Random(6)
+    texts = [None, "", "a", "", "a b", "b", " ", "ab\x0b", "\x0cb", *("".join(r.choices("ab é\n\t\x0b\u3000", k=r.randint(0, 14))) for _ in range(400))]
+    for size in (1, 20, 1 << 18):
+        got = [(int(h), first + int(at)) for first, data, offsets in blocks(pa.array(texts), size) for h, at in zip(*words(data, offsets))]
+        want = [(w, n) for n, t in enumerate(texts) for w in split(t)]
+        assert [n for _, n in got] == [n for _, n in want]
+        assert len(set(zip((h for h, _ in got), (w for w, _ in want)))) == len({h for h, _ in got}) == len({w for w, _ in want})
+
+
+def test_order_of_words():
+    """One sort of packed integers gives the order by line, code and word, also where it has to leave it to another sort."""
+    r = np.random.default_rng(8)
+    for n, lines, spread in ((0, 1, 1), (1, 1, 1), (2000, 50, 1 << 63), (2000, 3, 5), (2000, 1 << 50, 1 << 63), (300, 2, 1 << 30)):
+        line, code = np.sort(r.integers(0, lines, n)), r.integers(0, 128, n).astype(np.uint8)
+        word = r.integers(0, spread, n, dtype=np.uint64)
+        order = line_dedup.in_order(line, code, word)
+        assert sorted(order.tolist()) == list(range(n))
+        rows = list(zip(line[order].tolist(), code[order].tolist(), word[order].tolist()))
+        assert rows == sorted(rows)
+
+
 def test_only_wanted_lines_are_split():
     r = random.Random(3)
     texts = ["", "\n", "a b\n", None, "c", "\nd e\n\n f", "", *("".join(r.choices("ab \n\r", k=r.randint(0, 60))) for _ in range(200)), ""]
